@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.common import table
 from lintel.llm.exact_dedup import exact_duplicates
+from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
 from lintel.llm.toxicity import score_toxicity
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_pieces": op5_pieces,
         "op10_toxicity": op10_toxicity,
     }
 
