@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.common import table
 from lintel.llm.exact_dedup import exact_duplicates
+from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
 from lintel.llm.toxicity import score_toxicity
@@ -31,6 +32,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_pieces": op5_pieces,
+        "op6_packing": op6_packing,
         "op10_toxicity": op10_toxicity,
     }
 
