@@ -11,6 +11,7 @@ from lintel.llm.exact_dedup import exact_duplicates
 from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
+from lintel.llm.simhash import near_duplicates
 from lintel.llm.toxicity import score_toxicity
 
 
@@ -36,6 +37,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_pieces": op5_pieces,
         "op6_packing": op6_packing,
+        "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
     }
 
