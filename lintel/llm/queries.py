@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.common import table
 from lintel.llm.exact_dedup import exact_duplicates
+from lintel.llm.language_id import identify_language
 from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
@@ -37,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_pieces": op5_pieces,
         "op6_packing": op6_packing,
+        "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
     }
