@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.common import table
 from lintel.llm.exact_dedup import exact_duplicates
+from lintel.llm.html_text import extract_main_text
 from lintel.llm.language_id import identify_language
 from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
@@ -26,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_pieces": op5_pieces,
         "op6_packing": op6_packing,
