@@ -10,6 +10,7 @@ from lintel.llm.common import table
 from lintel.llm.exact_dedup import exact_duplicates
 from lintel.llm.html_text import extract_main_text
 from lintel.llm.language_id import identify_language
+from lintel.llm.licences import scan_licences
 from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
@@ -51,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
+        "op9_licences": op9_licences,
         "op10_toxicity": op10_toxicity,
     }
 
