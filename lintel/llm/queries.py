@@ -11,6 +11,7 @@ from lintel.llm.exact_dedup import exact_duplicates
 from lintel.llm.html_text import extract_main_text
 from lintel.llm.language_id import identify_language
 from lintel.llm.licences import scan_licences
+from lintel.llm.maxent_lm import score_documents
 from lintel.llm.packing import pack_documents
 from lintel.llm.pieces import encoded_digests
 from lintel.llm.quality_rules import judge_quality
@@ -28,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -71,6 +76,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_maxent_lm": op2_maxent_lm,
         "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_pieces": op5_pieces,
