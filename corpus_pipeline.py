@@ -1 +1,66 @@
-"""The corpus pipeline: quality rules, toxicity, exact dedup, SimHash near-dedup, packing."""
+"""The corpus pipeline: quality rules, toxicity, exact dedup, SimHash near-dedup, best-fit packing.
+
+Each stage takes the documents that the stage before it kept, with the columns of ``documents``, and
+its decisions take effect; the last returns one row per packed piece. The filters join their
+rejections back by doc_id: of rows that repeat a doc_id all go if one is rejected, and a row without
+a doc_id stays. Empty input passes through as no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lintel.llm.common import cut, table
+from lintel.llm.exact_dedup import keep_one_of_each
+from lintel.llm.packing import pack_documents
+from lintel.llm.quality_rules import judge_quality
+from lintel.llm.queries import tokenizer_path
+from lintel.llm.simhash import keep_one_of_each_component
+from lintel.llm.toxicity import score_toxicity
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among the rejected."""
+    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, judge_quality(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each_component(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("best-fit packing", packing),
+]
+
+#: Forests, factorization machines and tokenizers are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are cut to the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
