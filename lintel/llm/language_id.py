@@ -31,7 +31,8 @@ FILTERS = 12
 VECTOR = 8
 #: Bounds on the labelled rows that the network learns from.
 LABELLED_ROWS = 6_000
-ROWS_PER_LANGUAGE = 1_000
+ROWS_PER_LANGUAGE = 1_024
+SALTS = 64
 WINDOWS_PER_TEXT = 3
 EPOCHS = 6
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
@@ -224,12 +225,12 @@ def identify_language(
     learnable = rows.where(
         F.col("lang").isNotNull() & (remainder(F.col("id"), HELD_OUT_MODULUS) != HELD_OUT_REMAINDER) & F.col("text").rlike(r"\p{L}")
     )
-    # a salted top-k by language: each salt keeps rows_per_language rows at most before languages meet
-    order = [F.col("h"), F.col("id")]
-    hashed = learnable.select("id", "lang", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(64)).alias("salt"))
-    first = hashed.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= rows_per_language)
-    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= rows_per_language)
-    chosen = chosen.orderBy("n", "lang").limit(labelled_rows).select("id", F.col("lang").alias("language"))
+    # of each language the first rows of each of SALTS hash classes, so that no task ranks a whole language
+    salt = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(SALTS))
+    hashed = learnable.select("id", "lang", F.xxhash64("id").alias("h"), salt.alias("salt"))
+    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))
+    first = hashed.withColumn("n", rank).where(F.col("n") <= max(1, rows_per_language // SALTS))
+    chosen = first.orderBy("n", "salt", "lang").limit(labelled_rows).select("id", F.col("lang").alias("language"))
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # windows are drawn where the texts are, so that long texts do not travel
