@@ -13,6 +13,10 @@ columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import cut
+from lintel.llm.merge_rounds import PairTable
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -31,32 +36,85 @@ OPEN_BINS = 1024
 #: Pieces that one part holds, about; a part with few pieces wastes its last bins.
 PIECES_PER_PART = 50_000
 #: Words remembered by each Python worker at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LETTERS, _POINTS = "a-zß-öø-ÿ", ".,!?*#%&$;:"
+_UNIT = re.compile(rf"[{_LETTERS}]++(?=[{_POINTS} \n]|\Z)|[{_POINTS}]++(?=[{_LETTERS} \n]|\Z)|[^ \n]+")
+_LETTER_UNIT = re.compile(rf"[{_LETTERS}]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: First bytes of characters from U+0300 on, where combining marks begin.
+_MARK_BYTES = re.compile(rb"[\xcc-\xff]")
+
+
+def units_of(text: str) -> list[str]:
+    """Units that no token crosses and whose ids do not depend on their neighbours.
+
+    They are the words between spaces and line feeds, cut once more between Latin letters and points.
+    The tokenizer lower-cases, so ASCII letters are lower-cased here where the text has no combining
+    mark: with marks, composition comes before.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    if not _MARK_BYTES.search(raw) or not any(map(unicodedata.combining, text)):
+        text = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
+    return _UNIT.findall(text)
+
+
 class WordTokens:
-    """Token ids of texts, by the words between spaces and line feeds: no token crosses those."""
+    """Token ids of texts by units. Units of Latin letters, which are most, merge in rounds by the
+    tokenizer's own table of pairs; the library encodes all others."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merged = [a.removesuffix(suffix) + b if suffix else a + b for a, b in pairs]
+        left, right, whole = (np.array([ids[x] for x in c], np.int64) for c in ([a for a, _ in pairs], [b for _, b in pairs], merged))
+        self.pairs = PairTable(left, right, whole, np.arange(len(pairs)))
+        # byte-level alphabets show the printable bytes as themselves and the others from U+0100 on
+        shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
+        hidden = [b for b in range(256) if b not in shown]
+        letter = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+        self.inner = np.array([ids[letter[b]] for b in range(256)])
+        self.last = np.array([ids[letter[b] + suffix] for b in range(256)])
+
+    def _merge(self, words: list[str]) -> None:
+        spelled = [w.encode() for w in words]
+        size = np.fromiter(map(len, spelled), np.int64, len(words))
+        raw = np.frombuffer(b"".join(spelled), np.uint8)
+        end = np.cumsum(size) - 1
+        symbols = self.inner[raw]
+        symbols[end] = self.last[raw[end]]
+        joined = np.ones(len(raw) - 1, bool)
+        joined[end[:-1]] = False
+        tokens, position = self.pairs.merge(symbols, joined)
+        flat = tokens.astype("<u4").tobytes()
+        cuts = np.concatenate([[0], 4 * np.searchsorted(position, end, "right")]).tolist()
+        self.known.update((w, flat[a:z]) for w, a, z in zip(words, cuts, cuts[1:], strict=False))
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) >= CACHE_WORDS:
-            self.known = {"": b""}
-        fresh = list(words.difference(self.known))
-        for lo in range(0, len(fresh), 4096):
-            some = fresh[lo : lo + 4096]
+            self.known.clear()
+        fresh = words.difference(self.known)
+        letters = [w for w in fresh if _LETTER_UNIT.fullmatch(w)]
+        if letters:
+            self._merge(letters)
+        others = list(fresh.difference(letters))
+        for lo in range(0, len(others), 4096):
+            some = others[lo : lo + 4096]
             for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(code.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         for lo in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
+            split = [units_of(t or "") for t in texts[lo : lo + 256]]
             self.learn({w for words in split for w in words})
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))

@@ -1,14 +1,9 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-The symbols of many units of text lie in one flat array. A round takes in every unit the pair of
-neighbours with the best rank, merges its occurrences from the left, compacts the array, and goes
-on until no unit has a mergeable pair. The result is what the library gives:
-
-* Only pieces that begin with the space mark hold one, so a text falls into independent units: a
-  run of marks with what follows, and line feeds, which no piece holds. Within a unit, neighbours
-  that stand side by side in no piece are cut apart as well.
-* One merge at a time by rank is the rule. All occurrences of the best pair may merge at once if no
-  pair that the merged piece can form ranks as high; for other pieces only the leftmost merges.
+The symbols of many units of text lie in one flat array and merge in rounds. The result is what the
+library gives: only pieces that begin with the space mark hold one, so a text falls into independent
+units: a run of marks with what follows, and line feeds, which no piece holds. Within a unit,
+neighbours that stand side by side in no piece are cut apart as well.
 
 Units recur, so each Python worker remembers the units it has met, up to ``CACHE_UNITS``.
 
@@ -29,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.llm.merge_rounds import PairTable
+
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CACHE_UNITS = 500_000
 #: Texts whose unknown units are encoded together.
 TEXTS_AT_ONCE = 256
-NO_RANK = np.int32(2**31 - 1)
 
 
 class PieceModel:
@@ -65,28 +61,10 @@ class PieceModel:
             symbol[c] = len(self.text) + len(symbol)  # merges like a piece, but goes out as bytes
         scores = np.array([sp.get_score(i) for i in range(size)])
         _, rank_of = np.unique(-scores, return_inverse=True)
-        self.base = max(symbol.values(), default=0) + 2
-
-        keys, merged = [], []
-        beside: set[tuple[str, str]] = set()
-        reach = {p: NO_RANK for p in symbol}
-        for p in long_pieces:
-            beside.update(zip(p, p[1:], strict=False))
-            rank = np.int32(rank_of[symbol[p]])
-            for cut in range(1, len(p)):
-                a, b = p[:cut], p[cut:]
-                if a in symbol and b in symbol:
-                    keys.append(symbol[a] * self.base + symbol[b])
-                    merged.append(symbol[p])
-                    reach[a], reach[b] = min(reach[a], rank), min(reach[b], rank)
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
-        self.merged = np.append(np.array(merged, np.int64)[order], 0)
-        self.rank = np.full(self.base, NO_RANK, np.int32)
-        self.rank[:size] = rank_of
-        self.alone = np.zeros(self.base, bool)  # only the leftmost may merge
-        for p in long_pieces:
-            self.alone[symbol[p]] = reach[p] <= self.rank[symbol[p]]
+        pairs = [(symbol[p[:k]], symbol[p[k:]], symbol[p]) for p in long_pieces for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        left, right, merged = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        self.pairs = PairTable(left, right, merged, rank_of[merged])
+        beside = {pair for p in long_pieces for pair in zip(p, p[1:], strict=False)}
 
         chars = sorted(c for c in symbol if len(c) == 1)
         self.char_codes = np.array([ord(c) for c in chars] + [0x110000], np.int64)
@@ -121,14 +99,6 @@ class PieceModel:
         same = all([self.text[i] for i in ids[:3]] == [MARK * longest] * 3 for ids in probe)
         return longest if same else 0
 
-    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of pairs of symbols (NO_RANK: not a piece) and what they merge to."""
-        key = left * self.base + right
-        at = np.searchsorted(self.keys, key)
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        merged = np.where(hit, self.merged[at], 0)
-        return np.where(hit, self.rank[merged], NO_RANK), merged
-
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit; units hold no space mark after another character."""
         flat, ends = self.encode_flat(units)
@@ -146,45 +116,8 @@ class PieceModel:
         pair = codes[:-1] * 0x110000 + codes[1:]
         joined = self.beside[np.searchsorted(self.beside, pair)] == pair
         joined &= owner[1:] == owner[:-1]
-        part = np.concatenate([[0], np.cumsum(~joined)])  # what can merge lies within one part
-
-        position = np.arange(len(symbols))
-        done_at, done_symbol = [], []
-        rank = np.full(len(symbols), NO_RANK, np.int32)
-        merged = np.zeros(len(symbols), np.int64)
-        inside = np.flatnonzero(joined)
-        rank[inside], merged[inside] = self._lookup(symbols[inside], symbols[inside + 1])
-        while len(symbols):
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(part))))
-            ended = best == NO_RANK
-            if ended.any():
-                done_at.append(position[ended])
-                done_symbol.append(symbols[ended])
-                go = ~ended
-                symbols, part, position, rank, merged, best = symbols[go], part[go], position[go], rank[go], merged[go], best[go]
-                if not len(symbols):
-                    break
-            at = np.flatnonzero(rank == best)
-            first = np.concatenate([[True], part[at][1:] != part[at][:-1]])
-            follows = np.concatenate([[False], at[1:] == at[:-1] + 1]) & ~first
-            run_start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
-            even = (np.arange(len(at)) - run_start) % 2 == 0
-            at = at[np.where(self.alone[merged[at]], first, even)]
-            symbols[at] = merged[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            place = np.cumsum(keep) - 1
-            changed = place[at]
-            symbols, part, position, rank, merged = symbols[keep], part[keep], position[keep], rank[keep], merged[keep]
-            changed = np.concatenate([changed, changed[changed > 0] - 1])
-            rank[changed] = NO_RANK
-            paired = changed[changed < len(symbols) - 1]
-            paired = paired[part[paired] == part[paired + 1]]
-            rank[paired], merged[paired] = self._lookup(symbols[paired], symbols[paired + 1])
-        position, symbols = np.concatenate(done_at), np.concatenate(done_symbol)
-        order = np.argsort(position)
-        return self._ids(symbols[order], owner[position[order]], len(units), codes[position[order]])
+        symbols, position = self.pairs.merge(symbols, joined)
+        return self._ids(symbols, owner[position], len(units), codes[position])
 
     def _ids(self, symbols: np.ndarray, owner: np.ndarray, n: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and unit ends; characters outside the vocabulary become their UTF-8 bytes."""
