@@ -213,6 +213,6 @@ ORACLES = {
     "diarized_txt": f"WITH {_TURNS}, t AS (SELECT * FROM s WHERE text <> ''), {_RUNS.format(src='t')} SELECT conv_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
     "diarized_breaks": f"WITH {_TURNS}, t AS (SELECT * FROM s WHERE text <> ''), {_RUNS.format(src='t')} SELECT conv_id, string_agg(text, chr(10) || '{transcript.BREAK}' || chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
     "legacy_breaks": f"WITH {_TURNS}, {_RUNS.format(src='s')} SELECT conv_id, string_agg('{transcript.BREAK}' || chr(10) || text, chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
-    "segments_from_json": """SELECT * FROM (VALUES (1, 0, 1.5, 2.0, 'a', NULL), (1, 1, 0.0, 0.0, 'b', NULL), (1, 2, 3.0, 3.0, 'c', 'S1'), (2, 0, 1.5, 2.5, 'x', NULL), (2, 1, 0.0, 0.0, 'plain', NULL),
+    "segments_from_json": """SELECT doc, pos, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", text, speaker FROM (VALUES (1, 0, 1.5, 2.0, 'a', NULL), (1, 1, 0.0, 0.0, 'b', NULL), (1, 2, 3.0, 3.0, 'c', 'S1'), (2, 0, 1.5, 2.5, 'x', NULL), (2, 1, 0.0, 0.0, 'plain', NULL),
         (3, 0, 0.5, 1.5, 'y', 'Z'), (4, 0, 0.0, 0.0, 'only text', NULL), (6, 0, 0.0, 4.0, 'n', NULL)) AS t(doc, pos, start, "end", text, speaker)""",
 }
