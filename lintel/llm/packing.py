@@ -2,7 +2,8 @@
 
 Documents are tokenised, ended with a separator and cut into pieces of at most one sequence. The
 pieces are dealt over parts by a hash of their document, in parts of about ``PIECES_PER_PART``, and
-each part is packed on its own as its pieces come: a fixed number of bins is open, a bitset keyed by
+each part is packed on its own as its pieces come, in random waves, the longest of a wave first: a
+fixed number of bins is open, a bitset keyed by
 free space names the tightest bin that still fits, and when no more bins may open the fullest one
 closes. Pieces that fill a sequence pass through.
 
@@ -32,7 +33,9 @@ from lintel.llm.merge_rounds import PairTable
 SEQUENCE = 2048
 SEPARATOR = 0
 #: Bins open at once in a part.
-OPEN_BINS = 1024
+OPEN_BINS = 2048
+#: Pieces of a part that come longest first, about; after them the next ones do.
+WAVE = 2500
 #: Pieces that one part holds, about; a part with few pieces wastes its last bins.
 PIECES_PER_PART = 50_000
 #: Words remembered by each Python worker at most.
@@ -184,9 +187,13 @@ class OpenBins:
 def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, per_part: int = PIECES_PER_PART) -> DataFrame:
     """The pieces with sequence_id and offset."""
     kept = cut(pieces)  # tokenised once: it is counted, then dealt
-    parts = max(1, -(-kept.count() // per_part))
-    place = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    dealt = kept.withColumn("part", place).repartition(parts, "part").sortWithinPartitions("part", F.xxhash64("doc_id", "piece", F.lit(1)), "doc_id", "piece")
+    count = kept.count()
+    parts = max(1, -(-count // per_part))
+    waves = max(1, round(count / parts / WAVE))
+    dealt = kept.withColumns(
+        {"part": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"), "wave": F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(waves))}
+    )
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "wave", F.col("length").desc(), "doc_id", "piece").drop("wave")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, current = OpenBins(sequence, open_bins), None
