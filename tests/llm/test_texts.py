@@ -145,6 +145,23 @@ def test_article_pages():
     assert html_text.page_blocks(None) == [] and html_text.page_blocks("<p>a <b") == [(False, "a")]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<b><nav><b>x</b> y</nav>z</b>", "z"),
+        ("<b><article>one</b> two</article>three", "one two"),
+        ("<article>a <span class='ad'>no <span>no</span> no</span> b <i>c</i></article>", "a b c"),
+        ("<article><p>a<div class='notice'>no<p>no</div>b</article>", "a b"),
+        ("<main><h1>T</h1><aside>no</aside><ul><li>x<li>y</ul><form>no</form></main>", "T x y"),
+        ("<article>a<!-- no <p>no</p> -->b<script>if (a < b) '</p>'</script>c</article", "abc"),
+    ],
+)
+def test_parts_that_go(page, text):
+    blocks = html_text.page_blocks(page)
+    inside = [t for zone, t in blocks if zone]
+    assert " ".join(inside or [t for _, t in blocks]) == text
+
+
 def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     chrome = "welcome to our site please read all of the rules before you post"
     rows = [(i, f"https://host.example/{i}", f"<div><p>{chrome}</p><p>n{i} a{i} b{i}</p><p>{chrome}</p></div>") for i in range(12)]
