@@ -220,3 +220,48 @@ def natural_key(name: Column) -> Column:
         lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(F.regexp_replace(p, "^0+(?=.)", "")).cast("string"), 4, "0"), F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p),
     )
     return F.array_join(sized, "\x01")
+
+
+def heading_people(line: Column) -> Column:
+    """Names of a heading: its bold parts, cut at '.', ';' and '/', or else its leading words in capitals."""
+    bold = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"\*\*(.+?)\*\*"), 1)
+    named = F.flatten(F.transform(bold, lambda b: F.split(plain_inline(b), r"\s*[.;/]\s*")))
+    return F.when(F.size(F.filter(named, lambda n: F.trim(n) != "")) > 0, merge_unique(named)).otherwise(merge_unique(F.array(capitals(line))))
+
+
+def capitals(line: Column) -> Column:
+    """The leading words of a heading whose letters are all capitals."""
+    shown = plain_inline(F.regexp_replace(F.coalesce(line, F.lit("")), r"^#{1,6}\s*", ""))
+    return F.trim(F.regexp_extract(shown, r"^((?:[^a-z\s]*[A-Z][^a-z\s]*(?:\s+|$))+)", 1))
+
+
+def heading_title(line: Column, fallback: Column) -> Column:
+    """A heading without its names; the fallback if nothing is left."""
+    bare = F.regexp_replace(F.coalesce(line, F.lit("")), r"^#{1,6}\s*", "")
+    has_bold = bare.rlike(r"\*\*.+?\*\*")
+    rest = F.when(has_bold, plain_inline(F.regexp_replace(bare, r"\*\*.+?\*\*", " "))).otherwise(F.substr(plain_inline(bare), F.length(capitals(line)) + 1))
+    return F.coalesce(F.nullif(F.regexp_replace(rest, EDGES, ""), F.lit("")), fallback)
+
+
+def slug_phrases(slug: Column, known: Column) -> Column:
+    """A slug's words, and those of them that known phrases do not hold."""
+    tokens = words(F.replace(F.coalesce(slug, F.lit("")), F.lit("-"), F.lit(" ")))
+    rest = F.filter(tokens, lambda t: ~F.array_contains(token_set_of_all(known), normalize(t)))
+    return merge_unique(F.array(F.array_join(tokens, " "), F.array_join(rest, " ")))
+
+
+def without_instruments(text: Column, instruments: Column) -> Column:
+    """Inline text without words that are, or stand for, listed instruments."""
+    listed = F.transform(instruments, normalize)
+
+    def named(token: Column) -> Column:
+        plain = normalize(token)
+        return F.array_contains(listed, plain) | F.array_contains(listed, normalize(F.coalesce(F.try_element_at(lookup(lexicon.INSTRUMENTS), plain), plain)))
+
+    return F.regexp_replace(F.array_join(F.filter(F.split(plain_inline(text), " "), lambda t: ~named(t)), " "), EDGES, "")
+
+
+def unlike(values: Column, *titles: Column) -> Column:
+    """Values that do not equal a title after normalising; first of equals."""
+    plain = F.array(*[normalize(t) for t in titles])
+    return F.filter(merge_unique(values), lambda v: ~F.array_contains(plain, normalize(v)))

@@ -242,3 +242,34 @@ def settings_map(raw: Column) -> Column:
     last = F.filter(pairs, lambda p: p["k"] != "")
     names = F.array_distinct(F.transform(last, lambda p: p["k"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(last, lambda p: p["k"] == n), -1)["v"]))
+
+
+def heading_hints(elements: DataFrame, key: str, ahead: int = 5) -> DataFrame:
+    """For each heading element (key, pos, tag, text, emphasised): the label and performer lines among those after it.
+
+    Elements without text do not count; the next heading or rule ends the search, as does the first
+    label (what trailing parentheses hold, or follows 'label:') among the next ``ahead``. The performer is
+    what stands before the parentheses, or the last emphasised paragraph before the label.
+    """
+    stops = F.col("tag").isin("h2", "h3", "hr")
+    told = elements.where((F.trim("text") != "") | stops)
+    group = F.sum(stops.cast("int")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = told.withColumn("group", group)
+    at = F.row_number().over(Window.partitionBy(key, "group").orderBy("pos")) - 1
+    rows = rows.withColumn("at", at).where(F.col("at") <= ahead)
+    held = F.nullif(F.regexp_extract("text", r"\(([^)]+)\)$", 1), F.lit(""))
+    label = F.coalesce(held, F.nullif(F.trim(F.regexp_extract("text", r"(?i)label:(.*)$", 1)), F.lit("")))
+    rows = rows.withColumns({"label": F.when(F.col("at") > 0, label), "before": F.nullif(F.trim(F.regexp_replace("text", r"\([^)]+\)$", "")), F.lit("")), "held": held})
+    rows = rows.withColumn("label_at", F.min(F.when(F.col("label").isNotNull(), F.col("at"))).over(Window.partitionBy(key, "group")))
+    own = F.col("at") == F.col("label_at")
+    strong = (F.col("at") > 0) & F.col("emphasised") & (F.col("tag") == "p") & (F.col("label_at").isNull() | (F.col("at") < F.col("label_at")))
+    out = rows.groupBy(key, "group").agg(
+        F.max(F.when((F.col("at") == 0) & F.col("tag").isin("h2", "h3"), F.col("text"))).alias("title"),
+        F.max(F.when(own, F.col("label"))).alias("label"),
+        F.max(F.when(own & F.col("held").isNotNull(), F.col("before"))).alias("_named"),
+        F.max(F.when(strong, F.struct("at", "text"))).alias("_strong"),
+    )
+    related = F.contains("title", F.lit("Related Articles"))
+    ended = F.max(related.cast("int")).over(Window.partitionBy(key).orderBy("group").rowsBetween(Window.unboundedPreceding, 0))
+    found = out.where("title IS NOT NULL").withColumn("_ended", ended).where("_ended = 0")
+    return found.select(key, "group", "title", F.coalesce("_named", F.col("_strong.text")).alias("performer"), "label")

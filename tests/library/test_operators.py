@@ -154,3 +154,32 @@ def test_readers_and_writers(spark, tmp_path):
 def test_durations(spark):
     df = spark.createDataFrame([(None,), (-1.0,), (float("inf"),), (61.5,), (3661.0,)], "s double")
     assert [r[0] for r in df.select(values.duration(F.col("s"))).collect()] == ["unknown", "unknown", "unknown", "01:01", "1:01:01"]
+
+
+def test_heading_parts(spark):
+    lines = ["## **Bach; Handel** Suites – live", "### J S BACH Goldberg Variations", "## Plain title", "## **Only**"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, x string")
+    rows = df.select(text.heading_people(F.col("x")).alias("p"), text.heading_title(F.col("x"), F.lit("fallback")).alias("t"), "i").orderBy("i").collect()
+    assert [(r["p"], r["t"]) for r in rows] == [(["Bach", "Handel"], "Suites – live"), (["J S BACH"], "Goldberg Variations"), ([], "Plain title"), (["Only"], "fallback")]
+
+
+def test_slug_and_instrument_words(spark):
+    df = spark.range(1)
+    row = df.select(
+        text.slug_phrases(F.lit("bach-goldberg-variations"), F.array(F.lit("Bach"))).alias("slug"),
+        text.without_instruments(F.lit("Ann Lee pf, Bo vn"), F.array(F.lit("piano"))).alias("rest"),
+        text.unlike(F.array(F.lit("A b"), F.lit("C"), F.lit("c")), F.lit("a B!"), F.lit(None).cast("string")).alias("kept"),
+    ).first()
+    assert row["slug"] == ["bach goldberg variations", "goldberg variations"] and row["rest"] == "Ann Lee Bo vn" and row["kept"] == ["C"]
+
+
+def test_heading_hints(spark):
+    rows = [
+        ("f", 1, "h2", "Work One", False), ("f", 2, "p", "", False), ("f", 3, "p", "Player A", True), ("f", 4, "p", "prose", False), ("f", 5, "p", "Label: Big", False),
+        ("f", 6, "h3", "Work Two", False), ("f", 7, "p", "Player B (Small Label)", True), ("f", 8, "hr", "", False), ("f", 9, "p", "(Lost)", False),
+        ("f", 10, "h2", "Work Three", False), *[("f", 11 + k, "p", f"line {k}", False) for k in range(5)], ("f", 16, "p", "too far (Label)", True),
+        ("f", 17, "h2", "Related Articles", False), ("f", 18, "h2", "Work Four", False),
+    ]
+    out = documents.heading_hints(spark.createDataFrame(rows, "file string, pos int, tag string, text string, emphasised boolean"), "file")
+    found = {r["title"]: (r["performer"], r["label"]) for r in out.collect()}
+    assert found == {"Work One": ("Player A", "Big"), "Work Two": ("Player B", "Small Label"), "Work Three": (None, None)}
