@@ -183,3 +183,18 @@ def test_heading_hints(spark):
     out = documents.heading_hints(spark.createDataFrame(rows, "file string, pos int, tag string, text string, emphasised boolean"), "file")
     found = {r["title"]: (r["performer"], r["label"]) for r in out.collect()}
     assert found == {"Work One": ("Player A", "Big"), "Work Two": ("Player B", "Small Label"), "Work Three": (None, None)}
+
+
+def test_performer_parts(spark):
+    from lintel.operators.people import performer_parts
+
+    cases = {
+        "a": ("**Anna Prohaska** _sop_ **BBC Symphony Orchestra / Simon Rattle** (Harmonia Mundi)", "", (["Anna Prohaska"], ["BBC Symphony Orchestra"], "Simon Rattle", ["soprano"], "Harmonia Mundi")),
+        "b": ("Lee & Ray; City Quartet", "Label: Big (Label)", (["Lee", "Ray"], ["City Quartet"], "", [], "Big (Label")),
+        "c": ("Nova Players / Jo Fox, Al Dee", "", ([], ["Nova Players"], "Jo Fox; Al Dee", [], "")),
+        "d": ("", "(Only Label)", ([], [], "", [], "Only Label")),
+        "e": ("Mary Major _pf_ (L)", "", (["Mary Major"], [], "", ["piano"], "L")),
+    }
+    df = spark.createDataFrame([(k, p, lab) for k, (p, lab, _) in cases.items()], "k string, performer_line string, label_line string")
+    out = {r["k"]: (r["performers"], r["ensembles"], r["conductor"], r["instruments"], r["label"]) for r in performer_parts(df, "k").collect()}
+    assert out == {k: v for k, (_, _, v) in cases.items()}
