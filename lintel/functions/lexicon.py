@@ -15,6 +15,8 @@ GENERIC_TITLE_TOKENS = (
 ).split()
 GENERIC_LINE_PREFIXES = ["sols", "sols incl", "incl", "label", "with"]
 SKIPPED_SEGMENTS = ["sols", "sols.", "soloists", "soloist", "with"]
+#: Italic phrases that name no work.
+NO_WORKS = ["gramophone", "review"]
 INSTRUMENTS = {
     "pf": "piano", "fp": "fortepiano", "pno": "piano", "piano": "piano", "fortepiano": "fortepiano", "vn": "violin", "violin": "violin",
     "va": "viola", "viola": "viola", "vc": "cello", "cello": "cello", "db": "double bass", "double": "double", "bass": "bass", "fl": "flute",

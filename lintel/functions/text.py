@@ -184,7 +184,7 @@ def italic_phrases(text: Column) -> Column:
         F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("_([^_]+)_"), 1),
         lambda p: F.regexp_replace(plain_inline(p), EDGES, ""),
     )
-    return merge_unique(F.filter(found, lambda p: (F.length(p) > 2) & ~normalize(p).isin("gramophone", "review")))
+    return merge_unique(F.filter(found, lambda p: (F.length(p) > 2) & ~normalize(p).isin(*lexicon.NO_WORKS)))
 
 
 def review_slug(text: Column) -> Column:

@@ -14,11 +14,17 @@ from lintel.operators.runs import first_of_each
 CANDIDATE = "struct<id:string,title:string,artists:array<string>,release_date:string,copyright:string,track_count:int,score:double,features:map<string,double>,queries:array<string>,details_fetched:boolean>"
 ALBUM = "struct<title:string,composers:array<string>,performers:array<string>,ensembles:array<string>,conductor:string,label:string,year:string,works:array<string>,instruments:array<string>>"
 SOURCE = "struct<file:string,line:int,raw:string,subsection:string,context:map<string,string>>"
-TRUTH = (
-    f"record_id string, source {SOURCE}, album {ALBUM}, queries array<string>, query_candidates array<struct<template:string,query:string>>,"
-    f" candidates array<{CANDIDATE}>, top_candidates array<{CANDIDATE}>, chosen {CANDIDATE},"
-    " choice struct<status:string,tidal_id:string,selected_at:string,manual:boolean>, review variant, meta variant"
-)
+
+
+def truth_schema(id_field: str) -> str:
+    """Schema of truth records; the catalogue's name for its ids is ``id_field``."""
+    return (
+        f"record_id string, source {SOURCE}, album {ALBUM}, queries array<string>, query_candidates array<struct<template:string,query:string>>,"
+        f" candidates array<{CANDIDATE}>, top_candidates array<{CANDIDATE}>, chosen {CANDIDATE},"
+        f" choice struct<status:string,{id_field}:string,selected_at:string,manual:boolean>, review variant, meta variant"
+    )
+
+
 AUDIO = ("m4a", "m4b", "mp3", "flac", "wav", "aac", "ogg", "opus")
 
 
@@ -46,12 +52,18 @@ def albums(spark: SparkSession, path: str) -> DataFrame:
     return items.select("pos", F.from_json(F.to_json(F.try_variant_get("i", "$.source", "variant")), SOURCE).alias("source"), F.from_json(F.to_json(F.coalesce(nested, F.col("i"))), ALBUM).alias("album"))
 
 
-def truth_records(spark: SparkSession, path: str) -> DataFrame:
+def truth_records(spark: SparkSession, path: str, id_field: str) -> DataFrame:
     """Records of a JSON array; a malformed file raises. The last of records with one id counts."""
-    rows = spark.read.schema(TRUTH).json(path, multiLine=True, mode="FAILFAST").withColumn("pos", F.monotonically_increasing_id())
+    rows = spark.read.schema(truth_schema(id_field)).json(path, multiLine=True, mode="FAILFAST").withColumn("pos", F.monotonically_increasing_id())
     return first_of_each(rows, ["record_id"], F.col("pos").desc())
 
 
+def chosen_ids(records: DataFrame, id_field: str) -> DataFrame:
+    """record_id, chosen_id and chosen_title of records: the choice's id or else the chosen candidate's, likewise the title."""
+    own, found = F.nullif(F.trim(F.col(f"choice.{id_field}")), F.lit("")), F.nullif(F.col("chosen.id"), F.lit(""))
+    return records.select("record_id", F.coalesce(own, found).alias("chosen_id"), F.coalesce(F.nullif(F.col("chosen.title"), F.lit("")), F.col("album.title")).alias("chosen_title"))
+
+
 def overlaid(defaults: dict[str, float], overlay: Column) -> Column:
     """Default weights with known keys replaced from a map."""
     base = text.lookup(defaults)

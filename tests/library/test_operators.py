@@ -140,6 +140,10 @@ def test_readers_and_writers(spark, tmp_path):
     assert [r["ticker"] for r in readers.tickers(readers.numbered_lines(spark, str(tmp_path / "t.txt"))).orderBy("line_no").collect()] == ["ABC", "DEF"]
     (tmp_path / "a.json").write_text('{"albums": [{"source": {"file": "f"}, "album": {"title": "T", "works": ["w"]}}, {"title": "Flat"}, 3]}')
     assert [r["album"]["title"] for r in readers.albums(spark, str(tmp_path / "a.json")).orderBy("pos").collect()] == ["T", "Flat"]
+    record = '[{"record_id": "r", "album": {"title": "A"}, "choice": {"status": "selected", "catalogue_id": " "}, "chosen": {"id": "7", "title": ""}}, {"record_id": "r", "album": {"title": "B"}, "choice": {"catalogue_id": "9"}}]'
+    (tmp_path / "t.json").write_text(record)
+    records = readers.truth_records(spark, str(tmp_path / "t.json"), "catalogue_id")
+    assert [tuple(r) for r in readers.chosen_ids(records, "catalogue_id").collect()] == [("r", "9", "B")]
     cut_off = spark.createDataFrame([(1, '[{"a": 1}, {"b": 2}, {"c"'), (2, "no")], "k int, raw string")
     assert [r["item"] for r in readers.truncated_items(cut_off, "k", "raw").orderBy("pos").collect()] == ['{"a": 1}', '{"b": 2}']
     out = spark.createDataFrame([(2, "é", None), (1, "x", 1.0)], "pos int, name string, v double")
