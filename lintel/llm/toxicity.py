@@ -31,6 +31,8 @@ HASH_BITS = 22
 MAX_TERMS = 4096
 #: Likelihood ratio from which a term enters the model.
 SIGNIFICANT = 15.0
+#: Labelled documents that must hold a term; fewer cannot make it significant.
+LEAST_DOCUMENTS = 3
 FACTORS = 6
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -118,11 +120,11 @@ class FactorizationMachine:
 
 def significant_terms(documents: list[np.ndarray], labels: np.ndarray, most: int = MAX_TERMS, least: float = SIGNIFICANT) -> np.ndarray:
     """Hashes whose presence depends on the label, by likelihood ratio; sorted."""
-    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-    flat = np.concatenate([np.asarray(d, np.int64) for d in documents]) if len(documents) else np.zeros(0, np.int64)
-    toxic = np.repeat(labels, sizes).astype(bool)
-    with_pos = np.bincount(flat[toxic], minlength=1 << HASH_BITS).astype(float)
-    with_neg = np.bincount(flat[~toxic], minlength=1 << HASH_BITS).astype(float)
+    with_pos, with_neg = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+    for hashes, label in zip(documents, labels, strict=True):
+        (with_pos if label else with_neg)[hashes] += 1  # a document holds a hash once
+    seen_often = np.flatnonzero(with_pos + with_neg >= LEAST_DOCUMENTS)
+    with_pos, with_neg = with_pos[seen_often].astype(float), with_neg[seen_often].astype(float)
     pos, neg = float(labels.sum()), float(len(labels) - labels.sum())
 
     def cell(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ def significant_terms(documents: list[np.ndarray], labels: np.ndarray, most: int
     share = (with_pos + with_neg) / (pos + neg)
     ratio = 2 * (cell(with_pos, pos * share) + cell(with_neg, neg * share) + cell(pos - with_pos, pos * (1 - share)) + cell(neg - with_neg, neg * (1 - share)))
     best = np.argsort(-ratio, kind="stable")[:most]
-    return np.sort(best[ratio[best] >= least])
+    return np.sort(seen_often[best[ratio[best] >= least]])
 
 
 def hashed_terms(texts: list[str | None]) -> list[np.ndarray]:
