@@ -130,25 +130,52 @@ def with_blocks(lines: DataFrame, key: str) -> DataFrame:
 
 
 def review_blocks(lines: DataFrame, key: str) -> DataFrame:
-    """Of each block with a review line: title (last heading at or before it), performer (first line after it) and label.
+    """Of each block with a review line: title (last heading at or before it) with its line_no, performer and label.
 
-    The label is what trailing parentheses hold or what follows 'Label:'. Blocks with neither performer nor label go.
+    Performer and label stand between the heading and the next heading or review line. The label is what
+    trailing parentheses of the performer line hold or what follows 'Label:'. Blocks with neither go, as do
+    titles that are none; of blocks that agree after normalising the first stays. Related items end a file.
     """
-    blocks = with_blocks(lines, key).where("block IS NOT NULL")
-    review = F.contains(F.lower("line"), F.lit("/review/")) & F.contains("line", F.lit("]("))
+    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.max(F.trim("line").rlike("^## Related (Reviews|News)").cast("int")).over(upto)
+    blocks = with_blocks(lines.withColumn("_ended", ended), key).where("block IS NOT NULL AND _ended = 0")
+    line = F.trim("line")
+    shown = blocks.select(
+        key,
+        "block",
+        "line_no",
+        line.alias("line"),
+        F.startswith(line, F.lit("##")).alias("heading"),
+        (F.contains(F.lower(line), F.lit("/review/")) & F.contains(line, F.lit("]("))).alias("review"),
+        text.squeeze(F.replace(text.bold_headings(line), F.lit("__"), F.lit(""))).alias("cleaned"),
+    )
     own = Window.partitionBy(key, "block")
-    marked = blocks.withColumn("_review", F.min(F.when(review, F.col("line_no"))).over(own)).where("_review IS NOT NULL")
-    heading = F.startswith("line", F.lit("##")) & (F.col("line_no") <= F.col("_review"))
-    detail = (F.col("line_no") > F.col("_review")) & (text.plain_inline(F.col("line")) != "") & ~F.startswith("line", F.lit("##"))
-    label = F.coalesce(F.nullif(F.regexp_extract("line", r"(?i)^\s*label:\s*(.+)$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"\(([^()]*)\)\s*$", 1), F.lit("")))
-    out = marked.groupBy(key, "block").agg(
-        F.max(F.when(heading, F.struct("line_no", "line"))).alias("t"),
-        F.min(F.when(detail & ~F.lower("line").rlike(r"^\s*label:"), F.struct("line_no", "line"))).alias("p"),
-        F.min(F.when(detail & label.isNotNull(), F.struct("line_no", label.alias("label")))).alias("l"),
-        F.first("_review").alias("line_no"),
+    marked = shown.withColumn("_review", F.min(F.when(F.col("review"), F.col("line_no"))).over(own)).where("_review IS NOT NULL")
+    names_work = F.col("heading") & (F.col("line_no") <= F.col("_review")) & ~F.contains("line", F.lit("![](")) & ~F.col("line").rlike("Related (Reviews|News)") & (F.col("cleaned") != "")
+    titled = marked.withColumn("t", F.max(F.when(names_work, F.struct("line_no", "cleaned"))).over(own)).where("t IS NOT NULL")
+    same = F.col("heading") & (F.col("cleaned") == F.col("t.cleaned"))
+    begun = titled.withColumn("_same", same).withColumn("_from", F.min(F.when(F.col("_same"), F.col("line_no"))).over(own))
+    stops = (F.col("line_no") > F.col("_from")) & ~F.col("_same") & (F.col("heading") | F.col("review"))
+    told = begun.withColumn("_to", F.min(F.when(stops, F.col("line_no"))).over(own))
+    detail = (F.col("line_no") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to"))) & ~F.col("heading") & (F.col("line") != "")
+    labelled, value = F.startswith(F.lower("line"), F.lit("label:")), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    out = told.groupBy(key, "block").agg(
+        F.max("t").alias("t"),
+        F.min(F.when(detail & ~labelled, F.struct("line_no", F.trim(F.regexp_replace("line", "[*_]", "")).alias("line")))).alias("p"),
+        F.min(F.when(detail & labelled & (value != ""), F.struct("line_no", value.alias("label")))).alias("l"),
     )
-    bare = F.regexp_replace(F.col("p.line"), r"\s*\([^()]*\)\s*$", "")
-    return out.where("p IS NOT NULL OR l IS NOT NULL").select(key, "block", "line_no", text.bold_headings(F.col("t.line")).alias("title"), text.plain_inline(bare).alias("performer"), F.col("l.label").alias("label"))
+    held, title = r"\(([^)]+)\)\s*$", F.col("t.cleaned")
+    found = out.select(
+        key,
+        "block",
+        F.col("t.line_no").alias("line_no"),
+        title.alias("title"),
+        F.coalesce(F.trim(F.regexp_replace("p.line", held, "")), F.lit("")).alias("performer"),
+        F.coalesce(F.nullif(F.trim(F.regexp_extract("p.line", held, 1)), F.lit("")), F.col("l.label"), F.lit("")).alias("label"),
+    ).where((F.col("performer") != "") | (F.col("label") != ""))
+    found = found.where((F.length("title") >= 5) & ~F.contains("title", F.lit("Related Articles")))
+    marks = {f"_{c}": text.normalize(F.col(c)) for c in ("title", "performer", "label")}
+    return first_of_each(found.withColumns(marks), [key, *marks], "line_no").drop(*marks)
 
 
 def with_links(lines: DataFrame, updates: DataFrame, key: str, markers: list[str]) -> DataFrame:

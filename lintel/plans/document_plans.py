@@ -33,6 +33,40 @@ line
 ## Third
 [Go](http://m/review/three)
 """.split("\n")
+REVIEWS = """intro
+
+## First **A** ![x](u)
+**Anna Prohaska** sop; BBC SO (Harmonia Mundi)
+[Review](http://m/review/first-disc)
+late text
+* * *
+## [Second Work](http://m/Review/two)
+Label: Big Label
+Plain Player
+see text
+* * *
+## No review
+line
+* * *
+## ![](picture)
+## Third Work
+[Go](http://m/review/three)
+after the link
+* * *
+## First A
+Anna Prohaska sop; BBC SO (Harmonia Mundi)
+[Again](http://m/review/again)
+* * *
+## 1999
+Someone (Label)
+[Year](http://m/review/year)
+* * *
+## Related Reviews
+* * *
+## Fifth Work
+Player (Label)
+[Late](http://m/review/late)
+""".split("\n")
 LINES = [("m", i + 1, s) for i, s in enumerate(MARKDOWN)]
 LINE_COLUMNS = "file string, line_no int, line string"
 UPDATES = [("m", 5, "[Listen](http://l/1)"), ("m", 6, "[Listen](http://l/2)"), ("m", 10, "[Listen](http://l/3)"), ("m", 19, "[Listen](http://l/4)")]
@@ -92,7 +126,8 @@ def markdown_sections(spark, sf_dir):
 
 
 def markdown_blocks(spark, sf_dir):
-    return documents.review_blocks(fixture(spark, LINE_COLUMNS, LINES), "file").select("file", "line_no", "title", "performer", "label")
+    reviews = fixture(spark, LINE_COLUMNS, [("m", i + 1, s) for i, s in enumerate(REVIEWS)])
+    return documents.review_blocks(reviews, "file").select("file", "line_no", "title", "performer", "label")
 
 
 def link_apply(spark, sf_dir):
@@ -186,7 +221,7 @@ ORACLES = {
     "chapter_offsets": """WITH e AS (SELECT conv_id, turn, CAST(round_even(sum(CAST(length(text) AS DOUBLE) * 62.5) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS BIGINT) AS end_ms FROM conversations)
         SELECT conv_id, turn, coalesce(lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS start_ms, end_ms FROM e""",
     "cover_pick": "SELECT * FROM (VALUES ('b1', 'Cover.JPG'), ('b2', 'myfolder.jpeg'), ('b3', 'a.png')) AS t(book, name)",
-    "markdown_blocks": "SELECT * FROM (VALUES ('m', 4, 'First A', 'Anna Prohaska sop; BBC SO', 'Harmonia Mundi'), ('m', 10, 'Second', 'Plain Player', 'Big Label')) AS t(file, line_no, title, performer, label)",
+    "markdown_blocks": "SELECT * FROM (VALUES ('m', 3, 'First A', 'Anna Prohaska sop; BBC SO', 'Harmonia Mundi'), ('m', 8, '[Second Work](http://m/Review/two)', 'Plain Player', 'Big Label')) AS t(file, line_no, title, performer, label)",
     "link_apply": f"""WITH {_BLOCKS}, u AS (SELECT 'm' AS file, * FROM (VALUES (5, 6, '[Listen](http://l/1)', false), (10, 13, '[Listen](http://l/3)', true), (19, 20, '[Listen](http://l/4)', false)) AS t(src, place, link, old)),
         x AS (SELECT l.file, line_no, 0 AS k, CASE WHEN old THEN link ELSE line END AS line FROM l LEFT JOIN u ON l.line_no = u.place
               UNION ALL SELECT file, place, k, CASE k WHEN 2 THEN link ELSE '' END FROM u, range(1, 4) AS r(k) WHERE NOT old)
