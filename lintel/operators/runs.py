@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,22 @@ def with_appearance(df: DataFrame, keys: Sequence[str], value: str, order: str,
     ).drop("_first")
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """Numbers all rows from 1 by a total order: range partitions, each led by the count of those before it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lintel-checkpoints-"))
+    # the bounds are sampled: rows and counts must see the same partitions
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    led = dealt.join(F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long")), "_part")  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return led.withColumn(name, F.col("_before") + nth).drop("_part", "_before")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     """Old rows with new ones of the same key in their place, then the other new ones; numbered anew."""
     columns = [c for c in old.columns if c not in (key, position)]
@@ -57,12 +74,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame
         F.col(f"o.{position}").alias("_old"),
         F.col(f"n.{position}").alias("_new"),
     )
-    place = F.row_number().over(Window.orderBy(F.col("_old").asc_nulls_last(), F.col("_new").asc_nulls_last(), key))
-    return merged.select(key, *columns, place.alias(position))
+    placed = numbered(merged, position, F.col("_old").asc_nulls_last(), F.col("_new").asc_nulls_last(), F.col(key).asc())
+    return placed.select(key, *columns, position)
 
 
 def side_by_side(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Rows of two frames aligned by their place, the longer one kept whole."""
-    l = left.withColumn("_row", F.row_number().over(Window.orderBy(left_order)))  # noqa: E741
-    r = right.withColumn("_row", F.row_number().over(Window.orderBy(right_order)))
+    l, r = numbered(left, "_row", left_order), numbered(right, "_row", right_order)  # noqa: E741
     return l.join(r, "_row", "full_outer").withColumnRenamed("_row", "row_no")

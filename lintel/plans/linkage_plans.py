@@ -82,7 +82,7 @@ _RESULTS = f"""WITH {_LINKS},
 
 
 def title_ngrams(spark, sf_dir):
-    albums = table(spark, sf_dir, "part").where("p_partkey <= 200").select(
+    albums = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("album_id"),
         F.concat_ws(" ", "p_name", "p_type").alias("title"),
         *[F.array().cast("array<string>").alias(c) for c in ("works", "composers", "performers", "ensembles", "instruments")],
@@ -216,7 +216,7 @@ def template_weight_update(spark, sf_dir):
 def upsert_records(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", F.col("o_orderkey").alias("pos"))
     new = orders.where("id % 7 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 1_000_000).otherwise(0)).alias("id"), F.lit("N").alias("o_orderstatus"), "pos")
-    return upsert(orders.where("id <= 2000"), new.where("pos <= 2000"), "id", "pos")
+    return upsert(orders, new, "id", "pos")
 
 
 def resume_filter(spark, sf_dir):
