@@ -55,3 +55,26 @@ def test_numbers_need_no_single_partition(spark):
     wanted = sorted(((None if k % 3 == 0 else k % 50, k) for k in range(1000)), key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
     assert [tuple(r) for r in out.orderBy("n").select("a", "b", "n").collect()] == [(*w, i + 1) for i, w in enumerate(wanted)]
     assert runs.numbered(rows.limit(0), "n", "b").count() == 0
+
+
+def test_truth_does_not_come_from_the_search(spark, tmp_path):
+    start = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    other = start.replace(" ", "-")  # the same words, and no containment: five such take all places of the search
+    docs = [(k, other) for k in range(1, 6)] + [(6, f"xx{start}xx"), (7, start), (8, "bb, one two"), (9, "another text")]
+    items = [(1, start), (2, "b, one"), (3, "no document has these words in it at all")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = registry.queries()["eval_regressions"](spark, str(tmp_path)).select("album_id", "truth_id", "rank").collect()
+    assert sorted(map(tuple, rows)) == [(1, 6, 0), (2, 8, 0)]
+    measured = registry.queries()["eval_metrics"](spark, str(tmp_path)).first()
+    assert (measured["n"], measured["lost"], measured["precision_at_1"]) == (2, 2, 0.0)
+
+
+def test_truths_of_the_benchmark(spark):
+    docs, items = _table(spark, "documents", "doc_id", "text"), _table(spark, "benchmark", "item_id", "text")
+    wanted = {}
+    for item, text in items:
+        if ids := [d for d, t in docs if t and text[:60] in t]:
+            wanted[item] = min(ids)
+    found = registry.queries()["eval_regressions"](spark, SF).select("album_id", "truth_id").collect()
+    assert dict(map(tuple, found)) == wanted
