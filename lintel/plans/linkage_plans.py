@@ -217,8 +217,9 @@ def ordered_distinct(spark, sf_dir):
 
 
 def fingerprint_dedupe(spark, sf_dir):
+    """The first document of each language and SHA-256 of the whole normalised text."""
     docs = table(spark, sf_dir, "documents")
-    return first_of_each(docs.select("doc_id", "lang", text.normalize(F.substring("text", 1, 40)).alias("start")), ["lang", "start"], "doc_id")
+    return first_of_each(docs.select("doc_id", "lang", F.sha2(text.normalize(F.col("text")), 256).alias("start")), ["lang", "start"], "doc_id")
 
 
 def weight_ema(spark, sf_dir):

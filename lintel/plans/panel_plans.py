@@ -92,7 +92,7 @@ def _segments(spark, sf_dir):
     """Conversations as segments: a text takes a second for every 15 characters."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), F.when(F.col("turn") % 5 == 4, F.lit(" ")).otherwise(F.substring("text", 1, 60)).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), "text")
     whole = Window.partitionBy("conv_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("text")).over(whole) / F.lit(15.0)
     return turns.withColumn("end", end).withColumn("start", F.col("end") - F.length("text") / F.lit(15.0))

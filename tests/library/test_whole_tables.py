@@ -78,3 +78,36 @@ def test_truths_of_the_benchmark(spark):
             wanted[item] = min(ids)
     found = registry.queries()["eval_regressions"](spark, SF).select("album_id", "truth_id").collect()
     assert dict(map(tuple, found)) == wanted
+
+
+def test_fingerprint_is_of_the_whole_text(spark, tmp_path):
+    long = "the same forty characters begin both of these texts, "
+    docs = [(1, long + "one", "en"), (2, long + "two", "en"), (3, long.upper() + "(one)", "en"), (4, long + "one", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["fingerprint_dedupe"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 4]
+
+
+def test_formats_tell_whole_turns(spark):
+    turns = {}
+    for conv, turn, role, said in sorted(_table(spark, "conversations", "conv_id", "turn", "role", "text")):
+        turns.setdefault(conv, []).append((role, said))
+
+    def out(name):
+        return {r["conv_id"]: r["out"] for r in registry.queries()[name](spark, SF).select("conv_id", "out").collect()}
+
+    def text(said):
+        return said.strip(" ")
+
+    assert out("emit_txt") == {c: "\n".join(text(s) for _, s in rows) for c, rows in turns.items()}
+    for name in ("emit_srt", "emit_vtt", "diarized_txt", "diarized_breaks", "legacy_breaks"):
+        found = out(name)
+        assert found.keys() == turns.keys()
+        for conv, rows in turns.items():
+            assert all(text(s) in found[conv] for _, s in rows), name
+    last = out("emit_srt")
+    for conv, rows in list(turns.items())[:50]:
+        seconds = sum(len(s) for _, s in rows) / 15
+        cue = last[conv].rsplit(" --> ", 1)[1][:12]
+        hours, minutes, rest = cue.replace(",", ".").split(":")
+        assert abs(int(hours) * 3600 + int(minutes) * 60 + float(rest) - seconds) < 0.002
