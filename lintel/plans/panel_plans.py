@@ -148,7 +148,7 @@ QUERIES = {
     "diarized_breaks": diarized_breaks, "legacy_breaks": legacy_breaks, "segments_from_json": segments_from_json,
 }
 
-_TURNS = """g AS (SELECT conv_id, turn AS seg_no, role AS speaker, CASE WHEN turn % 5 = 4 THEN ' ' ELSE substr(text, 1, 60) END AS raw FROM conversations),
+_TURNS = """g AS (SELECT conv_id, turn AS seg_no, role AS speaker, text AS raw FROM conversations),
     s AS (SELECT *, trim(raw) AS text, sum(length(raw)) OVER (PARTITION BY conv_id ORDER BY seg_no) / 15.0 AS e, sum(length(raw)) OVER (PARTITION BY conv_id ORDER BY seg_no) / 15.0 - length(raw) / 15.0 AS b FROM g)"""
 _CLOCK = "printf('%02d:%02d:%02d{m}%03d', CAST(round_even({x} * 1000, 0) AS BIGINT) // 3600000, CAST(round_even({x} * 1000, 0) AS BIGINT) // 60000 % 60, CAST(round_even({x} * 1000, 0) AS BIGINT) // 1000 % 60, CAST(round_even({x} * 1000, 0) AS BIGINT) % 1000)"
 _RUNS = """r AS (SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS st FROM {src} WINDOW w AS (PARTITION BY conv_id ORDER BY seg_no)),
@@ -200,7 +200,7 @@ ORACLES = {
                     ELSE printf('%02d:%02d', CAST(floor(seconds) AS BIGINT) // 60, CAST(floor(seconds) AS BIGINT) % 60) END AS shown, round_even(c * 1000, 0) / 1000 AS back FROM t""",
     "speaker_relabel": """WITH f AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1 AS label_no FROM f)
         SELECT conv_id, turn AS seg_no, label_no FROM conversations JOIN k USING (conv_id, role)""",
-    "overlap_attribution": """WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id <= 200),
+    "overlap_attribution": """WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM events),
         s AS (SELECT user_id, event_id AS seg_no, t AS b, t + 60 + event_id % 30000 AS f FROM e),
         u AS (SELECT user_id, event_id AS turn_no, t - 7200 AS tb, t + 7200 AS tf, event_type || '-' || (event_id % 3) AS speaker FROM e WHERE event_type IN ('view', 'click')),
         j AS (SELECT s.user_id, seg_no, speaker FROM s LEFT JOIN u ON s.user_id = u.user_id AND tb < f AND tf > b
