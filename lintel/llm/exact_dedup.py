@@ -1,12 +1,13 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the rows by the first bytes of the normalised text, an external
-sort places equal texts next to each other, and each row is compared in full with its neighbour.
-DataFrame functions only.
+Sampled splitters range-partition the rows by the normalised text (its first bytes, then its digest),
+an external sort places equal texts next to each other, and each row is compared in full with its
+neighbour. A run of equal neighbours reduces to its smallest identifier and its size. DataFrame
+functions only.
 
-The sort key ends in a salt taken from the identifier, so that a text that fills a third of the
-table is spread over ``salts`` runs of the sort. A run reduces to its smallest identifier and its
-size; the runs of one text (at most ``salts``) then meet by their SHA-256, which is narrow.
+A text that a count finds frequent (see ``frequent_keys``) is dealt over as many runs as the root of
+its number of rows; the first rows of those runs are sorted once more by content, compared in full,
+and their result goes back to the rows of the frequent texts, of which there is a bounded number.
 
 Defined results: null text counts as empty; a null identifier sorts after all others; of rows that
 repeat one identifier exactly one is kept; an empty table gives an empty result; other columns are
@@ -15,65 +16,72 @@ ignored whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import cut
+from lintel.llm.common import cut, frequent_keys, whole_row
 
-SALTS = 64
 KEY_CHARS = 48
+#: A text with at most this many rows stays in one run.
+WHOLE_RUN = 128
 #: The separators that count as one space when texts are compared.
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SEPARATOR_RUN, " ").alias("norm"),
-    ).select(
-        "id",
-        "norm",
-        F.substring("norm", 1, KEY_CHARS).alias("head"),
-        F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    key = ["head", "sha", "salt"]
-    spread = rows.repartitionByRange(*key)
+def normalised(text_col: str | Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col) if isinstance(text_col, str) else text_col, F.lit("")), SEPARATOR_RUN, " ")
+
 
+def digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _neighbour_runs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows in content order with ``run``, a number within the key that rises where a text differs from its neighbour's."""
     by_content = Window.partitionBy(*key).orderBy(F.col("norm"), F.col("id").asc_nulls_last())
     before = F.lag("norm").over(by_content)
-    marked = spread.withColumn("starts", (before.isNull() | (before != F.col("norm"))).cast("int"))
-    running = by_content.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("run", F.sum("starts").over(running)).withColumn("nth", F.row_number().over(by_content)).drop("norm")
-    # nth counts from the start of the key; a run's first row is the one that starts it
+    starts = rows.repartitionByRange(*key).withColumn("starts", before.isNull() | (before != F.col("norm")))
+    return starts.withColumn("run", F.sum(F.col("starts").cast("int")).over(by_content.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def content_runs(docs: DataFrame, id_col: str, text_col: str, whole_run: int = WHOLE_RUN) -> tuple[DataFrame, DataFrame]:
+    """The rows with what neighbours found in their run, and one row for each frequent text.
+
+    Rows: id, sha, salt (null: not frequent), first (of its run), run_min, run_size. Texts: sha, keep_id,
+    group_size, keep_salt.
+    """
+    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    rows = cut(norm.select("id", "norm", F.substring("norm", 1, KEY_CHARS).alias("head"), digest(F.col("norm")).alias("sha")))
+    often, _ = frequent_keys(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")), "n", whole_run)
+    often = often.select("sha", F.ceil(F.sqrt("n")).cast("int").alias("salts"))
+    # rows are numbered where they lie in the cut table, which does not change when a task is run again
+    dealt = rows.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(often), "sha", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")).drop("number", "salts")
+
+    key = ["head", "sha", "salt"]
     run = Window.partitionBy(*key, "run")
-    runs = cut(
-        marked.select(
-            "id",
-            "sha",
-            "salt",
-            "run",
-            (F.col("starts") == 1).alias("first"),
-            F.min("id").over(run).alias("run_min"),
-            F.count(F.lit(1)).over(run).alias("run_size"),
-        )
+    marked = _neighbour_runs(dealt, key).select(
+        "id", *key, "run", F.col("starts").alias("first"), F.when(F.col("starts") & F.col("salt").isNotNull(), F.col("norm")).alias("norm")
     )
+    runs = cut(marked.withColumns({"run_min": F.min("id").over(run), "run_size": F.count(F.lit(1)).over(run)}).drop("run"))
 
-    same_text = Window.partitionBy("sha")
-    heads = runs.where("first").select(
-        "sha",
-        "salt",
-        "run",
-        F.min("run_min").over(same_text).alias("keep_id"),
-        F.sum("run_size").over(same_text).cast("long").alias("group_size"),
-        (F.row_number().over(same_text.orderBy(F.col("run_min").asc_nulls_last(), "salt", "run")) == 1).alias("keeps"),
-    )
-    return runs.join(heads, ["sha", "salt", "run"]).select(
+    heads = runs.where("first AND salt IS NOT NULL").select(F.col("run_min").alias("id"), "norm", "head", "sha", "salt", "run_size")
+    merged = _neighbour_runs(heads, ["head", "sha"])
+    keeper = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("salt").alias("salt")))
+    texts = merged.groupBy("head", "sha", "run").agg(keeper.alias("keeper"), F.sum("run_size").alias("group_size"))
+    return runs.drop("norm", "head"), texts.select("sha", F.col("keeper.id").alias("keep_id"), "group_size", F.col("keeper.salt").alias("keep_salt"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_run: int = WHOLE_RUN) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    runs, texts = content_runs(docs, id_col, text_col, whole_run)
+    met = runs.join(F.broadcast(texts), "sha", "left")  # frequent texts only, fewer than FREQUENT_SHARE
+    dealt = F.col("salt").isNotNull()
+    return met.select(
         F.col("id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        (F.col("first") & F.col("keeps")).alias("kept"),
+        F.when(dealt, F.col("keep_id")).otherwise(F.col("run_min")).alias("keep_id"),
+        F.when(dealt, F.col("group_size")).otherwise(F.col("run_size")).cast("long").alias("group_size"),
+        (F.col("first") & (~dealt | (F.col("salt") == F.col("keep_salt")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
@@ -85,10 +93,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .where("kept")
         .select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     )
-    named = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col(id_col).alias("_id"),
-        F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SEPARATOR_RUN, " ").cast("binary"), 256).alias("_sha"),
-    )
+    named = docs.select(whole_row(docs, "_row"), F.col(id_col).alias("_id"), digest(normalised(text_col)).alias("_sha"))
     joined = named.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
     return joined.groupBy("_sha", "_id").agg(F.first("_row").alias("_row")).select("_row.*")

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lintel.llm import components, exact_dedup, simhash
@@ -11,9 +12,10 @@ def _norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-def test_exact_duplicates_against_brute_force(odd_docs):
+@pytest.mark.parametrize("whole_run", [1, 128])
+def test_exact_duplicates_against_brute_force(odd_docs, whole_run):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
-    out = exact_dedup.exact_duplicates(odd_docs, salts=3).collect()
+    out = exact_dedup.exact_duplicates(odd_docs, whole_run=whole_run).collect()
     assert len(out) == len(rows)
     groups = {}
     for i, t in rows:
@@ -28,6 +30,31 @@ def test_exact_duplicates_against_brute_force(odd_docs):
         assert len(kept) == 1 and kept[0]["doc_id"] == kept[0]["keep_id"]
 
 
+def test_neighbours_find_the_groups(small):
+    """Nearly all groups of equal texts meet as neighbours in one run; only frequent texts need the second sort."""
+    docs, _, pdf, _ = small
+    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text", whole_run=4)
+    sizes = pdf["text"].map(_norm).value_counts()
+    met = {r["sha"]: r["run_size"] for r in runs.where("first AND salt IS NULL AND run_size > 1").collect()}
+    again = {r["sha"]: r["group_size"] for r in texts.collect()}
+    groups = {hashlib.sha256(t.encode()).hexdigest(): n for t, n in sizes.items() if n > 1}
+    assert {**met, **again} == groups and not met.keys() & again.keys()
+    assert again == {k: n for k, n in groups.items() if n > 4}
+    assert len(met) >= 0.8 * len(groups)
+    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text")  # as in production
+    assert runs.where("first AND run_size > 1").count() >= 0.95 * len(groups) and texts.count() == 0
+
+
+def test_a_text_of_a_third_of_all_rows_is_dealt_over_runs(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text' ELSE concat('text ', id) END AS text")
+    docs = docs.unionAll(docs.where("doc_id = 6").selectExpr("CAST(NULL AS LONG)", "text"))
+    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text")
+    assert runs.where("first AND salt IS NOT NULL").count() == 32 and runs.agg({"run_size": "max"}).first()[0] < 100
+    assert [tuple(r)[1:3] for r in texts.collect()] == [(0, 1001)]
+    out = exact_dedup.exact_duplicates(docs)
+    assert out.where("kept").count() == 2001 and out.where("keep_id = 0 AND group_size = 1001").count() == 1001
+
+
 def test_exact_duplicates_of_no_rows(no_docs):
     assert exact_dedup.exact_duplicates(no_docs).count() == 0
     assert exact_dedup.keep_one_of_each(no_docs).count() == 0
