@@ -1,16 +1,22 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Each text becomes a 64-bit fingerprint. Two fingerprints are linked if at most ``RADIUS`` bits
-differ. Distinct fingerprints meet in buckets: of ``BLOCKS`` blocks of bits at least ``BLOCKS -
-RADIUS`` are equal in a linked pair, so it shares the key of at least one choice of that many
-blocks. Within a bucket a table holds each fingerprint's distances to many reference fingerprints;
-a pair whose distances to one of them differ by more than the radius cannot be linked and is
-discarded, and the survivors are verified. A bucket yields a spanning forest of its links, not all
-pairs, and buckets over ``BUCKET_ROWS`` are split into cells of two sub-blocks each, so that every
-pair still meets. Components come from star contractions.
+differ. A table holds each distinct fingerprint's Hamming distances to ``PIVOTS`` reference
+fingerprints, computed once. Of every pair that comes up, the table decides first: a pair whose
+distances to any reference differ by more than the radius cannot be linked and is discarded, and
+the survivors are verified bit by bit.
+
+Which pairs come up: distances to a reference spread by about four bits, as much as the radius, so
+ranges of distances cannot keep unlinked fingerprints apart. Pairs therefore meet where blocks of
+bits agree, without loss: of ``BLOCKS`` blocks at least ``BLOCKS - RADIUS`` are equal in a linked
+pair, so it shares the bucket of at least one choice of that many blocks. The bits that a crowded
+bucket leaves open are cut into blocks once more, and a bucket that stays crowded is dealt over
+cells of two sub-buckets each, so that every pair still meets. A bucket yields a spanning forest of
+its links, not all pairs. Components come from star contractions.
 
 Rows of equal fingerprints are one node throughout; component_id is the smallest doc_id of all rows
-in a component.
+in a component. Joins on fingerprints, roots and buckets broadcast the frequent keys (``meet``), so
+that no task takes a large group.
 
 Defined results: null text counts as empty, whose fingerprint is zero; a null id gets the smallest
 id of its component (null if there is none); rows that repeat get the same component each; an empty
@@ -24,18 +30,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import ascii_lower, cut, words_of
+from lintel.llm.common import LOWER_BYTES, cut, frequent_keys, meet, whole_row
 from lintel.llm.components import star_components
 
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
 BLOCKS = 6
+#: Reference fingerprints: two longs of eight distances each.
 PIVOTS = 16
-#: Rows of a bucket that one cell's sub-block holds, about.
+#: Rows of a bucket from which it is crowded.
 BUCKET_ROWS = 2048
 #: Runs up to this size are compared pair by pair, larger ones by search from each row on.
 SMALL_RUN = 8
@@ -47,10 +54,12 @@ def fingerprint(text: str | None) -> int:
     """The majority of each bit over the XXH64 of the word shingles, as an unsigned number."""
     import xxhash
 
-    joined = " ".join(words_of(ascii_lower(text or ""))).encode("utf-8", "surrogatepass")
-    if not joined:
+    # bytes.split() cuts at the six separators and at no other byte
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+    if not words:
         return 0
-    sizes = np.fromiter(map(len, joined.split(b" ")), np.int64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     if len(sizes) >= SHINGLE_WORDS:
@@ -63,26 +72,45 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
+def fingerprint_column(text: Column) -> Column:
+    """The fingerprint's bits as a signed long."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def compute(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    return compute(text)
+
+
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """One row of distances to the reference fingerprints for each fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
+
+
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """fp and its distances, eight to a long."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["id"].astype("Int64"), "fp": fps.view(np.int64)})
+            fps = batch["fp"].to_numpy(np.int64)
+            packed = pivot_distances(fps.view(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "near": packed[:, 0], "far": packed[:, 1]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(compute, "doc_id long, fp long")
+    return nodes.select("fp").mapInPandas(measure, "fp long, near long, far long")
 
 
-def _near(fps: np.ndarray, pivots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs (a[i], b[i]) are linked: first the pivot tables, then the bits."""
+def pivot_survivors(pivots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs (a[i], b[i]), the places of those that no reference discards: the largest coordinate difference is within the radius."""
     alive = np.arange(len(a))
     for p in range(pivots.shape[1]):
         gap = pivots[a[alive], p] - pivots[b[alive], p]
         alive = alive[np.abs(gap) <= RADIUS]
-        if len(alive) < 64:
-            break
+    return alive
+
+
+def _near(fps: np.ndarray, pivots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) are linked: the pivot table discards, the bits verify."""
+    alive = pivot_survivors(pivots, a, b)
     out = np.zeros(len(a), bool)
     out[alive] = np.bitwise_count(fps[a[alive]] ^ fps[b[alive]]) <= RADIUS
     return out
@@ -108,15 +136,12 @@ def _search_run(fps: np.ndarray, pivots: np.ndarray) -> tuple[list[int], list[in
     return left, right
 
 
-def links_of_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_of_runs(keys: np.ndarray, fps: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints among rows that are sorted by key, by runs of equal keys."""
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(keys)))
     size_at = np.repeat(sizes, sizes)
-    some = np.flatnonzero(size_at > 1)
-    pivots = np.zeros((len(fps), PIVOTS), np.int8)
-    pivots[some] = np.bitwise_count(fps[some][:, None] ^ _PIVOTS[None, :])
     left, right = [], []
     small = size_at <= SMALL_RUN
     for step in range(1, SMALL_RUN):
@@ -135,70 +160,106 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _block_masks() -> list[int]:
-    """Masks of the blocks that must agree, one for each choice."""
-    edges = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    block = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _agreeing(bits: list[int]) -> list[list[int]]:
+    """The choices of blocks, over the given bits, of which one agrees in each linked pair; a choice is its bits."""
+    edges = [round(len(bits) * k / BLOCKS) for k in range(BLOCKS + 1)]
+    block = [bits[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [[b for i in chosen for b in block[i]] for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+
+
+def _mask(bits: list[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def _crowded(keyed: DataFrame, bucket_rows: int) -> DataFrame | None:
+    """bucket and its rows n where there are more than ``bucket_rows``; None if there is no such bucket."""
+    found = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
+    return None if found.isEmpty() else found
+
+
+def _marked(keyed: DataFrame, crowded: DataFrame, bucket_rows: int) -> DataFrame:
+    """The rows with n, null where the bucket is not crowded. The most crowded buckets are broadcast, no other has many rows."""
+    often, seldom = frequent_keys(crowded, "n", bucket_rows)
+    first = keyed.join(F.broadcast(often), "bucket", "left")
+    rest = first.where("n IS NULL").drop("n").join(seldom, "bucket", "left")
+    return first.where("n IS NOT NULL").unionByName(rest)
 
 
 def near_links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """a and b: links between distinct fingerprints that keep every component connected."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in _block_masks()]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(signed)])
-    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.t", "k.bits").alias("bucket"))
-    crowded = (
-        keyed.groupBy("bucket")
-        .count()
-        .where(F.col("count") > bucket_rows)
-        .select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("subs"))
-    )
-    own = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("subs")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("subs") - 1), lambda x: x != own)
-    cells = F.when(F.col("subs").isNull(), F.array(F.col("bucket"))).otherwise(
-        F.transform(others, lambda x: F.xxhash64("bucket", F.least(x, own), F.greatest(x, own)))
-    )
-    celled = keyed.join(crowded, "bucket", "left").select("fp", F.explode(cells).alias("cell"))
+    table = cut(pivot_table(nodes))
+    columns = ["fp", "near", "far"]
+    choices = _agreeing(list(range(64)))
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_mask(bits)))).alias("bucket")) for t, bits in enumerate(choices)])
+    keyed = table.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.t", "k.bucket")
+    celled = keyed.select(*columns, F.col("bucket").alias("cell"))
+    if (crowded := _crowded(keyed, bucket_rows)) is not None:
+        marked = _marked(keyed, crowded, bucket_rows)
+        celled = marked.where("n IS NULL").select(*columns, F.col("bucket").alias("cell"))
+        # the bits outside the agreeing blocks hold all differences: they are cut into blocks in turn
+        open_masks = [[_mask(bits) for bits in _agreeing([b for b in range(64) if b not in chosen])] for chosen in choices]
+        inner = F.element_at(F.array(*[F.array(*map(F.lit, masks)) for masks in open_masks]), F.col("t") + 1)
+        buckets = F.transform(inner, lambda m, i: F.xxhash64("bucket", i, F.col("fp").bitwiseAND(m)))
+        again = cut(marked.where("n IS NOT NULL").select(*columns, F.explode(buckets).alias("bucket")))
+        if (still := _crowded(again, bucket_rows)) is None:
+            celled = celled.unionAll(again.select(*columns, F.col("bucket").alias("cell")))
+        else:
+            subs = F.ceil(F.col("n") / bucket_rows).cast("int")
+            own = F.pmod(F.xxhash64("fp", F.lit(5)), subs).cast("int")
+            others = F.filter(F.sequence(F.lit(0), subs - 1), lambda x: x != own)
+            cells = F.transform(others, lambda x: F.xxhash64("bucket", F.least(x, own), F.greatest(x, own)))
+            dealt = F.when(F.col("n").isNull(), F.array("bucket")).otherwise(cells)
+            celled = celled.unionAll(_marked(again, still, bucket_rows).select(*columns, F.explode(dealt).alias("cell")))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, rows = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
         for batch in batches:
             keys = np.concatenate([keys, batch["cell"].to_numpy(np.int64)])
-            fps = np.concatenate([fps, batch["fp"].to_numpy(np.int64).view(np.uint64)])
+            rows = np.concatenate([rows, batch[columns].to_numpy(np.int64)])
             if not len(keys) or keys[0] == keys[-1]:
                 continue
             whole = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
-            a, b = links_of_runs(keys[:whole], fps[:whole])
-            keys, fps = keys[whole:], fps[whole:]
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            yield linked(keys[:whole], rows[:whole])
+            keys, rows = keys[whole:], rows[whole:]
         if len(keys):
-            a, b = links_of_runs(keys, fps)
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            yield linked(keys, rows)
+
+    def linked(keys: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        pivots = np.ascontiguousarray(rows[:, 1:]).view(np.int8).reshape(len(rows), PIVOTS)
+        a, b = links_of_runs(keys, np.ascontiguousarray(rows[:, 0]).view(np.uint64), pivots)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     sorted_cells = celled.repartition("cell").sortWithinPartitions("cell")
     return sorted_cells.mapInPandas(link, "a long, b long").distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """The nodes (cut, one row per fp) with root, the smallest fingerprint of their component."""
+    roots = star_components(near_links(nodes))
+    return cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id; one row per input row."""
-    rows = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = star_components(near_links(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    members = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(members, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
+    nodes = _rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))))
+    least = cut(nodes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")))
+    members = cut(meet(nodes, least, "root", "nodes").select("fp", "component_id", "n"))
+    return meet(rows, members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose identifier is the smallest of their component, with all their columns.
+    """One row of each component, with all its columns: the one of the smallest identifier, null last.
 
-    Rows without an identifier stay; rows that repeat an identifier that stays do so once.
+    Rows are told apart by their place, so rows that share an identifier but not a component all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    stay = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return stay.select("_row").unionAll(named.where("_id IS NULL").select("_row")).select("_row.*")
+    rows = cut(docs.select(whole_row(docs), F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")))
+    rows = rows.withColumn("number", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "number")
+    nodes = _rooted(cut(rows.groupBy("fp").agg(F.min(first).alias("first"))))
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")

@@ -113,8 +113,12 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one_of_each_component(odd_docs)
     assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(None) == 2 and len(set(ids) - {None}) == len(ids) - 2
+    by_component = {}
+    for r in odd_docs.select("doc_id", "text").collect():
+        by_component.setdefault(simhash.fingerprint(r["text"]), []).append(r["doc_id"])  # no two of these texts are near
+    left = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in kept.collect()]
+    assert sorted(left) == sorted((min(i for i in ids if i is not None), fp) for fp, ids in by_component.items())
+    assert [i for i, _ in left].count(3) == 2  # two texts that share an id both stay
 
 
 def test_crowded_buckets_lose_no_link(spark):
@@ -122,7 +126,7 @@ def test_crowded_buckets_lose_no_link(spark):
     base = int(rng.integers(0, 2**63))
     fps = np.unique([base ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 7), replace=False)) for _ in range(600)])
     nodes = spark.createDataFrame([(int(f),) for f in fps], "fp long")
-    for bucket_rows in (50, 10_000):
+    for bucket_rows in (10, 50, 200, 10_000):
         links = simhash.near_links(nodes, bucket_rows)
         roots = components.star_components(links).select("root").distinct().count()
         expected = _components(list(range(len(fps))), fps.astype(np.uint64))
@@ -130,6 +134,28 @@ def test_crowded_buckets_lose_no_link(spark):
         assert roots == int((sizes > 1).sum())
 
 
+def test_pivot_table_discards_no_link():
+    """By reference: every pair within the radius survives; of random pairs hardly one does."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    close = fps ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in fps], np.uint64)
+    both = np.concatenate([fps, close])
+    pivots = simhash.pivot_distances(both)
+    assert (pivots[7] == [int(p ^ both[7]).bit_count() for p in simhash._PIVOTS]).all()
+    a = np.arange(2000)
+    assert (simhash.pivot_survivors(pivots, a, a + 2000) == a).all()
+    a, b = np.triu_indices(2000, 1)
+    alive = simhash.pivot_survivors(pivots, a, b)
+    assert (np.abs(pivots[a[alive]] - pivots[b[alive]]).max(1) <= simhash.RADIUS).all()
+    assert len(alive) < 1e-3 * len(a)  # a reference lets about 0.6 of random pairs through
+
+
+def test_a_third_of_all_links_at_one_node(spark):
+    links = spark.range(1, 2001).selectExpr("id AS a", "0L AS b").unionAll(spark.range(3000, 4000).selectExpr("id AS a", "id + 1 AS b"))
+    out = components.star_components(links).groupBy("root").count().collect()
+    assert sorted(tuple(r) for r in out) == [(0, 2001), (3000, 1001)]
+
+
 def test_star_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (7, 6), (6, 5)], "a long, b long")
     out = {r["node"]: r["root"] for r in components.star_components(links).collect()}
