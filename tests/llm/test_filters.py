@@ -47,13 +47,56 @@ def test_quality_of_odd_rows(odd_docs, no_docs, labels):
     assert quality_rules.judge_quality(odd_docs, labels.limit(0)).where("NOT base_failed AND NOT kept").count() == 0
 
 
+def _walk(tree, row):
+    """Splits from the root to the row's leaf, counted one by one, and the rest that the leaf expects."""
+    feature, cuts, left, path = tree
+    at = steps = 0
+    while feature[at] >= 0:
+        at = left[at] + (row[feature[at]] >= cuts[at])
+        steps += 1
+    return steps, path[at] - steps
+
+
+def test_path_lengths_against_a_walk():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (300, 3))
+    forest = quality_rules.IsolationForest(rows, rows.min(0), rows.max(0), trees=9, sample=64)
+    probes = np.concatenate([rows[:40], rng.normal(0, 3, (40, 3))])
+    lengths = forest.path_lengths(probes)
+    for row, length in zip(probes, lengths, strict=True):
+        walked = [_walk(tree, row) for tree in forest.trees]
+        assert abs(length - np.mean([steps + rest for steps, rest in walked])) < 1e-9
+        assert all(steps <= forest.depth and rest >= 0 for steps, rest in walked)
+    # a leaf's rest is what a random tree over its rows takes: count the rows that end there
+    for tree in forest.trees[:3]:
+        assert all(rest < 1e-9 or steps == forest.depth for steps, rest in (_walk(tree, r) for r in probes))
+
+
 def test_forest_isolates_what_is_far():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(0, 1, (500, 2)), [[9.0, 9.0]]])
-    scores = quality_rules.IsolationForest(rows).score(rows)
+    scores = quality_rules.IsolationForest(rows, rows.min(0), rows.max(0)).score(rows)
     assert scores.argmax() == 500
 
 
+def test_forest_is_no_single_cut():
+    """Rows whose rates are each usual but whose combination is rare have short paths, too."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, 3000)
+    rows = np.stack([x, x + rng.normal(0, 0.02, 3000)], 1)
+    forest = quality_rules.IsolationForest(rows, rows.min(0), rows.max(0), trees=200)
+    assert forest.score(np.array([[0.2, 0.8]]))[0] > np.percentile(forest.score(rows), 99)
+
+
+def test_good_rows_keep_their_columns(odd_docs, no_docs, labels, spark):
+    kept = quality_rules.keep_good(odd_docs, labels)
+    assert kept.columns == odd_docs.columns and kept.where("size(split(text, ' ')) < 50").count() == 0
+    assert quality_rules.keep_good(no_docs, labels).columns == no_docs.columns
+    long = "some words of a text that goes on for a while " * 9
+    rows = spark.createDataFrame([(None, " ".join(f"{w}{i}" for i, w in enumerate(long.split()))), (None, "short"), (1, "short"), (1, " ".join(f"{w}{i}" for i, w in enumerate(long.split())))], "doc_id long, text string")
+    assert [r["doc_id"] for r in quality_rules.keep_good(rows, labels).collect()] == [None, 1]
+
+
 def test_toxicity_on_held_out_labels(small):
     docs, labels, _, marks = small
     out = toxicity.score_toxicity(docs, labels).toPandas().set_index("doc_id")
