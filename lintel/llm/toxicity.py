@@ -4,12 +4,14 @@ Terms are the lower-cased words of a text and their beginnings, so that inflecte
 weights; each is present or absent. The machine adds to linear weights the pairwise products of
 short factor vectors, so that a term can weigh differently next to another (an insult next to the
 mention of a group). Hashed terms enter the model if their likelihood ratio on the labelled sample
-is significant; the sample is bounded by ``LABELLED_ROWS`` (labels with the smallest id hashes).
-Scoring is an independent map over all rows.
+is significant; the sample is bounded by ``LABELLED_ROWS`` (labels with the smallest id hashes), and
+only its hashed terms come to the driver (about 4 KB of a text of average length). Scoring is an
+independent map over all rows.
 
 Defined results: null or empty text scores as a text without terms; a null id is never held out
-and is not learned from; without labelled rows of both kinds the score is 0; an empty table gives an
-empty result; other columns are ignored whatever their names.
+and is not learned from; of labels that repeat an id the largest counts, of documents that repeat a
+labelled id one is learned from; without labelled rows of both kinds the score is 0; an empty table
+gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import remainder
+from lintel.llm.common import remainder, whole_row
 
 #: Bound on the labelled rows that the machine is fitted to.
 LABELLED_ROWS = 12_000
 HASH_BITS = 22
-MAX_TERMS = 4096
 #: Likelihood ratio from which a term enters the model.
 SIGNIFICANT = 15.0
 #: Labelled documents that must hold a term; fewer cannot make it significant.
@@ -40,7 +41,6 @@ HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 PREFIXES = (4, 5, 6)
 #: Words remembered by each Python worker at most.
 CACHE_WORDS = 400_000
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -118,7 +118,7 @@ class FactorizationMachine:
                 self.bias -= rate * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
 
 
-def significant_terms(documents: list[np.ndarray], labels: np.ndarray, most: int = MAX_TERMS, least: float = SIGNIFICANT) -> np.ndarray:
+def significant_terms(documents: list[np.ndarray], labels: np.ndarray, least: float = SIGNIFICANT) -> np.ndarray:
     """Hashes whose presence depends on the label, by likelihood ratio; sorted."""
     with_pos, with_neg = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
     for hashes, label in zip(documents, labels, strict=True):
@@ -132,8 +132,7 @@ def significant_terms(documents: list[np.ndarray], labels: np.ndarray, most: int
 
     share = (with_pos + with_neg) / (pos + neg)
     ratio = 2 * (cell(with_pos, pos * share) + cell(with_neg, neg * share) + cell(pos - with_pos, pos * (1 - share)) + cell(neg - with_neg, neg * (1 - share)))
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return np.sort(seen_often[best[ratio[best] >= least]])
+    return seen_often[ratio >= least]
 
 
 def hashed_terms(texts: list[str | None]) -> list[np.ndarray]:
@@ -196,50 +195,49 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int) -> DataFrame:
-    """Hashed terms and labels of at most ``bound`` labels outside the held-out part."""
+    """Hashed terms and label of at most ``bound`` labelled ids outside the held-out part, one row of each."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     chosen = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label"))
-        .dropna()
-        .where(remainder(F.col("id"), HELD_OUT_MODULUS) != HELD_OUT_REMAINDER)
-        .orderBy(F.xxhash64("id"), "id", "label")
+        marks.where(remainder(F.col("id"), HELD_OUT_MODULUS) != HELD_OUT_REMAINDER)
+        .groupBy("id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(bound)
     )
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashed = hashed_terms(batch["text"].tolist())
-            yield pd.DataFrame({"id": batch["id"], "terms": [np.sort(h).tobytes() for h in hashed], "label": batch["label"]})
+    @F.pandas_udf("binary")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.sort(h).tobytes() for h in hashed_terms(texts.tolist())])
 
-    found = docs.join(F.broadcast(chosen), "id").select("id", "text", "label")
-    return found.mapInPandas(terms, "id long, terms binary, label int").limit(bound)
+    found = docs.join(F.broadcast(chosen), "id").select("id", "label", terms("text").alias("terms"))
+    return found.groupBy("id", "label").agg(F.min("terms").alias("terms"))
 
 
-def score_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    labelled_rows: int = LABELLED_ROWS,
-) -> DataFrame:
-    """doc_id, held_out, score and predicted; one row per input row."""
+def score_column(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled_rows: int = LABELLED_ROWS) -> Column:
+    """Learns from the labelled rows; the score of each row's text as a column of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = labelled_sample(rows, labels, label_col, labelled_rows)
     learned = sorted((r["id"], r["terms"], r["label"]) for r in sample.toLocalIterator())  # labelled_rows rows at most
     machine = train([np.frombuffer(t, np.int32) for _, t, _ in learned], np.asarray([y for _, _, y in learned], np.int64))
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(machine) if machine is not None else None
-        for batch in batches:
-            score = scorer.score(batch["text"].tolist()) if scorer else np.zeros(len(batch))
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["id"].astype("Int64"),
-                    "held_out": batch["held_out"],
-                    "score": score,
-                    "predicted": (score >= THRESHOLD).astype("int32"),
-                }
-            )
-
-    held_out = F.coalesce(remainder(F.col("id"), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
-    return rows.withColumn("held_out", held_out).mapInPandas(scores, SCHEMA)
+        for texts in batches:
+            yield pd.Series(scorer.score(texts.tolist()) if scorer else np.zeros(len(texts)))
+
+    return score(F.col(text_col))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, held_out, score and predicted; one row per input row. Options as for ``score_column``."""
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    scored = docs.select(doc_id, score_column(docs, labels, id_col, text_col, **options).alias("score"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows below the threshold, with all their columns; each is judged by its own text."""
+    scored = docs.select(whole_row(docs), score_column(docs, labels, id_col, text_col).alias("score"))
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")

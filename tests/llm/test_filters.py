@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -121,6 +122,45 @@ def test_pairs_of_terms_carry_weight():
     assert scores[0] > 0.7 and scores[1:].max() < 0.3
 
 
+def test_margin_and_terms_against_brute_force(small):
+    _, _, pdf, marks = small
+    both = pdf.merge(marks.drop_duplicates("doc_id"), on="doc_id").head(300)
+    labels = both["toxic"].to_numpy()
+    documents = toxicity.hashed_terms(both["text"].tolist())
+    machine = toxicity.train(documents, labels)
+    # term choice, by counting each term's documents
+    held = {}
+    for hashes, label in zip(documents, labels, strict=True):
+        for h in set(hashes.tolist()):
+            held.setdefault(h, []).append(label)
+    chosen = []
+    for h, found in held.items():
+        table = [[sum(found), len(found) - sum(found)], [labels.sum() - sum(found), len(labels) - labels.sum() - (len(found) - sum(found))]]
+        whole = len(labels)
+        ratio = 2 * sum(n * math.log(n * whole / (sum(row) * (table[0][k] + table[1][k]))) for row in table for k, n in enumerate(row) if n)
+        if len(found) >= toxicity.LEAST_DOCUMENTS and ratio >= toxicity.SIGNIFICANT:
+            chosen.append(h)
+    assert machine.terms.tolist() == sorted(chosen) and chosen
+    # margin, pair by pair
+    scorer = toxicity.Scorer(machine)
+    for text in both["text"][:60]:
+        cols = scorer.columns(text)
+        expected = machine.bias + sum(machine.linear[c] for c in cols)
+        expected += sum(float(machine.factor[a] @ machine.factor[b]) for i, a in enumerate(cols) for b in cols[i + 1 :])
+        assert abs(scorer.score([text])[0] - 1 / (1 + math.exp(-min(max(expected, -30), 30)))) < 1e-9
+
+
+def test_toxicity_of_ties_and_repeats(spark):
+    """Rows of one text score the same; labels that repeat an id count once, the largest of them."""
+    docs = spark.createDataFrame([(i % 40, f"{'bad' if i % 40 < 20 else 'fine'} word{i % 5}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] + [(i, 0) for i in range(40)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, labels).toPandas()
+    assert out.groupby("doc_id")["score"].nunique().max() == 1
+    assert (out["predicted"] == (out["doc_id"] < 20)).all()
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(2 * list(range(20, 40)))
+
+
 def test_toxicity_of_odd_rows(odd_docs, no_docs, labels):
     out = toxicity.score_toxicity(odd_docs, labels).collect()
     assert len(out) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in out)
