@@ -1,37 +1,32 @@
 """The corpus pipeline: quality rules, toxicity, exact dedup, SimHash near-dedup, best-fit packing.
 
 Each stage takes the documents that the stage before it kept, with the columns of ``documents``, and
-its decisions take effect; the last returns one row per packed piece. The filters join their
-rejections back by doc_id: of rows that repeat a doc_id all go if one is rejected, and a row without
-a doc_id stays. Empty input passes through as no rows.
+its decisions take effect; the last returns one row per packed piece. Every row is judged by its own
+text, whatever its doc_id: rows that repeat a doc_id or have none go or stay one by one. Of equal and
+of near texts the row with the smallest doc_id stays, null last. Empty input passes through as no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lintel.llm.common import cut, table
+from lintel.llm.common import ensure_checkpoint_dir, table
 from lintel.llm.exact_dedup import keep_one_of_each
 from lintel.llm.packing import pack_documents
-from lintel.llm.quality_rules import judge_quality
+from lintel.llm.quality_rules import keep_good
 from lintel.llm.queries import tokenizer_path
 from lintel.llm.simhash import keep_one_of_each_component
-from lintel.llm.toxicity import score_toxicity
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the rejected."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+from lintel.llm.toxicity import keep_clean
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, judge_quality(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are cut to the shared folder for the next."""
+    """All stages over documents; each stage's rows are written as Parquet to the shared folder and read again by the next."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
