@@ -139,56 +139,111 @@ PAGE = (
 )
 
 
+def _text(page):
+    """Main text of a page alone on its host."""
+    by_place = [[t for place, t in html_text.page_blocks(page) if place == k] for k in range(3)]
+    articles = max(" ".join(by_place[html_text.INSIDE]), " ".join(by_place[html_text.ENCLOSED]), key=len)
+    return html_text.vote(articles, by_place[html_text.OUTSIDE], np.zeros(0, np.int64))
+
+
 def test_article_pages():
-    blocks = [t for inside, t in html_text.page_blocks(PAGE) if inside]
-    assert " ".join(blocks) == "A <head> One two three four five é!"
-    assert html_text.page_blocks(None) == [] and html_text.page_blocks("<p>a <b") == [(False, "a")]
+    assert _text(PAGE) == "A <head> One two three four five é!"
+    assert html_text.page_blocks(None) == [] and _text("<p>a <b") == "a"
 
 
 @pytest.mark.parametrize(
     ("page", "text"),
     [
         ("<b><nav><b>x</b> y</nav>z</b>", "z"),
-        ("<b><article>one</b> two</article>three", "one two"),
+        ("<b><article>one more</b> two</article>three", "one more two"),
         ("<article>a <span class='ad'>no <span>no</span> no</span> b <i>c</i></article>", "a b c"),
         ("<article><p>a<div class='notice'>no<p>no</div>b</article>", "a b"),
         ("<main><h1>T</h1><aside>no</aside><ul><li>x<li>y</ul><form>no</form></main>", "T x y"),
         ("<article>a<!-- no <p>no</p> -->b<script>if (a < b) '</p>'</script>c</article", "abc"),
+        ('<body><svg class="i"/><article><p>Text</p><svg><text>no</text></svg></article>', "Text"),
+        ('<div class="layout has-sidebar"><article>x y</article></div>', "x y"),
+        ('<div class="site widget-area-none"><main>x</main></div>', "x"),
+        ('<div class="sidebar-layout"><article>x y</article><p>no</p></div>', "x y"),
+        ('<article><p class="notice">a</p><div class="related-work">b</div><p>x</p></article>', "a b x"),
+        ("<p data-x=don't>I don't know it</p>", "I don't know it"),
+        ("<!-- <article> --><script>'<article>'</script><div>the story</div>", "the story"),
+        ('<section id="comments"><article>no</article></section><p>yes it is</p>', "yes it is"),
+        ('<div class="sidebar"><article>teaser</article></div><article>a longer story</article>', "a longer story"),
+        ("<div><p>the real story has many words</p></div><article>teaser</article>", "the real story has many words"),
+        ('<p hidden>no</p><p class="overflow hidden">yes</p>', "yes"),
     ],
 )
 def test_parts_that_go(page, text):
-    blocks = html_text.page_blocks(page)
-    inside = [t for zone, t in blocks if zone]
-    assert " ".join(inside or [t for _, t in blocks]) == text
+    assert _text(page) == text
 
 
-def test_host_boilerplate_goes_and_unique_runs_stay(spark):
-    chrome = "welcome to our site please read all of the rules before you post"
-    rows = [(i, f"https://host.example/{i}", f"<div><p>{chrome}</p><p>n{i} a{i} b{i}</p><p>{chrome}</p></div>") for i in range(12)]
-    rows += [(100, "https://host.example/100", rows[0][2]), (101, None, None), (102, "https://other.example/", "<p>alone</p>")]
-    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out[3] == "n3 a3 b3"
-    assert out[0] == out[100] == "n0 a0 b0"
-    assert out[101] == "" and out[102] == "alone"
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_repeated_cover_against_brute_force():
+@pytest.mark.parametrize("batch_pages", [500, 4])
+def test_host_boilerplate_goes_and_unique_runs_stay(spark, batch_pages):
+    """Also where the host's pages are dealt over batches: what recurs adds up."""
+    chrome = "welcome to our site please read all of the rules before you post"
+    rows = [(i, f"https://host.example/{i}", f"<div><p>{chrome}</p><p>n{i} a{i} b{i}</p><p>{chrome}</p></div>") for i in range(12)]
+    rows += [(100 + k, f"https://host.example/{100 + k}", rows[0][2]) for k in range(9)] + [(None, None, None), (102, "https://other.example/", "<p>alone</p>")]
+    # an article that many pages copy, and words outside of it that they share, too
+    rows += [(200 + k, f"https://host.example/{200 + k}", f"<p>{chrome}</p><article>a story that is copied in full on many pages of this host</article>") for k in range(9)]
+    # no boilerplate: too few pages
+    rows += [(300 + k, f"https://host.example/{300 + k}", f"<p>o{k}</p><p>{' '.join(f'quote{j}' for j in range(12))}</p>") for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(_pages(spark, rows), batch_pages=batch_pages).collect()}
+    assert out[3] == "n3 a3 b3" and out[0] == "n0 a0 b0" and {out[100 + k] for k in range(9) if k != 2} == {"n0 a0 b0"}
+    assert out[None] == "" and out[102] == "alone"
+    assert {out[200 + k] for k in range(9)} == {"a story that is copied in full on many pages of this host"}
+    assert out[301] == "o1 " + " ".join(f"quote{j}" for j in range(12))
+
+
+def test_pages_without_articles_against_brute_force(spark):
+    """The real pages with their article elements taken for plain ones: what five distinct pages of a host share in eight tokens goes."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    plain = [re.sub("</?article>|</?nav>|</?footer>|class=\"ad\"", "", h or "") for h in pages["html"]]
+    hosts = pages["url"].str.extract("://([^/?#]*)")[0]
+    streams = [" ".join(t for _, t in html_text.page_blocks(h)).split(" ") for h in plain]
+    seen = {}
+    for host, s in zip(hosts, streams, strict=True):
+        for i in range(len(s) - 7):
+            seen.setdefault((host, *s[i : i + 8]), set()).add(tuple(s))
+    expected = {}
+    for page_id, host, s in zip(pages["page_id"], hosts, streams, strict=True):
+        gone = {i + k for i in range(len(s) - 7) if len(seen[(host, *s[i : i + 8])]) >= 5 for k in range(8)}
+        expected[page_id] = " ".join(t for i, t in enumerate(s) if i not in gone)
+    rows = list(zip(pages["page_id"].tolist(), pages["url"].tolist(), plain, strict=True))
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(_pages(spark, rows)).collect()}
+    assert out == expected
+
+
+def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
-        streams = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(6)]
-        distinct = {s.tobytes() for s in streams}
+        streams = [rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint64) for _ in range(6)]
         pages = {}
-        for s in streams:
+        for k, s in enumerate(streams):
             for i in range(len(s) - 3):
-                pages.setdefault(s[i : i + 4].tobytes(), set()).add(s.tobytes())
-        needed = max(2, math.ceil(0.4 * len(distinct)))
-        for s, cover in zip(streams, html_text.repeated_cover(streams, 4, 2, 0.4), strict=True):
-            expected = np.zeros(len(s), bool)
+                pages.setdefault(tuple(s[i : i + 4].tolist()), set()).add(k)
+        expected = {int(html_text.run_hashes(np.array(w, np.uint64), 4)[0]): len(p) for w, p in pages.items() if len(p) > 1}
+        hashes, counts = html_text.repeated_runs(streams, 4)
+        assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == expected
+        known = np.sort(hashes)
+        for s in streams:
+            cover = np.zeros(len(s), bool)
             for i in range(len(s) - 3):
-                if len(pages[s[i : i + 4].tobytes()]) >= needed:
-                    expected[i : i + 4] = True
-            assert (cover == expected).all()
-
-
-def test_pages_of_no_rows(spark):
-    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, host string, text string")).count() == 0
+                if len(pages[tuple(s[i : i + 4].tolist())]) > 1:
+                    cover[i : i + 4] = True
+            assert (html_text.covered(s, known, 4) == cover).all()
+
+
+def test_pages_of_odd_rows(spark):
+    """Null in every column, empty and very long html, repeated rows, and columns whose names clash."""
+    long = "<article>" + "<p>a word</p>" * 100_000 + "</article>"
+    rows = [(1, "u", "<p>one</p>"), (1, "u", "<p>one</p>"), (1, None, "<p>other</p>"), (None, None, None), (2, "http://h/", ""), (3, "http://h/", long), (2**60 + 1, "http://h/x", "<p>far</p>")]
+    names = "host string, salt int, run long, number long, page string, text string, outside string, identity long, n long"
+    pages = spark.createDataFrame([(*r, *[None] * 9) for r in rows], f"page_id long, url string, html string, {names}")
+    out = Counter(tuple(r) for r in html_text.extract_main_text(pages).collect())
+    whole = " ".join(["a word"] * 100_000)
+    assert out == Counter({(1, "u", "one", 3): 2, (1, None, "other", 5): 1, (None, None, "", 0): 1, (2, "http://h/", "", 0): 1, (3, "http://h/", whole, len(whole)): 1, (2**60 + 1, "http://h/x", "far", 3): 1})
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0
