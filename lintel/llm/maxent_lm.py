@@ -1,16 +1,21 @@
 """Language-model scores from a hashed maximum-entropy model.
 
 A token's probability is that of its class given the two tokens before it, times its own within the
-class. Both are softmaxes over ``WIDTH`` outcomes whose logits are sums of rows of one hashed weight
-matrix: for the class, a bias and features of the previous token, of the token before it (a skip)
-and of both (an n-gram); within a class, a bias and a feature of the previous token. Frequent words
-fill ``HEAD_CLASSES`` classes of ``WIDTH`` words; all other words, also unseen ones, belong to
-``TAIL_CLASSES`` classes by their ending, within which they have their smoothed relative frequency.
-
-Corpus statistics cover every training text: word counts, and how often each class or word follows
-each pair of token buckets. The latter table is bounded by its buckets; gradients of the likelihood
-over it are computed in parts and summed for every update. Counts of the ``FREQUENT`` most frequent
-words go to the workers, all other words meet their counts in a join.
+class. Classes, and words within a head class, are softmaxes over ``width`` outcomes whose logits are
+sums of rows of one hashed weight matrix: for the class, a bias and features of the previous token, of
+the token before it (a skip) and of both (an n-gram); within a class, a bias and a feature of the
+previous token. Frequent words fill the head classes, ``width`` words each; all other words, also
+unseen ones, belong to tail classes by their ending. Within a tail class a word has its smoothed
+relative frequency, and every pair of words that the corpus holds twice or more has a feature of its
+own: its weight meets the discounted count of the pair, the others share what it leaves.
+
+What is gathered covers every training text and grows with the corpus: exact word counts, pairs of
+words, and how often each class or head word follows each pair of histories. ``width``, and with it
+histories, classes, head words and features, grows with the number of training tokens (``Sizes``).
+Word counts and pair features stay partitioned tables: scoring asks them by a join on hashed keys, of
+which frequent ones may be dealt anew by adaptive execution. The weight matrix is trained by
+gradients over parts of the table of what follows what; from ``FAN`` parts on they are summed in a tree
+before the driver adds up what is left. Only the ``FREQUENT`` most frequent words go to the workers as numbers.
 
 Defined results: null or empty text has the end token alone; a null id is not held out and is
 learned from; rows that repeat get the same scores each; an empty table gives an empty result;
@@ -19,65 +24,127 @@ without training rows all words are unseen; other columns are ignored whatever t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import ascii_lower, cut, remainder, words_of
+from lintel.llm.common import LOWER_BYTES, cut, remainder
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 1
 #: The end token; no word holds a separator.
-END = "\n"
-WIDTH = 32
-HEAD_CLASSES = 24
-TAIL_CLASSES = WIDTH - HEAD_CLASSES
-HEAD_WORDS = HEAD_CLASSES * WIDTH
-#: Buckets of history: the most frequent words have their own, others share by their ending.
-OWN_BUCKETS, SHARED_BUCKETS = 128, 64
-BUCKETS = OWN_BUCKETS + SHARED_BUCKETS
-ENDINGS = SHARED_BUCKETS * TAIL_CLASSES
-PAIRS = BUCKETS * BUCKETS
-ROWS = PAIRS + BUCKETS * HEAD_CLASSES
-FEATURES = 1 << 14
+END = b"\n"
 UPDATES = 14
-PARTS = 8
-#: Words at most whose counts every worker holds.
+#: Words at most that every worker holds as numbers; all others meet their counts in a join.
 FREQUENT = 250_000
-#: Words that a counting task or a scoring worker holds before it lets go of them.
+#: Words that a counting task holds before it hands them on.
 HELD_WORDS = 500_000
 TEXTS_AT_ONCE = 200
-
-
-def tokens_of(text: str | None) -> list[str]:
-    words = words_of(ascii_lower(text or ""))
+#: Tokens whose cells are counted together.
+CELLS_AT_ONCE = 1 << 21
+#: Bytes of a word that tell its ending.
+ENDING_BYTES = 3
+#: Taken from the count of a pair of words that recurs.
+DISCOUNT = 0.75
+#: Floats of the rows of probabilities that a scoring task keeps.
+KEPT_FLOATS = 1 << 24
+#: Rows of the table of what follows what in one blob, and blobs in a part.
+BLOB_ROWS, PART_BLOBS = 1024, 16
+#: Gradients that one step of the tree, or the driver, sums, and slices of a gradient.
+FAN, SLICES = 8, 16
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How large the model is, by one number."""
+
+    width: int
+
+    @staticmethod
+    def of(tokens: int) -> Sizes:
+        """A power of two near six times the sixth root of the training tokens."""
+        return Sizes(2 ** max(3, round(math.log2(max(tokens, 1)) / 6 + 2.6)))
+
+    @property
+    def own(self) -> int:
+        """Histories of their own: the most frequent words; others share a history by their ending."""
+        return self.width
+
+    @property
+    def shared(self) -> int:
+        return self.width // 2
+
+    @property
+    def buckets(self) -> int:
+        return self.own + self.shared
+
+    @property
+    def tail_classes(self) -> int:
+        return self.width // 4
+
+    @property
+    def head_classes(self) -> int:
+        return self.width - self.tail_classes
+
+    @property
+    def endings(self) -> int:
+        return self.shared * self.tail_classes
+
+    @property
+    def pairs(self) -> int:
+        return self.buckets**2
+
+    @property
+    def rows(self) -> int:
+        """Softmaxes: one over classes for each pair of histories, one over words for each history and head class."""
+        return self.pairs + self.buckets * self.head_classes
+
+    @property
+    def features(self) -> int:
+        return 128 * self.width
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()  # at the six separators
     words.append(END)
     return words
 
 
-def ending(word: str) -> int:
-    """Hash of the last two characters."""
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
+def mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return value ^ (value >> np.uint64(31))
+
+
+def word_hash(word: bytes) -> int:
+    """As F.xxhash64 of the word gives it, unsigned."""
+    import xxhash
 
+    return xxhash.xxh64_intdigest(word, 42)
 
-def row_features() -> np.ndarray:
-    """Hashed feature numbers of every row of the statistics: pairs of buckets, then bucket and class."""
+
+def row_features(rows: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """Hashed feature numbers of softmaxes: of pairs of histories, then of history and class."""
 
     def hashed(kind: int, value: np.ndarray) -> np.ndarray:
-        mixed = (value.astype(np.uint64) + np.uint64(kind << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(50)).astype(np.int64) % FEATURES
+        number = mixed(value.astype(np.uint64) + np.uint64(kind << 40))
+        return (number % np.uint64(sizes.features)).astype(np.int64)
 
-    pair = np.arange(PAIRS)
-    before, skipped = pair // BUCKETS, pair % BUCKETS
-    classes = np.stack([hashed(0, np.zeros(PAIRS)), hashed(1, before), hashed(2, skipped), hashed(3, pair)], 1)
-    cell = np.arange(BUCKETS * HEAD_CLASSES)
-    before, inside = cell // HEAD_CLASSES, cell % HEAD_CLASSES
-    words = np.stack([hashed(4, inside), hashed(5, cell), hashed(6, inside), hashed(7, cell)], 1)
-    return np.concatenate([classes, words])
+    out = np.zeros((len(rows), 4), np.int64)
+    is_pair = rows < sizes.pairs
+    pair = rows[is_pair]
+    before, skipped = pair // sizes.buckets, pair % sizes.buckets
+    out[is_pair] = np.stack([hashed(0, 0 * pair), hashed(1, before), hashed(2, skipped), hashed(3, pair)], 1)
+    cell = rows[~is_pair] - sizes.pairs
+    before, inside = cell // sizes.head_classes, cell % sizes.head_classes
+    out[~is_pair] = np.stack([hashed(4, inside), hashed(5, cell), hashed(6, before), hashed(7, cell)], 1)
+    return out
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -88,60 +155,48 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Numbers of tokens: the rank of a frequent word, beyond them a number for the ending."""
 
-    def __init__(self, words: list[str]):
-        self.size = len(words)
-        self.words = words
+    def __init__(self, words: list[bytes], counts: np.ndarray, sizes: Sizes):
+        self.size, self.words, self.sizes = len(words), words, sizes
         rank = np.arange(self.size)
-        ends = np.fromiter(map(ending, words), np.int64, self.size)
-        all_ends = np.concatenate([ends, np.arange(ENDINGS)])
-        head = np.concatenate([rank < HEAD_WORDS, np.zeros(ENDINGS, bool)])
-        own = np.concatenate([rank < OWN_BUCKETS, np.zeros(ENDINGS, bool)])
-        place = np.concatenate([rank, np.zeros(ENDINGS, np.int64)])
-        self.bucket = np.where(own, place, OWN_BUCKETS + all_ends % SHARED_BUCKETS).astype(np.int32)
-        self.cls = np.where(head, place // WIDTH, HEAD_CLASSES + all_ends // SHARED_BUCKETS).astype(np.int32)
-        self.inside = np.where(head, place % WIDTH, -1).astype(np.int32)
-
-    def numbers(self) -> _Numbers:
-        return _Numbers(self)
+        ends = np.fromiter(map(self.ending, words), np.int64, self.size)
+        all_ends = np.concatenate([ends, np.arange(sizes.endings)])
+        head_words = sizes.head_classes * sizes.width
+        head = np.concatenate([rank < head_words, np.zeros(sizes.endings, bool)])
+        own = np.concatenate([rank < sizes.own, np.zeros(sizes.endings, bool)])
+        place = np.concatenate([rank, np.zeros(sizes.endings, np.int64)])
+        self.bucket = np.where(own, place, sizes.own + all_ends % sizes.shared).astype(np.int32)
+        self.cls = np.where(head, place // sizes.width, sizes.head_classes + all_ends // sizes.shared).astype(np.int32)
+        self.inside = np.where(head, place % sizes.width, -1).astype(np.int32)
+        self.hashes = np.fromiter(map(word_hash, words), np.uint64, self.size)
+        #: log10 of a word's smoothed count; of the unseen, for words that are not frequent
+        self.log_count = np.concatenate([np.log10(counts + 0.5), np.full(sizes.endings, np.log10(0.5))])
+
+    def ending(self, word: bytes) -> int:
+        return zlib.crc32(word[-ENDING_BYTES:]) % self.sizes.endings
 
 
 class _Numbers(dict):
-    """Token to number; forgets the rare words it has met when there are too many."""
+    """Token to number; a word that is not frequent has that of its ending."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__((w, i) for i, w in enumerate(vocabulary.words))
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = self.vocabulary.size + ending(word)
-        return number
-
-    def trim(self) -> None:
-        if len(self) > self.vocabulary.size + HELD_WORDS:
-            for word in [w for w, n in self.items() if n >= self.vocabulary.size]:
-                del self[word]
+    def __missing__(self, word: bytes) -> int:
+        return self.vocabulary.size + self.vocabulary.ending(word)
 
 
-def stream(texts: list[str | None], numbers: _Numbers, end: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, their numbers, the buckets' indices one and two before (as numbers), and where texts start."""
-    tokens: list[str] = []
-    starts = []
-    for text in texts:
-        starts.append(len(tokens))
-        tokens += tokens_of(text)
-    now = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    before = np.concatenate([[end], now[:-1]])
-    skipped = np.concatenate([[end], before[:-1]])
-    start = np.array(starts, np.int64)
-    skipped[start] = end
-    return tokens, now, before, skipped, start
+def end_class(word: Column, sizes: Sizes) -> Column:
+    """Tail class, from 0, by the ending of a word (binary)."""
+    ending = F.when(F.length(word) < ENDING_BYTES, word).otherwise(F.substring(word, -ENDING_BYTES, ENDING_BYTES))
+    return F.floor(F.crc32(ending) % F.lit(sizes.endings) / F.lit(sizes.shared)).cast("int")
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """word and c over the training texts."""
+    """word (binary) and c over the training texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[str] = Counter()
+        found: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch["text"]:
                 found.update(tokens_of(text))
@@ -151,11 +206,11 @@ def count_words(rows: DataFrame) -> DataFrame:
         if found:
             yield pd.DataFrame({"word": list(found.keys()), "c": list(found.values())})
 
-    counted = rows.where("NOT held_out").select("text").mapInPandas(count, "word string, c long")
+    counted = rows.where("NOT held_out").select("text").mapInPandas(count, "word binary, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[list[str], np.ndarray]:
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[list[bytes], np.ndarray]:
     """At most ``most`` words above a common count, by falling count; their counts."""
     by_count = counts.groupBy(F.least("c", F.lit(20_000)).alias("c")).count().orderBy(F.col("c").desc())
     seen, least = 0, None
@@ -169,76 +224,166 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[list[str],
         table = counts.where(F.col("c") >= least).orderBy(F.col("c").desc(), "word").limit(most).toArrow()
     else:
         table = counts.where(F.col("c") >= least).toArrow()
-    words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
+    words, c = [bytes(w) for w in table.column("word").to_pylist()], table.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     return [words[i] for i in order], np.array([c[i] for i in order], np.int64)
 
 
-def follow_counts(rows: DataFrame, vocabulary, end_word: str = END) -> DataFrame:
-    """row and its WIDTH counts n0, n1, ...: what followed in the training texts."""
-    names = [f"n{k}" for k in range(WIDTH)]
+def encoded(rows: DataFrame, vocabulary) -> DataFrame:
+    """doc_id, held_out, and the tokens as numbers and the hashes of those that are not frequent, in their order; cut."""
+
+    @F.pandas_udf("numbers binary, rare binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        size, numbers = vocabulary.value.size, _Numbers(vocabulary.value)
+        for texts in batches:
+            out = []
+            for text in texts:
+                tokens = tokens_of(text)
+                now = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
+                rare = [word_hash(tokens[i]) for i in np.flatnonzero(now >= size).tolist()]
+                out.append((now.tobytes(), np.array(rare, np.uint64).tobytes()))
+            yield pd.DataFrame(out, columns=["numbers", "rare"])
+
+    found = cut(rows.select("id", "held_out", encode("text").alias("e")).select("id", "held_out", "e.*"))
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+class Batch:
+    """Tokens of several texts one after another, each with the numbers of the two before it."""
+
+    def __init__(self, numbers: list[bytes], rare: list[bytes], vocabulary: Vocabulary, end: int):
+        self.lengths = np.array([len(n) // 4 for n in numbers], np.int64)
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.now = np.frombuffer(b"".join(numbers), np.int32)
+        self.before = np.concatenate([[end], self.now[:-1]]).astype(np.int64)
+        self.before[self.start] = end
+        self.skipped = np.concatenate([[end], self.before[:-1]])
+        self.skipped[self.start] = end
+        self.rare_at = self.now >= vocabulary.size
+        self.rare = np.frombuffer(b"".join(rare), np.uint64)
+
+    def hashes(self, vocabulary: Vocabulary) -> np.ndarray:
+        out = np.empty(len(self.now), np.uint64)
+        out[~self.rare_at] = vocabulary.hashes[self.now[~self.rare_at]]
+        out[self.rare_at] = self.rare
+        return out
+
+    def tail_pairs(self, vocabulary: Vocabulary, end_hash: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of tail tokens after a word without a history of its own; hash of that word and the class; the token's hash."""
+        at = np.flatnonzero((vocabulary.inside[self.now] < 0) & (vocabulary.bucket[self.before] >= vocabulary.sizes.own))
+        hashes = self.hashes(vocabulary)
+        before = np.where(np.isin(at, self.start), np.uint64(end_hash), hashes[at - 1])
+        return at, mixed(before ^ mixed(vocabulary.cls[self.now[at]].astype(np.uint64))), hashes[at]
+
+
+def _batches(batch: pd.DataFrame, vocabulary: Vocabulary, end: int) -> Iterator[tuple[slice, Batch]]:
+    for lo in range(0, len(batch), TEXTS_AT_ONCE):
+        part = slice(lo, lo + TEXTS_AT_ONCE)
+        yield part, Batch(batch["numbers"].iloc[part].tolist(), batch["rare"].iloc[part].tolist(), vocabulary, end)
+
+
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.int64)
+
+
+def pair_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(history + np.uint64(0x9E3779B97F4A7C15) * word)
+
+
+def follow_counts(texts: DataFrame, vocabulary) -> DataFrame:
+    """row, outcome (as one number, cell) and n: what followed in the training texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary.value
-        numbers = vocab.numbers()
-        end = numbers[end_word]
-        total = np.zeros(ROWS * WIDTH, np.int64)
+        sizes, end = vocab.sizes, _Numbers(vocab)[END]
+        cells: list[np.ndarray] = []
+
+        def counted() -> pd.DataFrame:
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            cells.clear()
+            return pd.DataFrame({"cell": cell, "n": n})
+
         for batch in batches:
-            texts = batch["text"].tolist()
-            for lo in range(0, len(texts), TEXTS_AT_ONCE):
-                _, now, before, skipped, _ = stream(texts[lo : lo + TEXTS_AT_ONCE], numbers, end)
-                b = vocab.bucket[before].astype(np.int64)
-                cls, inside = vocab.cls[now], vocab.inside[now]
-                np.add(total[: PAIRS * WIDTH], np.bincount((b * BUCKETS + vocab.bucket[skipped]) * WIDTH + cls, minlength=PAIRS * WIDTH), out=total[: PAIRS * WIDTH])
+            for _, b in _batches(batch, vocab, end):
+                before = vocab.bucket[b.before].astype(np.int64)
+                cls, inside = vocab.cls[b.now], vocab.inside[b.now]
+                cells.append((before * sizes.buckets + vocab.bucket[b.skipped]) * sizes.width + cls)
                 h = inside >= 0
-                at = (b[h] * HEAD_CLASSES + cls[h]) * WIDTH + inside[h]
-                total[PAIRS * WIDTH :] += np.bincount(at, minlength=(ROWS - PAIRS) * WIDTH)
-                numbers.trim()
-        table = total.reshape(ROWS, WIDTH)
-        some = np.flatnonzero(table.any(1))
-        for lo in range(0, len(some), 10_000):
-            part = some[lo : lo + 10_000]
-            yield pd.DataFrame(table[part], columns=names).assign(row=part)
-
-    schema = ", ".join(f"{n} long" for n in names) + ", row long"
-    counted = rows.where("NOT held_out").select("text").mapInPandas(count, schema)
-    return counted.groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def train(follows: DataFrame, updates: int = UPDATES, rate: float = 0.4) -> np.ndarray:
-    """The weight matrix after gradient updates over the whole table of statistics."""
+                cells.append((sizes.pairs + before[h] * sizes.head_classes + cls[h]) * sizes.width + inside[h])
+                if sum(map(len, cells)) >= CELLS_AT_ONCE:
+                    yield counted()
+        if cells:
+            yield counted()
+
+    return texts.select("numbers", "rare").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def follow_blobs(follows: DataFrame, sizes: Sizes) -> DataFrame:
+    """part, and blobs of row numbers and their counts of every outcome; cut."""
+    parts = max(1, math.ceil(sizes.rows / (BLOB_ROWS * PART_BLOBS)))
+    row = F.floor(F.col("cell") / sizes.width)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A blob holds rows of one block; what a later batch adds to it comes in a blob of its own."""
+        for batch in batches:
+            cell, n = batch["cell"].to_numpy(), batch["n"].to_numpy()
+            block = cell // (sizes.width * BLOB_ROWS)
+            for b in np.unique(block).tolist():
+                mine = block == b
+                rows, at = np.unique(cell[mine] // sizes.width, return_inverse=True)
+                counts = np.zeros((len(rows), sizes.width), np.float32)
+                counts[at, cell[mine] % sizes.width] = n[mine]
+                yield pd.DataFrame({"part": [b // PART_BLOBS], "rows": [rows.tobytes()], "counts": [counts.tobytes()]})
+
+    block = F.floor(row / BLOB_ROWS)
+    ordered = follows.repartition(parts, block).sortWithinPartitions("cell")
+    return cut(ordered.mapInPandas(gather, "part long, rows binary, counts binary"))
+
+
+def train(follows: DataFrame, sizes: Sizes, updates: int = UPDATES, rate: float = 0.4) -> np.ndarray:
+    """The weight matrix after gradient updates over the whole table of what follows what."""
     spark = follows.sparkSession
-    names = [f"n{k}" for k in range(WIDTH)]
-    table = cut(follows.coalesce(PARTS).sortWithinPartitions("row"))  # at most ROWS rows; one gradient comes back from each part
-    weights = np.zeros((FEATURES, WIDTH), np.float32)
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    features = row_features()
-    mass = np.zeros(FEATURES)
+    parts = math.ceil(sizes.rows / (BLOB_ROWS * PART_BLOBS))
+    table = follow_blobs(follows, sizes).coalesce(parts)  # of a cut table that is as large as the model
+    shape = (sizes.features, sizes.width)
+    weights, first, second = (np.zeros(shape, np.float32) for _ in range(3))
+    slices = np.array_split(np.arange(sizes.features), SLICES)
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(part["gradient"].iloc[0], np.float32).copy()
+        for blob in part["gradient"].iloc[1:]:
+            total += np.frombuffer(blob, np.float32)
+        return pd.DataFrame({"part": [part["part"].iloc[0] // FAN], "slice": [part["slice"].iloc[0]], "gradient": [total.tobytes()]})
+
     for step in range(1, updates + 1):
         shared = spark.sparkContext.broadcast(weights)
 
         def gradient(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            total, mass = np.zeros((FEATURES, WIDTH)), np.zeros(FEATURES)
+            # the last column is the features' mass
+            total, part = np.zeros((sizes.features, sizes.width + 1), np.float32), None
             for batch in batches:
-                counts = batch[names].to_numpy(float)
-                own = features[batch["row"].to_numpy()]
-                p = np.exp(log_softmax(shared.value[own].sum(1)))
-                size = counts.sum(1)
-                error = counts - size[:, None] * p
-                for k in range(own.shape[1]):
-                    order = np.argsort(own[:, k], kind="stable")
-                    at, begin = np.unique(own[order, k], return_index=True)
-                    total[at] += np.add.reduceat(error[order], begin, axis=0)
-                    mass[at] += np.add.reduceat(size[order], begin)
-            yield pd.DataFrame({"gradient": [total.astype(np.float32).tobytes()], "mass": [mass.tobytes()]})
-
-        parts = table.mapInPandas(gradient, "gradient binary, mass binary").collect()  # PARTS rows of fixed size
-        total = sum((np.frombuffer(r["gradient"], np.float32).reshape(FEATURES, WIDTH).astype(float) for r in parts), np.zeros_like(weights, float))
-        mass = sum((np.frombuffer(r["mass"]) for r in parts), np.zeros(FEATURES))
+                for part, rows, blob in zip(batch["part"].tolist(), batch["rows"], batch["counts"], strict=True):  # noqa: B007
+                    own = row_features(np.frombuffer(rows, np.int64), sizes)
+                    counts = np.frombuffer(blob, np.float32).reshape(-1, sizes.width)
+                    size = counts.sum(1, keepdims=True)
+                    error = np.concatenate([counts - size * np.exp(log_softmax(shared.value[own].sum(1))), size], 1)
+                    for k in range(own.shape[1]):
+                        order = np.argsort(own[:, k], kind="stable")
+                        at, begin = np.unique(own[order, k], return_index=True)
+                        total[at] += np.add.reduceat(error[order], begin, axis=0)
+            if part is not None:
+                yield pd.DataFrame({"part": part, "slice": range(SLICES), "gradient": [total[s].tobytes() for s in slices]})
+
+        schema = "part long, slice int, gradient binary"
+        tree, left = table.mapInPandas(gradient, schema), parts
+        while left > FAN:
+            tree, left = tree.groupBy(F.floor(F.col("part") / FAN), "slice").applyInPandas(summed, schema), math.ceil(left / FAN)
+        total = np.zeros((sizes.features, sizes.width + 1), np.float32)
+        for r in tree.collect():  # FAN gradients at most, in SLICES rows each
+            total[slices[r["slice"]]] += np.frombuffer(r["gradient"], np.float32).reshape(-1, sizes.width + 1)
         shared.destroy()
-        del parts
         # a feature's gradient by its own mass, with a pull to zero that fades with the mass
-        g = (total - 4.0 * weights) / (mass + 50.0)[:, None]
+        g = (total[:, :-1] - 4.0 * weights) / (total[:, -1:] + 50.0)
         first, second = 0.8 * first + 0.2 * g, 0.95 * second + 0.05 * g * g
         move = (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-4)
         weights = (weights + rate / np.sqrt(step) * move).astype(np.float32)
@@ -246,24 +391,84 @@ def train(follows: DataFrame, updates: int = UPDATES, rate: float = 0.4) -> np.n
 
 
 class Model:
-    """Log probabilities of classes and of words within them, filled in for the rows that texts need."""
+    """Log probabilities (base 10) of classes and of words within them, kept for the rows that came up lately."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-        self.features = row_features()
-        self.logs = np.zeros((ROWS, WIDTH), np.float32)
-        self.filled = np.zeros(ROWS, bool)
+    def __init__(self, weights: np.ndarray, sizes: Sizes, kept_floats: int = KEPT_FLOATS):
+        self.weights, self.sizes = weights, sizes
+        self.capacity = max(1, kept_floats // sizes.width)
+        self.slot = np.full(sizes.rows, -1, np.int64)
+        self.logs = np.zeros((0, sizes.width), np.float32)
+        self.used = 0
 
-    def need(self, rows: np.ndarray) -> None:
-        wanted = np.zeros(ROWS, bool)
+    def __call__(self, rows: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+        wanted = np.zeros(self.sizes.rows, bool)
         wanted[rows] = True
-        fresh = np.flatnonzero(wanted & ~self.filled)
-        if len(fresh):
-            self.logs[fresh] = log_softmax(self.weights[self.features[fresh]].sum(1)) / np.log(10)
-            self.filled[fresh] = True
-
+        fresh = np.flatnonzero(wanted & (self.slot < 0))
+        if self.used + len(fresh) > self.capacity:
+            self.slot[:] = -1
+            self.used = 0
+            fresh = np.flatnonzero(wanted)
+        if self.used + len(fresh) > len(self.logs):
+            more = np.zeros((max(2 * len(self.logs), self.used + len(fresh)), self.sizes.width), np.float32)
+            more[: self.used] = self.logs[: self.used]
+            self.logs = more
+        for lo in range(0, len(fresh), 4096):
+            some = fresh[lo : lo + 4096]
+            self.logs[self.used : self.used + len(some)] = log_softmax(self.weights[row_features(some, self.sizes)].sum(1)) / np.log(10)
+            self.slot[some] = np.arange(self.used, self.used + len(some))
+            self.used += len(some)
+        return self.logs[self.slot[rows], outcomes].astype(float)
+
+
+def pair_features(texts: DataFrame, counts: DataFrame, vocabulary, tail_mass: np.ndarray) -> DataFrame:
+    """key and score: what pairs of words that recur, and their histories, add to the log of a tail word's frequency."""
+    sizes = vocabulary.value.sizes
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary.value
+        end = _Numbers(vocab)[END]
+        for batch in batches:
+            for _, b in _batches(batch, vocab, end):
+                _, history, word = b.tail_pairs(vocab, word_hash(END))
+                yield pd.DataFrame({"history": _signed(history), "word": _signed(word)})
+
+    def recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted pairs stream by; of each history the pairs that recur, and how many pairs it has in all."""
+        rows = np.zeros((0, 2), np.int64)
+
+        def found(rows: np.ndarray) -> pd.DataFrame:
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(rows)))
+            begins = np.concatenate([[True], rows[at][1:, 0] != rows[at][:-1, 0]])
+            of = np.cumsum(begins) - 1
+            total = np.bincount(of, n).astype(np.int64)
+            some = n > 1
+            history, word = rows[at][some].T.copy()
+            key = pair_key(history.view(np.uint64), word.view(np.uint64))
+            return pd.DataFrame({"history": history, "word_hash": word, "key": _signed(key), "n": n[some], "total": total[of[some]]})
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+        for batch in batches:
+            rows = np.concatenate([rows, batch.to_numpy(np.int64)])
+            last = rows[-1, 0] if len(rows) else 0
+            whole = int(np.searchsorted(rows[:, 0], last)) if len(rows) else 0  # the last history may go on
+            if whole:
+                yield found(rows[:whole])
+                rows = rows[whole:]
+        if len(rows):
+            yield found(rows)
+
+    dealt = texts.select("numbers", "rare").mapInPandas(pairs, "history long, word long").repartition("history").sortWithinPartitions("history", "word")
+    active = dealt.mapInPandas(recurring, "history long, word_hash long, key long, n long, total long")
+    mass = F.element_at(F.array(*[F.lit(float(m)) for m in tail_mass]), end_class(F.col("word"), sizes) + 1)
+    shares = counts.select(F.xxhash64("word").alias("word_hash"), ((F.col("c") + 0.5) / mass).alias("share"))
+    known = cut(active.join(shares, "word_hash").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total")))
+    histories = known.groupBy("history").agg(F.log10((1 - F.sum("p")) / (1 - F.sum("share"))).alias("rest"))
+    own = known.join(histories, "history").select("key", (F.log10(F.col("p") / F.col("share")) - F.col("rest")).alias("score"))
+    return own.unionAll(histories.select(F.col("history").alias("key"), F.col("rest").alias("score")))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, sizes: Sizes | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; one row per input row."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -272,79 +477,68 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(remainder(F.col(id_col), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False)).alias("held_out"),
     )
     counts = cut(count_words(rows))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    sizes = sizes or Sizes.of(total)
     words, word_counts = frequent_words(counts, frequent)
-    vocabulary = Vocabulary(words)
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    # totals of all training words, and of those outside the head by the class of their ending
-    end_class = F.floor(F.crc32(F.right(F.col("word"), F.lit(2)).cast("binary")) % ENDINGS / SHARED_BUCKETS).cast("int")
-    by_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(end_class.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    total = sum(n for n, _ in by_class.values())
-    distinct = sum(v for _, v in by_class.values())
-    tail = np.array([by_class.get(k, (0, 0)) for k in range(TAIL_CLASSES)], float)
-    for i, w in enumerate(words[:HEAD_WORDS]):
-        tail[ending(w) // SHARED_BUCKETS] -= (word_counts[i], 1)
-    tail_log = np.log10(tail[:, 0] + 0.5 * (tail[:, 1] + 1))
+    vocab = Vocabulary(words, word_counts, sizes)
+    vocabulary = spark.sparkContext.broadcast(vocab)
+
+    # the words outside the head by the class of their ending: smoothed total count of each class
+    by_class = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(end_class(F.col("word"), sizes).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    tail = np.array([by_class.get(k, (0, 0)) for k in range(sizes.tail_classes)], float)
+    for i, w in enumerate(words[: sizes.head_classes * sizes.width]):
+        tail[vocab.ending(w) // sizes.shared] -= (word_counts[i], 1)
+    tail_mass = tail[:, 0] + 0.5 * (tail[:, 1] + 1)
     base_log = float(np.log10(total + 0.5 * (distinct + 1)))
-    word_log = np.concatenate([np.log10(word_counts + 0.5), np.zeros(ENDINGS)])
 
-    weights = spark.sparkContext.broadcast(train(follow_counts(rows, shared)))
+    texts = encoded(rows, vocabulary)
+    training = texts.where("NOT held_out")
+    weights = spark.sparkContext.broadcast(train(follow_counts(training, vocabulary), sizes))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, model = shared.value, Model(weights.value)
-        numbers = vocab.numbers()
-        end = numbers[END]
+        vocab, model = vocabulary.value, Model(weights.value, sizes)
+        end, tail_log = _Numbers(vocab)[END], np.log10(tail_mass)
         for batch in batches:
-            texts, out = batch["text"].tolist(), []
-            for lo in range(0, len(texts), TEXTS_AT_ONCE):
-                tokens, now, before, skipped, start = stream(texts[lo : lo + TEXTS_AT_ONCE], numbers, end)
-                b = vocab.bucket[before].astype(np.int64)
-                cls, inside = vocab.cls[now], vocab.inside[now]
-                pair = b * BUCKETS + vocab.bucket[skipped]
+            for part, b in _batches(batch, vocab, end):
+                before = vocab.bucket[b.before].astype(np.int64)
+                cls, inside = vocab.cls[b.now], vocab.inside[b.now]
+                logs = model(before * sizes.buckets + vocab.bucket[b.skipped], cls)
                 h = inside >= 0
-                cell = PAIRS + b[h] * HEAD_CLASSES + cls[h]
-                model.need(pair)
-                model.need(cell)
-                logs = model.logs[pair, cls].astype(float)
-                logs[h] += model.logs[cell, inside[h]]
-                # outside the head a word's own log is added here if it is frequent, after the join if it is not
-                logs[~h] += word_log[now[~h]] - tail_log[cls[~h] - HEAD_CLASSES]
-                base = word_log[now] - base_log
-                rare = now >= vocab.size
-                ends = np.append(start[1:], len(now))
-                rare_at = np.flatnonzero(rare)
-                cuts = np.searchsorted(rare_at, np.append(start, len(now)))
-                unknown = [[tokens[i] for i in rare_at[a:z].tolist()] for a, z in zip(cuts, cuts[1:], strict=False)]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "n_tokens": ends - start,
-                            "n_known": np.add.reduceat((~rare).astype(np.int64), start),
-                            "base_score": np.add.reduceat(base, start),
-                            "score": np.add.reduceat(logs, start),
-                            "rare": unknown,
-                        }
-                    )
-                )
-                numbers.trim()
-            if out:
-                scores = pd.concat(out, ignore_index=True)
-                yield scores.assign(doc_id=batch["id"].astype("Int64").array, held_out=batch["held_out"].to_numpy())
-
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<string>, held_out boolean"
-    scored = cut(rows.mapInPandas(score, schema)).withColumn("row", F.monotonically_increasing_id())
-
-    met = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    late = met.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("logs"), F.count("c").alias("known")
-    )
-    extra = F.coalesce("logs", F.lit(0.0))
-    return scored.join(late, "row", "left").select(
-        "doc_id",
+                logs[h] += model(sizes.pairs + before[h] * sizes.head_classes + cls[h], inside[h])
+                # a tail word's own log is that of an unseen word here if it is not frequent; what is asked for below adds the rest
+                counted = vocab.log_count[b.now]
+                logs[~h] += counted[~h] - tail_log[cls[~h] - sizes.head_classes]
+                sums = (np.add.reduceat(x, b.start) for x in ((~b.rare_at).astype(np.int64), counted - base_log, logs))
+                n_known, base_score, scores = sums
+                yield pd.DataFrame({"row": batch["row"].iloc[part].to_numpy(), "n_tokens": b.lengths, "n_known": n_known, "base_score": base_score, "score": scores})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The keys of every word that is not frequent, and of every tail word after its history, and that history's."""
+        vocab = vocabulary.value
+        end, end_hash = _Numbers(vocab)[END], word_hash(END)
+        for batch in batches:
+            for part, b in _batches(batch, vocab, end):
+                of = np.repeat(batch["row"].iloc[part].to_numpy(), b.lengths)
+                at, history, word = b.tail_pairs(vocab, end_hash)
+                keys = np.concatenate([b.rare, history, pair_key(history, word)])
+                yield pd.DataFrame({"row": np.concatenate([of[b.rare_at], of[at], of[at]]), "key": _signed(keys)})
+
+    seen = F.log10(F.col("c") + F.lit(0.5)) - math.log10(0.5)
+    least = int(word_counts[-1]) if len(word_counts) else 0  # words above it are all frequent
+    told = counts.where(F.col("c") <= least).select(F.xxhash64("word").alias("key"), seen.alias("base"), seen.alias("add"), F.lit(1).alias("known"))
+    pairs = pair_features(training, counts, vocabulary, tail_mass)
+    told = cut(told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known"))))
+    asked = texts.select("row", "numbers", "rare").mapInPandas(ask, "row long, key long")
+    late = asked.join(told, "key").groupBy("row").agg(F.sum("base").alias("base"), F.sum("add").alias("add"), F.sum("known").alias("known"))
+
+    scored = texts.select("row", "numbers", "rare").mapInPandas(score, "row long, n_tokens long, n_known long, base_score double, score double")
+    out = texts.select("row", "id", "held_out").join(scored, "row").join(late, "row", "left")
+    return out.select(
+        F.col("id").alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
+        (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
     )

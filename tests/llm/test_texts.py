@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lintel.llm import html_text, maxent_lm, packing, pieces
 
@@ -115,21 +116,123 @@ def test_base_scores_against_brute_force(odd_docs, frequent):
     assert {r["train_tokens"] for r in out} == {total} and all(math.isfinite(r["score"]) for r in out)
 
 
+def test_word_hashes_are_those_of_spark(spark):
+    words = [b"", b"a", b"abc", "h\u00e9llo".encode(), b"x" * 70]
+    rows = spark.createDataFrame([(w,) for w in words], "word binary").select(F.xxhash64("word")).collect()
+    assert [r[0] % 2**64 for r in rows] == [maxent_lm.word_hash(w) for w in words]
+    sizes = maxent_lm.Sizes(64)
+    vocab = maxent_lm.Vocabulary([], np.zeros(0), sizes)
+    rows = spark.createDataFrame([(w,) for w in words], "word binary").select(maxent_lm.end_class(F.col("word"), sizes)).collect()
+    assert [r[0] for r in rows] == [vocab.ending(w) // sizes.shared for w in words]
+
+
+def _brute_scores(rows, trained, weights, sizes, frequent):
+    """log10 probability of each text, token by token, from plain counts and the weight matrix."""
+    texts = [maxent_lm.tokens_of(t) for t in rows]
+    counts = Counter(w for t, use in zip(texts, trained, strict=True) if use for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[:frequent]
+    rank = {w: i for i, w in enumerate(ranked)}
+    head = sizes.head_classes * sizes.width
+
+    def ending(w):
+        return zlib.crc32(w[-maxent_lm.ENDING_BYTES :]) % sizes.endings
+
+    def is_head(w):
+        return rank.get(w, head) < head
+
+    def bucket(w):
+        return rank[w] if rank.get(w, sizes.own) < sizes.own else sizes.own + ending(w) % sizes.shared
+
+    def cls(w):
+        return rank[w] // sizes.width if is_head(w) else sizes.head_classes + ending(w) // sizes.shared
+
+    mass = [0.5] * sizes.tail_classes
+    for w, n in counts.items():
+        if not is_head(w):
+            mass[ending(w) // sizes.shared] += n + 0.5
+    share = {w: (n + 0.5) / mass[ending(w) // sizes.shared] for w, n in counts.items() if not is_head(w)}
+    followers = {}
+    for t, use in zip(texts, trained, strict=True):
+        for before, w in zip([b"\n", *t], t, strict=False):
+            if use and not is_head(w) and bucket(before) >= sizes.own:
+                followers.setdefault((before, cls(w)), Counter())[w] += 1
+
+    def softmax(row, outcome):
+        logits = weights[maxent_lm.row_features(np.array([row]), sizes)[0]].sum(0).astype(float)
+        return math.log10(math.exp(logits[outcome]) / np.exp(logits).sum())
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for skipped, before, w in zip([b"\n", b"\n", *t], [b"\n", *t], t, strict=False):
+            total += softmax(bucket(before) * sizes.buckets + bucket(skipped), cls(w))
+            if is_head(w):
+                total += softmax(sizes.pairs + bucket(before) * sizes.head_classes + cls(w), rank[w] % sizes.width)
+                continue
+            own = share.get(w, 0.5 / mass[ending(w) // sizes.shared])
+            seen = followers.get((before, cls(w)), Counter()) if bucket(before) >= sizes.own else Counter()
+            again = {x: (n - maxent_lm.DISCOUNT) / seen.total() for x, n in seen.items() if n > 1}
+            if w in again:
+                total += math.log10(again[w])
+            elif again:
+                total += math.log10(own * (1 - sum(again.values())) / (1 - sum(share[x] for x in again)))
+            else:
+                total += math.log10(own)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [100_000, 700])
+def test_scores_against_brute_force(small, monkeypatch, frequent):
+    docs = small[0].where("doc_id < 60")
+    sizes = maxent_lm.Sizes(16)
+    kept = []
+    train = maxent_lm.train
+    monkeypatch.setattr(maxent_lm, "train", lambda *a, **k: kept.append(train(*a, **k)) or kept[-1])
+    out = maxent_lm.score_documents(docs, frequent=frequent, sizes=sizes).toPandas().set_index("doc_id")
+    rows = docs.select("doc_id", "text").toPandas()
+    trained = [zlib.crc32(str(i).encode()) % 5 != 1 for i in rows["doc_id"]]
+    expected = _brute_scores(rows["text"], trained, kept[0], sizes, frequent)
+    assert np.allclose(out.loc[rows["doc_id"], "score"], expected, rtol=1e-5)
+
+
+def test_gradients_of_many_parts_are_summed_in_a_tree(small, monkeypatch):
+    """Parts of two blobs and a fan of two give the weights that one part gives."""
+    rows = small[0].where("doc_id < 300").selectExpr("doc_id AS id", "text", "false AS held_out")
+    counts = maxent_lm.count_words(rows).toPandas().sort_values(["c", "word"], ascending=False)
+    sizes = maxent_lm.Sizes(32)
+    vocab = maxent_lm.Vocabulary([bytes(w) for w in counts["word"]], counts["c"].to_numpy(), sizes)
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    follows = maxent_lm.follow_counts(maxent_lm.encoded(rows, shared), shared).cache()
+    whole = maxent_lm.train(follows, sizes, updates=2)
+    for name, value in (("BLOB_ROWS", 128), ("PART_BLOBS", 2), ("FAN", 2)):
+        monkeypatch.setattr(maxent_lm, name, value)
+    assert np.allclose(maxent_lm.train(follows, sizes, updates=2), whole, atol=1e-3)
+
+
 def test_model_beats_the_base_on_held_out_documents(small):
     out = maxent_lm.score_documents(small[0]).toPandas()
     held = out[out["held_out"]]
-    assert held["score"].sum() > held["base_score"].sum()
+    assert (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum() > 0.15
 
 
 def test_scores_of_no_rows(no_docs):
     assert maxent_lm.score_documents(no_docs).count() == 0
 
 
+def test_the_model_grows_with_the_corpus():
+    assert [maxent_lm.Sizes.of(n).width for n in (0, 10**5, 10**7, 10**10, 10**13)] == [8, 32, 64, 256, 1024]
+
+
 def test_class_and_word_probabilities_sum_to_one():
-    model = maxent_lm.Model(np.random.default_rng(0).normal(0, 1, (maxent_lm.FEATURES, maxent_lm.WIDTH)).astype(np.float32))
-    rows = np.array([0, 5, maxent_lm.PAIRS, maxent_lm.ROWS - 1])
-    model.need(rows)
-    assert np.allclose((10 ** model.logs[rows]).sum(1), 1, atol=1e-4)
+    sizes = maxent_lm.Sizes(16)
+    weights = np.random.default_rng(0).normal(0, 1, (sizes.features, sizes.width)).astype(np.float32)
+    for kept in (10**6, 4 * sizes.width):  # also where rows do not stay
+        model = maxent_lm.Model(weights, sizes, kept)
+        for rows in ([0, 5, sizes.pairs], [sizes.rows - 1, 5, 7]):
+            at = np.repeat(rows, sizes.width)
+            p = 10 ** model(at, np.tile(np.arange(sizes.width), len(rows)))
+            assert np.allclose(p.reshape(len(rows), -1).sum(1), 1, atol=1e-4)
 
 
 PAGE = (
