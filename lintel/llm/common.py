@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read them again. Loops cut so: the planner's guess of a cut
+    table's size is that of the plan it came from, which grows from round to round; a file has the size it has."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def frequent_keys(per_key: DataFrame, count_col: str, least: int = FREQUENT_ROWS, share: int = FREQUENT_SHARE) -> tuple[DataFrame, DataFrame]:
     """The rows of frequent keys (fewer than ``share``, so they may be broadcast) and all others; one row per key comes in."""
     total = per_key.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]

@@ -44,24 +44,29 @@ def _neighbour_runs(rows: DataFrame, key: list[str]) -> DataFrame:
     return starts.withColumn("run", F.sum(F.col("starts").cast("int")).over(by_content.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def content_runs(docs: DataFrame, id_col: str, text_col: str, whole_run: int = WHOLE_RUN) -> tuple[DataFrame, DataFrame]:
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """id, the start and the digest of the normalised text, and the carried columns; cut and numbered by place."""
+    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"), *carried)
+    others = [c for c in norm.columns if c not in ("id", "norm")]
+    rows = cut(norm.select("id", F.substring("norm", 1, KEY_CHARS).alias("head"), digest(F.col("norm")).alias("sha"), *others))
+    return rows.withColumn("number", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
+
+
+def content_runs(rows: DataFrame, whole_run: int = WHOLE_RUN) -> tuple[DataFrame, DataFrame]:
     """The rows with what neighbours found in their run, and one row for each frequent text.
 
-    Rows: id, sha, salt (null: not frequent), first (of its run), run_min, run_size. Texts: sha, keep_id,
-    group_size, keep_salt.
+    In come number, id, head, sha and norm. Rows: number, id, sha, salt (null: not frequent), first (of its
+    run), run_min, run_size. Texts: sha, keep_id, group_size, keep_salt.
     """
-    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    rows = cut(norm.select("id", "norm", F.substring("norm", 1, KEY_CHARS).alias("head"), digest(F.col("norm")).alias("sha")))
     often, _ = frequent_keys(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")), "n", whole_run)
     often = often.select("sha", F.ceil(F.sqrt("n")).cast("int").alias("salts"))
-    # rows are numbered where they lie in the cut table, which does not change when a task is run again
-    dealt = rows.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(often), "sha", "left")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")).drop("number", "salts")
+    dealt = rows.join(F.broadcast(often), "sha", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")).drop("salts")
 
     key = ["head", "sha", "salt"]
     run = Window.partitionBy(*key, "run")
     marked = _neighbour_runs(dealt, key).select(
-        "id", *key, "run", F.col("starts").alias("first"), F.when(F.col("starts") & F.col("salt").isNotNull(), F.col("norm")).alias("norm")
+        "number", "id", *key, "run", F.col("starts").alias("first"), F.when(F.col("starts") & F.col("salt").isNotNull(), F.col("norm")).alias("norm")
     )
     runs = cut(marked.withColumns({"run_min": F.min("id").over(run), "run_size": F.count(F.lit(1)).over(run)}).drop("run"))
 
@@ -72,27 +77,30 @@ def content_runs(docs: DataFrame, id_col: str, text_col: str, whole_run: int = W
     return runs.drop("norm", "head"), texts.select("sha", F.col("keeper.id").alias("keep_id"), "group_size", F.col("keeper.salt").alias("keep_salt"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_run: int = WHOLE_RUN) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs, texts = content_runs(docs, id_col, text_col, whole_run)
+def _verdicts(rows: DataFrame, whole_run: int) -> DataFrame:
+    """number, id, sha, keep_id, group_size and kept of each row."""
+    runs, texts = content_runs(rows, whole_run)
     met = runs.join(F.broadcast(texts), "sha", "left")  # frequent texts only, fewer than FREQUENT_SHARE
     dealt = F.col("salt").isNotNull()
     return met.select(
-        F.col("id").alias("doc_id"),
+        "number",
+        "id",
+        "sha",
         F.when(dealt, F.col("keep_id")).otherwise(F.col("run_min")).alias("keep_id"),
         F.when(dealt, F.col("group_size")).otherwise(F.col("run_size")).cast("long").alias("group_size"),
         (F.col("first") & (~dealt | (F.col("salt") == F.col("keep_salt")))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
     )
 
 
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_run: int = WHOLE_RUN) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows = keyed_rows(docs, id_col, text_col, normalised(text_col).alias("text")).withColumnRenamed("text", "norm")
+    found = _verdicts(rows, whole_run)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Rows that agree in identifier and text stay once."""
-    kept = (
-        exact_duplicates(docs, id_col, text_col)
-        .where("kept")
-        .select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    )
-    named = docs.select(whole_row(docs, "_row"), F.col(id_col).alias("_id"), digest(normalised(text_col)).alias("_sha"))
-    joined = named.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return joined.groupBy("_sha", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
+    """The rows that stay, one of each text, with all their columns."""
+    rows = keyed_rows(docs, id_col, text_col, whole_row(docs))
+    found = _verdicts(rows.select("number", "id", "head", "sha", normalised(F.col("row").getField(text_col)).alias("norm")), WHOLE_RUN)
+    return rows.join(found.where("kept").select("number"), "number", "left_semi").select("row.*")

@@ -14,8 +14,9 @@ words, and how often each class or head word follows each pair of histories. ``w
 histories, classes, head words and features, grows with the number of training tokens (``Sizes``).
 Word counts and pair features stay partitioned tables: scoring asks them by a join on hashed keys, of
 which frequent ones may be dealt anew by adaptive execution. The weight matrix is trained by
-gradients over parts of the table of what follows what; from ``FAN`` parts on they are summed in a tree
-before the driver adds up what is left. Only the ``FREQUENT`` most frequent words go to the workers as numbers.
+gradients over parts of the table of what follows what. A part holds the softmaxes whose n-gram features
+fall into its share of the matrix, so the driver gets each of those rows once; the few features that
+parts have in common are summed in a tree where there are many parts. Only the ``FREQUENT`` most frequent words go to the workers as numbers.
 
 Defined results: null or empty text has the end token alone; a null id is not held out and is
 learned from; rows that repeat get the same scores each; an empty table gives an empty result;
@@ -54,17 +55,18 @@ ENDING_BYTES = 3
 DISCOUNT = 0.75
 #: Floats of the rows of probabilities that a scoring task keeps.
 KEPT_FLOATS = 1 << 24
-#: Rows of the table of what follows what in one blob, and blobs in a part.
-BLOB_ROWS, PART_BLOBS = 1024, 16
-#: Gradients that one step of the tree, or the driver, sums, and slices of a gradient.
-FAN, SLICES = 8, 16
+#: Softmaxes in a part of the table of what follows what, and rows of the matrix that are updated together.
+PART_ROWS, UPDATE_ROWS = 8192, 2048
+#: Gradients of common features that one step of the tree, or the driver, sums.
+FAN = 8
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """How large the model is, by one number."""
+    """How large the model is, by one number; and in how many parts it is trained."""
 
     width: int
+    part_rows: int = PART_ROWS
 
     @staticmethod
     def of(tokens: int) -> Sizes:
@@ -107,8 +109,22 @@ class Sizes:
 
     @property
     def features(self) -> int:
+        """Rows of the weight matrix; one more, of zeros, fills up."""
         return 128 * self.width
 
+    @property
+    def common(self) -> int:
+        """Of these, the first hold biases and features of one history, which many softmaxes share."""
+        return 8 * self.width
+
+    @property
+    def parts(self) -> int:
+        return math.ceil(self.rows / self.part_rows)
+
+    def part_of(self, feature: np.ndarray) -> np.ndarray:
+        """The part of a feature that few softmaxes share."""
+        return (feature - self.common) * self.parts // (self.features - self.common)
+
 
 def tokens_of(text: str | None) -> list[bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()  # at the six separators
@@ -130,20 +146,20 @@ def word_hash(word: bytes) -> int:
 
 
 def row_features(rows: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Hashed feature numbers of softmaxes: of pairs of histories, then of history and class."""
+    """Hashed feature numbers of softmaxes (of pairs of histories, then of history and class); the last is its n-gram's."""
 
-    def hashed(kind: int, value: np.ndarray) -> np.ndarray:
+    def hashed(kind: int, value: np.ndarray, low: int, high: int) -> np.ndarray:
         number = mixed(value.astype(np.uint64) + np.uint64(kind << 40))
-        return (number % np.uint64(sizes.features)).astype(np.int64)
+        return low + (number % np.uint64(high - low)).astype(np.int64)
 
-    out = np.zeros((len(rows), 4), np.int64)
+    out = np.full((len(rows), 4), sizes.features, np.int64)
     is_pair = rows < sizes.pairs
-    pair = rows[is_pair]
-    before, skipped = pair // sizes.buckets, pair % sizes.buckets
-    out[is_pair] = np.stack([hashed(0, 0 * pair), hashed(1, before), hashed(2, skipped), hashed(3, pair)], 1)
-    cell = rows[~is_pair] - sizes.pairs
-    before, inside = cell // sizes.head_classes, cell % sizes.head_classes
-    out[~is_pair] = np.stack([hashed(4, inside), hashed(5, cell), hashed(6, before), hashed(7, cell)], 1)
+    pair, cell = rows[is_pair], rows[~is_pair] - sizes.pairs
+    for column, value in enumerate((0 * pair, pair // sizes.buckets, pair % sizes.buckets)):
+        out[is_pair, column] = hashed(column, value, 0, sizes.common)
+    out[is_pair, 3] = hashed(3, pair, sizes.common, sizes.features)
+    out[~is_pair, 0] = hashed(4, cell % sizes.head_classes, 0, sizes.common)
+    out[~is_pair, 3] = hashed(5, cell, sizes.common, sizes.features)
     return out
 
 
@@ -320,73 +336,82 @@ def follow_counts(texts: DataFrame, vocabulary) -> DataFrame:
 
 def follow_blobs(follows: DataFrame, sizes: Sizes) -> DataFrame:
     """part, and blobs of row numbers and their counts of every outcome; cut."""
-    parts = max(1, math.ceil(sizes.rows / (BLOB_ROWS * PART_BLOBS)))
-    row = F.floor(F.col("cell") / sizes.width)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A blob holds rows of one block; what a later batch adds to it comes in a blob of its own."""
+        """A row that goes on in a later batch comes up again there: gradients are linear in counts."""
         for batch in batches:
-            cell, n = batch["cell"].to_numpy(), batch["n"].to_numpy()
-            block = cell // (sizes.width * BLOB_ROWS)
-            for b in np.unique(block).tolist():
-                mine = block == b
-                rows, at = np.unique(cell[mine] // sizes.width, return_inverse=True)
-                counts = np.zeros((len(rows), sizes.width), np.float32)
-                counts[at, cell[mine] % sizes.width] = n[mine]
-                yield pd.DataFrame({"part": [b // PART_BLOBS], "rows": [rows.tobytes()], "counts": [counts.tobytes()]})
+            cell = batch["cell"].to_numpy()
+            rows, at = np.unique(cell // sizes.width, return_inverse=True)
+            part = sizes.part_of(row_features(rows, sizes)[:, 3])
+            counts = np.zeros((len(rows), sizes.width), np.float32)
+            counts[at, cell % sizes.width] = batch["n"].to_numpy()
+            held = [(p, part == p) for p in np.unique(part).tolist()]
+            yield pd.DataFrame({"part": [p for p, _ in held], "rows": [rows[m].tobytes() for _, m in held], "counts": [counts[m].tobytes() for _, m in held]})
 
-    block = F.floor(row / BLOB_ROWS)
-    ordered = follows.repartition(parts, block).sortWithinPartitions("cell")
-    return cut(ordered.mapInPandas(gather, "part long, rows binary, counts binary"))
+    ordered = follows.repartition(F.floor(F.col("cell") / sizes.width)).sortWithinPartitions("cell")
+    blobs = ordered.mapInPandas(gather, "part long, rows binary, counts binary")
+    return cut(blobs.repartition(sizes.parts, "part")).coalesce(sizes.parts)  # of a cut table that is as large as the model
 
 
 def train(follows: DataFrame, sizes: Sizes, updates: int = UPDATES, rate: float = 0.4) -> np.ndarray:
     """The weight matrix after gradient updates over the whole table of what follows what."""
     spark = follows.sparkSession
-    parts = math.ceil(sizes.rows / (BLOB_ROWS * PART_BLOBS))
-    table = follow_blobs(follows, sizes).coalesce(parts)  # of a cut table that is as large as the model
-    shape = (sizes.features, sizes.width)
-    weights, first, second = (np.zeros(shape, np.float32) for _ in range(3))
-    slices = np.array_split(np.arange(sizes.features), SLICES)
+    table = follow_blobs(follows, sizes)
+    weights, first, second = (np.zeros((sizes.features + 1, sizes.width), np.float32) for _ in range(3))
+    schema = "common boolean, part long, low long, gradient binary"
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(part["gradient"].iloc[0], np.float32).copy()
         for blob in part["gradient"].iloc[1:]:
             total += np.frombuffer(blob, np.float32)
-        return pd.DataFrame({"part": [part["part"].iloc[0] // FAN], "slice": [part["slice"].iloc[0]], "gradient": [total.tobytes()]})
+        last = part.iloc[:1]
+        return last.assign(part=last["part"] // FAN if last["common"].iloc[0] else last["part"], gradient=[total.tobytes()])
 
     for step in range(1, updates + 1):
         shared = spark.sparkContext.broadcast(weights)
 
         def gradient(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             # the last column is the features' mass
-            total, part = np.zeros((sizes.features, sizes.width + 1), np.float32), None
+            totals, common, part = {}, np.zeros((sizes.common, sizes.width + 1), np.float32), 0
             for batch in batches:
-                for part, rows, blob in zip(batch["part"].tolist(), batch["rows"], batch["counts"], strict=True):  # noqa: B007
+                for part, rows, blob in zip(batch["part"].tolist(), batch["rows"], batch["counts"], strict=True):
                     own = row_features(np.frombuffer(rows, np.int64), sizes)
                     counts = np.frombuffer(blob, np.float32).reshape(-1, sizes.width)
                     size = counts.sum(1, keepdims=True)
                     error = np.concatenate([counts - size * np.exp(log_softmax(shared.value[own].sum(1))), size], 1)
                     for k in range(own.shape[1]):
-                        order = np.argsort(own[:, k], kind="stable")
+                        real = np.flatnonzero(own[:, k] < sizes.features)
+                        order = real[np.argsort(own[real, k], kind="stable")]
                         at, begin = np.unique(own[order, k], return_index=True)
-                        total[at] += np.add.reduceat(error[order], begin, axis=0)
-            if part is not None:
-                yield pd.DataFrame({"part": part, "slice": range(SLICES), "gradient": [total[s].tobytes() for s in slices]})
-
-        schema = "part long, slice int, gradient binary"
-        tree, left = table.mapInPandas(gradient, schema), parts
+                        if len(at):
+                            sums = np.add.reduceat(error[order], begin, axis=0)
+                            if k < 3:
+                                common[at] += sums
+                            else:
+                                low, high = np.searchsorted(sizes.part_of(np.arange(sizes.common, sizes.features)), [part, part + 1]) + sizes.common
+                                totals.setdefault((part, int(low)), np.zeros((high - low, sizes.width + 1), np.float32))[at - low] += sums
+            rows = [(False, p, low, total.tobytes()) for (p, low), total in totals.items()]
+            if rows:
+                yield pd.DataFrame([*rows, (True, part, 0, common.tobytes())], columns=["common", "part", "low", "gradient"])
+
+        tree, left = table.mapInPandas(gradient, schema), sizes.parts
         while left > FAN:
-            tree, left = tree.groupBy(F.floor(F.col("part") / FAN), "slice").applyInPandas(summed, schema), math.ceil(left / FAN)
-        total = np.zeros((sizes.features, sizes.width + 1), np.float32)
-        for r in tree.collect():  # FAN gradients at most, in SLICES rows each
-            total[slices[r["slice"]]] += np.frombuffer(r["gradient"], np.float32).reshape(-1, sizes.width + 1)
+            group = F.when(F.col("common"), F.floor(F.col("part") / FAN)).otherwise(F.col("part"))
+            tree, left = tree.groupBy("common", group, "low").applyInPandas(summed, schema), math.ceil(left / FAN)
+        total = np.zeros((sizes.features + 1, sizes.width + 1), np.float32)
+        for r in tree.collect():  # the matrix once, and its common rows FAN times at most
+            some = np.frombuffer(r["gradient"], np.float32).reshape(-1, sizes.width + 1)
+            total[r["low"] : r["low"] + len(some)] += some
         shared.destroy()
-        # a feature's gradient by its own mass, with a pull to zero that fades with the mass
-        g = (total[:, :-1] - 4.0 * weights) / (total[:, -1:] + 50.0)
-        first, second = 0.8 * first + 0.2 * g, 0.95 * second + 0.05 * g * g
-        move = (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-4)
-        weights = (weights + rate / np.sqrt(step) * move).astype(np.float32)
+        for lo in range(0, sizes.features, UPDATE_ROWS):
+            at = slice(lo, min(lo + UPDATE_ROWS, sizes.features))
+            # a feature's gradient by its own mass, with a pull to zero that fades with the mass
+            g = (total[at, :-1] - 4.0 * weights[at]) / (total[at, -1:] + 50.0)
+            first[at] = 0.8 * first[at] + 0.2 * g
+            second[at] = 0.95 * second[at] + 0.05 * g * g
+            move = (first[at] / (1 - 0.8**step)) / (np.sqrt(second[at] / (1 - 0.95**step)) + 1e-4)
+            weights[at] += (rate / np.sqrt(step) * move).astype(np.float32)
+        del total
     return weights
 
 

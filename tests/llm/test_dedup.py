@@ -33,7 +33,8 @@ def test_exact_duplicates_against_brute_force(odd_docs, whole_run):
 def test_neighbours_find_the_groups(small):
     """Nearly all groups of equal texts meet as neighbours in one run; only frequent texts need the second sort."""
     docs, _, pdf, _ = small
-    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text", whole_run=4)
+    rows = exact_dedup.keyed_rows(docs, "doc_id", "text", exact_dedup.normalised("text").alias("text")).withColumnRenamed("text", "norm")
+    runs, texts = exact_dedup.content_runs(rows, whole_run=4)
     sizes = pdf["text"].map(_norm).value_counts()
     met = {r["sha"]: r["run_size"] for r in runs.where("first AND salt IS NULL AND run_size > 1").collect()}
     again = {r["sha"]: r["group_size"] for r in texts.collect()}
@@ -41,14 +42,15 @@ def test_neighbours_find_the_groups(small):
     assert {**met, **again} == groups and not met.keys() & again.keys()
     assert again == {k: n for k, n in groups.items() if n > 4}
     assert len(met) >= 0.8 * len(groups)
-    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text")  # as in production
+    runs, texts = exact_dedup.content_runs(rows)  # as in production
     assert runs.where("first AND run_size > 1").count() >= 0.95 * len(groups) and texts.count() == 0
 
 
 def test_a_text_of_a_third_of_all_rows_is_dealt_over_runs(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text' ELSE concat('text ', id) END AS text")
     docs = docs.unionAll(docs.where("doc_id = 6").selectExpr("CAST(NULL AS LONG)", "text"))
-    runs, texts = exact_dedup.content_runs(docs, "doc_id", "text")
+    rows = exact_dedup.keyed_rows(docs, "doc_id", "text", exact_dedup.normalised("text").alias("text")).withColumnRenamed("text", "norm")
+    runs, texts = exact_dedup.content_runs(rows)
     assert runs.where("first AND salt IS NOT NULL").count() == 32 and runs.agg({"run_size": "max"}).first()[0] < 100
     assert [tuple(r)[1:3] for r in texts.collect()] == [(0, 1001)]
     out = exact_dedup.exact_duplicates(docs)

@@ -197,7 +197,7 @@ def test_scores_against_brute_force(small, monkeypatch, frequent):
 
 
 def test_gradients_of_many_parts_are_summed_in_a_tree(small, monkeypatch):
-    """Parts of two blobs and a fan of two give the weights that one part gives."""
+    """Many parts and a fan of two give the weights that one part gives."""
     rows = small[0].where("doc_id < 300").selectExpr("doc_id AS id", "text", "false AS held_out")
     counts = maxent_lm.count_words(rows).toPandas().sort_values(["c", "word"], ascending=False)
     sizes = maxent_lm.Sizes(32)
@@ -205,9 +205,10 @@ def test_gradients_of_many_parts_are_summed_in_a_tree(small, monkeypatch):
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
     follows = maxent_lm.follow_counts(maxent_lm.encoded(rows, shared), shared).cache()
     whole = maxent_lm.train(follows, sizes, updates=2)
-    for name, value in (("BLOB_ROWS", 128), ("PART_BLOBS", 2), ("FAN", 2)):
-        monkeypatch.setattr(maxent_lm, name, value)
-    assert np.allclose(maxent_lm.train(follows, sizes, updates=2), whole, atol=1e-3)
+    monkeypatch.setattr(maxent_lm, "FAN", 2)
+    many = maxent_lm.Sizes(32, part_rows=300)
+    assert many.parts > 8
+    assert np.allclose(maxent_lm.train(follows, many, updates=2), whole, atol=1e-3)
 
 
 def test_model_beats_the_base_on_held_out_documents(small):
@@ -226,7 +227,7 @@ def test_the_model_grows_with_the_corpus():
 
 def test_class_and_word_probabilities_sum_to_one():
     sizes = maxent_lm.Sizes(16)
-    weights = np.random.default_rng(0).normal(0, 1, (sizes.features, sizes.width)).astype(np.float32)
+    weights = np.random.default_rng(0).normal(0, 1, (sizes.features + 1, sizes.width)).astype(np.float32)
     for kept in (10**6, 4 * sizes.width):  # also where rows do not stay
         model = maxent_lm.Model(weights, sizes, kept)
         for rows in ([0, 5, sizes.pairs], [sizes.rows - 1, 5, 7]):
