@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences by bounded-space online best fit.
 
 Documents are tokenised, ended with a separator and cut into pieces of at most one sequence. The
-pieces are dealt over parts by a hash of their document, in parts of about ``PIECES_PER_PART``, and
-each part is packed on its own as its pieces come, in random waves, the longest of a wave first: a
+pieces are dealt over parts by a hash of their place in the cut table (not of their document, which many
+rows may share), in parts of about ``PIECES_PER_PART``, and each part is packed on its own as its pieces come, in random waves, the longest of a wave first: a
 fixed number of bins is open, a bitset keyed by
 free space names the tightest bin that still fits, and when no more bins may open the fullest one
 closes. Pieces that fill a sequence pass through.
@@ -190,10 +190,10 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OP
     count = kept.count()
     parts = max(1, -(-count // per_part))
     waves = max(1, round(count / parts / WAVE))
-    dealt = kept.withColumns(
-        {"part": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"), "wave": F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(waves))}
-    )
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "wave", F.col("length").desc(), "doc_id", "piece").drop("wave")
+    placed = kept.withColumn("place", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
+    dealt = placed.withColumns({"part": F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"), "wave": F.pmod(F.xxhash64("place", F.lit(1)), F.lit(waves))}).drop("place")
+    # ranges of part numbers, so that no two parts share a task by the luck of a hash
+    dealt = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "wave", F.col("length").desc(), "doc_id", "piece").drop("wave")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, current = OpenBins(sequence, open_bins), None

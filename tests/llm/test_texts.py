@@ -78,6 +78,13 @@ def test_open_bins_take_the_tightest_and_close_the_fullest():
     assert bins.place(1) == (3, 9)
 
 
+def test_one_id_for_all_pieces_is_dealt_over_parts(spark):
+    pieces = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "1 + id % 900 AS length", "0L AS ids_crc32")
+    out = packing.pack_pieces(pieces, per_part=500).toPandas()
+    by_part = (out["sequence_id"] // 2**40).value_counts()
+    assert len(by_part) == 8 and by_part.min() > 300 and len(out) == 4000
+
+
 def test_packing_fills_sequences(small):
     docs = small[0]
     out = packing.pack_documents(docs, WORDS).toPandas()
