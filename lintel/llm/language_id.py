@@ -3,9 +3,9 @@
 A text is its UTF-8 bytes, cut into windows of ``WINDOW`` bytes that cover it whole. Each byte has
 a short vector; filters of several widths run over a window, the maximum of each over the window
 feeds a softmax over the languages met in training. A text's probabilities are the geometric mean
-of its windows'. Training takes a bounded sample of labelled texts (the smallest id hashes, at most
-``LABELLED_ROWS`` rows, ``ROWS_PER_LANGUAGE`` of a language) and ``WINDOWS_PER_TEXT`` windows of each;
-prediction is an independent map over all rows.
+of its windows'. Training takes all windows of a bounded sample of labelled texts (the smallest id
+hashes, at most ``LABELLED_ROWS`` rows, ``ROWS_PER_LANGUAGE`` of a language); of documents that repeat an
+id one is learned from. Prediction is an independent map over all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a null id is never
 held out and not learned from; rows without a language are not learned from; without learned
@@ -30,15 +30,13 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 VECTOR = 8
 #: Bounds on the labelled rows that the network learns from.
-LABELLED_ROWS = 6_000
-ROWS_PER_LANGUAGE = 1_024
+LABELLED_ROWS = 2_048
+ROWS_PER_LANGUAGE = 512
 SALTS = 64
-WINDOWS_PER_TEXT = 3
 EPOCHS = 6
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 #: Windows that run through the filters together.
 WINDOWS_AT_ONCE = 64
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Byte 256 fills the last window of a text.
@@ -199,16 +197,10 @@ def train(texts: list[str], languages: list[str]) -> ByteConvolution | None:
     names = sorted(set(languages))
     if not names:
         return None
-    rows, truth = [], []
-    rng = np.random.default_rng(4)
-    for text, language in zip(texts, languages, strict=True):
-        windows = windows_of(text)
-        if len(windows) > WINDOWS_PER_TEXT:
-            windows = windows[rng.choice(len(windows), WINDOWS_PER_TEXT, replace=False)]
-        rows.append(windows)
-        truth += [names.index(language)] * len(windows)
+    rows = [windows_of(text) for text in texts]
+    truth = np.repeat([names.index(language) for language in languages], [len(r) for r in rows])
     network = ByteConvolution(names)
-    network.fit(np.concatenate(rows), np.array(truth))
+    network.fit(np.concatenate(rows), truth)
     return network
 
 
@@ -232,29 +224,15 @@ def identify_language(
     first = hashed.withColumn("n", rank).where(F.col("n") <= max(1, rows_per_language // SALTS))
     chosen = first.orderBy("n", "salt", "lang").limit(labelled_rows).select("id", F.col("lang").alias("language"))
 
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # windows are drawn where the texts are, so that long texts do not travel
-        for batch in batches:
-            parts = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                rng = np.random.default_rng(int(i) & (2**63 - 1))
-                if len(raw) <= WINDOWS_PER_TEXT * WINDOW:
-                    parts.append(raw)
-                else:
-                    at = np.sort(rng.choice(len(raw) // WINDOW, WINDOWS_PER_TEXT, replace=False)) * WINDOW
-                    parts.append(b"".join(raw[a : a + WINDOW] for a in at))
-            yield pd.DataFrame({"id": batch["id"], "raw": parts, "language": batch["language"]})
+    drawn = rows.join(F.broadcast(chosen), "id").where("lang = language").groupBy("id", "language").agg(F.min("text").alias("text"))
+    learned = sorted((r["id"], r["text"], r["language"]) for r in drawn.toLocalIterator())  # labelled_rows rows at most
+    network = train([text for _, text, _ in learned], [language for _, _, language in learned])
 
-    drawn = rows.join(F.broadcast(chosen), "id").where("lang = language").select("id", "text", "language").mapInPandas(starts, "id long, raw binary, language string")
-    learned = sorted((r["id"], bytes(r["raw"]), r["language"]) for r in drawn.limit(labelled_rows).toLocalIterator())
-    network = train([raw.decode("utf-8", "ignore") for _, raw, _ in learned], [language for _, _, language in learned])
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            names, scores = network.predict(texts) if network else (["und"] * len(texts), np.zeros(len(texts)))
-            yield pd.DataFrame({"doc_id": batch["id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": names, "score": scores})
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, scores = network.predict(texts.tolist()) if network else (["und"] * len(texts), np.zeros(len(texts)))
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     held_out = F.coalesce(remainder(F.col("id"), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
-    return rows.select("id", "text", held_out.alias("held_out")).mapInPandas(predict, SCHEMA)
+    return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), predict("text").alias("found")).select("doc_id", "held_out", "found.*")
