@@ -1,58 +1,99 @@
 """Licence notices found by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Those with a word of licensing in them become sets of word
-1- and 2-grams; a sparse multinomial logistic regression, trained on notice templates, versions of
-them with words missing, and lines about licences that are no known notice, gives each a family or
-the class ``unknown``. A family stands if its probability reaches a threshold calibrated on the
-training lines, and if the paragraph holds enough of the 2-grams of one of the family's templates.
-Training uses the DataFrame-based machine learning API over the templates alone; scoring joins
-n-grams with the table of weights, whose size the templates bound. DataFrame functions only.
-
-Defined results: null or empty text has no notice; a null id is kept, and rows that repeat an id
-share the notices of all of them; an empty table gives an empty result; other columns are ignored
-whatever their names.
+A text is taken apart into paragraphs (runs of lines that are not blank, joined by a space once marks
+of comments are off) and into single lines. Both become sets of word 1- and 2-grams; a sparse
+multinomial logistic regression, trained on notice wordings, versions of them with words missing, and
+lines about licences that are no known notice, gives each a family or the class ``unknown``. A family
+stands if its probability reaches a threshold calibrated on versions that were held out of training, and
+if the paragraph holds enough of the 2-grams of one of the family's templates. A paragraph counts
+where none of its own lines stands for the same family already.
+
+Only paragraphs that can be confirmed are scored: whoever holds ``CONFIRM`` of a template's 2-grams
+lacks no more of its words than the rest, so it holds one of the template's longest words, which are
+rare in other texts, if enough of those are asked for (``screen_words``). Training uses the DataFrame-based machine
+learning API over the templates alone; scoring joins n-grams with the table of weights, whose size the
+templates bound. DataFrame functions only.
+
+Defined results: null or empty text has no notice; a null id is kept, rows that repeat an id each have
+the notices of their own text; a notice that recurs in a text counts each time; families with equal
+probability go by name; an empty table gives an empty result; other columns are ignored whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintel.llm.common import cut, frequent_keys
+
 UNKNOWN = "unknown"
 #: Share of a template's 2-grams that a confirmed paragraph holds.
 CONFIRM = 0.75
-#: Share of correctly classified training lines that the calibrated threshold accepts.
+#: Share of rightly classified held-out versions that the calibrated threshold accepts.
 ACCEPT = 0.99
-#: A paragraph is looked at if it has one of these.
-GATE = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|free software|public domain|creative commons|\bgnu\b|\bgpl|apache|\bmit\b|\bbsd\b|mozilla"
+#: Of the versions of a line that lack a word, one in so many calibrates and does not train.
+HELD_OUT = 4
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Marks of comments and quotes at the start of a line, and at its end.
+MARKS = r"^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|>+|\|)(?=\s|$))?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 
 # Notice wordings as their licences publish them.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AFL-3.0", "Licensed under the Academic Free License version 3.0."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Artistic-2.0", "This program is free software; you may redistribute it and/or modify it under the terms of the Artistic License, version 2.0."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, version 1.2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Released under the ISC License."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MS-PL", "Licensed under the Microsoft Public License."),
+    ("NCSA", "Released under the University of Illinois Open Source License."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("PostgreSQL", "Released under the PostgreSQL License."),
+    ("Python-2.0", "Licensed under the Python Software Foundation License Version 2."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("WTFPL", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "Released under the zlib License."),
 )
 #: Lines about licences that are no known notice.
 OTHER_LINES = (
@@ -73,10 +114,8 @@ OTHER_LINES = (
 )
 
 
-def grams(text: Column) -> Column:
-    """Distinct word 1- and 2-grams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    return F.array_distinct(F.concat(words, pairs(words)))
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
 def pairs(words: Column) -> Column:
@@ -85,83 +124,140 @@ def pairs(words: Column) -> Column:
     )
 
 
+def grams(text: Column) -> Column:
+    """Distinct word 1- and 2-grams."""
+    return F.array_distinct(F.concat(words_in(text), pairs(words_in(text))))
+
+
 def training_lines(spark: SparkSession) -> DataFrame:
-    """family and the grams of every template, of its versions with one word missing, and of the other lines."""
+    """family, grams and held_out of every template, of its versions with one word missing, and of the other lines."""
     lines = spark.createDataFrame([*TEMPLATES, *[(UNKNOWN, t) for t in OTHER_LINES]], "family string, line string")
-    words = lines.select("family", F.regexp_extract_all(F.lower("line"), F.lit(f"({TOKEN})"), 1).alias("words"))
+    words = lines.select("family", words_in(F.col("line")).alias("words"))
     cuts = F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), F.size("words") - 1))
     some = words.select("family", "words", F.explode(cuts).alias("cut"))
     left = F.filter(F.transform("words", lambda w, i: F.when(i != F.col("cut"), w)), lambda w: w.isNotNull())
-    return some.select("family", F.concat_ws(" ", left).alias("line")).select("family", grams(F.col("line")).alias("grams"))
-
-
-def train(spark: SparkSession) -> tuple[DataFrame, list[str], list[float], float]:
-    """Weights by gram, the families in their order, their intercepts, and the calibrated threshold."""
-    families = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
-    number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    lines = training_lines(spark).withColumn("label", number.cast("double"))
-    words = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(lines)
-    model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(words.transform(lines))
-    matrix = model.coefficientMatrix.toArray()
-    weights = [(gram, [float(x) for x in matrix[:, j]]) for j, gram in enumerate(words.vocabulary)]
-    table = spark.createDataFrame(weights, "gram string, weights array<double>")
-    scored = classify(lines.withColumn("key", F.monotonically_increasing_id()), table, families, [float(x) for x in model.interceptVector], ["family"])
-    right = scored.where((F.col("predicted") == F.col("family")) & (F.col("family") != UNKNOWN))
-    threshold = right.agg(F.percentile("probability", 1 - ACCEPT)).first()[0]
-    return table, families, [float(x) for x in model.interceptVector], float(threshold)
-
-
-def classify(lines: DataFrame, weights: DataFrame, families: list[str], intercepts: list[float], carried: list[str]) -> DataFrame:
-    """Predicted family and its probability for rows of key and grams."""
-    n = len(families)
-    hits = lines.select("key", *carried, F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
-    sums = [F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)).alias(f"m{k}") for k in range(n)]
-    margins = hits.groupBy("key", *carried).agg(*sums).withColumn(
-        "margins", F.array(*[F.col(f"m{k}") + F.lit(intercepts[k]) for k in range(n)])
-    )
-    top = F.array_max("margins")
-    mass = F.aggregate("margins", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    at = F.array_position("margins", top)
-    return margins.select(
-        "key",
-        *carried,
-        F.element_at(F.array(*[F.lit(f) for f in families]), at.cast("int")).alias("predicted"),
-        (F.lit(1.0) / mass).alias("probability"),
-    )
+    held_out = F.pmod(F.col("cut"), F.lit(HELD_OUT)) == 1
+    versions = some.select("family", held_out.alias("held_out"), F.concat_ws(" ", left).alias("line"))
+    # without its one word a wording can be another family's: then it is not a version of this one
+    whole = words.select(F.col("family").alias("owner"), F.concat_ws(" ", "words").alias("owned"))
+    versions = versions.join(whole, (F.col("line") == F.col("owned")) & (F.col("family") != F.col("owner")), "left_anti")
+    return versions.select("family", "held_out", grams(F.col("line")).alias("grams"))
+
+
+class Classifier:
+    """Weights of each family by gram, intercepts, and the calibrated threshold."""
 
+    def __init__(self, spark: SparkSession):
+        self.families = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
+        number = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")) - 1
+        lines = training_lines(spark).withColumn("label", number.cast("double")).cache()  # a few thousand inline rows
+        trained = lines.where("NOT held_out")
+        words = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(trained)
+        model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(words.transform(trained))
+        matrix = model.coefficientMatrix.toArray()
+        self.weights = {gram: [float(x) for x in matrix[:, j]] for j, gram in enumerate(words.vocabulary)}
+        self.intercepts = [float(x) for x in model.interceptVector]
+        held = self.classify(lines.where("held_out").withColumn("key", F.monotonically_increasing_id()), ["family"])
+        right = held.where((F.col("predicted") == F.col("family")) & (F.col("family") != UNKNOWN))
+        self.threshold = float(right.agg(F.percentile("probability", 1 - ACCEPT)).first()[0])
+        lines.unpersist()
 
-def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line and family of every distinct notice."""
+    def classify(self, lines: DataFrame, carried: list[str]) -> DataFrame:
+        """Predicted family and its probability for rows of key and grams."""
+        families, intercepts = self.families, self.intercepts
+        weights = lines.sparkSession.createDataFrame(list(self.weights.items()), "gram string, weights array<double>")
+        hits = lines.select("key", *carried, F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
+        sums = [F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)).alias(f"m{k}") for k in range(len(families))]
+        firsts = [F.first(c).alias(c) for c in carried]
+        margins = hits.groupBy("key").agg(*firsts, *sums)
+        margins = margins.withColumn("margins", F.array(*[F.col(f"m{k}") + F.lit(b) for k, b in enumerate(intercepts)]))
+        top = F.array_max("margins")
+        mass = F.aggregate("margins", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        at = F.array_position("margins", top)
+        return margins.select(
+            "key",
+            *carried,
+            F.element_at(F.array(*[F.lit(f) for f in families]), at.cast("int")).alias("predicted"),
+            (F.lit(1.0) / mass).alias("probability"),
+        )
+
+    def screen_words(self) -> list[str]:
+        """Words of which every paragraph that holds CONFIRM of a template's 2-grams has one.
+
+        A word that a paragraph lacks costs at least one of the template's 2-grams, so it lacks (1 - CONFIRM) of their
+        number in words at most; of each template one word more than that is taken, the longest.
+        """
+        out: set[str] = set()
+        for _, template in TEMPLATES:
+            words = re.findall(TOKEN, template.lower())
+            lacking = int((1 - CONFIRM) * len(set(zip(words, words[1:], strict=False)))) + 1
+            out.update(sorted(set(words), key=lambda w: (-len(w), w))[:lacking])
+        return sorted(out)
+
+
+_FITTED: dict[str, Classifier] = {}
+
+
+def classifier(spark: SparkSession) -> Classifier:
+    """Fitted once in a Spark application: the templates do not change."""
+    key = spark.sparkContext.applicationId
+    if key not in _FITTED:
+        _FITTED[key] = Classifier(spark)
+    return _FITTED[key]
+
+
+def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: bool = False) -> DataFrame:
+    """doc_id, paragraph, line (null: the paragraph as a whole), text, family and probability of every notice.
+
+    With ``carried`` also the rows that have none, with null for all but the first, and ``place``, which tells rows apart.
+    """
     spark = docs.sparkSession
-    weights, families, intercepts, threshold = train(spark)
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.explode(F.filter(F.split(F.col(text_col), "\n"), lambda line: line.rlike(GATE))).alias("line"),
-    ).distinct()
-    # a line that many documents share is classified once
-    shared = lines.select("line").distinct().select(F.col("line").alias("key"), grams(F.col("line")).alias("grams"))
-    found = classify(shared, weights, families, intercepts, ["grams"]).where(
-        (F.col("predicted") != UNKNOWN) & (F.col("probability") >= threshold)
+    model = classifier(spark)
+    screen = model.screen_words()
+
+    def may_hold(text: Column) -> Column:
+        return F.exists(words_in(text), lambda w: w.isin(screen))
+
+    plain = F.regexp_replace(F.col("text"), f"(?m){MARKS}", "")
+    blocks = F.transform(
+        F.split(plain, r"\n\n+"),
+        lambda block, k: F.concat(
+            F.array(F.struct(k.alias("paragraph"), F.lit(None).cast("int").alias("line"), F.regexp_replace(block, r"\s+", " ").alias("text"))),
+            F.transform(F.split(block, "\n"), lambda line, i: F.struct(k.alias("paragraph"), i.alias("line"), line.alias("text"))),
+        ),
     )
+    # a block of one line is that line
+    units = F.filter(F.flatten(F.transform(blocks, lambda b: F.when(F.size(b) == 2, F.slice(b, 2, 1)).otherwise(b))), lambda u: may_hold(u["text"]))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = texts.select("doc_id", F.when(may_hold(F.col("text")), units).alias("units"))
+    rows = cut(held).withColumn("place", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
+
+    found = rows.select("place", "doc_id", F.explode("units").alias("u")).select("place", "doc_id", "u.*", F.xxhash64("u.text").alias("key"))
+    # a paragraph that many documents share is classified once
+    shared = found.groupBy("key").agg(F.min("text").alias("text")).select("key", grams(F.col("text")).alias("grams"))
+    known = model.classify(shared, ["grams"]).where((F.col("predicted") != UNKNOWN) & (F.col("probability") >= model.threshold))
     templates = spark.createDataFrame([*TEMPLATES], "family string, template string").select(
-        "family", F.array_distinct(pairs(F.regexp_extract_all(F.lower("template"), F.lit(f"({TOKEN})"), 1))).alias("wanted")
+        "family", F.array_distinct(pairs(words_in(F.col("template")))).alias("wanted")
     )
     share = F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")
-    confirmed = (
-        found.join(F.broadcast(templates), found["predicted"] == templates["family"])
+    confirmed = cut(
+        known.join(F.broadcast(templates), known["predicted"] == templates["family"])
         .where(share >= CONFIRM)
         .groupBy("key")
-        .agg(F.first("family").alias("family"), F.max("probability").alias("probability"))
+        .agg(F.min("family").alias("family"), F.max("probability").alias("probability"))
     )
-    return lines.join(confirmed, lines["line"] == confirmed["key"]).select("doc_id", "line", "family", "probability")
+    counted = cut(confirmed.join(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"))
+    often, seldom = frequent_keys(counted, "n")
+    met = found.join(F.broadcast(often.drop("n")), "key").unionByName(found.join(seldom.drop("n"), "key"))
+    by_line = Window.partitionBy("place", "paragraph", "family")
+    notices = met.withColumn("lines", F.count("line").over(by_line)).where("line IS NOT NULL OR lines = 0")
+    notices = notices.select("place", "paragraph", "line", "text", "family", "probability")
+    out = rows.select("place", "doc_id").join(notices, "place", "left" if carried else "inner")
+    return out if carried else out.drop("place")
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_notices and families (sorted); one row per input row."""
-    notices = licence_notices(docs, id_col, text_col)
-    by_doc = notices.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("family")).alias("found"))
-    by_doc = by_doc.withColumnRenamed("doc_id", "noticed")
-    rows = docs.select(F.col(id_col).alias("doc_id"))
-    return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("noticed")), "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("found", F.array().cast("array<string>")).alias("families")
-    )
+    notices = licence_notices(docs, id_col, text_col, carried=True)
+    by_row = notices.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.count("family").alias("n_notices"), F.array_sort(F.collect_set("family")).alias("families"))
+    return by_row.select("doc_id", "n_notices", "families")

@@ -1,8 +1,10 @@
 import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lintel.llm import language_id, licences, quality_rules, toxicity
 
@@ -193,17 +195,93 @@ def test_tables_equal_convolution():
     assert np.allclose(network.log_probabilities(rows), expected, atol=1e-3)
 
 
+MIT = """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a
+ * copy of this software and associated documentation files (the "Software"),
+ * to deal in the Software without restriction, including without limitation
+ * the rights to use, copy, modify, merge, publish, distribute, sublicense,
+ * and/or sell copies of the Software, and to permit persons to whom the
+ * Software is furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in
+ * all copies or substantial portions of the Software.
+ */
+int main() {}"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os"""
+
+
 def test_licences(spark, odd_docs, no_docs):
     lines = {
-        1: ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
-        2: ("text\nReleased under the MIT License.\nmore\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
-        3: ("Licensed under the Foo License, Version 2.0.", []),
-        4: ("Copyright 2020 Example. All rights reserved.", []),
-        5: ("this work is LICENSED under the gnu general public license version 3", ["GPL-3.0"]),
-        6: ("She has a licence to drive.", []),
+        1: ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"], 1),
+        2: ("text\nReleased under the MIT License.\nmore\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"], 2),
+        3: ("Licensed under the Foo License, Version 2.0.", [], 0),
+        4: ("Copyright 2020 Example. All rights reserved.", [], 0),
+        5: ("this work is LICENSED under the gnu general public license version 3", ["GPL-3.0"], 1),
+        6: ("She has a licence to drive.\n\nEr kommt mit der Bahn und mit dem Rad.", [], 0),
+        7: (MIT, ["MIT"], 2),
+        8: (APACHE, ["Apache-2.0"], 2),
+        9: ("Released under the MIT License.\n\nwords\n\nReleased under the MIT License.", ["MIT"], 2),
+        10: ("Released under\nthe MIT\nLicense.", ["MIT"], 1),
     }
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in lines.items()], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in lines.items()], "doc_id long, text string")
     out = {r["doc_id"]: (r["families"], r["n_notices"]) for r in licences.scan_licences(docs).collect()}
-    assert out == {i: (f, len(f)) for i, (_, f) in lines.items()}
+    assert out == {i: (f, n) for i, (_, f, n) in lines.items()}
     assert licences.scan_licences(odd_docs).where("n_notices = 0").count() == odd_docs.count()
     assert licences.scan_licences(no_docs).count() == 0
+    again = docs.unionAll(docs.where("doc_id = 9")).unionAll(docs.where("doc_id = 1").selectExpr("doc_id", "'no notice' AS text"))
+    rows = [(r["doc_id"], r["n_notices"]) for r in licences.scan_licences(again).where("doc_id IN (1, 9)").collect()]
+    assert sorted(rows) == [(1, 0), (1, 1), (9, 2), (9, 2)]  # rows that repeat an id have their own
+
+
+def test_licence_scores_against_brute_force(spark):
+    """Probabilities from the weights gram by gram, and that the screen loses no paragraph that could be confirmed."""
+    model = licences.classifier(spark)
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in licences.TEMPLATES] + list(licences.OTHER_LINES) + ["", "nothing of the kind"]
+    for _, t in licences.TEMPLATES:
+        words = t.split()
+        texts.append(" ".join(w for w in words if rng.random() > 0.1))
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").withColumn("grams", licences.grams(F.col("text")))
+    out = {r["key"]: r for r in model.classify(rows, []).collect()}
+    screen = set(model.screen_words())
+    for k, text in enumerate(texts):
+        words = re.findall(licences.TOKEN, text.lower())
+        found = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+        margins = [b + sum(model.weights[g][i] for g in found if g in model.weights) for i, b in enumerate(model.intercepts)]
+        top = max(margins)
+        assert out[k]["predicted"] == model.families[margins.index(top)]
+        assert abs(out[k]["probability"] - 1 / sum(math.exp(m - top) for m in margins)) < 1e-9
+        held = set(zip(words, words[1:], strict=False))
+        for _, template in licences.TEMPLATES:
+            wanted = re.findall(licences.TOKEN, template.lower())
+            wanted = set(zip(wanted, wanted[1:], strict=False))
+            assert len(wanted & held) < licences.CONFIRM * len(wanted) or screen.intersection(words)
+
+
+def test_licences_of_synthetic_documents_against_brute_force(small):
+    docs, _, pdf, _ = small
+    out = licences.scan_licences(docs).toPandas().set_index("doc_id")
+    known = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        found = [known[line.strip()] for line in (text or "").split("\n") if line.strip() in known]
+        assert set(out.loc[i, "families"]) >= set(found) and out.loc[i, "n_notices"] >= len(found)
+    assert out["n_notices"].sum() > 0
+
+
+def test_ties_of_families_go_by_name(spark):
+    model = licences.classifier(spark)
+    rows = spark.createDataFrame([(1, [])], "key long, grams array<string>")
+    even = object.__new__(licences.Classifier)
+    even.families, even.intercepts, even.weights = model.families, [0.0] * len(model.families), model.weights
+    assert even.classify(rows, []).first()["predicted"] == sorted(model.families)[0]
