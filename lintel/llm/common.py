@@ -38,11 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet to the shared folder and read them again. Loops cut so: the planner's guess of a cut
+    """Write the rows as compressed Parquet to the shared folder and read them again. Loops cut so: the planner's guess of a cut
     table's size is that of the plan it came from, which grows from round to round; a file has the size it has."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

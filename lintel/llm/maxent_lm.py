@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import LOWER_BYTES, cut, remainder
+from lintel.llm.common import LOWER_BYTES, cut, remainder, written
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 1
 #: The end token; no word holds a separator.
@@ -246,7 +246,7 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[list[bytes]
 
 
 def encoded(rows: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, held_out, and the tokens as numbers and the hashes of those that are not frequent, in their order; cut."""
+    """row (a number), id, held_out, and the tokens as numbers and the hashes of those that are not frequent, in their order; written."""
 
     @F.pandas_udf("numbers binary, rare binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -260,8 +260,8 @@ def encoded(rows: DataFrame, vocabulary) -> DataFrame:
                 out.append((now.tobytes(), np.array(rare, np.uint64).tobytes()))
             yield pd.DataFrame(out, columns=["numbers", "rare"])
 
-    found = cut(rows.select("id", "held_out", encode("text").alias("e")).select("id", "held_out", "e.*"))
-    return found.withColumn("row", F.monotonically_increasing_id())
+    numbered = rows.select("id", "held_out", encode("text").alias("e")).withColumn("row", F.monotonically_increasing_id())
+    return written(numbered.select("row", "id", "held_out", "e.*"))
 
 
 class Batch:
@@ -487,7 +487,7 @@ def pair_features(texts: DataFrame, counts: DataFrame, vocabulary, tail_mass: np
     active = dealt.mapInPandas(recurring, "history long, word_hash long, key long, n long, total long")
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in tail_mass]), end_class(F.col("word"), sizes) + 1)
     shares = counts.select(F.xxhash64("word").alias("word_hash"), ((F.col("c") + 0.5) / mass).alias("share"))
-    known = cut(active.join(shares, "word_hash").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total")))
+    known = written(active.join(shares, "word_hash").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total")))
     histories = known.groupBy("history").agg(F.log10((1 - F.sum("p")) / (1 - F.sum("share"))).alias("rest"))
     own = known.join(histories, "history").select("key", (F.log10(F.col("p") / F.col("share")) - F.col("rest")).alias("score"))
     return own.unionAll(histories.select(F.col("history").alias("key"), F.col("rest").alias("score")))
@@ -501,7 +501,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(text_col).alias("text"),
         F.coalesce(remainder(F.col(id_col), HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False)).alias("held_out"),
     )
-    counts = cut(count_words(rows))
+    counts = written(count_words(rows))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     sizes = sizes or Sizes.of(total)
     words, word_counts = frequent_words(counts, frequent)
@@ -552,7 +552,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(word_counts[-1]) if len(word_counts) else 0  # words above it are all frequent
     told = counts.where(F.col("c") <= least).select(F.xxhash64("word").alias("key"), seen.alias("base"), seen.alias("add"), F.lit(1).alias("known"))
     pairs = pair_features(training, counts, vocabulary, tail_mass)
-    told = cut(told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known"))))
+    told = written(told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known"))))
     asked = texts.select("row", "numbers", "rare").mapInPandas(ask, "row long, key long")
     late = asked.join(told, "key").groupBy("row").agg(F.sum("base").alias("base"), F.sum("add").alias("add"), F.sum("known").alias("known"))
 
