@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import json_values, text
 from lintel.operators import candidates, documents, people, records
-from lintel.plans.document_plans import LINE_COLUMNS, LINES
+from lintel.plans.document_plans import LINE_COLUMNS, REVIEWS
 from lintel.plans.tables import fixture, table, values_sql
 from lintel.sources import readers
 from lintel.streaming import progress
@@ -176,8 +176,9 @@ def plain_candidates(spark, sf_dir):
 
 def file_candidates(spark, sf_dir):
     """Blocks where a file has them, plain titles where it has none."""
-    blocks = documents.review_blocks(fixture(spark, LINE_COLUMNS, LINES), "file")
-    lines = fixture(spark, LINE_COLUMNS, LINES).select("file", "line_no", "line").unionAll(fixture(spark, "file string, line_no int, line string", PLAIN_LINES))
+    reviews = fixture(spark, LINE_COLUMNS, [("m", i + 1, s) for i, s in enumerate(REVIEWS)])
+    blocks = documents.review_blocks(reviews, "file")
+    lines = reviews.unionAll(fixture(spark, LINE_COLUMNS, PLAIN_LINES))
     out = candidates.markdown_candidates(blocks, lines)
     return out.where(candidates.file_kind(F.concat("file", F.lit(".md"))) == "markdown")
 
