@@ -306,51 +306,101 @@ def pair_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(history + np.uint64(0x9E3779B97F4A7C15) * word)
 
 
+def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted cells and their counts, as steps from one to the next, compressed."""
+    return zlib.compress(np.diff(cells, prepend=0).astype("<u4").tobytes() + counts.astype("<u8").tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(blob)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, "<u8", n, offset=4 * n).astype(np.int64)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    cells, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return cells, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def summed_cells(blobs: DataFrame, *keys: str) -> DataFrame:
+    """One blob for each key, of the sums over all of its blobs, which stream by."""
+    schema = ", ".join(f"{k} long" for k in keys) + ", cells binary"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            for *own, blob in batch[[*keys, "cells"]].itertuples(index=False):
+                if own != key:
+                    if held:
+                        yield pd.DataFrame([[*key, packed(*_merged(held))]], columns=[*keys, "cells"])
+                    key, held = own, []
+                held.append(unpacked(blob))
+                if len(held) >= 8:
+                    held = [_merged(held)]
+        if held:
+            yield pd.DataFrame([[*key, packed(*_merged(held))]], columns=[*keys, "cells"])
+
+    return blobs.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, schema)
+
+
 def follow_counts(texts: DataFrame, vocabulary) -> DataFrame:
-    """row, outcome (as one number, cell) and n: what followed in the training texts."""
+    """part and cells (a blob of row and outcome as one number, and its count): what followed in the training texts.
+
+    A task hands on one blob for each part, no larger than the model; as many tasks as the root of their number share
+    a sum, and those sums make the part's.
+    """
+    tasks = texts.rdd.getNumPartitions()
+    salts = math.ceil(math.sqrt(tasks))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         vocab = vocabulary.value
         sizes, end = vocab.sizes, _Numbers(vocab)[END]
-        cells: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def counted() -> pd.DataFrame:
-            cell, n = np.unique(np.concatenate(cells), return_counts=True)
-            cells.clear()
-            return pd.DataFrame({"cell": cell, "n": n})
+        def count_waiting() -> None:
+            if waiting:
+                held.append(np.unique(np.concatenate(waiting), return_counts=True))
+                held[:] = [_merged(held)]
+                waiting.clear()
 
         for batch in batches:
             for _, b in _batches(batch, vocab, end):
                 before = vocab.bucket[b.before].astype(np.int64)
                 cls, inside = vocab.cls[b.now], vocab.inside[b.now]
-                cells.append((before * sizes.buckets + vocab.bucket[b.skipped]) * sizes.width + cls)
+                waiting.append((before * sizes.buckets + vocab.bucket[b.skipped]) * sizes.width + cls)
                 h = inside >= 0
-                cells.append((sizes.pairs + before[h] * sizes.head_classes + cls[h]) * sizes.width + inside[h])
-                if sum(map(len, cells)) >= CELLS_AT_ONCE:
-                    yield counted()
-        if cells:
-            yield counted()
+                waiting.append((sizes.pairs + before[h] * sizes.head_classes + cls[h]) * sizes.width + inside[h])
+                if sum(map(len, waiting)) >= CELLS_AT_ONCE:
+                    count_waiting()
+        count_waiting()
+        if held:
+            cells, counts = held[0]
+            part = sizes.part_of(row_features(np.arange(sizes.rows), sizes)[:, 3])[cells // sizes.width]
+            salt = TaskContext.get().partitionId() % salts
+            rows = [(p, salt, packed(cells[part == p], counts[part == p])) for p in np.unique(part).tolist()]
+            yield pd.DataFrame(rows, columns=["part", "salt", "cells"])
 
-    return texts.select("numbers", "rare").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = texts.select("numbers", "rare").mapInPandas(count, "part long, salt long, cells binary")
+    return summed_cells(summed_cells(found, "part", "salt").drop("salt"), "part")
 
 
 def follow_blobs(follows: DataFrame, sizes: Sizes) -> DataFrame:
     """part, and blobs of row numbers and their counts of every outcome; cut."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row that goes on in a later batch comes up again there: gradients are linear in counts."""
         for batch in batches:
-            cell = batch["cell"].to_numpy()
-            rows, at = np.unique(cell // sizes.width, return_inverse=True)
-            part = sizes.part_of(row_features(rows, sizes)[:, 3])
-            counts = np.zeros((len(rows), sizes.width), np.float32)
-            counts[at, cell % sizes.width] = batch["n"].to_numpy()
-            held = [(p, part == p) for p in np.unique(part).tolist()]
-            yield pd.DataFrame({"part": [p for p, _ in held], "rows": [rows[m].tobytes() for _, m in held], "counts": [counts[m].tobytes() for _, m in held]})
+            for part, blob in zip(batch["part"].tolist(), batch["cells"], strict=True):
+                cells, n = unpacked(blob)
+                rows, at = np.unique(cells // sizes.width, return_inverse=True)
+                counts = np.zeros((len(rows), sizes.width), np.float32)
+                counts[at, cells % sizes.width] = n
+                yield pd.DataFrame({"part": [part], "rows": [rows.tobytes()], "counts": [counts.tobytes()]})
 
-    ordered = follows.repartition(F.floor(F.col("cell") / sizes.width)).sortWithinPartitions("cell")
-    blobs = ordered.mapInPandas(gather, "part long, rows binary, counts binary")
-    return cut(blobs.repartition(sizes.parts, "part")).coalesce(sizes.parts)  # of a cut table that is as large as the model
+    blobs = follows.mapInPandas(gather, "part long, rows binary, counts binary")
+    return cut(blobs).coalesce(sizes.parts)  # of a cut table that is as large as the model
 
 
 def train(follows: DataFrame, sizes: Sizes, updates: int = UPDATES, rate: float = 0.4) -> np.ndarray:
@@ -487,7 +537,8 @@ def pair_features(texts: DataFrame, counts: DataFrame, vocabulary, tail_mass: np
     active = dealt.mapInPandas(recurring, "history long, word_hash long, key long, n long, total long")
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in tail_mass]), end_class(F.col("word"), sizes) + 1)
     shares = counts.select(F.xxhash64("word").alias("word_hash"), ((F.col("c") + 0.5) / mass).alias("share"))
-    known = written(active.join(shares, "word_hash").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total")))
+    shared = active.join(shares, "word_hash")
+    known = written(shared.select("history", "key", "share", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p")))
     histories = known.groupBy("history").agg(F.log10((1 - F.sum("p")) / (1 - F.sum("share"))).alias("rest"))
     own = known.join(histories, "history").select("key", (F.log10(F.col("p") / F.col("share")) - F.col("rest")).alias("score"))
     return own.unionAll(histories.select(F.col("history").alias("key"), F.col("rest").alias("score")))
@@ -552,7 +603,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(word_counts[-1]) if len(word_counts) else 0  # words above it are all frequent
     told = counts.where(F.col("c") <= least).select(F.xxhash64("word").alias("key"), seen.alias("base"), seen.alias("add"), F.lit(1).alias("known"))
     pairs = pair_features(training, counts, vocabulary, tail_mass)
-    told = written(told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known"))))
+    told = told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known")))
     asked = texts.select("row", "numbers", "rare").mapInPandas(ask, "row long, key long")
     late = asked.join(told, "key").groupBy("row").agg(F.sum("base").alias("base"), F.sum("add").alias("add"), F.sum("known").alias("known"))
 

@@ -205,17 +205,17 @@ def test_scores_against_brute_force(small, monkeypatch, frequent):
 
 def test_gradients_of_many_parts_are_summed_in_a_tree(small, monkeypatch):
     """Many parts and a fan of two give the weights that one part gives."""
-    rows = small[0].where("doc_id < 300").selectExpr("doc_id AS id", "text", "false AS held_out")
+    rows = small[0].where("doc_id < 300").selectExpr("doc_id AS id", "text", "false AS held_out").repartition(12)
     counts = maxent_lm.count_words(rows).toPandas().sort_values(["c", "word"], ascending=False)
-    sizes = maxent_lm.Sizes(32)
-    vocab = maxent_lm.Vocabulary([bytes(w) for w in counts["word"]], counts["c"].to_numpy(), sizes)
-    shared = rows.sparkSession.sparkContext.broadcast(vocab)
-    follows = maxent_lm.follow_counts(maxent_lm.encoded(rows, shared), shared).cache()
-    whole = maxent_lm.train(follows, sizes, updates=2)
-    monkeypatch.setattr(maxent_lm, "FAN", 2)
-    many = maxent_lm.Sizes(32, part_rows=300)
-    assert many.parts > 8
-    assert np.allclose(maxent_lm.train(follows, many, updates=2), whole, atol=1e-3)
+    words, n = [bytes(w) for w in counts["word"]], counts["c"].to_numpy()
+    one, many = maxent_lm.Sizes(32), maxent_lm.Sizes(32, part_rows=300)
+    assert one.parts == 1 and many.parts > 8
+    out = []
+    for sizes, fan in ((one, maxent_lm.FAN), (many, 2)):
+        monkeypatch.setattr(maxent_lm, "FAN", fan)
+        shared = rows.sparkSession.sparkContext.broadcast(maxent_lm.Vocabulary(words, n, sizes))
+        out.append(maxent_lm.train(maxent_lm.follow_counts(maxent_lm.encoded(rows, shared), shared), sizes, updates=2))
+    assert np.allclose(*out, atol=1e-3)
 
 
 def test_model_beats_the_base_on_held_out_documents(small):
