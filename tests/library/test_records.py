@@ -59,10 +59,10 @@ def test_album_entries(spark):
 
 
 def test_entries_fall_back_to_the_plain_line(spark):
-    row = spark.createDataFrame([("f", 3, "A work", "Smith vn Jones va", "", "", "(DG)", "", "", "", "k")], f"{candidates.CANDIDATE}, candidate string")
+    row = spark.createDataFrame([("f", 3, "Some work", "Smith vn Jones va", "", "", "(DG)", "", "", "", "k")], f"{candidates.CANDIDATE}, candidate string")
     entry = candidates.album_entries(row).select("album.*", "source.context").first()
-    assert entry["title"] == "A work" and entry["label"] == "DG" and entry["context"]["title_line"] == "A work"
-    assert entry["performers"] and entry["works"] == ["A work"]
+    assert entry["title"] == "Some work" and entry["label"] == "DG" and entry["context"]["title_line"] == "Some work"
+    assert entry["performers"] and entry["works"] == ["Some work"]
 
 
 def test_a_bad_feature_value_names_its_key(spark):
