@@ -15,6 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A key is frequent if it has more rows than this and than one in FREQUENT_SHARE of all: there are fewer such keys than FREQUENT_SHARE.
 FREQUENT_ROWS = 128
 FREQUENT_SHARE = 10_000
+#: While it is on, the shuffle files of a query go when the query ends: what is written needs them no more.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,13 @@ def written(df: DataFrame) -> DataFrame:
     table's size is that of the plan it came from, which grows from round to round; a file has the size it has."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
