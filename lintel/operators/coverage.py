@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.operators import linkage
+from lintel.operators.shared import written
 
 
 @dataclass
@@ -26,7 +27,7 @@ def train_coverage(candidates: DataFrame, index: DataFrame, truth: DataFrame, we
     stops asking at its first hit.
     """
     weights = dict(weights)
-    total = truth.count()
+    total, queries = truth.count(), candidates.count()
     open_records, used, stats = truth, 0, {}
     for _ in range(iterations):
         n = open_records.count()
@@ -37,7 +38,7 @@ def train_coverage(candidates: DataFrame, index: DataFrame, truth: DataFrame, we
         top = linkage.top_of_each(index, ["query"], limit, "pos", "id").join(truth.select("album_id", F.col("truth_id").alias("id")), "id")
         hit = chosen.join(top.select("album_id", "query", F.lit(True).alias("hit")), ["album_id", "query"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
         first = hit.groupBy("album_id").agg(F.min(F.when(F.col("hit"), F.col("place"))).alias("first"))
-        asked = hit.join(first, "album_id").where("first IS NULL OR place <= first").cache()
+        asked = written(hit.join(first, "album_id").where("first IS NULL OR place <= first"))
         by_template = asked.groupBy("template").agg(F.count(F.lit(1)).alias("a"), F.count_if("hit").alias("h")).collect()  # one row per template
         covered_now = asked.where("hit").select("album_id").distinct()
         used += sum(r["a"] for r in by_template)
@@ -46,9 +47,8 @@ def train_coverage(candidates: DataFrame, index: DataFrame, truth: DataFrame, we
             stats[r["template"]] = (a + r["a"], h + r["h"])
         for template, (a, h) in stats.items():
             weights[template] = weights.get(template, 0.5) * (0.5 + h / a)
-        left = open_records.join(covered_now, "album_id", "left_anti").checkpoint(eager=True) if open_records.sparkSession.sparkContext.getCheckpointDir() else open_records.join(covered_now, "album_id", "left_anti").cache()
-        if left.count() == n and each >= candidates.count():
+        left = written(open_records.join(covered_now, "album_id", "left_anti"))
+        if left.count() == n and each >= queries:
             break
         open_records = left
-        asked.unpersist()
     return Coverage(total - open_records.count(), total, used, weights, stats)

@@ -26,7 +26,9 @@ def cross_rates(probes: DataFrame, rates: DataFrame, date: str, base: str, targe
     """Adds rate: units of target for one of base as of the date; null if either is unknown."""
     def side(df: DataFrame, code: str, name: str) -> DataFrame:
         known = rates.select(F.col("currency").alias(code), "rate_date", F.col("rate").alias(name))
-        return as_of(df, known, [code], date, "rate_date", name)
+        # a currency may be that of most rows: each of its dates is looked up once
+        found = as_of(df.select(code, date).distinct(), known, [code], date, "rate_date", name)
+        return df.join(found, [code, date], "left")
 
     both = side(side(probes, base, "_base"), target, "_target")
     return both.withColumn("rate", F.col("_target") / F.col("_base")).drop("_base", "_target")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintel.operators.shared import cut, written
+
 
 def first_of_each(df: DataFrame, keys: Sequence[str | Column], *order: str | Column) -> DataFrame:
     """The first row of each key by a total order."""
@@ -50,11 +51,8 @@ def with_appearance(df: DataFrame, keys: Sequence[str], value: str, order: str,
 
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """Numbers all rows from 1 by a total order: range partitions, each led by the count of those before it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lintel-checkpoints-"))
     # the bounds are sampled: rows and counts must see the same partitions
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before, offsets = 0, []
     for part, n in sorted(tuple(r) for r in dealt.groupBy("_part").count().collect()):
         offsets.append((part, before))
@@ -82,3 +80,18 @@ def side_by_side(left: DataFrame, right: DataFrame, left_order: str, right_order
     """Rows of two frames aligned by their place, the longer one kept whole."""
     l, r = numbered(left, "_row", left_order), numbered(right, "_row", right_order)  # noqa: E741
     return l.join(r, "_row", "full_outer").withColumnRenamed("_row", "row_no")
+
+
+def descendants(edges: DataFrame, parent: str, child: str, roots: DataFrame) -> DataFrame:
+    """All that the roots (a column named as child) reach along edges; a cycle is gone round once.
+
+    Each round asks for the edges of what the round before it found, and ends when it finds nothing new.
+    """
+    steps = edges.select(F.col(parent).alias("_from"), F.col(child).alias(child)).where("_from IS NOT NULL")
+    front, seen = roots.select(child), None
+    while True:
+        met = steps.join(front.select(F.col(child).alias("_from")), "_from").select(child).distinct()
+        front = written(met if seen is None else met.join(seen, child, "left_anti"))
+        if front.isEmpty():
+            return front if seen is None else seen
+        seen = front if seen is None else written(seen.unionAll(front))

@@ -86,6 +86,29 @@ def legacy_breaks(segments: DataFrame, keys: list[str]) -> DataFrame:
     return _joined(speaker_runs(segments, keys, blanks_split=True), keys, F.concat(F.lit(f"{BREAK}\n"), "text"), "run", "\n")
 
 
+def text_of_each(segments: DataFrame, keys: list[str], fallback: DataFrame) -> DataFrame:
+    """Plain text of each key of ``fallback`` (keys, whole): its segments' lines, or the whole text trimmed where it has none."""
+    told = plain_text(segments, keys)
+    return fallback.join(told, keys, "left").select(*keys, F.coalesce("out", F.trim("whole"), F.lit("")).alias("out"))
+
+
+FORMATS = {
+    "txt": plain_text,
+    "srt": subtitles,
+    "vtt": lambda segments, keys: subtitles(segments, keys, "vtt"),
+    "diarized": diarized_text,
+    "breaks": diarized_breaks,
+    "legacy": legacy_breaks,
+}
+
+
+def transcript_in(segments: DataFrame, keys: list[str], style: str) -> DataFrame:
+    """The transcript of each key in a format by its name; an unknown name raises."""
+    if style not in FORMATS:
+        raise ValueError(f"unknown format: {style}")
+    return FORMATS[style](segments, keys)
+
+
 def segments_of_json(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
     """Segments of transcripts whose JSON names its fields differently.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.functions import text
-from lintel.operators import documents
-from lintel.operators.runs import with_batches
+from lintel.operators import documents, selection
+from lintel.operators.runs import descendants, with_batches
 from lintel.plans.tables import fixture, table, values_sql
 from lintel.streaming import progress
 
@@ -87,8 +87,9 @@ FAILED = [
     ("r6", "Whisper model not found: /m/x.bin"), ("r7", "zsh: command not found: ffmpeg"), ("r8", "is intended for Apple Silicon Macs"),
 ]
 FAILED_ROWS = [(r, i, s) for i, (r, s) in enumerate(FAILED)]
+SETTINGS = [(1, "A=1\nB=x=y\nA=2\nBASH_FUNC_f=()\n=z\nnone"), (2, ""), (3, "HOME=/root\nEMPTY=\nHOME=/tmp")]
 CHUNKS = [("a", 1, "68C3"), ("a", 2, "A96C0D0A"), ("a", 3, "776F"), ("b", 1, "0A0A78"), ("c", 1, "")]
-EDGES = [(1, 2), (1, 3), (3, 4), (4, 5), (9, 8), (5, 6)]
+EDGES = [(1, 2), (1, 3), (3, 4), (4, 5), (9, 8), (5, 6), (6, 4)]
 
 
 def page_ranges(spark, sf_dir):
@@ -151,7 +152,7 @@ def resource_lookup(spark, sf_dir):
 
 
 def settings(spark, sf_dir):
-    rows = fixture(spark, "pos int, raw string", [(1, "A=1\nB=x=y\nA=2\nBASH_FUNC_f=()\n=z\nnone"), (2, "")])
+    rows = fixture(spark, "pos int, raw string", SETTINGS)
     return rows.select("pos", F.explode(documents.settings_map(F.col("raw"))).alias("name", "value"))
 
 
@@ -189,15 +190,13 @@ def latest_progress(spark, sf_dir):
 
 
 def process_closure(spark, sf_dir):
-    """All descendants of process 1."""
-    fixture(spark, "parent int, child int", EDGES).createOrReplaceTempView("process_edges")
-    return spark.sql("WITH RECURSIVE d(child) AS (SELECT child FROM process_edges WHERE parent = 1 UNION ALL SELECT e.child FROM d JOIN process_edges e ON e.parent = d.child) SELECT DISTINCT child FROM d")
+    """All descendants of process 1, in a table with a cycle."""
+    return descendants(fixture(spark, "parent int, child int", EDGES), "parent", "child", fixture(spark, "child int", [(1,)]))
 
 
 def joined_chunks(spark, sf_dir):
     """The lines of each conversation in one text, chunks apart by a blank line."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: F.rtrim(x["text"])), "\n\n").alias("whole"))
+    return selection.joined_texts(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
 
 QUERIES = {
@@ -220,7 +219,9 @@ ORACLES = {
         SELECT o_custkey, batch, count(*) AS items FROM w ANTI JOIN d USING (o_custkey, batch) GROUP BY 1, 2""",
     "chapter_offsets": """WITH e AS (SELECT conv_id, turn, CAST(round_even(sum(CAST(length(text) AS DOUBLE) * 62.5) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS BIGINT) AS end_ms FROM conversations)
         SELECT conv_id, turn, coalesce(lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS start_ms, end_ms FROM e""",
-    "cover_pick": "SELECT * FROM (VALUES ('b1', 'Cover.JPG'), ('b2', 'myfolder.jpeg'), ('b3', 'a.png')) AS t(book, name)",
+    "cover_pick": f"""WITH p AS (SELECT book, name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM {values_sql('book string, name string', FILES)} WHERE regexp_matches(lower(name), '\\.(jpg|jpeg|png)$') AND NOT starts_with(name, '.')),
+        r AS (SELECT book, name, CASE stem WHEN 'cover' THEN 0 WHEN 'front' THEN 1 WHEN 'folder' THEN 2 ELSE CASE WHEN contains(stem, 'cover') THEN 3 WHEN contains(stem, 'front') THEN 4 WHEN contains(stem, 'folder') THEN 5 ELSE 6 END END AS rank FROM p)
+        SELECT book, name FROM r QUALIFY row_number() OVER (PARTITION BY book ORDER BY rank, CASE WHEN rank = 6 THEN lower(name) ELSE '' END, name) = 1""",
     "markdown_blocks": "SELECT * FROM (VALUES ('m', 3, 'First A', 'Anna Prohaska sop; BBC SO', 'Harmonia Mundi'), ('m', 8, '[Second Work](http://m/Review/two)', 'Plain Player', 'Big Label')) AS t(file, line_no, title, performer, label)",
     "link_apply": f"""WITH {_BLOCKS}, u AS (SELECT 'm' AS file, * FROM (VALUES (5, 6, '[Listen](http://l/1)', false), (10, 13, '[Listen](http://l/3)', true), (19, 20, '[Listen](http://l/4)', false)) AS t(src, place, link, old)),
         x AS (SELECT l.file, line_no, 0 AS k, CASE WHEN old THEN link ELSE line END AS line FROM l LEFT JOIN u ON l.line_no = u.place
@@ -230,17 +231,20 @@ ORACLES = {
     "html_cells": "SELECT * FROM (VALUES (1, 0, 0, 0, 'A'), (1, 0, 0, 1, 'b'), (1, 0, 1, 0, '1 x'), (1, 0, 1, 1, '2'), (1, 1, 0, 0, 'z')) AS t(page, table_no, row_no, col_no, text)",
     "resource_lookup": f"""WITH d AS (SELECT CAST('{RESOURCE}' AS JSON) AS j), r AS (SELECT unnest(CAST(j->'$.data.relationships.albums.data' AS JSON[])) AS r, generate_subscripts(CAST(j->'$.data.relationships.albums.data' AS JSON[]), 1) - 1 AS pos FROM d),
         i AS (SELECT unnest(CAST(j->'$.included' AS JSON[])) AS i FROM d) SELECT 1 AS doc, pos, r->>'id' AS id, i->>'$.attributes.title' AS title FROM r JOIN i ON r->>'id' = i->>'id' AND r->>'type' = i->>'type'""",
-    "settings": "SELECT * FROM (VALUES (1, 'A', '2'), (1, 'B', 'x=y')) AS t(pos, name, value)",
+    "settings": f"""WITH e AS (SELECT pos, unnest(string_split(raw, chr(10))) AS e, generate_subscripts(string_split(raw, chr(10)), 1) AS k FROM {values_sql('pos int, raw string', SETTINGS)})
+        SELECT pos, split_part(e, '=', 1) AS name, substr(e, strpos(e, '=') + 1) AS value FROM e WHERE strpos(e, '=') > 1 AND NOT starts_with(e, 'BASH_FUNC_') QUALIFY row_number() OVER (PARTITION BY pos, split_part(e, '=', 1) ORDER BY k DESC) = 1""",
     "progress_parse": """SELECT * FROM (VALUES (0, 'Stage A', NULL, true, false, NULL), (1, 'Stage A', NULL, true, false, 'two: parts'), (2, 'Stage: B', CAST(45.2 AS DOUBLE), false, false, 'elapsed 01:23, ETA 01:42'), (3, 'C', NULL, false, false, 'elapsed 01:23'),
         (4, 'D', NULL, false, true, NULL), (5, 'D', NULL, false, true, 'ok'), (6, 'free text: here', NULL, false, false, NULL), (8, 'E', 100.0, false, false, NULL), (9, 'F', NULL, false, false, 'processed 01:00, elapsed 02:00')) AS t(pos, stage, percent, is_start, is_finished, detail)""",
     "error_classify": """SELECT * FROM (VALUES ('r1', 'missing_api_key', 'OPENAI_API_KEY'), ('r2', 'api_error', 'OpenAI API request failed (HTTP 429) API error (quota): no'), ('r3', 'missing_dependency', 'whisper-cpp'),
         ('r4', 'missing_dependency', 'mlx-audio'), ('r5', 'unknown', 'just' || chr(10) || 'text'), ('r6', 'missing_model', '/m/x.bin'), ('r7', 'missing_dependency', 'ffmpeg'), ('r8', 'unsupported_hardware', 'VibeVoice requires Apple Silicon')) AS t(run, kind, payload)""",
-    "line_reassembly": "SELECT * FROM (VALUES ('a', 0, 'hél'), ('a', 1, 'wo'), ('b', 0, ''), ('b', 1, ''), ('b', 2, 'x')) AS t(run, line_no, line)",
+    "line_reassembly": f"""WITH w AS (SELECT run, decode(from_hex(string_agg(h, '' ORDER BY seq))) AS t FROM {values_sql('run string, seq int, h string', CHUNKS)} GROUP BY run),
+        l AS (SELECT run, string_split(regexp_replace(t, chr(10) || '$', ''), chr(10)) AS l FROM w WHERE t <> '')
+        SELECT run, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, rtrim(unnest(l), chr(13)) AS line FROM l""",
     "progress_throttle": """WITH RECURSIVE e AS (SELECT event_type AS stage, event_id AS seq, event_id * 60.0 AS now, event_id % 97 = 0 AS force, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
         f AS (SELECT stage, seq, n, force OR now >= 3600 AS shown, CASE WHEN force OR now >= 3600 THEN now ELSE 0.0 END AS last FROM e WHERE n = 1
               UNION ALL SELECT e.stage, e.seq, e.n, e.force OR e.now - f.last >= 3600, CASE WHEN e.force OR e.now - f.last >= 3600 THEN e.now ELSE f.last END FROM f JOIN e ON e.stage = f.stage AND e.n = f.n + 1)
         SELECT stage, seq, CAST(seq % 101 AS DOUBLE) AS percent FROM f WHERE shown""",
     "latest_progress": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
-    "process_closure": "SELECT * FROM (VALUES (2), (3), (4), (5), (6)) AS t(child)",
+    "process_closure": f"WITH RECURSIVE e AS {values_sql('parent int, child int', EDGES)}, d AS (SELECT child FROM e WHERE parent = 1 UNION SELECT e.child FROM d JOIN e ON e.parent = d.child) SELECT child FROM d",
     "joined_chunks": "SELECT conv_id, string_agg(rtrim(text), chr(10) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY 1",
 }

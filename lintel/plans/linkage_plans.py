@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintel.functions import lexicon, text
-from lintel.operators import evaluate, linkage
+from lintel.operators import evaluate, linkage, selection
 from lintel.operators.runs import first_of_each, top_of_each, upsert
+from lintel.operators.shared import written
 from lintel.plans.tables import distinct, fixture, literal, norm, table, values_sql, words
 
 STOP = lexicon.STOPWORDS
@@ -15,15 +16,20 @@ PER_QUERY = 5
 QUERIES_PER_ITEM = 12
 
 
+def _tokens(docs):
+    """Documents as words, written once: their n-grams and their word sets read them again."""
+    return written(docs.select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens")))
+
+
 def _item_queries(items):
     grams = linkage.ngrams(F.col("tokens"), 4, 4)
     return items.select("item_id", F.posexplode(F.slice(F.array_distinct(grams), 1, QUERIES_PER_ITEM)).alias("qpos", "query"))
 
 
-def _links(spark, sf_dir):
+def _links(spark, sf_dir, keep=False):
     """Ranked documents of every benchmark item that one of its queries finds."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
+    docs = _tokens(table(spark, sf_dir, "documents"))
     queries = _item_queries(items)
     # only the 4-grams that some item asks for go on from the documents
     index = docs.select("doc_id", F.explode(linkage.ngrams(F.col("tokens"), 4, 4)).alias("query")).join(queries.select("query").distinct(), "query", "left_semi").distinct()
@@ -32,6 +38,7 @@ def _links(spark, sf_dir):
     joined = found.join(items.select("item_id", F.array_distinct("tokens").alias("want")), "item_id").join(docs.select("doc_id", F.array_distinct("tokens").alias("have")), "doc_id")
     scored = joined.select("item_id", "doc_id", "n_queries", "first_seen", F.round(text.overlap(F.col("want"), F.col("have")), 9).alias("score"))
     order = [F.col("score").desc(), F.col("n_queries").desc(), "first_seen", "doc_id"]
+    scored = written(scored) if keep else scored
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)))
 
 
@@ -76,7 +83,7 @@ def _truths(items, docs):
 
 
 def _benchmark_results(spark, sf_dir):
-    links = _links(spark, sf_dir).select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("id"), "rank", "score")
+    links = _links(spark, sf_dir, keep=True).select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("id"), "rank", "score")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("start"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _truths(items, docs).select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("truth_id"))
@@ -205,10 +212,7 @@ def status_summary(spark, sf_dir):
 
 def top_counts(spark, sf_dir):
     """The five most frequent users and the type of their first event; ties by first sighting."""
-    events = table(spark, sf_dir, "events")
-    counted = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
-    top = counted.orderBy(F.col("n").desc(), "first_event").limit(5)
-    return top.join(events.select(F.col("event_id").alias("first_event"), "event_type"), "first_event", "left").select("user_id", "n", "event_type")
+    return selection.most_frequent(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
 def ordered_distinct(spark, sf_dir):
@@ -218,8 +222,7 @@ def ordered_distinct(spark, sf_dir):
 
 def fingerprint_dedupe(spark, sf_dir):
     """The first document of each language and SHA-256 of the whole normalised text."""
-    docs = table(spark, sf_dir, "documents")
-    return first_of_each(docs.select("doc_id", "lang", F.sha2(text.normalize(F.col("text")), 256).alias("start")), ["lang", "start"], "doc_id")
+    return selection.first_texts(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["lang"], "text", "doc_id", "start")
 
 
 def weight_ema(spark, sf_dir):
@@ -244,15 +247,13 @@ def resume_filter(spark, sf_dir):
     """Rows of a range whose record is not labelled yet."""
     orders = table(spark, sf_dir, "orders").where("o_orderkey BETWEEN 100 AND 5000")
     done = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'P')").select("o_orderkey")
-    return orders.join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    return selection.not_done(orders, done, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 def selected_ids(spark, sf_dir):
     """Distinct chosen ids by first sighting, and the records that have none."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    chosen = first_of_each(orders.where("o_orderstatus <> 'P'"), ["o_custkey"], "o_orderkey")
-    missed = orders.where("o_orderstatus = 'P'").agg(F.count(F.lit(1)).alias("unmatched"))
-    return chosen.select("o_custkey", "o_orderkey").crossJoin(F.broadcast(missed))
+    return selection.standing_choices(orders, "o_custkey", "o_orderkey", F.col("o_orderstatus") != "P")
 
 
 QUERIES = {

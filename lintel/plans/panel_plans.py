@@ -112,19 +112,33 @@ def overlap_attribution(spark, sf_dir):
     return transcript.attributed(segments, turns, ["user_id"]).select("user_id", "seg_no", "speaker", "label")
 
 
-def _emitter(emit):
+def _emitter(style):
     def query(spark, sf_dir):
-        return emit(_segments(spark, sf_dir), ["conv_id"])
+        return transcript.transcript_in(_segments(spark, sf_dir), ["conv_id"], style)
 
     return query
 
 
-emit_txt = _emitter(transcript.plain_text)
-emit_srt = _emitter(transcript.subtitles)
-emit_vtt = _emitter(lambda s, k: transcript.subtitles(s, k, "vtt"))
-diarized_txt = _emitter(transcript.diarized_text)
-diarized_breaks = _emitter(transcript.diarized_breaks)
-legacy_breaks = _emitter(transcript.legacy_breaks)
+emit_txt = _emitter("txt")
+emit_srt = _emitter("srt")
+emit_vtt = _emitter("vtt")
+diarized_txt = _emitter("diarized")
+diarized_breaks = _emitter("breaks")
+legacy_breaks = _emitter("legacy")
+
+
+def text_or_whole(spark, sf_dir):
+    """Long conversations have segments, short ones their first turn as a whole."""
+    rows = _segments(spark, sf_dir)
+    whole = rows.where("seg_no = 0").select("conv_id", F.concat(F.lit("  "), F.upper("speaker")).alias("whole"))
+    return transcript.text_of_each(rows.where("conv_id % 3 = 0"), ["conv_id"], whole)
+
+
+def named_speakers(spark, sf_dir):
+    """Speakers by a map of names, and by their place of appearance in a list."""
+    rows = with_appearance(_segments(spark, sf_dir), ["conv_id"], "speaker", "seg_no")
+    names = F.create_map(F.lit("user"), F.lit(" Ann "), F.lit("assistant"), F.lit(" "))
+    return rows.select("conv_id", "seg_no", transcript.display_name(F.col("speaker"), names).alias("mapped"), transcript.display_name(F.col("speaker"), None, F.col("label_no"), ["First"]).alias("listed"))
 
 JSONS = [
     (1, '[{"start": 1.5, "end": 2, "text": " a "}, {"text": "b"}, {"start": 3, "end": 1, "text": "c", "speaker": "S1"}, {"text": " "}]'),
@@ -145,7 +159,7 @@ QUERIES = {
     "period_start": period_start, "asof_rate": asof_rate, "period_return": period_return, "panel_adjust": panel_adjust,
     "frame_union": frame_union, "positional_concat": positional_concat, "time_formats": time_formats, "speaker_relabel": speaker_relabel,
     "overlap_attribution": overlap_attribution, "emit_txt": emit_txt, "emit_srt": emit_srt, "emit_vtt": emit_vtt, "diarized_txt": diarized_txt,
-    "diarized_breaks": diarized_breaks, "legacy_breaks": legacy_breaks, "segments_from_json": segments_from_json,
+    "diarized_breaks": diarized_breaks, "legacy_breaks": legacy_breaks, "text_or_whole": text_or_whole, "named_speakers": named_speakers, "segments_from_json": segments_from_json,
 }
 
 _TURNS = """g AS (SELECT conv_id, turn AS seg_no, role AS speaker, text AS raw FROM conversations),
@@ -213,6 +227,9 @@ ORACLES = {
     "diarized_txt": f"WITH {_TURNS}, t AS (SELECT * FROM s WHERE text <> ''), {_RUNS.format(src='t')} SELECT conv_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
     "diarized_breaks": f"WITH {_TURNS}, t AS (SELECT * FROM s WHERE text <> ''), {_RUNS.format(src='t')} SELECT conv_id, string_agg(text, chr(10) || '{transcript.BREAK}' || chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
     "legacy_breaks": f"WITH {_TURNS}, {_RUNS.format(src='s')} SELECT conv_id, string_agg('{transcript.BREAK}' || chr(10) || text, chr(10) ORDER BY run) AS out FROM x GROUP BY 1",
+    "text_or_whole": f"WITH {_TURNS}, t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY seg_no) AS out FROM s WHERE text <> '' AND conv_id % 3 = 0 GROUP BY 1) SELECT s.conv_id, coalesce(t.out, upper(speaker)) AS out FROM s LEFT JOIN t ON t.conv_id = s.conv_id WHERE seg_no = 0",
+    "named_speakers": """WITH f AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM conversations GROUP BY 1, 2)
+        SELECT conv_id, turn AS seg_no, CASE WHEN role = 'user' THEN 'Ann' ELSE role END AS mapped, CASE WHEN n = 1 THEN 'First' ELSE role END AS listed FROM conversations JOIN f USING (conv_id, role)""",
     "segments_from_json": """SELECT doc, pos, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", text, speaker FROM (VALUES (1, 0, 1.5, 2.0, 'a', NULL), (1, 1, 0.0, 0.0, 'b', NULL), (1, 2, 3.0, 3.0, 'c', 'S1'), (2, 0, 1.5, 2.5, 'x', NULL), (2, 1, 0.0, 0.0, 'plain', NULL),
         (3, 0, 0.5, 1.5, 'y', 'Z'), (4, 0, 0.0, 0.0, 'only text', NULL), (6, 0, 0.0, 4.0, 'n', NULL)) AS t(doc, pos, start, "end", text, speaker)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintel.functions import json_values, text
+from lintel.functions import json_values, lexicon, text, values
 from lintel.operators import candidates, documents, people, records
 from lintel.plans.document_plans import LINE_COLUMNS, REVIEWS
 from lintel.plans.tables import fixture, table, values_sql
@@ -202,8 +202,6 @@ def album_entries(spark, sf_dir):
 
 def shown_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.when(F.col("p_size") % 4 > 1, F.concat(F.lit(" "), "p_brand")).otherwise(" nan ")).alias("cell"))
-    from lintel.functions import values
-
     return rows.select("p_partkey", values.blank(F.col("cell")).alias("blank"))
 
 
@@ -213,6 +211,13 @@ def transfer_progress(spark, sf_dir):
     return seconds.unionAll(noted)
 
 
+def model_weights(spark, sf_dir):
+    """The default weights of a training model."""
+    model = readers.training_model(spark)
+    rows = [model.select(F.lit(c).alias("kind"), F.explode(c).alias("name", "weight")) for c in ("weights", "template_weights")]
+    return rows[0].unionAll(rows[1])
+
+
 def heading_parts(spark, sf_dir):
     lines = fixture(spark, "pos int, line string", [(0, "## **BACH; Handel** Works"), (1, "## J.S. BACH Mass in B minor"), (2, "## Symphony"), (3, "### **Mahler**"), (4, "")])
     return lines.select("pos", F.array_join(text.heading_people(F.col("line")), "|").alias("people"), text.heading_title(F.col("line"), F.lit("Fallback")).alias("title"))
@@ -223,7 +228,7 @@ QUERIES = {
     for f in (
         percent_shown, feature_text, record_ids, match_records, link_updates, cached_queries, json_lists, float_maps, page_paths, page_tracks,
         longest_listings, named_lists, first_values, head_rows, listed_words, book_folders, listening_minutes, plain_candidates, file_candidates,
-        plain_performers, marked_performers, album_entries, shown_names, transfer_progress, heading_parts,
+        plain_performers, marked_performers, album_entries, shown_names, transfer_progress, heading_parts, model_weights,
     )
 }
 
@@ -273,6 +278,7 @@ ORACLES = {
     "book_folders": """WITH b AS (SELECT DISTINCT p_brand FROM part WHERE p_size % 2 = 0 AND p_brand <> 'Brand#11')
         SELECT '/a/' || p_brand AS book, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '\\d+') AS INT)) AS INT) AS pos FROM b""",
     "listening_minutes": "SELECT user_id, CAST(floor(sum(value) / 60) AS BIGINT) AS minutes FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "model_weights": " UNION ALL ".join(f"SELECT * FROM {values_sql('kind string, name string, weight double', [(k, n, w) for n, w in d.items()])}" for k, d in (("weights", lexicon.FEATURE_WEIGHTS), ("template_weights", lexicon.TEMPLATE_WEIGHTS))),
     "shown_names": "SELECT p_partkey, p_size % 4 < 2 AS blank FROM part",
     "transfer_progress": f"""SELECT pos, 'time' AS kind, CASE WHEN starts_with(line, 'out_time=') THEN CAST(split_part(substr(line, 10), ':', 1) AS INT) * 3600 + CAST(split_part(substr(line, 10), ':', 2) AS INT) * 60 + CAST(split_part(line, ':', 3) AS DOUBLE)
                WHEN regexp_matches(line, '^out_time_(us|ms)=') THEN CAST(split_part(line, '=', 2) AS DOUBLE) / 1e6 END AS value FROM {values_sql('pos int, line string', list(enumerate(SECONDS_LINES)))}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintel.functions import text
+from lintel.functions import lexicon, text
 from lintel.operators.runs import first_of_each
 
 CANDIDATE = "struct<id:string,title:string,artists:array<string>,release_date:string,copyright:string,track_count:int,score:double,features:map<string,double>,queries:array<string>,details_fetched:boolean>"
@@ -70,6 +70,16 @@ def overlaid(defaults: dict[str, float], overlay: Column) -> Column:
     return F.transform_values(base, lambda k, v: F.coalesce(F.try_element_at(overlay, k), v))
 
 
+def training_model(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """One row of weights and template_weights: the defaults, with known keys replaced from a JSON model where there is one."""
+    kept = "struct<weights:map<string,double>,template_weights:map<string,double>>"
+    if path is None:
+        raw = spark.range(1).select(F.lit(None).cast(kept).alias("m"))
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.from_json("value", kept, {"mode": "FAILFAST"}).alias("m"))
+    return raw.select(overlaid(lexicon.FEATURE_WEIGHTS, F.col("m.weights")).alias("weights"), overlaid(lexicon.TEMPLATE_WEIGHTS, F.col("m.template_weights")).alias("template_weights"))
+
+
 def tickers(lines: DataFrame, line: str = "line", header: tuple[str, ...] = ("ticker", "symbol")) -> DataFrame:
     """Distinct tickers of lines in order: the first field of CSV or the first word, without comments and header words."""
     bare = F.trim(F.regexp_replace(line, "#.*$", ""))
@@ -79,10 +89,11 @@ def tickers(lines: DataFrame, line: str = "line", header: tuple[str, ...] = ("ti
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, length and pos of the audio files of a folder in natural order; hidden files go."""
+    """path, name, length and pos of the audio files of each folder in natural order; hidden files go."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))
     kept = files.where(F.lower("name").rlike(rf"\.({'|'.join(AUDIO)})$") & ~F.startswith("name", F.lit(".")))
-    return kept.withColumn("pos", F.row_number().over(Window.orderBy(text.natural_key(F.col("name")), "name")))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy(folder).orderBy(text.natural_key(F.col("name")), "name")))
 
 
 def first_markdown(full: Column, own: Column, pages: Column) -> Column:

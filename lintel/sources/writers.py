@@ -41,3 +41,9 @@ def request_batches(items: DataFrame, keys: list[str], item: str, order: str, si
     numbered = with_batches(rows, keys, size, order)
     parts = F.array_sort(F.collect_list(F.struct(order, item)))
     return numbered.groupBy(*keys, "batch").agg(F.transform(parts, lambda x: x[item]).alias("ids"))
+
+
+def write_model(model: DataFrame, path: str) -> None:
+    """A training model (one row) as a JSON object."""
+    row = model.select(F.to_json(F.struct("weights", "template_weights")).alias("j")).first()
+    Path(path).write_text(json.dumps(json.loads(row["j"]), indent=2), encoding="utf-8")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintel.operators.shared import cut
+
 # The wording of messages that tools print, in order of priority: pattern, kind, fixed payload.
 FAILURES = (
     (r"OPENAI_API_KEY is not set", "missing_api_key", "OPENAI_API_KEY"),
@@ -91,10 +94,56 @@ def noted_percent(line: Column) -> Column:
     return F.regexp_extract(line, r"progress\D*(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
 
 
+def _stretches(updates: DataFrame, interval: float) -> DataFrame:
+    """The updates with their stretch (_owner and _k), the stage's first time, and whether they open a stage."""
+    ordered = updates.repartitionByRange("stage", "seq").sortWithinPartitions("stage", "seq")
+    rows = cut(ordered.withColumn("_part", F.spark_partition_id()))
+    tails = rows.groupBy("_part").agg(F.max(F.struct("stage", "seq", "now")).alias("t")).select("_part", "t.stage", "t.now")
+    tail = {r["_part"]: (r["stage"], r["now"]) for r in tails.collect()}  # a row for each partition, as are all below
+    parts = sorted(tail)
+    before = {p: tail[q] for q, p in zip(parts, parts[1:], strict=False)}
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, k, first = None, 0, float("nan")
+        for batch in batches:
+            if not len(batch):
+                continue
+            stage, now = batch["stage"].to_numpy(object), batch["now"].to_numpy(float)
+            last = last or before.get(int(batch["_part"].iloc[0]), (None, 0.0))
+            opens = stage != np.concatenate([[last[0]], stage[:-1]])
+            due = opens | batch["force"].to_numpy(bool) | (now - np.concatenate([[last[1]], now[:-1]]) >= interval)
+            firsts = pd.Series(np.where(opens, now, np.nan)).ffill().fillna(first).to_numpy()
+            numbers = k + np.cumsum(due)
+            yield batch.assign(_k=numbers, _first=firsts, _opens=opens)
+            last, k, first = (stage[-1], now[-1]), int(numbers[-1]), firsts[-1]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _k long, _first double, _opens boolean"
+    marked = cut(rows.mapInPandas(mark, schema)).withColumn("_first", F.nanvl("_first", F.lit(None).cast("double")))
+    ends = marked.groupBy("_part").agg(F.max("_k").alias("k"), F.max_by("_first", F.struct("stage", "seq")).alias("first"))
+    found = {r["_part"]: r for r in ends.collect()}
+    carried, owner, number, first = [], 0, 0, None
+    for p in parts:
+        carried.append((p, owner, number, first))
+        owner, number = (p, found[p]["k"]) if found[p]["k"] else (owner, number)
+        first = first if found[p]["first"] is None else found[p]["first"]
+    led = marked.join(F.broadcast(updates.sparkSession.createDataFrame(carried, "_part int, _o int, _n long, _f double")), "_part", "left")
+    goes_on = F.col("_k") == 0
+    return led.select(
+        *updates.columns,
+        F.when(goes_on, F.col("_o")).otherwise(F.col("_part")).alias("_owner"),
+        F.when(goes_on, F.col("_n")).otherwise(F.col("_k")).alias("_k"),
+        F.coalesce("_first", "_f").alias("_first"),
+        "_opens",
+    )
+
+
 def throttled(updates: DataFrame, interval: float) -> DataFrame:
     """Updates (stage, seq, now, completed, total, force) that are due: forced, or an interval after the last one shown.
 
-    Works on streams and tables alike: on a stream state is kept per stage; a table is folded by stage.
+    Works on streams and tables alike, if a stage's clock never falls. On a stream state is kept per stage. A table is
+    sorted by stage and time in range partitions and falls into stretches, each of which begins where an update is due
+    whatever came before: it is forced, or comes an interval after the one before it. Stretches are folded on
+    their own, so that a stage may fill the table; what goes on from one partition to the next is one row each.
     """
     interval = max(0.5, interval)
     out = "stage string, seq long, now double, percent double, elapsed double, eta double"
@@ -115,7 +164,13 @@ def throttled(updates: DataFrame, interval: float) -> DataFrame:
         return pd.DataFrame(shown, columns=[c.split()[0] for c in out.split(", ")]), first, last
 
     if not updates.isStreaming:
-        return updates.groupBy("stage").applyInPandas(lambda g: fold(g, None, 0.0)[0], out)
+        stretches = _stretches(updates, interval)
+
+        def fold_stretch(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("seq")
+            return fold(rows, float(rows["_first"].iloc[0]), 0.0 if rows["_opens"].iloc[0] else float("-inf"))[0]
+
+        return stretches.groupBy("_owner", "_k").applyInPandas(fold_stretch, out)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         first, last = state.get if state.exists else (None, 0.0)
