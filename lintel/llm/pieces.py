@@ -31,6 +31,8 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CACHE_UNITS = 500_000
 #: Texts whose unknown units are encoded together.
 TEXTS_AT_ONCE = 256
+#: Texts that common normalisers change: compatibility forms, combining marks, runs of space, capitals.
+PROBES = ("ﬁ Ａ① x", "e\u0301 é", "  two  spaces  ", "\tTab\u3000wide\u00a0x", "ABC Straße")
 
 
 class PieceModel:
@@ -83,6 +85,9 @@ class PieceModel:
             end = f"{MARK}\n]|\\Z"
             rest = f"[{LATIN}]++(?=[{points}{end})|[{points}]++(?=[{LATIN}{end})|{rest}"
         self.unit = re.compile(f"\n|{marks}{MARK}*(?:{rest})|{MARK}+")
+        for probe in PROBES:
+            if self.encode(probe) != sp.encode(probe):
+                raise ValueError("the model changes text before it encodes it, which is not supported")
 
     @staticmethod
     def _cut_points(beside: set[tuple[str, str]]) -> list[str]:
