@@ -245,7 +245,7 @@ class Index:
                     asks = group["asks"].to_numpy(bool)
                     if not asks.all():
                         held.append(group[~asks])
-                    if not asks.any():
+                    if not asks.any() or not held:  # chance may leave a block without rows
                         continue
                     if block is None:
                         some = pd.concat(held)

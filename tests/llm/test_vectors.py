@@ -10,7 +10,7 @@ NONE = (None,) * 12
 
 
 def _frame(spark, rows):
-    return spark.createDataFrame([(*r, *NONE) for r in rows], SCHEMA)
+    return spark.createDataFrame([(i, v and [None if x is None else float(x) for x in v], label, *NONE) for i, v, label in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
