@@ -1,13 +1,12 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the rows by the normalised text (its first bytes, then its digest),
-an external sort places equal texts next to each other, and each row is compared in full with its
-neighbour. A run of equal neighbours reduces to its smallest identifier and its size. DataFrame
-functions only.
-
-A text that a count finds frequent (see ``frequent_keys``) is dealt over as many runs as the root of
-its number of rows; the first rows of those runs are sorted once more by content, compared in full,
-and their result goes back to the rows of the frequent texts, of which there is a bounded number.
+The order is that of the normalised texts, then of the identifiers. Splitters sampled from the rows cut
+that order into ranges; a range is dealt to a partition as it stands and sorted there, so equal texts
+are adjacent, and each row is compared in full with the row before it. A run of equal neighbours has
+its smallest identifier first. Identifiers are part of the order, so a frequent text lies across as many
+ranges as it fills: the last text of a range is compared with the first of the next, and runs that go on
+are joined along the ranges. Of a range that is one row for the driver and at most two of the broadcast.
+No hash decides anything; the digest is a column of the result. DataFrame functions only.
 
 Defined results: null text counts as empty; a null identifier sorts after all others; of rows that
 repeat one identifier exactly one is kept; an empty table gives an empty result; other columns are
@@ -16,16 +15,23 @@ ignored whatever their names.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lintel.llm.common import cut, frequent_keys, whole_row
+from lintel.llm.common import whole_row, written
 
-KEY_CHARS = 48
-#: A text with at most this many rows stays in one run.
-WHOLE_RUN = 128
+#: Sampled rows of a range, and the characters that are kept of a sampled text if no other begins so.
+SAMPLED = 16
+HEAD_CHARS = 128
 #: The separators that count as one space when texts are compared.
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
+#: What orders rows of equal texts.
+TIE = ("none", "id", "number")
 
 
 def normalised(text_col: str | Column) -> Column:
@@ -36,71 +42,115 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _neighbour_runs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows in content order with ``run``, a number within the key that rises where a text differs from its neighbour's."""
-    by_content = Window.partitionBy(*key).orderBy(F.col("norm"), F.col("id").asc_nulls_last())
-    before = F.lag("norm").over(by_content)
-    starts = rows.repartitionByRange(*key).withColumn("starts", before.isNull() | (before != F.col("norm")))
-    return starts.withColumn("run", F.sum(F.col("starts").cast("int")).over(by_content.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
-    """id, the start and the digest of the normalised text, and the carried columns; cut and numbered by place."""
-    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"), *carried)
-    others = [c for c in norm.columns if c not in ("id", "norm")]
-    rows = cut(norm.select("id", F.substring("norm", 1, KEY_CHARS).alias("head"), digest(F.col("norm")).alias("sha"), *others))
-    return rows.withColumn("number", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
-
-
-def content_runs(rows: DataFrame, whole_run: int = WHOLE_RUN) -> tuple[DataFrame, DataFrame]:
-    """The rows with what neighbours found in their run, and one row for each frequent text.
-
-    In come number, id, head, sha and norm. Rows: number, id, sha, salt (null: not frequent), first (of its
-    run), run_min, run_size. Texts: sha, keep_id, group_size, keep_salt.
-    """
-    often, _ = frequent_keys(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")), "n", whole_run)
-    often = often.select("sha", F.ceil(F.sqrt("n")).cast("int").alias("salts"))
-    dealt = rows.join(F.broadcast(often), "sha", "left")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")).drop("salts")
-
-    key = ["head", "sha", "salt"]
-    run = Window.partitionBy(*key, "run")
-    marked = _neighbour_runs(dealt, key).select(
-        "number", "id", *key, "run", F.col("starts").alias("first"), F.when(F.col("starts") & F.col("salt").isNotNull(), F.col("norm")).alias("norm")
-    )
-    runs = cut(marked.withColumns({"run_min": F.min("id").over(run), "run_size": F.count(F.lit(1)).over(run)}).drop("run"))
-
-    heads = runs.where("first AND salt IS NOT NULL").select(F.col("run_min").alias("id"), "norm", "head", "sha", "salt", "run_size")
-    merged = _neighbour_runs(heads, ["head", "sha"])
-    keeper = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("salt").alias("salt")))
-    texts = merged.groupBy("head", "sha", "run").agg(keeper.alias("keeper"), F.sum("run_size").alias("group_size"))
-    return runs.drop("norm", "head"), texts.select("sha", F.col("keeper.id").alias("keep_id"), "group_size", F.col("keeper.salt").alias("keep_salt"))
-
-
-def _verdicts(rows: DataFrame, whole_run: int) -> DataFrame:
-    """number, id, sha, keep_id, group_size and kept of each row."""
-    runs, texts = content_runs(rows, whole_run)
-    met = runs.join(F.broadcast(texts), "sha", "left")  # frequent texts only, fewer than FREQUENT_SHARE
-    dealt = F.col("salt").isNotNull()
-    return met.select(
-        "number",
-        "id",
-        "sha",
-        F.when(dealt, F.col("keep_id")).otherwise(F.col("run_min")).alias("keep_id"),
-        F.when(dealt, F.col("group_size")).otherwise(F.col("run_size")).cast("long").alias("group_size"),
-        (F.col("first") & (~dealt | (F.col("salt") == F.col("keep_salt")))).alias("kept"),
+    """norm (the normalised text), what orders equal ones, and the carried columns."""
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"), *carried)
+    return rows.withColumns({"none": F.col("id").isNull(), "number": F.monotonically_increasing_id()})
+
+
+def sampled_splitters(rows: DataFrame, ranges: int) -> list[dict]:
+    """Where ranges begin, in order. A text whose head no other sampled text has is cut to it, which splits as well; others are
+    whole, since rows that begin alike, or are one text, may have to be split."""
+    if ranges < 2:
+        return []
+    total = rows.select("number").count()
+    share = min(1.0, SAMPLED * ranges / max(1, total))
+    drawn = rows.where(F.pmod(F.xxhash64("number"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = drawn.select(F.substring("norm", 1, HEAD_CHARS).alias("head"), F.xxhash64("norm").alias("hash"), F.length("norm").alias("chars"), *TIE).collect()
+    sample.sort(key=lambda r: (r["head"].encode(), r["hash"], r["none"], (r["id"] is not None, r["id"] if r["id"] is not None else 0), r["number"]))
+    chosen = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
+    often = Counter(r["head"] for r in sample)
+    cut = [r["number"] for r in chosen if r["chars"] > HEAD_CHARS and often[r["head"]] > 1]
+    whole = dict(rows.where(F.col("number").isin(cut)).select("number", "norm").collect()) if cut else {}
+    out = [{"norm": whole.get(r["number"], r["head"]), **{c: r[c] for c in TIE}} for r in chosen]
+    return sorted(out, key=lambda s: (s["norm"].encode(), s["none"], (s["id"] is not None, s["id"] if s["id"] is not None else 0), s["number"]))
+
+
+def range_of(splitters: list[dict], schema: StructType) -> Column:
+    """The number of splitters that a row's key reaches: counted among every so manieth, then among those that follow."""
+    if not splitters:
+        return F.lit(0)
+    kind = "struct<" + ", ".join(f"{c}:{schema[c].dataType.simpleString()}" for c in ("norm", *TIE)) + ">"
+    step = isqrt(len(splitters))
+    groups = [splitters[k : k + step] for k in range(0, len(splitters), step)]
+    literal = lambda value, of: F.from_json(F.lit(json.dumps(value)), of)
+    tie = F.struct(*TIE)
+
+    def reached(among: Column) -> Column:
+        return F.size(F.filter(among, lambda s: (s["norm"] < F.col("norm")) | ((s["norm"] == F.col("norm")) & (F.struct(*[s[c].alias(c) for c in TIE]) <= tie))))
+
+    group = reached(literal([g[0] for g in groups], f"array<{kind}>"))
+    within = reached(F.element_at(literal(groups, f"array<array<{kind}>>"), group))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + within)
+
+
+def content_runs(rows: DataFrame, ranges: int, *carried: str) -> DataFrame:
+    """Rows in content order, cut: range, run (numbered within the range), starts (the run), keep_id and run_size of the run,
+    opens and closes (the range); the text where a range opens or closes, and the carried columns where a run starts."""
+    in_order = Window.partitionBy("range").orderBy("norm", *TIE)
+    before, after = F.lag("norm").over(in_order), F.lead("number").over(in_order)
+    place = F.row_number().over(in_order)
+    dealt = rows.withColumn("range", range_of(sampled_splitters(rows, ranges), rows.schema)).repartitionById(ranges, F.col("range").cast("int"))
+    marked = dealt.withColumns({"place": place, "starts": before.isNull() | (before != F.col("norm")), "closes": after.isNull()})
+    marked = marked.withColumn("run", F.sum(F.col("starts").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opens = F.col("place") == 1
+    narrow = marked.select(
+        "range", "run", "place", "id", "starts", "closes", opens.alias("opens"), digest(F.col("norm")).alias("sha"),
+        F.when(opens | F.col("closes"), F.col("norm")).alias("edge"), *[F.when(F.col("starts"), F.col(c)).alias(c) for c in carried],
+    )
+    of_run = Window.partitionBy("range", "run")
+    first = F.min(F.struct("place", "id")).over(of_run).getField("id")
+    return written(narrow.withColumns({"keep_id": first, "run_size": F.count(F.lit(1)).over(of_run)}).drop("place"))
+
+
+def joined_runs(runs: DataFrame) -> DataFrame:
+    """range, run, keep_id, group_size and owns (is the first) of the runs that lie across ranges: at most two of a range."""
+    lasts = {r["range"]: r for r in runs.where("closes").select("range", "run", "run_size", "keep_id").collect()}
+    there = sorted(lasts)
+    following = dict(zip(there, there[1:], strict=False))
+    pairs = runs.sparkSession.createDataFrame(list(following.items()), "range int, next int")
+    closing = runs.where("closes").select("range", F.col("edge").alias("last_text")).join(pairs, "range")
+    opening = runs.where("opens").select(F.col("range").alias("next"), F.col("edge").alias("first_text"), "run_size")
+    goes_on = {r["range"]: r["run_size"] for r in closing.join(opening, "next").where("last_text = first_text").select("range", "run_size").collect()}
+
+    owner: dict[int, tuple[int, int]] = {}
+    found: dict[tuple[int, int], list] = {}
+    for now in there:
+        if now in goes_on:
+            last = lasts[now]
+            root = owner[now] if last["run"] == 1 and now in owner else (now, last["run"])
+            group = found.setdefault(root, [last["keep_id"], last["run_size"]])
+            group[1] += goes_on[now]
+            owner[following[now]] = root
+    out = [(*root, *group, True) for root, group in found.items()] + [(now, 1, *found[root], False) for now, root in owner.items()]
+    kind = runs.schema["id"].dataType.simpleString()
+    return runs.sparkSession.createDataFrame(out, f"range int, run long, group_id {kind}, group_size long, owns boolean")
+
+
+def _verdicts(runs: DataFrame) -> DataFrame:
+    """The runs' rows with keep_id, group_size and kept."""
+    met = runs.join(F.broadcast(joined_runs(runs)), ["range", "run"], "left")
+    across = F.col("owns").isNotNull()
+    return met.withColumns(
+        {
+            "keep_id": F.when(across, F.col("group_id")).otherwise(F.col("keep_id")),
+            "group_size": F.when(across, F.col("group_size")).otherwise(F.col("run_size")),
+            "kept": F.col("starts") & F.coalesce("owns", F.lit(True)),
+        }
     )
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_run: int = WHOLE_RUN) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = keyed_rows(docs, id_col, text_col, normalised(text_col).alias("text")).withColumnRenamed("text", "norm")
-    found = _verdicts(rows, whole_run)
+def _ranges(docs: DataFrame, ranges: int | None) -> int:
+    return ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Ranges: as many as shuffles have partitions."""
+    found = _verdicts(content_runs(keyed_rows(docs, id_col, text_col), _ranges(docs, ranges)))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """The rows that stay, one of each text, with all their columns."""
     rows = keyed_rows(docs, id_col, text_col, whole_row(docs))
-    found = _verdicts(rows.select("number", "id", "head", "sha", normalised(F.col("row").getField(text_col)).alias("norm")), WHOLE_RUN)
-    return rows.join(found.where("kept").select("number"), "number", "left_semi").select("row.*")
+    return _verdicts(content_runs(rows, _ranges(docs, ranges), "row")).where("kept").select("row.*")

@@ -12,10 +12,10 @@ def _norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-@pytest.mark.parametrize("whole_run", [1, 128])
-def test_exact_duplicates_against_brute_force(odd_docs, whole_run):
+@pytest.mark.parametrize("ranges", [1, 2, 8, 40])
+def test_exact_duplicates_against_brute_force(odd_docs, ranges):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
-    out = exact_dedup.exact_duplicates(odd_docs, whole_run=whole_run).collect()
+    out = exact_dedup.exact_duplicates(odd_docs, ranges=ranges).collect()
     assert len(out) == len(rows)
     groups = {}
     for i, t in rows:
@@ -30,33 +30,52 @@ def test_exact_duplicates_against_brute_force(odd_docs, whole_run):
         assert len(kept) == 1 and kept[0]["doc_id"] == kept[0]["keep_id"]
 
 
-def test_neighbours_find_the_groups(small):
-    """Nearly all groups of equal texts meet as neighbours in one run; only frequent texts need the second sort."""
+def test_ranges_are_the_order_of_the_texts(small):
+    """Ranges follow each other in the order of the bytes; the comparison with the neighbour finds the runs, and nothing else does."""
     docs, _, pdf, _ = small
-    rows = exact_dedup.keyed_rows(docs, "doc_id", "text", exact_dedup.normalised("text").alias("text")).withColumnRenamed("text", "norm")
-    runs, texts = exact_dedup.content_runs(rows, whole_run=4)
+    rows = exact_dedup.keyed_rows(docs, "doc_id", "text")
+    splitters = exact_dedup.sampled_splitters(rows, 12)
+    assert len(splitters) == 11
+    dealt = rows.withColumn("range", exact_dedup.range_of(splitters, rows.schema)).collect()
+    keys = sorted(((r["norm"].encode(), r["none"], r["id"], r["number"]), r["range"]) for r in dealt)
+    assert [r for _, r in keys] == sorted(r["range"] for r in dealt)
+    marks = [(s["norm"].encode(), s["none"], s["id"], s["number"]) for s in splitters]
+    assert [r for _, r in keys] == [sum(m <= k for m in marks) for k, _ in keys]
+    assert len({r for _, r in keys}) == 12
+    runs = exact_dedup.content_runs(rows, 12)
     sizes = pdf["text"].map(_norm).value_counts()
-    met = {r["sha"]: r["run_size"] for r in runs.where("first AND salt IS NULL AND run_size > 1").collect()}
-    again = {r["sha"]: r["group_size"] for r in texts.collect()}
-    groups = {hashlib.sha256(t.encode()).hexdigest(): n for t, n in sizes.items() if n > 1}
-    assert {**met, **again} == groups and not met.keys() & again.keys()
-    assert again == {k: n for k, n in groups.items() if n > 4}
-    assert len(met) >= 0.8 * len(groups)
-    runs, texts = exact_dedup.content_runs(rows)  # as in production
-    assert runs.where("first AND run_size > 1").count() >= 0.95 * len(groups) and texts.count() == 0
-
-
-def test_a_text_of_a_third_of_all_rows_is_dealt_over_runs(spark):
-    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text' ELSE concat('text ', id) END AS text")
+    starts = runs.where("starts").count()
+    across = exact_dedup.joined_runs(runs).where("NOT owns").count()
+    assert starts - across == len(sizes)
+    assert runs.where("opens").count() == runs.where("closes").count() == 12
+
+
+def test_texts_with_one_digest_stay_apart(spark, monkeypatch):
+    """The full comparison decides: with a digest that is the same for all texts the groups are right."""
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.lit("same"))
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
+    out = exact_dedup.exact_duplicates(docs, ranges=3).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in out} == {(i, i % 7) for i in range(50)}
+
+
+@pytest.mark.parametrize("text", ["one text", "a long text " * 60])
+def test_a_text_of_a_third_of_all_rows_lies_across_ranges(spark, text):
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 0 THEN '{text}' ELSE concat('{text}', id) END AS text")
     docs = docs.unionAll(docs.where("doc_id = 6").selectExpr("CAST(NULL AS LONG)", "text"))
-    rows = exact_dedup.keyed_rows(docs, "doc_id", "text", exact_dedup.normalised("text").alias("text")).withColumnRenamed("text", "norm")
-    runs, texts = exact_dedup.content_runs(rows)
-    assert runs.where("first AND salt IS NOT NULL").count() == 32 and runs.agg({"run_size": "max"}).first()[0] < 100
-    assert [tuple(r)[1:3] for r in texts.collect()] == [(0, 1001)]
-    out = exact_dedup.exact_duplicates(docs)
+    runs = exact_dedup.content_runs(exact_dedup.keyed_rows(docs, "doc_id", "text"), 20)
+    assert runs.groupBy("range").count().agg(F.max("count")).first()[0] < 600
+    across = exact_dedup.joined_runs(runs).collect()
+    assert len(across) >= 5 and {(r["group_id"], r["group_size"]) for r in across} == {(0, 1001)} and sum(r["owns"] for r in across) == 1
+    out = exact_dedup.exact_duplicates(docs, ranges=20)
     assert out.where("kept").count() == 2001 and out.where("keep_id = 0 AND group_size = 1001").count() == 1001
 
 
+def test_identifiers_that_are_strings(spark):
+    docs = spark.createDataFrame([(x, "t") for x in ("b", "a", None, "c")] + [("d", "u")], "doc_id string, text string")
+    out = {r["doc_id"]: tuple(r)[1:4] for r in exact_dedup.exact_duplicates(docs, ranges=4).collect()}
+    assert out == {"a": ("a", 4, True), "b": ("a", 4, False), "c": ("a", 4, False), None: ("a", 4, False), "d": ("d", 1, True)}
+
+
 def test_exact_duplicates_of_no_rows(no_docs):
     assert exact_dedup.exact_duplicates(no_docs).count() == 0
     assert exact_dedup.keep_one_of_each(no_docs).count() == 0
