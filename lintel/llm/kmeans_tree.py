@@ -32,7 +32,7 @@ from lintel.llm.common import written
 from lintel.llm.vectors import NO_ID, matrix, usable_vectors
 
 #: Rows that the tree is fitted on, children of a node, rows that a leaf stands for (times the root of all), and fitted rows of a leaf at least.
-FIT_ROWS = 65_536
+FIT_ROWS = 32_768
 BRANCH = 8
 LEAF_ROWS = 4.0
 LEAF_FITTED = 8
