@@ -62,6 +62,28 @@ def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     return led.withColumn(name, F.col("_before") + nth).drop("_part", "_before")
 
 
+def running_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """The sum of a value over the rows of the same key that come before, 0 for the first.
+
+    Keys may be of any size: range partitions sum on their own, and each hands the total of its last key to the next.
+    """
+    spark = df.sparkSession
+    dealt = written(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    key = F.struct(*keys)
+    edges = dealt.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))  # a row a partition
+    totals = dealt.join(F.broadcast(edges), "_part").where(key.eqNullSafe(F.col("_last"))).groupBy("_part", "_first", "_last").agg(F.sum(value).alias("_total"))
+    carried, last, total = [], None, 0
+    for r in sorted(totals.collect(), key=lambda r: r["_part"]):
+        ahead = total if last is not None and r["_first"] == last else 0
+        carried.append((r["_part"], r["_first"], ahead))
+        last, total = r["_last"], r["_total"] + (ahead if r["_first"] == r["_last"] else 0)
+    schema = f"_part int, _first {edges.schema['_first'].dataType.simpleString()}, _ahead long"
+    led = dealt.join(F.broadcast(spark.createDataFrame(carried, schema)), "_part")
+    own = F.sum(value).over(Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.when(key.eqNullSafe(F.col("_first")), F.col("_ahead")).otherwise(0)
+    return led.withColumn(name, F.coalesce(own, F.lit(0)) + ahead).select(*df.columns, name)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     """Old rows with new ones of the same key in their place, then the other new ones; numbered anew."""
     columns = [c for c in old.columns if c not in (key, position)]

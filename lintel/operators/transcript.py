@@ -2,27 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.functions import values
-from lintel.operators.runs import first_of_each, with_appearance, with_runs
+from lintel.operators.runs import with_appearance, with_runs
 
 BREAK = "--- speaker change ---"
 
 
-def attributed(segments: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+#: Rows of a key that meet in one cell, about.
+CELL_ROWS = 4096
+
+
+def _cells(rows: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row once for every cell of time that it touches."""
+    k = [F.col(x).alias(f"_{x}") for x in keys]
+    led = rows.join(widths.select(*k, "_from", "_width"), [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in keys]).drop(*[f"_{x}" for x in keys])
+    cell = lambda t: F.when(F.col("_width") > 0, F.floor((t - F.col("_from")) / F.col("_width"))).otherwise(0).cast("long")
+    return led.withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.greatest("start", "end"))))).drop("_from", "_width")
+
+
+def longest_overlaps(segments: DataFrame, turns: DataFrame, keys: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """keys, seg_no and speaker of the turn that overlaps each segment longest, by a sweep over time; segments without one have no row.
+
+    A key's time is cut into cells, as many as its rows fill, and a row is in every cell that it touches. A cell's rows stream
+    by in order of start, so a key may hold most rows; what is held are the segments and turns that are still open. A pair
+    meets in the cell where the later of the two starts, and only the best turn of each segment leaves the cell.
+    """
+    said = turns.schema["speaker"].dataType.simpleString()
+    times = [F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")]
+    own = segments.where("start < end").select(*keys, F.lit(True).alias("_asks"), F.col("seg_no").cast("long").alias("_no"), *times, F.lit(None).cast(said).alias("_speaker"))
+    theirs = turns.where("start < end").select(*keys, F.lit(False).alias("_asks"), F.col("turn_no").cast("long").alias("_no"), *times, F.col("speaker").alias("_speaker"))
+    both = own.unionAll(theirs)
+    span = (F.max("start") - F.min("start")) / F.ceil(F.count(F.lit(1)) / F.lit(cell_rows))
+    sizes = both.groupBy(*keys).agg(F.min("start").alias("_from"), span.alias("_w"), F.avg(F.col("end") - F.col("start")).alias("_a"))
+    widths = sizes.select(*keys, "_from", F.when(F.col("_w") > 0, F.greatest("_w", "_a")).otherwise(0.0).alias("_width"))  # no narrower than a row is long on average
+    told = _cells(both, widths, keys)
+    by = [*keys, "_cell"]
+    names = [*keys, "seg_no", "_overlap", "turn_no", "speaker"]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_segments, open_turns, best = None, [], [], {}
+
+        def ended() -> list[tuple]:
+            return [(*now[:-1], seg, length, turn, speaker) for seg, (length, turn, speaker) in best.items()]
+
+        for batch in batches:
+            out = []
+            for *at, asks, no, start, end, speaker in batch[[*by, "_asks", "_no", "start", "end", "_speaker"]].itertuples(index=False):
+                if tuple(at) != now:
+                    if now is not None:
+                        out += ended()
+                    now, open_segments, open_turns, best = tuple(at), [], [], {}
+                others = open_turns if asks else open_segments
+                others[:] = [o for o in others if o[1] > start]
+                for _, o_end, o_no, o_speaker in others:
+                    length = min(end, o_end) - start  # the other began before
+                    seg, turn, name = (no, o_no, o_speaker) if asks else (o_no, no, speaker)
+                    if seg not in best or (-length, turn) < (-best[seg][0], best[seg][1]):
+                        best[seg] = (length, turn, name)
+                (open_segments if asks else open_turns).append((start, end, no, speaker))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None and best:
+            yield pd.DataFrame(ended(), columns=names)
+
+    schema = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys) + f", seg_no long, _overlap double, turn_no long, speaker {said}"
+    found = told.repartition(*by).sortWithinPartitions(*by, "start").mapInPandas(sweep, schema)
+    best = F.min(F.struct((-F.col("_overlap")).alias("o"), "turn_no", "speaker"))
+    return found.groupBy(*keys, "seg_no").agg(best.getField("speaker").alias("speaker"))
+
+
+def attributed(segments: DataFrame, turns: DataFrame, keys: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Segments (keys, seg_no, start, end, ...) with the speaker of the turn (keys, turn_no, start, end, speaker) that overlaps them longest.
 
-    The first turn wins a tie; without overlap the speaker is null. Labels count by first appearance.
+    The first turn wins a tie; without overlap the speaker is null. Labels count by first appearance. seg_no and turn_no are integers
+    that tell the rows of a key apart.
     """
-    t = turns.select(*[F.col(k).alias(f"_{k}") for k in keys], "turn_no", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("speaker").alias("_speaker"))
-    meet = (F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start"))
-    for k in keys:
-        meet = meet & (F.col(k) == F.col(f"_{k}"))
-    length = values.overlap_seconds(F.col("start"), F.col("end"), F.col("_start"), F.col("_end"))
-    best = first_of_each(segments.join(t, meet, "left").withColumn("_overlap", length), [*keys, "seg_no"], F.col("_overlap").desc_nulls_last(), "turn_no")
-    found = best.withColumn("speaker", F.when(F.col("_overlap") > 0, F.col("_speaker"))).drop("_start", "_end", "_speaker", "_overlap", "turn_no", *[f"_{k}" for k in keys])
+    best = longest_overlaps(segments, turns, keys, cell_rows)
+    met = segments.alias("s").join(best.alias("b"), [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "seg_no"]], "left")
+    found = met.select("s.*", F.col("b.speaker").alias("speaker"))
     numbered = with_appearance(found, keys, "speaker", "seg_no")
     return numbered.withColumn("label", F.when(F.col("label_no").isNotNull(), F.format_string("SPEAKER_%02d", "label_no")))
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators.runs import with_batches
+from lintel.operators.runs import running_before
 
 #: Rows that a file for people may have.
 EDGE_ROWS = 100_000
@@ -34,13 +34,13 @@ def export_array(df: DataFrame, path: str, order: str) -> int:
 
 
 def request_batches(items: DataFrame, keys: list[str], item: str, order: str, size: int, distinct: bool = True) -> DataFrame:
-    """keys, batch and ids: bodies of requests of a fixed size, in order. Nothing is sent."""
-    rows = items
+    """keys, batch and ids: bodies of requests of a fixed size, in order. Nothing is sent. A key may have any number of items."""
+    rows = items.select(*keys, item, order)
     if distinct:
         rows = items.groupBy(*keys, item).agg(F.min(order).alias(order))
-    numbered = with_batches(rows, keys, size, order)
+    placed = running_before(rows.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_ahead")
     parts = F.array_sort(F.collect_list(F.struct(order, item)))
-    return numbered.groupBy(*keys, "batch").agg(F.transform(parts, lambda x: x[item]).alias("ids"))
+    return placed.groupBy(*keys, F.floor(F.col("_ahead") / size).cast("long").alias("batch")).agg(F.transform(parts, lambda x: x[item]).alias("ids"))
 
 
 def write_model(model: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintel.operators.runs import running_before
 from lintel.operators.shared import cut
 
 # The wording of messages that tools print, in order of priority: pattern, kind, fixed payload.
@@ -185,11 +186,23 @@ def throttled(updates: DataFrame, interval: float) -> DataFrame:
 
 
 def reassembled_lines(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of byte chunks (keys, seq, chunk), also where a chunk ends inside a character; an unfinished last line counts."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.hex("chunk").alias("h"))))
-    whole = chunks.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).cast("string").alias("_t"))
-    lines = whole.select(*keys, F.posexplode(F.split(F.regexp_replace("_t", "\n$", ""), "\n")).alias("line_no", "line"), F.col("_t"))
-    return lines.where("_t <> ''").select(*keys, "line_no", F.regexp_replace("line", "\r$", "").alias("line"))
+    """Lines of byte chunks (keys, seq, chunk), also where a chunk ends inside a character; an unfinished last line counts.
+
+    A key may be of any size: what lies ahead of a chunk is told by counts of line feeds, which sorted partitions hand on, and
+    the parts of a line meet by its number. Only a line is held whole. seq tells the chunks of a key apart; a null chunk is empty.
+    """
+    said = chunks.select(*keys, "seq", F.decode(F.coalesce("chunk", F.lit(b"")), "ISO-8859-1").alias("_t"))  # a character for each byte
+    feeds = said.select(*keys, "seq", (F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit("")))).cast("long").alias("_n"))
+    ahead = running_before(feeds, keys, "seq", "_n", "_ahead").drop("_n")
+    met = said.alias("c").join(ahead.alias("a"), [F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}")) for k in [*keys, "seq"]]).select("c.*", "a._ahead")
+    parts = met.withColumn("_parts", F.split("_t", "\n"))
+    parts = parts.select(*keys, "seq", "_ahead", F.size("_parts").alias("_size"), F.posexplode("_parts").alias("_k", "_part"))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "_k", "_part")))
+    lines = parts.groupBy(*keys, (F.col("_ahead") + F.col("_k")).alias("line_no")).agg(
+        F.array_join(F.transform(pieces, lambda x: x["_part"]), "").alias("_line"), F.max(F.col("_k") < F.col("_size") - 1).alias("_fed")
+    )
+    line = F.encode(F.regexp_replace("_line", "\r$", ""), "ISO-8859-1").cast("string")
+    return lines.where("_fed OR _line <> ''").select(*keys, F.col("line_no").cast("int").alias("line_no"), line.alias("line"))
 
 
 def latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
