@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 from lintel.functions import values
 from lintel.operators import panel, transcript
 from lintel.operators.runs import side_by_side, with_appearance
-from lintel.plans.tables import fixture, table, values_sql
+from lintel.plans.tables import fixture, forms, forms_sql, table, values_sql
 
-SYMBOLS = ["lse:ABC:gbx", "ABC", " x : EUR ", "a:b:toolong", "", None, "NYSE:IBM:usd"]
-PERCENTS = ["+1.50%", "-2%", "1,234.5%", "−3.25%", "n/a", "", None, "12", "%", "0.10 %"]
+SYMBOLS = ["lse:A{n}:gbx", "ABC", " x : EUR ", "a:b:toolong", "", None, "NYSE:IBM:usd"]
+PERCENTS = ["+1.{n}%", "-{n}%", "1,234.5%", "−3.25%", "n/a", "", None, "12", "%", "0.10 %"]
 LABELS = ["YTD", "1 month", "3 months", "1 year", "5 years annualised", "since launch"]
 AS_OF_TEXTS = ["prices as of Jan 5 2024 close", "As of Feb 29, 2024", "as of Foo 1 2024", "none", None]
 SECONDS = [0.0, 1.2345, 61.0, 3661.005, 359999.9996, -4.0, 0.0005, 0.0015]
 RATES = [("2024-01-01", "USD", 1.10), ("2024-01-01", "GBP", 0.86), ("2024-01-05", "USD", 1.08), ("2024-02-01", "GBP", 0.85), ("2023-01-02", "USD", 1.05), ("2023-12-29", "USD", 1.12), ("2023-12-29", "GBP", 0.87), ("2022-12-30", "GBP", 0.88)]
-PANEL = [("f1", "Fund", "2024-02-03", "USD", "GBP", "+1.00%", "-2.00%", "10%"), ("f2", "Index", "2024-01-31", "GBP", "GBP", "3%", "n/a", ""), ("f3", "Old", "2022-01-01", "USD", "GBP", "1%", "2%", "3%"), ("f4", "None", "2024-01-31", "", "GBP", "1%", "-", "5%")]
+PANEL = [("f1", "Fund", "2024-02-03", "USD", "GBP", "+1.{n}%", "-2.{n}%", "10%"), ("f2", "Index", "2024-01-31", "GBP", "GBP", "3%", "n/a", ""), ("f3", "Old", "2022-01-01", "USD", "GBP", "1%", "2%", "3%"), ("f4", "None", "2024-01-31", "", "GBP", "1%", "-", "5%")]
 PERIODS = ["ytd", "1 month", "1 year"]
 _PANEL_COLUMNS = "symbol string, row_label string, as_of date, base string, target string, ytd string, 1_month string, 1_year string"
 
 
 def currency_rules(spark, sf_dir):
     s = F.col("symbol")
-    return fixture(spark, "pos int, symbol string", list(enumerate(SYMBOLS))).select("pos", values.currency(s).alias("code"), values.target_currency(s).alias("target"), values.symbol_with(s, ":EUR").alias("full"), values.blank(s).alias("blank"))
+    return forms(spark, sf_dir, "symbol string", [(x,) for x in SYMBOLS]).select("pos", values.currency(s).alias("code"), values.target_currency(s).alias("target"), values.symbol_with(s, ":EUR").alias("full"), values.blank(s).alias("blank"))
 
 
 def parse_percent(spark, sf_dir):
-    return fixture(spark, "pos int, cell string", list(enumerate(PERCENTS))).select("pos", F.round(values.percent(F.col("cell")), 9).alias("fraction"))
+    return forms(spark, sf_dir, "cell string", [(x,) for x in PERCENTS]).select("pos", F.round(values.percent(F.col("cell")), 9).alias("fraction"))
 
 
 def percent_of_lines(spark, sf_dir):
@@ -35,7 +35,7 @@ def percent_of_lines(spark, sf_dir):
 
 
 def as_of_text(spark, sf_dir):
-    return fixture(spark, "pos int, text string", list(enumerate(AS_OF_TEXTS))).select("pos", values.as_of_date(F.col("text")).alias("as_of"))
+    return forms(spark, sf_dir, "text string", [(x,) for x in AS_OF_TEXTS]).select("pos", values.as_of_date(F.col("text")).alias("as_of"))
 
 
 def period_start(spark, sf_dir):
@@ -64,7 +64,8 @@ def period_return(spark, sf_dir):
 
 
 def panel_adjust(spark, sf_dir):
-    rows = fixture(spark, _PANEL_COLUMNS, PANEL).withColumnsRenamed({"1_month": "1 month", "1_year": "1 year"})
+    made = forms(spark, sf_dir, _PANEL_COLUMNS, PANEL).withColumn("symbol", F.concat_ws("-", "symbol", F.col("pos").cast("string"))).drop("pos")
+    rows = made.withColumnsRenamed({"1_month": "1 month", "1_year": "1 year"})
     rates = fixture(spark, "rate_date date, currency string, rate double", RATES)
     out = panel.adjusted_panel(rows, rates, PERIODS, "as_of", "base", "target")
     return out.select("symbol", *[F.round(F.col(f"`{p}`"), 9).alias(p.replace(" ", "_")) for p in PERIODS], "applied")
@@ -83,9 +84,14 @@ def positional_concat(spark, sf_dir):
     return side_by_side(nation, region, "n_nationkey", "r_regionkey").select("row_no", "n_name", "r_name")
 
 
+def _seconds(spark, sf_dir):
+    made = forms(spark, sf_dir, "seconds double", [(x,) for x in SECONDS])
+    return made.withColumn("seconds", F.col("seconds") + F.col("pos") % 1000 * 0.5)
+
+
 def time_formats(spark, sf_dir):
     s = F.col("seconds")
-    return fixture(spark, "pos int, seconds double", list(enumerate(SECONDS))).select("pos", values.subtitle_time(s).alias("srt"), values.subtitle_time(s, ".").alias("vtt"), values.duration(s).alias("shown"), F.round(values.clock_seconds(values.subtitle_time(s, ".")), 3).alias("back"))
+    return _seconds(spark, sf_dir).select("pos", values.subtitle_time(s).alias("srt"), values.subtitle_time(s, ".").alias("vtt"), values.duration(s).alias("shown"), F.round(values.clock_seconds(values.subtitle_time(s, ".")), 3).alias("back"))
 
 
 def _segments(spark, sf_dir):
@@ -141,17 +147,23 @@ def named_speakers(spark, sf_dir):
     return rows.select("conv_id", "seg_no", transcript.display_name(F.col("speaker"), names).alias("mapped"), transcript.display_name(F.col("speaker"), None, F.col("label_no"), ["First"]).alias("listed"))
 
 JSONS = [
-    (1, '[{"start": 1.5, "end": 2, "text": " a "}, {"text": "b"}, {"start": 3, "end": 1, "text": "c", "speaker": "S1"}, {"text": " "}]'),
-    (2, '{"segments": [{"t0": 150, "t1": 250, "content": "x"}, "plain"]}'),
-    (3, '{"transcription": [{"offsets": {"from": 500, "to": 1500}, "text": "y", "label": "Z"}]}'),
-    (4, '{"text": "only text"}'),
+    (1, '[{"start": 1.5, "end": 2, "text": " a {w} "}, {"text": "b"}, {"start": 3, "end": 1, "text": "c", "speaker": "S1"}, {"text": " "}]'),
+    (2, '{"segments": [{"t0": 150, "t1": 250, "content": "x{n}"}, "plain"]}'),
+    (3, '{"transcription": [{"offsets": {"from": 500, "to": 1500}, "text": "y", "label": "Z{n}"}]}'),
+    (4, '{"text": "only text {n}"}'),
     (5, "not json"),
     (6, '{"chunks": [{"start": null, "end": 4, "utterance": "n"}]}'),
 ]
 
 
+#: The segments of each JSON text: starts, ends, texts and speakers.
+SEGMENTS = [
+    ("1.5|0|3", "2|0|3", "a {w}|b|c", "||S1"), ("1.5|0", "2.5|0", "x{n}|plain", "|"), ("0.5", "1.5", "y", "Z{n}"), ("0", "0", "only text {n}", ""), ("", "", "", ""), ("0", "4", "n", ""),
+]
+
+
 def segments_from_json(spark, sf_dir):
-    return transcript.segments_of_json(fixture(spark, "doc int, raw string", JSONS), ["doc"], "raw").select("doc", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text", "speaker")
+    return transcript.segments_of_json(forms(spark, sf_dir, "raw string", [(j,) for _, j in JSONS], "doc"), ["doc"], "raw").select("doc", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text", "speaker")
 
 
 QUERIES = {
@@ -187,17 +199,17 @@ def _panel_sql() -> str:
     differ = "base <> '' AND target <> '' AND base <> target"
     shown = ", ".join(f'round(CASE WHEN {differ} AND {own} IS NOT NULL AND {fx} IS NOT NULL THEN (1 + {own}) * (1 + {fx}) - 1 ELSE {own} END, 9) AS "{c}"' for c, (own, fx) in cells.items())
     applied = " OR ".join(f"({differ} AND {own} IS NOT NULL AND {fx} IS NOT NULL)" for own, fx in cells.values())
-    rows = values_sql(_PANEL_COLUMNS, PANEL).replace(", 1_month, 1_year)", ', "1_month", "1_year")')
+    rows = f"(SELECT symbol || '-' || pos AS symbol, * EXCLUDE (pos, symbol) FROM {forms_sql(_PANEL_COLUMNS, PANEL)})"
     return f"SELECT symbol, {shown}, {applied} AS applied FROM {rows}"
 
 
 ORACLES = {
-    "currency_rules": rf"""WITH s AS (SELECT pos, symbol, upper(trim(coalesce(symbol, ''))) AS u, list_filter(list_transform(string_split(upper(coalesce(symbol, '')), ':'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {values_sql('pos int, symbol string', list(enumerate(SYMBOLS)))})
+    "currency_rules": rf"""WITH s AS (SELECT pos, symbol, upper(trim(coalesce(symbol, ''))) AS u, list_filter(list_transform(string_split(upper(coalesce(symbol, '')), ':'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {forms_sql('symbol string', [(x,) for x in SYMBOLS])})
         SELECT pos, CASE WHEN u = 'GBX' THEN 'GBP' ELSE u END AS code, CASE WHEN p[-1] = 'GBX' THEN 'GBP' WHEN regexp_matches(coalesce(p[-1], ''), '^[A-Z]{{3}}$') THEN p[-1] ELSE '' END AS target,
                CASE WHEN trim(coalesce(symbol, '')) = '' OR contains(symbol, ':') THEN trim(coalesce(symbol, '')) ELSE trim(symbol) || ':EUR' END AS "full", u IN ('', 'NAN') AS blank FROM s""",
-    "parse_percent": f"SELECT pos, round(CASE WHEN contains(cell, '%') THEN TRY_CAST(trim(regexp_replace(replace(cell, '−', '-'), '[%,]', '', 'g')) AS DOUBLE) / 100 END, 9) AS fraction FROM {values_sql('pos int, cell string', list(enumerate(PERCENTS)))}",
+    "parse_percent": f"SELECT pos, round(CASE WHEN contains(cell, '%') THEN TRY_CAST(trim(regexp_replace(replace(cell, '−', '-'), '[%,]', '', 'g')) AS DOUBLE) / 100 END, 9) AS fraction FROM {forms_sql('cell string', [(x,) for x in PERCENTS])}",
     "percent_of_lines": "SELECT l_discount, count(*) AS n, round(l_discount * 1000, 6) AS fraction FROM lineitem GROUP BY 1",
-    "as_of_text": f"SELECT pos, CAST(try_strptime(nullif(regexp_extract(text, '(?i)as of ([A-Z][a-z]{{2}} \\d{{1,2}}),? (\\d{{4}})', 1), '') || ' ' || regexp_extract(text, '(?i)as of ([A-Z][a-z]{{2}} \\d{{1,2}}),? (\\d{{4}})', 2), '%b %d %Y') AS DATE) AS as_of FROM {values_sql('pos int, text string', list(enumerate(AS_OF_TEXTS)))}",
+    "as_of_text": f"SELECT pos, CAST(try_strptime(nullif(regexp_extract(text, '(?i)as of ([A-Z][a-z]{{2}} \\d{{1,2}}),? (\\d{{4}})', 1), '') || ' ' || regexp_extract(text, '(?i)as of ([A-Z][a-z]{{2}} \\d{{1,2}}),? (\\d{{4}})', 2), '%b %d %Y') AS DATE) AS as_of FROM {forms_sql('text string', [(x,) for x in AS_OF_TEXTS])}",
     "period_start": f"SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, label, {_START.format(l='label', d='CAST(o_orderdate AS DATE)')} AS start FROM orders, {values_sql('label string', [(x,) for x in LABELS])}",
     "asof_rate": """WITH v AS (SELECT user_id, ts, value, event_id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
         SELECT p.event_id, v.value AS rate FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
@@ -208,7 +220,7 @@ ORACLES = {
     "panel_adjust": _panel_sql(),
     "frame_union": "SELECT DISTINCT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, '' AS kind FROM nation UNION SELECT r_name, '', 'x' FROM region",
     "positional_concat": """SELECT row_no, n_name, r_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS row_no, n_name FROM nation) FULL JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) AS row_no, r_name FROM region) USING (row_no)""",
-    "time_formats": f"""WITH t AS (SELECT pos, seconds, greatest(seconds, 0) AS c FROM {values_sql('pos int, seconds double', list(enumerate(SECONDS)))})
+    "time_formats": f"""WITH t AS (SELECT pos, seconds, greatest(seconds, 0) AS c FROM (SELECT pos, seconds + pos % 1000 * 0.5::DOUBLE AS seconds FROM {forms_sql('seconds double', [(x,) for x in SECONDS])}))
         SELECT pos, {_CLOCK.format(m=',', x='c')} AS srt, {_CLOCK.format(m='.', x='c')} AS vtt,
                CASE WHEN seconds < 0 THEN 'unknown' WHEN seconds >= 3600 THEN printf('%d:%02d:%02d', CAST(floor(seconds) AS BIGINT) // 3600, CAST(floor(seconds) AS BIGINT) // 60 % 60, CAST(floor(seconds) AS BIGINT) % 60)
                     ELSE printf('%02d:%02d', CAST(floor(seconds) AS BIGINT) // 60, CAST(floor(seconds) AS BIGINT) % 60) END AS shown, round_even(c * 1000, 0) / 1000 AS back FROM t""",
@@ -230,6 +242,6 @@ ORACLES = {
     "text_or_whole": f"WITH {_TURNS}, t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY seg_no) AS out FROM s WHERE text <> '' AND conv_id % 3 = 0 GROUP BY 1) SELECT s.conv_id, coalesce(t.out, upper(speaker)) AS out FROM s LEFT JOIN t ON t.conv_id = s.conv_id WHERE seg_no = 0",
     "named_speakers": """WITH f AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM conversations GROUP BY 1, 2)
         SELECT conv_id, turn AS seg_no, CASE WHEN role = 'user' THEN 'Ann' ELSE role END AS mapped, CASE WHEN n = 1 THEN 'First' ELSE role END AS listed FROM conversations JOIN f USING (conv_id, role)""",
-    "segments_from_json": """SELECT doc, pos, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", text, speaker FROM (VALUES (1, 0, 1.5, 2.0, 'a', NULL), (1, 1, 0.0, 0.0, 'b', NULL), (1, 2, 3.0, 3.0, 'c', 'S1'), (2, 0, 1.5, 2.5, 'x', NULL), (2, 1, 0.0, 0.0, 'plain', NULL),
-        (3, 0, 0.5, 1.5, 'y', 'Z'), (4, 0, 0.0, 0.0, 'only text', NULL), (6, 0, 0.0, 4.0, 'n', NULL)) AS t(doc, pos, start, "end", text, speaker)""",
+    "segments_from_json": f"""SELECT doc, unnest(pos) AS pos, CAST(unnest(string_split(starts, '|')) AS DOUBLE) AS start, CAST(unnest(string_split(ends, '|')) AS DOUBLE) AS "end",
+        unnest(string_split(texts, '|')) AS text, nullif(unnest(string_split(speakers, '|')), '') AS speaker FROM (SELECT *, range(0, len(string_split(texts, '|'))) AS pos FROM {forms_sql('starts string, ends string, texts string, speakers string', SEGMENTS, 'doc')} WHERE texts <> '')""",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,65 @@ def fixture(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return df.withColumns({c: df[c].cast("date") for c in dates})
 
 
+# Texts rendered from documents. In a form, {n} stands for a number of three digits of the document and {w} for its first word of
+# ASCII letters.
+_WORD = "[A-Za-z]{3,12}"
+_DOCUMENTS = f"(SELECT doc_id, CAST(doc_id % 900 + 100 AS VARCHAR) AS _n, coalesce(nullif(regexp_extract(coalesce(text, ''), '{_WORD}'), ''), 'Word') AS _w FROM documents)"
+
+
+def _split(columns: str) -> list[tuple[str, str]]:
+    return [tuple(c.strip().split()) for c in columns.split(", ")]
+
+
+def _listed(columns: str, rows: list[tuple]) -> Column:
+    kind = "array<struct<" + ",".join(f"`{name}`:{kind.replace('long', 'bigint')}" for name, kind in _split(columns)) + ">>"
+    return F.from_json(F.lit(json.dumps([dict(zip([c for c, _ in _split(columns)], r, strict=True)) for r in rows])), kind)
+
+
+def _filled(value: Column, kind: str) -> Column:
+    fill = lambda x: F.replace(F.replace(x, F.lit("{n}"), F.col("_n")), F.lit("{w}"), F.col("_w"))
+    return fill(value) if kind == "string" else F.transform(value, fill) if kind == "array<string>" else value
+
+
+def _filled_sql(name: str, kind: str) -> str:
+    fill = "replace(replace({x}, '{{n}}', _n), '{{w}}', _w)"
+    if kind == "string":
+        return fill.format(x=f'"{name}"') + f' AS "{name}"'
+    return (f'list_transform("{name}", lambda x: ' + fill.format(x="x") + f') AS "{name}"') if kind == "array<string>" else f'"{name}"'
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), _WORD, 0), F.lit("")), F.lit("Word"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 900 + 100).cast("string").alias("_n"), word.alias("_w"))
+
+
+def forms(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple], key: str = "pos") -> DataFrame:
+    """A row for each document, whose id is the key: one of the forms in turn, filled with the document's values."""
+    made = _documents(spark, sf_dir).withColumn("_f", F.element_at(_listed(columns, rows), (F.col("doc_id") % len(rows) + 1).cast("int")))
+    return made.select(F.col("doc_id").alias(key), *[_filled(F.col("_f").getField(c), kind).alias(c) for c, kind in _split(columns)])
+
+
+def forms_sql(columns: str, rows: list[tuple], key: str = "pos") -> str:
+    """DuckDB: the same as a derived table; also for the results that forms have."""
+    listed = values_sql(f"_k int, {columns}", [(k, *r) for k, r in enumerate(rows)])
+    listed = listed.replace(f"t(_k, {', '.join(c for c, _ in _split(columns))})", "t(_k, " + ", ".join(f'"{c}"' for c, _ in _split(columns)) + ")")
+    return f'(SELECT doc_id AS "{key}", {", ".join(_filled_sql(c, kind) for c, kind in _split(columns))} FROM {_DOCUMENTS} AS d JOIN {listed} AS f ON f._k = doc_id % {len(rows)})'
+
+
+def copies(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple]) -> DataFrame:
+    """All rows for each document, filled with its values; their first column, a name, gets the document's id."""
+    made = _documents(spark, sf_dir).select("doc_id", "_n", "_w", F.explode(_listed(columns, rows)).alias("_f"))
+    (key, _), *rest = _split(columns)
+    name = F.concat_ws("-", F.col(f"_f.{key}").cast("string"), F.col("doc_id").cast("string"))
+    return made.select(name.alias(key), *[_filled(F.col("_f").getField(c), kind).alias(c) for c, kind in rest])
+
+
+def copies_sql(columns: str, rows: list[tuple]) -> str:
+    """DuckDB: the same as a derived table; also for the results that copies have."""
+    (key, _), *rest = _split(columns)
+    return f'(SELECT "{key}" || \'-\' || doc_id AS "{key}", {", ".join(_filled_sql(c, kind) for c, kind in rest)} FROM {_DOCUMENTS} AS d, {values_sql(columns, rows)} AS f)'
+
+
 def norm(x: str) -> str:
     """DuckDB: normalised text."""
     return f"trim(regexp_replace(lower(regexp_replace(strip_accents(translate(coalesce({x}, ''), '’‘“”', '    ')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
