@@ -9,7 +9,7 @@ from lintel.functions import lexicon, text
 from lintel.operators import evaluate, linkage, selection
 from lintel.operators.runs import first_of_each, top_of_each, upsert
 from lintel.operators.shared import written
-from lintel.plans.tables import distinct, fixture, literal, norm, table, values_sql, words
+from lintel.plans.tables import distinct, fixture, forms, forms_sql, listed, literal, norm, table, values_sql, words
 
 STOP = lexicon.STOPWORDS
 PER_QUERY = 5
@@ -120,11 +120,11 @@ def title_ngrams(spark, sf_dir):
 
 
 ALBUMS = [
-    ("a1", "Goldberg Variations", ["BWV 988"], ["Bach"], ["Glenn Gould"], [], "", ["pf"], "Sony Classical", "1981"),
+    ("a1", "Goldberg Variations {w}", ["BWV 988"], ["Bach"], ["Glenn Gould"], [], "", ["pf"], "Sony Classical", "1981"),
     ("a2", "Symphonies", ["Symphony No 5", "Symphony No 7"], ["Beethoven"], [], ["Berlin Philharmonic"], "Carlos Kleiber", [], "DG", "2025"),
-    ("a3", "Piano Works", [], ["Ravel", "Debussy"], ["Martha Argerich"], [], "", ["piano"], "", ""),
+    ("a3", "Piano Works", [], ["Ravel", "{w}"], ["Martha Argerich"], [], "", ["piano"], "", ""),
     ("a4", "", [], [], [], [], "", [], "", ""),
-    ("a5", "Mahler 2 and 4", ["Symphonies 2, 4"], ["Mahler"], ["Anna Prohaska", "Lee"], ["LSO"], "Simon Rattle", [], "LSO Live", "2025"),
+    ("a5", "Mahler 2 and 4", ["Symphonies 2, 4 {n}"], ["Mahler"], ["Anna Prohaska", "Lee"], ["LSO"], "Simon Rattle", [], "LSO Live", "2025"),
 ]
 HITS = [
     ("h1", "Bach: Goldberg Variations, BWV 988", ["Glenn Gould"], "1981-09-01", "(P) 1982 Sony Classical"),
@@ -136,23 +136,28 @@ HITS = [
 ]
 
 
-def _pairs(spark):
-    hits = fixture(spark, linkage.HIT, HITS)
-    return fixture(spark, linkage.ALBUM, ALBUMS).crossJoin(F.broadcast(hits))  # two inline fixtures of a few rows
+def _albums(spark, sf_dir):
+    """Each document as one of the albums."""
+    return forms(spark, sf_dir, linkage.ALBUM, ALBUMS).withColumn("album_id", F.concat_ws("-", "album_id", F.col("pos").cast("string"))).drop("pos")
+
+
+def _pairs(spark, sf_dir):
+    """Each document as one of the albums, with all hits."""
+    return _albums(spark, sf_dir).withColumn("_h", F.explode(listed(linkage.HIT, HITS))).select("*", "_h.*").drop("_h")
 
 
 def score_penalized(spark, sf_dir):
-    scored = linkage.scores(linkage.features(_pairs(spark)))
+    scored = linkage.scores(linkage.features(_pairs(spark, sf_dir)))
     return scored.select("album_id", "id", *[F.round(f"{f}_score", 9).alias(f) for f in linkage.FEATURES], F.round("base", 9).alias("base"), F.round("score", 9).alias("score"))
 
 
 def auto_gate(spark, sf_dir):
-    scored = linkage.scores(linkage.features(_pairs(spark))).withColumn("queries", F.array("id")).withColumn("first_seen", F.col("id"))
+    scored = linkage.scores(linkage.features(_pairs(spark, sf_dir))).withColumn("queries", F.array("id")).withColumn("first_seen", F.col("id"))
     return linkage.automatic_choice(linkage.ranked(scored).where("rank = 1"), 0.7, 2025, 0.2)
 
 
 def query_selection(spark, sf_dir):
-    return linkage.select_queries(linkage.query_candidates(fixture(spark, linkage.ALBUM, ALBUMS)), 12)
+    return linkage.select_queries(linkage.query_candidates(_albums(spark, sf_dir)), 12)
 
 
 def _set(x: str, least: int = 3) -> str:
@@ -181,7 +186,7 @@ _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicon.INSTRUMENTS.items
 _SKIPPED = literal(sorted({*lexicon.GENERIC_LINE_PREFIXES, *lexicon.SKIPPED_SEGMENTS}))
 _W = lexicon.FEATURE_WEIGHTS
 _SCORED = f"""
-    c AS (SELECT *, list_concat([title], works) AS titles, [conductor] AS leader FROM {values_sql(linkage.ALBUM, ALBUMS)}, {values_sql(linkage.HIT, HITS)}),
+    c AS (SELECT *, list_concat([title], works) AS titles, [conductor] AS leader FROM (SELECT album_id || '-' || pos AS album_id, * EXCLUDE (pos, album_id) FROM {forms_sql(linkage.ALBUM, ALBUMS)}), {values_sql(linkage.HIT, HITS)}),
     k AS (SELECT *, {_set('titles')} AS k_title, {_set('composers')} AS k_composer, {_artist('performers')} AS k_performer, {_artist('ensembles')} AS k_ensemble,
                  {_artist('leader')} AS k_conductor,
                  list_distinct(list_transform(list_filter(flatten(list_transform(instruments, lambda v: {words('v')})), lambda w: NOT list_contains({_SKIPPED}, w)), lambda w: coalesce({_MAP}[w], w))) AS k_instrument,

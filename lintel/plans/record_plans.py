@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from lintel.functions import json_values, lexicon, text, values
 from lintel.operators import candidates, documents, people, records
 from lintel.plans.document_plans import LINE_COLUMNS, REVIEWS
-from lintel.plans.tables import fixture, table, values_sql
+from lintel.plans.tables import copies, fixture, forms, forms_sql, literal, table, values_sql
 from lintel.sources import readers
 from lintel.streaming import progress
 
-JSON_LISTS = ['["a", " b ", "", null, 3, true]', '"one"', '" "', "null", "0", "7", "[]", '{"a": 1}', "false", "[null]"]
-FLOAT_MAPS = ['{"a": 1, "b": "2.5", "c": true}', "[1]", "{}", '{"x": -0.5e1}', "null", '{"y": " 7 "}']
-PATHS = ["/v1/pages/album?albumId=1&x=2&x=3", "https://api.example/v2/a/b?cursor=%2Fq%3D&e=", "pages/home", "items?a=1", "/plain", "https://h.example/p#top"]
+JSON_LISTS = ['["a{n}", " b {w}", "", null, {n}, true]', '"one {w}"', '" "', "null", "0", "7", "[]", '{"a": 1}', "false", "[null]"]
+FLOAT_MAPS = ['{"a": {n}, "b": "2.{n}", "c": true}', "[1]", "{}", '{"x{w}": -0.{n}}', "null", '{"y": " 7 "}']
+PATHS = ["/v1/pages/album?albumId={n}&x=2&x=3{w}", "https://api.example/v2/a/b?cursor=%2Fq%3D&e=", "pages/home", "items?a={w}{n}", "/plain", "https://h.example/p#top"]
 PAGES = [
-    (1, '{"items": [{"item": {"id": 5, "type": "track"}}, {"id": "6"}, {"type": "video", "id": 7}, {"id": 5}, 3]}'),
-    (2, '{"rows": [{"modules": [{"type": "ALBUM_ITEMS", "pagedList": {"dataApiPath": "next/2", "items": [{"item": {"id": 9}, "type": "track"}]}, "items": [{"id": 10}]}, {"type": "OTHER", "items": [{"id": 11}]}]}], "modules": [{"type": "ALBUM_ITEMS", "items": [{"item": {"id": 8, "type": "track"}}]}]}'),
+    (1, '{"items": [{"item": {"id": {n}, "type": "track"}}, {"id": "{w}"}, {"type": "video", "id": 7}, {"id": 5}, 3]}'),
+    (2, '{"rows": [{"modules": [{"type": "ALBUM_ITEMS", "pagedList": {"dataApiPath": "next/{n}", "items": [{"item": {"id": 9}, "type": "track"}]}, "items": [{"id": 10}]}, {"type": "OTHER", "items": [{"id": 11}]}]}], "modules": [{"type": "ALBUM_ITEMS", "items": [{"item": {"id": 8, "type": "track"}}]}]}'),
     (3, "not json"),
     (4, '{"items": 5, "modules": [{"type": "ALBUM_ITEMS", "pagedList": {"dataApiPath": "p4"}}]}'),
 ]
@@ -48,8 +48,8 @@ Glenn Gould
 ]
 HINTS = ["Martha Argerich pf Berlin Philharmonic / Claudio Abbado", "Anna Prohaska; Julius Drake, LSO, Chorus", "Smith vn Jones va", "", None, "LPO / BBC Symphony Orchestra", "with; One, Two"]
 PEOPLE = ["**Anna Prohaska** _sop_ **Julius Drake** _pf_ (Alpha)", "LSO / Simon Rattle", "**Berlin Philharmonic / Herbert von Karajan**; Gould (DG)", ""]
-SECONDS_LINES = ["out_time=00:01:02.500000", "out_time_us=1500000", "progress=end", "out_time_ms=2000000", "x"]
-NOTES = ["progress = 45%", "whisper_print_progress_callback: progress =  5%", "none", "100 %"]
+SECONDS_LINES = ["out_time=00:01:02.500000", "out_time_us=15{n}00", "progress=end", "out_time_ms=2000000", "x"]
+NOTES = ["progress = {n}%", "whisper_print_progress_callback: progress =  5%", "none", "100 %"]
 
 
 def percent_shown(spark, sf_dir):
@@ -111,24 +111,24 @@ def cached_queries(spark, sf_dir):
 
 
 def json_lists(spark, sf_dir):
-    rows = fixture(spark, "pos int, raw string", list(enumerate(JSON_LISTS)))
+    rows = forms(spark, sf_dir, "raw string", [(x,) for x in JSON_LISTS])
     return records.read_lists(rows, "raw").select("pos", F.array_join("strings", "|").alias("strings"), F.array_join("texts", "|").alias("texts"))
 
 
 def float_maps(spark, sf_dir):
-    rows = fixture(spark, "pos int, raw string", list(enumerate(FLOAT_MAPS))).select("pos", json_values.float_map(F.try_parse_json("raw")).alias("m"))
+    rows = forms(spark, sf_dir, "raw string", [(x,) for x in FLOAT_MAPS]).select("pos", json_values.float_map(F.try_parse_json("raw")).alias("m"))
     return rows.select("pos", F.explode("m").alias("key", "value"))
 
 
 def page_paths(spark, sf_dir):
     path, query = json_values.path_and_query(F.col("raw"))
-    rows = fixture(spark, "pos int, raw string", list(enumerate(PATHS)))
+    rows = forms(spark, sf_dir, "raw string", [(x,) for x in PATHS])
     shown = F.transform(F.array_sort(F.map_entries(query)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select("pos", path.alias("path"), F.array_join(shown, "&").alias("query"))
 
 
 def page_tracks(spark, sf_dir):
-    ids, paths = records.page_tracks(fixture(spark, "page int, doc string", PAGES), "page", "doc")
+    ids, paths = records.page_tracks(forms(spark, sf_dir, "doc string", [(d,) for _, d in PAGES], "page"), "page", "doc")
     rank = F.expr("CAST(row_number() OVER (PARTITION BY page ORDER BY pos) AS INT)")
     return ids.select("page", F.lit("track").alias("kind"), rank.alias("nth"), F.col("id").alias("value")).unionAll(paths.select("page", F.lit("path"), rank, "path"))
 
@@ -171,30 +171,30 @@ def listening_minutes(spark, sf_dir):
 
 
 def plain_candidates(spark, sf_dir):
-    return candidates.plain_candidates(fixture(spark, "file string, line_no int, line string", PLAIN_LINES))
+    return candidates.plain_candidates(copies(spark, sf_dir, LINE_COLUMNS, PLAIN_LINES))
 
 
 def file_candidates(spark, sf_dir):
     """Blocks where a file has them, plain titles where it has none."""
-    reviews = fixture(spark, LINE_COLUMNS, [("m", i + 1, s) for i, s in enumerate(REVIEWS)])
+    reviews = copies(spark, sf_dir, LINE_COLUMNS, [("m", i + 1, s) for i, s in enumerate(REVIEWS)])
     blocks = documents.review_blocks(reviews, "file")
-    lines = reviews.unionAll(fixture(spark, LINE_COLUMNS, PLAIN_LINES))
+    lines = reviews.unionAll(copies(spark, sf_dir, LINE_COLUMNS, PLAIN_LINES))
     out = candidates.markdown_candidates(blocks, lines)
     return out.where(candidates.file_kind(F.concat("file", F.lit(".md"))) == "markdown")
 
 
 def plain_performers(spark, sf_dir):
-    said = fixture(spark, "pos int, hint string", list(enumerate(HINTS))).select("pos", candidates.plain_performers(F.col("hint")).alias("p")).select("pos", "p.*")
+    said = forms(spark, sf_dir, "hint string", [(x,) for x in HINTS]).select("pos", candidates.plain_performers(F.col("hint")).alias("p")).select("pos", "p.*")
     return said.select("pos", *[F.array_join(c, "|").alias(c) for c in ("performers", "ensembles", "instruments")], "conductor")
 
 
 def marked_performers(spark, sf_dir):
-    lines = fixture(spark, "pos int, performer_line string", list(enumerate(PEOPLE))).withColumn("label_line", F.lit(""))
+    lines = forms(spark, sf_dir, "performer_line string", [(x,) for x in PEOPLE]).withColumn("label_line", F.lit(""))
     return people.performer_parts(lines, "pos").select("pos", *[F.array_join(c, "|").alias(c) for c in ("performers", "ensembles", "instruments")], "conductor", "label")
 
 
 def album_entries(spark, sf_dir):
-    found = candidates.plain_candidates(fixture(spark, "file string, line_no int, line string", PLAIN_LINES)).withColumn("candidate", F.concat_ws(":", "file", F.col("line_no").cast("string")))
+    found = candidates.plain_candidates(copies(spark, sf_dir, LINE_COLUMNS, PLAIN_LINES)).withColumn("candidate", F.concat_ws(":", "file", F.col("line_no").cast("string")))
     out = candidates.album_entries(found)
     lists = [F.array_join(f"album.{c}", "|").alias(c) for c in ("composers", "performers", "ensembles", "works", "instruments")]
     return out.select("candidate", "source.line", "album.title", *lists, "album.conductor", "album.label")
@@ -206,20 +206,21 @@ def shown_names(spark, sf_dir):
 
 
 def transfer_progress(spark, sf_dir):
-    seconds = fixture(spark, "pos int, line string", list(enumerate(SECONDS_LINES))).select("pos", F.lit("time").alias("kind"), progress.transfer_seconds(F.col("line")).alias("value"))
-    noted = fixture(spark, "pos int, line string", list(enumerate(NOTES))).select("pos", F.lit("percent").alias("kind"), progress.noted_percent(F.col("line")).cast("double").alias("value"))
+    seconds = forms(spark, sf_dir, "line string", [(x,) for x in SECONDS_LINES]).select("pos", F.lit("time").alias("kind"), progress.transfer_seconds(F.col("line")).alias("value"))
+    noted = forms(spark, sf_dir, "line string", [(x,) for x in NOTES]).select("pos", F.lit("percent").alias("kind"), progress.noted_percent(F.col("line")).cast("double").alias("value"))
     return seconds.unionAll(noted)
 
 
 def model_weights(spark, sf_dir):
-    """The default weights of a training model."""
-    model = readers.training_model(spark)
-    rows = [model.select(F.lit(c).alias("kind"), F.explode(c).alias("name", "weight")) for c in ("weights", "template_weights")]
-    return rows[0].unionAll(rows[1])
+    """The weights of a training model that each part overlays: its size as the weight of one feature, known or not, and of one that is not."""
+    names = [*lexicon.FEATURE_WEIGHTS, "unknown"]
+    own = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    overlay = F.create_map(own, F.col("p_size") / 50.0, F.lit("another"), F.lit(9.0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(readers.overlaid(lexicon.FEATURE_WEIGHTS, overlay)).alias("name", "weight"))
 
 
 def heading_parts(spark, sf_dir):
-    lines = fixture(spark, "pos int, line string", [(0, "## **BACH; Handel** Works"), (1, "## J.S. BACH Mass in B minor"), (2, "## Symphony"), (3, "### **Mahler**"), (4, "")])
+    lines = forms(spark, sf_dir, "line string", [("## **BACH; Handel** Works {n}",), ("## J.S. BACH Mass in B minor {n}",), ("## Symphony {n}",), ("### **Mahler**",), ("",)])
     return lines.select("pos", F.array_join(text.heading_people(F.col("line")), "|").alias("people"), text.heading_title(F.col("line"), F.lit("Fallback")).alias("title"))
 
 
@@ -233,7 +234,7 @@ QUERIES = {
 }
 
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)"
-_PARSED = f"p AS (SELECT page, try_cast(doc AS JSON) AS j FROM {values_sql('page int, doc string', PAGES)})"
+_PARSED = f"p AS (SELECT page, try_cast(doc AS JSON) AS j FROM {forms_sql('doc string', [(d,) for _, d in PAGES], 'page')})"
 ORACLES = {
     "percent_shown": "SELECT p_partkey, printf('%+.2f%%', (p_retailprice / 100000 - 0.01::DOUBLE) * 100) AS shown FROM part",
     "feature_text": """SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_size % 3 = 0 THEN 'label=' || printf('%.2f', 0.125::DOUBLE) ELSE '' END || ' ' || CASE WHEN p_size > 0 THEN 'title=' || printf('%.2f', p_size / 50.0::DOUBLE) ELSE '' END), ''), '(no signals)') AS features FROM part""",
@@ -247,13 +248,13 @@ ORACLES = {
     "cached_queries": """WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)
         SELECT user_id, CAST(pos AS INT) AS pos, CASE WHEN user_id % 3 = 0 THEN 't' ELSE 'cached' END AS template, event_type AS query FROM n WHERE user_id % 3 < 2
         UNION ALL SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT), 'cached', event_type FROM n WHERE user_id % 3 = 2 AND k = 1""",
-    "json_lists": f"""WITH j AS (SELECT pos, CAST(raw AS JSON) AS j FROM {values_sql('pos int, raw string', list(enumerate(JSON_LISTS)))}),
+    "json_lists": f"""WITH j AS (SELECT pos, CAST(raw AS JSON) AS j FROM {forms_sql('raw string', [(x,) for x in JSON_LISTS])}),
         k AS (SELECT pos, json_type(j) AS kind, j->>'$' AS one, CASE WHEN json_type(j) = 'ARRAY' THEN list_transform(CAST(j AS JSON[]), lambda x: CASE WHEN json_type(x) = 'NULL' THEN NULL ELSE trim(x->>'$') END) END AS items FROM j)
         SELECT pos, CASE WHEN kind = 'ARRAY' THEN array_to_string(list_filter(items, lambda x: x <> ''), '|') WHEN kind = 'NULL' OR one IN ('0', 'false') THEN '' ELSE trim(one) END AS strings,
                CASE WHEN kind = 'ARRAY' THEN array_to_string(list_filter(list_transform(items, lambda x: coalesce(x, 'None')), lambda x: x <> ''), '|') WHEN kind = 'VARCHAR' THEN trim(one) ELSE '' END AS texts FROM k""",
-    "float_maps": f"""WITH j AS (SELECT pos, CAST(raw AS JSON) AS j FROM {values_sql('pos int, raw string', list(enumerate(FLOAT_MAPS)))}), k AS (SELECT pos, j, unnest(json_keys(j)) AS key FROM j WHERE json_type(j) = 'OBJECT')
+    "float_maps": f"""WITH j AS (SELECT pos, CAST(raw AS JSON) AS j FROM {forms_sql('raw string', [(x,) for x in FLOAT_MAPS])}), k AS (SELECT pos, j, unnest(json_keys(j)) AS key FROM j WHERE json_type(j) = 'OBJECT')
         SELECT pos, key, CASE j->>key WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE CAST(trim(j->>key) AS DOUBLE) END AS value FROM k""",
-    "page_paths": f"""WITH r AS (SELECT pos, regexp_replace(regexp_replace(raw, '^https?://[^/?#]*', ''), '#.*$', '') AS b FROM {values_sql('pos int, raw string', list(enumerate(PATHS)))}),
+    "page_paths": f"""WITH r AS (SELECT pos, regexp_replace(regexp_replace(raw, '^https?://[^/?#]*', ''), '#.*$', '') AS b FROM {forms_sql('raw string', [(x,) for x in PATHS])}),
         q AS (SELECT pos, string_split(b, '?')[1] AS p, coalesce(list_filter(string_split(coalesce(string_split(b, '?')[2], ''), '&'), lambda x: regexp_matches(x, '^[^=]*=.')), []) AS l FROM r),
         d AS (SELECT pos, p, list_distinct(list_transform(l, lambda x: string_split(x, '=')[1])) AS names, l FROM q)
         SELECT pos, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path,
@@ -278,10 +279,11 @@ ORACLES = {
     "book_folders": """WITH b AS (SELECT DISTINCT p_brand FROM part WHERE p_size % 2 = 0 AND p_brand <> 'Brand#11')
         SELECT '/a/' || p_brand AS book, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '\\d+') AS INT)) AS INT) AS pos FROM b""",
     "listening_minutes": "SELECT user_id, CAST(floor(sum(value) / 60) AS BIGINT) AS minutes FROM events WHERE value IS NOT NULL GROUP BY 1",
-    "model_weights": " UNION ALL ".join(f"SELECT * FROM {values_sql('kind string, name string, weight double', [(k, n, w) for n, w in d.items()])}" for k, d in (("weights", lexicon.FEATURE_WEIGHTS), ("template_weights", lexicon.TEMPLATE_WEIGHTS))),
+    "model_weights": f"""SELECT p_partkey, name, CASE WHEN {literal([*lexicon.FEATURE_WEIGHTS, 'unknown'])}[p_partkey % {len(lexicon.FEATURE_WEIGHTS) + 1} + 1] = name THEN p_size / 50.0::DOUBLE ELSE weight END AS weight
+        FROM part, {values_sql('name string, weight double', list(lexicon.FEATURE_WEIGHTS.items()))}""",
     "shown_names": "SELECT p_partkey, p_size % 4 < 2 AS blank FROM part",
     "transfer_progress": f"""SELECT pos, 'time' AS kind, CASE WHEN starts_with(line, 'out_time=') THEN CAST(split_part(substr(line, 10), ':', 1) AS INT) * 3600 + CAST(split_part(substr(line, 10), ':', 2) AS INT) * 60 + CAST(split_part(line, ':', 3) AS DOUBLE)
-               WHEN regexp_matches(line, '^out_time_(us|ms)=') THEN CAST(split_part(line, '=', 2) AS DOUBLE) / 1e6 END AS value FROM {values_sql('pos int, line string', list(enumerate(SECONDS_LINES)))}
-        UNION ALL SELECT pos, 'percent', CAST(nullif(regexp_extract(line, 'progress\\D*(\\d+)\\s*%', 1), '') AS DOUBLE) FROM {values_sql('pos int, line string', list(enumerate(NOTES)))}""",
+               WHEN regexp_matches(line, '^out_time_(us|ms)=') THEN CAST(split_part(line, '=', 2) AS DOUBLE) / 1e6 END AS value FROM {forms_sql('line string', [(x,) for x in SECONDS_LINES])}
+        UNION ALL SELECT pos, 'percent', CAST(nullif(regexp_extract(line, 'progress\\D*(\\d+)\\s*%', 1), '') AS DOUBLE) FROM {forms_sql('line string', [(x,) for x in NOTES])}""",
 }
 

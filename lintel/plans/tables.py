@@ -47,7 +47,8 @@ def _split(columns: str) -> list[tuple[str, str]]:
     return [tuple(c.strip().split()) for c in columns.split(", ")]
 
 
-def _listed(columns: str, rows: list[tuple]) -> Column:
+def listed(columns: str, rows: list[tuple]) -> Column:
+    """Rows as an array of structs."""
     kind = "array<struct<" + ",".join(f"`{name}`:{kind.replace('long', 'bigint')}" for name, kind in _split(columns)) + ">>"
     return F.from_json(F.lit(json.dumps([dict(zip([c for c, _ in _split(columns)], r, strict=True)) for r in rows])), kind)
 
@@ -71,7 +72,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forms(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple], key: str = "pos") -> DataFrame:
     """A row for each document, whose id is the key: one of the forms in turn, filled with the document's values."""
-    made = _documents(spark, sf_dir).withColumn("_f", F.element_at(_listed(columns, rows), (F.col("doc_id") % len(rows) + 1).cast("int")))
+    made = _documents(spark, sf_dir).withColumn("_f", F.element_at(listed(columns, rows), (F.col("doc_id") % len(rows) + 1).cast("int")))
     return made.select(F.col("doc_id").alias(key), *[_filled(F.col("_f").getField(c), kind).alias(c) for c, kind in _split(columns)])
 
 
@@ -84,7 +85,7 @@ def forms_sql(columns: str, rows: list[tuple], key: str = "pos") -> str:
 
 def copies(spark: SparkSession, sf_dir: str, columns: str, rows: list[tuple]) -> DataFrame:
     """All rows for each document, filled with its values; their first column, a name, gets the document's id."""
-    made = _documents(spark, sf_dir).select("doc_id", "_n", "_w", F.explode(_listed(columns, rows)).alias("_f"))
+    made = _documents(spark, sf_dir).select("doc_id", "_n", "_w", F.explode(listed(columns, rows)).alias("_f"))
     (key, _), *rest = _split(columns)
     name = F.concat_ws("-", F.col(f"_f.{key}").cast("string"), F.col("doc_id").cast("string"))
     return made.select(name.alias(key), *[_filled(F.col("_f").getField(c), kind).alias(c) for c, kind in rest])
