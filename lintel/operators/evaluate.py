@@ -47,3 +47,24 @@ def gates(measured: DataFrame, least_precision: float, least_recall: float) -> D
 def status_counts(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One count per expected status, zeros included, others ignored."""
     return rows.agg(*[F.count_if(F.col(column) == k).alias(k) for k in keys])
+
+
+def recall_by_limits(pairs: DataFrame, ranked: DataFrame, shared: DataFrame, queries: int) -> DataFrame:
+    """One row: true pairs (item_id, doc_id), those that are found and lost, and their shares.
+
+    ``ranked`` holds the pairs that the search proposes, with ranks; ``shared`` the first query (qpos) that a true pair shares, of all
+    that an item could ask. A search asks the first ``queries`` of them and keeps a few documents of each: the last two
+    shares tell what either limit costs.
+    """
+    met = pairs.join(ranked, ["item_id", "doc_id"], "left").join(shared, ["item_id", "doc_id"], "left")
+    part = lambda n: F.round(F.coalesce(n / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)), 9)
+    return met.agg(
+        F.count_distinct("item_id").alias("items"),
+        F.count(F.lit(1)).alias("pairs"),
+        F.count("rank").alias("found"),
+        F.count_if(F.col("rank").isNull()).alias("lost"),
+        F.count_if(F.col("rank") <= 5).alias("in_first_5"),
+        part(F.count("rank")).alias("recall"),
+        part(F.count_if(F.col("qpos") < queries)).alias("recall_all_documents"),
+        part(F.count("qpos")).alias("recall_all_queries"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from lintel.functions import json_values, text
 from lintel.operators.runs import first_of_each
@@ -20,16 +20,18 @@ def percent_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v * 100:+.2f}%")
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(ArrayType(StringType()))
 def _two_digits(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
+    return values.map(lambda row: None if row is None else [f"{v:.2f}" for v in row])
 
 
 def feature_text(df: DataFrame, key: str, features: str) -> DataFrame:
-    """key and the features above zero as 'name=0.00' by name, or '(no signals)'."""
-    rows = df.select(key, F.explode(features).alias("k", "v")).where("v > 0").withColumn("shown", F.concat("k", F.lit("="), _two_digits("v")))
-    said = rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "shown")))["shown"], " ").alias("said"))
-    return df.select(key).join(said, key, "left").select(key, F.coalesce("said", F.lit("(no signals)")).alias("features"))
+    """key and each row's features above zero as 'name=0.00' by name, or '(no signals)'; rows that share a key stay apart."""
+    shown = F.array_sort(F.filter(F.map_entries(features), lambda e: e["value"] > 0))
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(shown, F.array().cast("array<struct<key:string,value:double>>")).alias("_shown"))
+    numbers = _two_digits(F.transform("_shown", lambda e: e["value"]))
+    said = F.array_join(F.zip_with(F.transform("_shown", lambda e: e["key"]), numbers, lambda k, v: F.concat(k, F.lit("="), v)), " ")
+    return rows.select(F.col("_key").alias(key), F.coalesce(F.nullif(said, F.lit("")), F.lit("(no signals)")).alias("features"))
 
 
 def record_id(file: Column, line: Column, title: Column) -> Column:

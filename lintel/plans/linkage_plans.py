@@ -26,10 +26,10 @@ def _item_queries(items):
     return items.select("item_id", F.posexplode(F.slice(F.array_distinct(grams), 1, QUERIES_PER_ITEM)).alias("qpos", "query"))
 
 
-def _links(spark, sf_dir, keep=False):
-    """Ranked documents of every benchmark item that one of its queries finds."""
+def _links(spark, sf_dir, docs=None, keep=False):
+    """Ranked documents of every benchmark item that one of its queries finds. docs: words of all documents, if known."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
-    docs = _tokens(table(spark, sf_dir, "documents"))
+    docs = docs if docs is not None else _tokens(table(spark, sf_dir, "documents"))
     queries = _item_queries(items)
     # only the 4-grams that some item asks for go on from the documents
     index = docs.select("doc_id", F.explode(linkage.ngrams(F.col("tokens"), 4, 4)).alias("query")).join(queries.select("query").distinct(), "query", "left_semi").distinct()
@@ -61,37 +61,69 @@ def candidate_search(spark, sf_dir):
     return _links(spark, sf_dir)
 
 
-def _truths(items, docs):
+#: Starts without a whole word inside that are looked for in all documents at a time.
+STARTS_AT_ONCE = 500
+
+
+def _truths(items, docs, tokens):
     """item_id and doc_id of every document that contains an item's start, whatever the search proposes.
 
     A document that contains the start holds its words but the first and the last, which may be parts of
-    longer ones: those that hold the rarest run of up to four of them are compared.
+    longer ones: those that hold the rarest run of up to four of them are compared. Runs of a length that
+    no item asks for are not formed. ``tokens`` holds the documents' words.
     """
     words = items.select("item_id", "start", text.words(text.normalize(F.col("start"))).alias("words"))
-    inner = words.select("item_id", "start", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))).alias("inner"))
+    inner = written(words.select("item_id", "start", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))).alias("inner")))
     runs = F.when(F.size("inner") < 4, F.array(F.array_join("inner", " "))).otherwise(linkage.ngrams(F.col("inner"), 4, 4))
     asked = inner.where(F.size("inner") > 0).select("item_id", F.explode(F.array_distinct(runs)).alias("run"))
-    tokens = docs.select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
-    held = tokens.select("doc_id", F.explode(linkage.ngrams(F.col("tokens"), 1, 4)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi").distinct()
+    lengths = [r[0] for r in inner.where(F.size("inner") > 0).select(F.least(F.size("inner"), F.lit(4))).distinct().collect()]  # four at most
+    grams = F.flatten(F.array(*[linkage.ngrams(F.col("tokens"), n, n) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
+    held = written(tokens.select("doc_id", F.explode(grams).alias("run")).join(asked.select("run").distinct(), "run", "left_semi").distinct())
     counted = asked.join(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run", "left").fillna(0, ["n"])
     rarest = first_of_each(counted, ["item_id"], "n", "run").select("item_id", "run")
     met = rarest.join(held, "run").select("item_id", "doc_id").distinct()
-    pairs = met.join(items, "item_id").join(docs, "doc_id")
-    # a start of two words at most has no whole word inside: it is looked for everywhere
-    short = inner.where("start <> '' AND size(inner) = 0").select("item_id", "start").join(docs, F.contains("text", F.col("start")))
-    return pairs.where(F.contains("text", F.col("start"))).select("item_id", "doc_id").unionAll(short.select("item_id", "doc_id"))
+    found = met.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("start"))).select("item_id", "doc_id")
+    # a start of two words at most has no whole word inside: it is looked for everywhere, so many starts at a time
+    short = inner.where("start <> '' AND size(inner) = 0").select("item_id", "start")
+    n = short.count()
+    numbered = short.withColumn("_nth", F.row_number().over(Window.orderBy("item_id"))) if n else short
+    for k in range(-(-n // STARTS_AT_ONCE)):
+        some = F.broadcast(numbered.where(F.floor((F.col("_nth") - 1) / STARTS_AT_ONCE) == k))
+        found = found.unionAll(docs.join(some, F.contains("text", F.col("start"))).select("item_id", "doc_id"))
+    return found
+
+
+def _searched(spark, sf_dir, ends=False):
+    """The links that the search finds, and all pairs of an item and a document that contains its start (or, with ends, its end)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = _tokens(docs)
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 2).alias("item_id"), F.substring("text", 1, 60).alias("start"), F.substring("text", -60, 60).alias("end"))
+    pieces = items.select("item_id", "start")
+    if ends:
+        pieces = pieces.unionAll(items.select(F.col("item_id") + 1, "end"))
+    pairs = _truths(pieces, docs, tokens).select(F.floor(F.col("item_id") / 2).alias("item_id"), "doc_id").distinct()
+    return _links(spark, sf_dir, tokens, keep=True), written(pairs), tokens
 
 
 def _benchmark_results(spark, sf_dir):
-    links = _links(spark, sf_dir, keep=True).select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("id"), "rank", "score")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("start"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = _truths(items, docs).select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("truth_id"))
-    truth = found.groupBy("album_id").agg(F.min("truth_id").alias("truth_id"))
+    links, pairs, _ = _searched(spark, sf_dir)
+    links = links.select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("id"), "rank", "score")
+    truth = pairs.groupBy(F.col("item_id").alias("album_id")).agg(F.min("doc_id").alias("truth_id"))
     auto = links.where("rank = 1 AND score >= 0.85").select("album_id", "id")
     return evaluate.truth_ranks(links, truth, auto)
 
 
+def eval_recall(spark, sf_dir):
+    """What the search proposes of all pairs of an item and a document that contains its start or its end: with the search's limits,
+    without that on the documents of a query, and without that on queries."""
+    links, pairs, tokens = _searched(spark, sf_dir, ends=True)
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
+    every = items.select("item_id", F.posexplode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("qpos", "query"))
+    held = tokens.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("query"))
+    shared = pairs.join(every, "item_id").join(held, ["doc_id", "query"]).groupBy("item_id", "doc_id").agg(F.min("qpos").alias("qpos"))
+    return evaluate.recall_by_limits(pairs, links.select("item_id", "doc_id", "rank"), shared, QUERIES_PER_ITEM)
+
+
 def eval_metrics(spark, sf_dir):
     measured = evaluate.gates(evaluate.metrics(_benchmark_results(spark, sf_dir)), 0.9, 0.5)
     return measured.select("n", "regressions", "lost", "passes", *[F.round(c, 9).alias(c) for c in measured.columns if c not in ("n", "regressions", "lost", "passes")])
@@ -264,13 +296,20 @@ def selected_ids(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_search, eval_metrics, eval_regressions, title_ngrams, score_penalized, auto_gate, query_selection, status_summary, top_counts,
+        candidate_search, eval_metrics, eval_regressions, eval_recall, title_ngrams, score_penalized, auto_gate, query_selection, status_summary, top_counts,
         ordered_distinct, fingerprint_dedupe, weight_ema, template_weight_update, upsert_records, resume_filter, selected_ids,
     )
 }
 
 ORACLES = {
     "candidate_search": f"WITH {_LINKS} SELECT item_id, doc_id, n_queries, first_seen, score, rank FROM l",
+    "eval_recall": f"""WITH {_LINKS},
+        t AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) OR contains(d.text, right(b.text, 60)) WHERE b.text <> ''),
+        a AS (SELECT item_id, query, row_number() OVER (PARTITION BY item_id ORDER BY k) - 1 AS qpos FROM (SELECT item_id, query, min(k) AS k FROM g GROUP BY ALL)),
+        m AS (SELECT t.item_id, t.doc_id, min(qpos) AS qpos FROM t JOIN a USING (item_id) JOIN x ON x.doc_id = t.doc_id AND x.query = a.query GROUP BY ALL),
+        r AS (SELECT t.*, l.rank, m.qpos FROM t LEFT JOIN l USING (item_id, doc_id) LEFT JOIN m USING (item_id, doc_id))
+        SELECT count(DISTINCT item_id) AS items, count(*) AS pairs, count(rank) AS found, count(*) - count(rank) AS lost, count(*) FILTER (rank <= 5) AS in_first_5, round(count(rank) / count(*), 9) AS recall,
+               round(count(*) FILTER (qpos < {QUERIES_PER_ITEM}) / count(*), 9) AS recall_all_documents, round(count(qpos) / count(*), 9) AS recall_all_queries FROM r""",
     "eval_metrics": f"""{_RESULTS}
         SELECT count(*) AS n, round(coalesce(avg(CAST(coalesce(top_id = truth_id, false) AS INT)), 0), 9) AS precision_at_1, round(coalesce(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 0), 9) AS mrr,
                round(coalesce(avg(CAST(auto_id IS NOT NULL AS INT)), 0), 9) AS auto_coverage,

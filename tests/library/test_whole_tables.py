@@ -111,3 +111,23 @@ def test_formats_tell_whole_turns(spark):
         cue = last[conv].rsplit(" --> ", 1)[1][:12]
         hours, minutes, rest = cue.replace(",", ".").split(":")
         assert abs(int(hours) * 3600 + int(minutes) * 60 + float(rest) - seconds) < 0.002
+
+
+def test_limits_of_the_search_cost_recall(spark, tmp_path):
+    """Eight documents hold a passage, five of which a query keeps; one holds only its end, which the first queries miss."""
+    words = [f"word{k}" for k in range(60)]
+    passage = " ".join(words)
+    docs = [(k, f"intro {passage} {k}") for k in range(8)] + [(8, f"only {' '.join(words[40:])}"), (9, "another text")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.queries()["eval_recall"](spark, str(tmp_path)).first()
+    assert (found["items"], found["pairs"], found["found"], found["lost"], found["in_first_5"]) == (1, 9, 5, 4, 5)
+    assert (round(found["recall"], 6), round(found["recall_all_documents"], 6), found["recall_all_queries"]) == (round(5 / 9, 6), round(8 / 9, 6), 1.0)
+
+
+def test_features_of_rows_that_share_a_key(spark):
+    from lintel.operators import records
+
+    rows = [("x", {"b": 0.25}), ("x", {"a": 0.5, "c": 0.0, "b": 0.125}), ("y", {}), ("z", None), (None, {"a": -1.0})]
+    found = records.feature_text(spark.createDataFrame(rows, "k string, f map<string,double>"), "k", "f").collect()
+    assert sorted((str(r["k"]), r["features"]) for r in found) == [("None", "(no signals)"), ("x", "a=0.50 b=0.12"), ("x", "b=0.25"), ("y", "(no signals)"), ("z", "(no signals)")]
