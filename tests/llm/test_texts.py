@@ -252,9 +252,8 @@ PAGE = (
 
 def _text(page):
     """Main text of a page alone on its host."""
-    by_place = [[t for place, t in html_text.page_blocks(page) if place == k] for k in range(3)]
-    articles = max(" ".join(by_place[html_text.INSIDE]), " ".join(by_place[html_text.ENCLOSED]), key=len)
-    return html_text.vote(articles, by_place[html_text.OUTSIDE], np.zeros(0, np.int64))
+    articles, outside, sure = html_text.page_parts(page)
+    return html_text.vote(articles, outside, np.zeros(0, np.int64), sure)
 
 
 def test_article_pages():
@@ -280,7 +279,20 @@ def test_article_pages():
         ("<!-- <article> --><script>'<article>'</script><div>the story</div>", "the story"),
         ('<section id="comments"><article>no</article></section><p>yes it is</p>', "yes it is"),
         ('<div class="sidebar"><article>teaser</article></div><article>a longer story</article>', "a longer story"),
-        ("<div><p>the real story has many words</p></div><article>teaser</article>", "the real story has many words"),
+        ("<div><p>the real story has many words</p></div><article>teaser</article><article>two</article>", "the real story has many words"),
+        ("<article>the one story, told at length</article><article>another</article><div>few words</div>", "the one story, told at length another"),
+        ("<article>short story</article><div class='rail'>" + "word " * 30 + "</div>", "short story"),
+        ("<article>short story</article><div>" + "word " * 30 + "</div>", "short story"),
+        ("<main>a b c</main><div>x y z w</div>", "a b c"),
+        ("<main><article>a b</article><article>c</article></main><article>no</article>", "a b c"),
+        ("<article>a<div class='post-comments'>no</div><ol class='comment-list'><li>no</ol><div class='ad-slot'>no</div><div class='cookie-banner'>no</div>b</article>", "a b"),
+        ("<article>a<div class='widget'>b</div><div class='commentary'>c</div></article>", "a b c"),
+        ("<form id='aspnetForm'><div>no</div><article>the story</article></form>", "the story"),
+        ("<form id='aspnetForm'><nav>no</nav><div>the <b>story</b></div><p>goes on</p></form>", "the story goes on"),
+        ("<form><input><label>no</label></form><p>yes</p>", "yes"),
+        ("<aside><article>the story</article></aside>", "the story"),
+        ("<aside><article>a teaser</article></aside><div>the story is longer</div>", "the story is longer"),
+        ("<article>a<form>no</form><aside>no</aside>b</article>", "a b"),
         ('<p hidden>no</p><p class="overflow hidden">yes</p>', "yes"),
     ],
 )
@@ -309,6 +321,15 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark, batch_pages):
     assert out[301] == "o1 " + " ".join(f"quote{j}" for j in range(12))
 
 
+@pytest.mark.parametrize("batch_pages", [500, 3, 1])
+def test_boilerplate_is_counted_over_the_whole_host(spark, batch_pages):
+    """A passage on six pages goes however the pages are dealt, also if no batch holds it twice."""
+    shared = " ".join(f"menu{j}" for j in range(10))
+    rows = [(i, f"https://h.example/{i}", f"<p>page{i} own{i}</p><p>{shared if i % 7 == 0 else f'x{i}'}</p>") for i in range(40)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(_pages(spark, rows), batch_pages=batch_pages).collect()}
+    assert out == {i: f"page{i} own{i}" + ("" if i % 7 == 0 else f" x{i}") for i in range(40)}
+
+
 def test_pages_without_articles_against_brute_force(spark):
     """The real pages with their article elements taken for plain ones: what five distinct pages of a host share in eight tokens goes."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
