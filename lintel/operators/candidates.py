@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.functions import lexicon, text
+from lintel.operators import documents
 from lintel.operators.people import performer_parts
 from lintel.operators.runs import first_of_each
+from lintel.sources.mail import mail_html
 
 CANDIDATE = (
     "file string, line_no int, title_hint string, performer_hint string, label_hint string, title_line string, performer_line string,"
@@ -95,6 +97,34 @@ def markdown_candidates(blocks: DataFrame, lines: DataFrame, key: str = "file")
     return own.unionByName(others.select(*columns))
 
 
+def hinted_candidates(hints: DataFrame, key: str = "file") -> DataFrame:
+    """Candidates (CANDIDATE) of the headings of a page with their performers and labels (key, group, title, performer, label)."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+    found = hints.select(
+        key, F.col("group").cast("int").alias("line_no"), F.col("title").alias("title_hint"), said("performer").alias("performer_hint"), said("label").alias("label_hint"), F.col("title").alias("title_line"),
+        said("performer").alias("performer_line"), F.when(said("label") != "", F.concat(F.lit("("), "label", F.lit(")"))).otherwise("").alias("label_line"), F.col("title").alias("raw_text"), F.lit("").alias("subsection"),
+    )
+    return _distinct(found, key)
+
+
+def mail_candidates(mails: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
+    """Candidates (CANDIDATE) of MIME archives of pages: their first HTML part, its headings, and what stands below them."""
+    pages = mail_html(mails, key, content)
+    return hinted_candidates(documents.heading_hints(documents.html_elements(pages, key, "html"), key), key)
+
+
+def file_candidates(files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Candidates of files (file, content) by their endings: archives of pages, or Markdown; another ending raises.
+
+    blocks: review blocks of Markdown files, where they are known.
+    """
+    kinds = files.withColumn("_kind", file_kind(F.col("file")))
+    lines = kinds.where("_kind = 'markdown'").select("file", F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), "\r\n", "\n"), "\n")).alias("n", "line"))
+    lines = lines.select("file", (F.col("n") + 1).alias("line_no"), "line")
+    blocks = blocks if blocks is not None else documents.review_blocks(lines, "file")
+    return markdown_candidates(blocks, lines).unionByName(mail_candidates(kinds.where("_kind = 'mail'")))
+
+
 def file_kind(file: Column) -> Column:
     """'mail' or 'markdown' by a file's ending; others raise."""
     ending = F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1))

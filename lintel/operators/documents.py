@@ -262,6 +262,55 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.col(html).alias("_html")).mapInPandas(read, f"{key} {kind}, table_no int, row_no int, col_no int, text string")
 
 
+def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, pos, tag, text and emphasised (whether some text stands in bold or italics) of headings, paragraphs, list items and rules."""
+    from html.parser import HTMLParser
+
+    shown, strong = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "hr"}, {"b", "strong", "em", "i"}
+
+    class Elements(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__()
+            self.rows: list[tuple[int, str, str, bool]] = []
+            self.tag, self.said, self.marked, self.depth = "", [], False, 0
+
+        def close_element(self) -> None:
+            if self.tag:
+                self.rows.append((len(self.rows), self.tag, " ".join("".join(self.said).split()), self.marked))
+            self.tag, self.said, self.marked = "", [], False
+
+        def handle_starttag(self, tag: str, attrs) -> None:
+            self.depth += tag in strong
+            if tag in shown:
+                self.close_element()
+                self.tag = tag
+                if tag == "hr":
+                    self.close_element()
+
+        def handle_endtag(self, tag: str) -> None:
+            self.depth = max(0, self.depth - (tag in strong))
+            if tag in shown or tag in ("div", "ul", "ol", "body"):
+                self.close_element()
+
+        def handle_data(self, data: str) -> None:
+            self.said.append(data)
+            self.marked = self.marked or (self.depth > 0 and bool(data.strip()))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, page in zip(batch[key], batch["_html"], strict=True):
+                parser = Elements()
+                parser.feed(page or "")
+                parser.close()
+                parser.close_element()
+                out += [(k, *row) for row in parser.rows]
+            yield pd.DataFrame(out, columns=[key, "pos", "tag", "text", "emphasised"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, F.col(html).alias("_html")).mapInPandas(read, f"{key} {kind}, pos int, tag string, text string, emphasised boolean")
+
+
 def settings_map(raw: Column) -> Column:
     """NAME=value entries between NULs or line feeds as a map, the last of a name; exported functions are no entries."""
     entries = F.filter(F.split(raw, "[\x00\n]"), lambda e: F.contains(e, F.lit("=")) & ~F.startswith(e, F.lit("BASH_FUNC_")))

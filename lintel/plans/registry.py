@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of lintel.plans that each define QUERIES and ORACLES.
-PLAN_MODULES: tuple[str, ...] = ("text_plans", "linkage_plans", "panel_plans", "document_plans", "record_plans", "stream_plans", "listing_plans")
+PLAN_MODULES: tuple[str, ...] = ("text_plans", "linkage_plans", "panel_plans", "document_plans", "record_plans", "stream_plans", "listing_plans", "file_plans")
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import lexicon, text
 from lintel.operators.runs import first_of_each
+from lintel.sources.mail import mail_html
 
 CANDIDATE = "struct<id:string,title:string,artists:array<string>,release_date:string,copyright:string,track_count:int,score:double,features:map<string,double>,queries:array<string>,details_fetched:boolean>"
 ALBUM = "struct<title:string,composers:array<string>,performers:array<string>,ensembles:array<string>,conductor:string,label:string,year:string,works:array<string>,instruments:array<string>>"
@@ -104,18 +105,7 @@ def first_markdown(full: Column, own: Column, pages: Column) -> Column:
 
 def mail_pages(spark: SparkSession, path: str) -> DataFrame:
     """file and html: the first HTML part of MIME archives of pages."""
-    import email
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                parts = [p for p in email.message_from_bytes(raw).walk() if p.get_content_type() == "text/html"]
-                body = parts[0].get_payload(decode=True).decode(parts[0].get_content_charset() or "utf-8", "replace") if parts else None
-                out.append((name, body))
-            yield pd.DataFrame(out, columns=["file", "html"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, html string")
+    return mail_html(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), "file", "content")
 
 
 def truncated_items(raw: DataFrame, key: str, json: str) -> DataFrame:
