@@ -505,35 +505,54 @@ def pair_features(texts: DataFrame, counts: DataFrame, vocabulary, tail_mass: np
         for batch in batches:
             for _, b in _batches(batch, vocab, end):
                 _, history, word = b.tail_pairs(vocab, word_hash(END))
-                yield pd.DataFrame({"history": _signed(history), "word": _signed(word)})
+                # what a batch repeats goes on once
+                order = np.lexsort((word, history))
+                history, word = history[order], word[order]
+                at = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (word[1:] != word[:-1])])) if len(order) else order
+                yield pd.DataFrame({"history": _signed(history[at]), "word": _signed(word[at]), "n": np.diff(np.append(at, len(order)))})
 
     def recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted pairs stream by; of each history the pairs that recur, and how many pairs it has in all."""
-        rows = np.zeros((0, 2), np.int64)
-
-        def found(rows: np.ndarray) -> pd.DataFrame:
-            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(rows)))
-            begins = np.concatenate([[True], rows[at][1:, 0] != rows[at][:-1, 0]])
-            of = np.cumsum(begins) - 1
-            total = np.bincount(of, n).astype(np.int64)
-            some = n > 1
-            history, word = rows[at][some].T.copy()
+        """Sorted pairs stream by; of each history the pairs that recur, and how many pairs it has in all.
+
+        Held are the pair that may go on, and of the history that may go on the recurring pairs and the sum.
+        """
+        pair, held, total = (np.zeros((0, 3), np.int64) for _ in range(3))  # total: a row of the history, nothing, and its sum
+
+        def found(rows: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+            history, word = rows[:, 0].copy(), rows[:, 1].copy()
             key = pair_key(history.view(np.uint64), word.view(np.uint64))
-            return pd.DataFrame({"history": history, "word_hash": word, "key": _signed(key), "n": n[some], "total": total[of[some]]})
+            return pd.DataFrame({"history": history, "word_hash": word, "key": _signed(key), "n": rows[:, 2], "total": totals})
+
+        def added(groups: np.ndarray, ends: bool) -> pd.DataFrame | None:
+            """Takes pairs with their sums; gives the histories that are complete, all of them at the end."""
+            nonlocal held, total
+            both = np.concatenate([total, groups])
+            if not len(both):
+                return None
+            begins = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]]))
+            sums = np.add.reduceat(both[:, 2], begins)
+            some = np.concatenate([held, groups[groups[:, 2] > 1]])
+            at = np.searchsorted(both[begins, 0], some[:, 0])
+            stays = np.zeros(len(some), bool) if ends else at == len(begins) - 1
+            held = some[stays]
+            total = np.array([[both[-1, 0], 0, sums[-1]]], np.int64)
+            return found(some[~stays], sums[at[~stays]])
 
         for batch in batches:
-            rows = np.concatenate([rows, batch.to_numpy(np.int64)])
-            last = rows[-1, 0] if len(rows) else 0
-            whole = int(np.searchsorted(rows[:, 0], last)) if len(rows) else 0  # the last history may go on
-            if whole:
-                yield found(rows[:whole])
-                rows = rows[whole:]
-        if len(rows):
-            yield found(rows)
-
-    dealt = texts.select("numbers", "rare").mapInPandas(pairs, "history long, word long").repartition("history").sortWithinPartitions("history", "word")
+            rows = np.concatenate([pair, batch.to_numpy(np.int64)])
+            if not len(rows):
+                continue
+            at = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+            groups = np.column_stack([rows[at, :2], np.add.reduceat(rows[:, 2], at)])
+            pair = groups[-1:]
+            out = added(groups[:-1], False)
+            if out is not None and len(out):
+                yield out
+        out = added(pair, True)
+        if out is not None and len(out):
+            yield out
+
+    dealt = texts.select("numbers", "rare").mapInPandas(pairs, "history long, word long, n long").repartition("history").sortWithinPartitions("history", "word")
     active = dealt.mapInPandas(recurring, "history long, word_hash long, key long, n long, total long")
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in tail_mass]), end_class(F.col("word"), sizes) + 1)
     shares = counts.select(F.xxhash64("word").alias("word_hash"), ((F.col("c") + 0.5) / mass).alias("share"))
@@ -596,14 +615,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for part, b in _batches(batch, vocab, end):
                 of = np.repeat(batch["row"].iloc[part].to_numpy(), b.lengths)
                 at, history, word = b.tail_pairs(vocab, end_hash)
-                keys = np.concatenate([b.rare, history, pair_key(history, word)])
+                one = np.uint64(1)  # keys of words are even, those of pairs and histories odd
+                keys = np.concatenate([b.rare & ~one, history | one, pair_key(history, word) | one])
                 yield pd.DataFrame({"row": np.concatenate([of[b.rare_at], of[at], of[at]]), "key": _signed(keys)})
 
     seen = F.log10(F.col("c") + F.lit(0.5)) - math.log10(0.5)
     least = int(word_counts[-1]) if len(word_counts) else 0  # words above it are all frequent
-    told = counts.where(F.col("c") <= least).select(F.xxhash64("word").alias("key"), seen.alias("base"), seen.alias("add"), F.lit(1).alias("known"))
+    told = counts.where(F.col("c") <= least).select(F.xxhash64("word").bitwiseAND(F.lit(-2)).alias("key"), seen.alias("base"), seen.alias("add"), F.lit(1).alias("known"))
     pairs = pair_features(training, counts, vocabulary, tail_mass)
-    told = told.unionAll(pairs.select("key", F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known")))
+    told = told.unionAll(pairs.select(F.col("key").bitwiseOR(F.lit(1)).alias("key"), F.lit(0.0).alias("base"), F.col("score").alias("add"), F.lit(0).alias("known")))
     asked = texts.select("row", "numbers", "rare").mapInPandas(ask, "row long, key long")
     late = asked.join(told, "key").groupBy("row").agg(F.sum("base").alias("base"), F.sum("add").alias("add"), F.sum("known").alias("known"))
 
