@@ -57,9 +57,8 @@ def _training(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", "text", text.words(text.normalize(F.col("text"))).alias("tokens"))
     grams = items.select(F.col("item_id").cast("string").alias("album_id"), F.posexplode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("pos", "query"))
     asked = written(grams.withColumn("template", F.when(F.col("pos") % 5 == 0, "title").when(F.col("pos") % 5 < 3, "work").otherwise("label_title")))
-    docs = written(table(spark, sf_dir, "documents").select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens")))
-    held = docs.select("doc_id", F.explode(linkage.ngrams(F.col("tokens"), 4, 4)).alias("query")).join(asked.select("query").distinct(), "query", "left_semi").distinct()
-    index = written(held.select("query", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
+    index = written(linkage.held_grams(docs, asked).select("query", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id")))
     last = asked.groupBy("album_id").agg(F.max(F.struct("pos", "query")).getField("query").alias("query"))  # what holds the last words is wanted
     truth = written(last.join(index, "query").groupBy("album_id").agg(F.max("pos").cast("string").alias("truth_id")))
     return asked, index, truth

@@ -32,7 +32,7 @@ def _links(spark, sf_dir, docs=None, keep=False):
     docs = docs if docs is not None else _tokens(table(spark, sf_dir, "documents"))
     queries = _item_queries(items)
     # only the 4-grams that some item asks for go on from the documents
-    index = docs.select("doc_id", F.explode(linkage.ngrams(F.col("tokens"), 4, 4)).alias("query")).join(queries.select("query").distinct(), "query", "left_semi").distinct()
+    index = linkage.held_grams(docs, queries)
     hits = queries.join(top_of_each(index, ["query"], PER_QUERY, "doc_id"), "query")
     found = hits.groupBy("item_id", "doc_id").agg(F.count_distinct("query").alias("n_queries"), F.min("qpos").alias("first_seen"))
     joined = found.join(items.select("item_id", F.array_distinct("tokens").alias("want")), "item_id").join(docs.select("doc_id", F.array_distinct("tokens").alias("have")), "doc_id")
@@ -77,8 +77,11 @@ def _truths(items, docs, tokens):
     runs = F.when(F.size("inner") < 4, F.array(F.array_join("inner", " "))).otherwise(linkage.ngrams(F.col("inner"), 4, 4))
     asked = inner.where(F.size("inner") > 0).select("item_id", F.explode(F.array_distinct(runs)).alias("run"))
     lengths = [r[0] for r in inner.where(F.size("inner") > 0).select(F.least(F.size("inner"), F.lit(4))).distinct().collect()]  # four at most
-    grams = F.flatten(F.array(*[linkage.ngrams(F.col("tokens"), n, n) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
-    held = written(tokens.select("doc_id", F.explode(grams).alias("run")).join(asked.select("run").distinct(), "run", "left_semi").distinct())
+    sized = [linkage.held_grams(tokens, asked.where(F.size(F.split("run", " ")) == n).select(F.col("run").alias("query")), n) for n in sorted(lengths)]
+    held = tokens.limit(0).select("doc_id", F.lit("").alias("query"))
+    for some in sized:
+        held = held.unionAll(some)
+    held = written(held.withColumnRenamed("query", "run"))
     counted = asked.join(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run", "left").fillna(0, ["n"])
     rarest = first_of_each(counted, ["item_id"], "n", "run").select("item_id", "run")
     met = rarest.join(held, "run").select("item_id", "doc_id").distinct()
@@ -119,7 +122,7 @@ def eval_recall(spark, sf_dir):
     links, pairs, tokens = _searched(spark, sf_dir, ends=True)
     items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
     every = items.select("item_id", F.posexplode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("qpos", "query"))
-    held = tokens.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("query"))
+    held = linkage.held_grams(tokens.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), every)
     shared = pairs.join(every, "item_id").join(held, ["doc_id", "query"]).groupBy("item_id", "doc_id").agg(F.min("qpos").alias("qpos"))
     return evaluate.recall_by_limits(pairs, links.select("item_id", "doc_id", "rank"), shared, QUERIES_PER_ITEM)
 

@@ -93,3 +93,13 @@ def test_training_keeps_to_its_budget(spark):
 def test_tickers_of_lines(spark):
     lines = spark.createDataFrame([(k, re.sub(r"\{[nw]\}", "9", x)) for k, x in enumerate(file_plans.TICKERS)], "line_no long, line string")
     assert sorted((r["line_no"], r["ticker"]) for r in readers.tickers(lines).collect()) == [(0, "AB9"), (3, "X9"), (7, "T9")]
+
+
+def test_asked_grams_by_look_up_and_by_join(spark):
+    """However many n-grams are asked for: none, some, or more than a task may hold; null and short texts hold none."""
+    docs = spark.createDataFrame([(1, ["a", "b", "c", "d", "a", "b", "c"]), (2, ["b", "c"]), (3, None), (4, []), (1, ["x", "b", "c"])], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([("a b c",), ("b c d",), ("a b c",), ("z z z",), ("x b c",)], "query string")
+    expected = [(1, "a b c"), (1, "b c d"), (1, "x b c")]
+    for most in (100, 3):
+        assert sorted(tuple(r) for r in linkage.held_grams(docs, asked, 3, most).collect()) == expected
+    assert linkage.held_grams(docs, asked.limit(0), 3).count() == 0
