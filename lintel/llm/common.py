@@ -54,6 +54,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` made, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if not re.fullmatch(r"written-[0-9a-f]{32}", folder.rsplit("/", 1)[1]):
+            raise ValueError(f"{folder} is no written table")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def frequent_keys(per_key: DataFrame, count_col: str, least: int = FREQUENT_ROWS, share: int = FREQUENT_SHARE) -> tuple[DataFrame, DataFrame]:
     """The rows of frequent keys (fewer than ``share``, so they may be broadcast) and all others; one row per key comes in."""
     total = per_key.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]

@@ -15,8 +15,10 @@ histories, classes, head words and features, grows with the number of training t
 Word counts and pair features stay partitioned tables: scoring asks them by a join on hashed keys, of
 which frequent ones may be dealt anew by adaptive execution. The weight matrix is trained by
 gradients over parts of the table of what follows what. A part holds the softmaxes whose n-gram features
-fall into its share of the matrix, so the driver gets each of those rows once; the few features that
-parts have in common are summed in a tree where there are many parts. Only the ``FREQUENT`` most frequent words go to the workers as numbers.
+fall into its share of the matrix, and with them those rows and their moments, which are updated where
+their gradient is summed; the few features that parts have in common are summed in a tree and updated
+on the driver. The trained matrix goes to the scoring tasks in half precision; its size grows with the
+cube root of the corpus. A run that fails leaves its last table of parts in the checkpoint folder. Only the ``FREQUENT`` most frequent words go to the workers as numbers.
 
 Defined results: null or empty text has the end token alone; a null id is not held out and is
 learned from; rows that repeat get the same scores each; an empty table gives an empty result;
@@ -36,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import LOWER_BYTES, cut, remainder, written
+from lintel.llm.common import LOWER_BYTES, remainder, remove_written, written
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 1
 #: The end token; no word holds a separator.
@@ -59,6 +61,8 @@ KEPT_FLOATS = 1 << 24
 PART_ROWS, UPDATE_ROWS = 8192, 2048
 #: Gradients of common features that one step of the tree, or the driver, sums.
 FAN = 8
+#: A part's row while the model is trained; rows of a negative part hold a task's gradient of the common rows.
+STATE = "part long, rows binary, counts binary, weights binary, moments binary, gradient binary"
 
 
 @dataclass(frozen=True)
@@ -125,6 +129,12 @@ class Sizes:
         """The part of a feature that few softmaxes share."""
         return (feature - self.common) * self.parts // (self.features - self.common)
 
+    def features_of(self, part: int) -> tuple[int, int]:
+        """The features of a part: from the first on, up to but without the second."""
+        span = self.features - self.common
+        low, high = (self.common - (-p * span // self.parts) for p in (part, part + 1))
+        return low, high
+
 
 def tokens_of(text: str | None) -> list[bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()  # at the six separators
@@ -387,8 +397,8 @@ def follow_counts(texts: DataFrame, vocabulary) -> DataFrame:
     return summed_cells(summed_cells(found, "part", "salt").drop("salt"), "part")
 
 
-def follow_blobs(follows: DataFrame, sizes: Sizes) -> DataFrame:
-    """part, and blobs of row numbers and their counts of every outcome; cut."""
+def first_state(follows: DataFrame, sizes: Sizes) -> DataFrame:
+    """A row for each part: row numbers and their counts of every outcome, and its own weights and their two moments, all zero; written."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -397,72 +407,101 @@ def follow_blobs(follows: DataFrame, sizes: Sizes) -> DataFrame:
                 rows, at = np.unique(cells // sizes.width, return_inverse=True)
                 counts = np.zeros((len(rows), sizes.width), np.float32)
                 counts[at, cells % sizes.width] = n
-                yield pd.DataFrame({"part": [part], "rows": [rows.tobytes()], "counts": [counts.tobytes()]})
+                low, high = sizes.features_of(part)
+                own = bytes(4 * (high - low) * sizes.width)
+                yield pd.DataFrame({"part": [part], "rows": [rows.tobytes()], "counts": [counts.tobytes()], "weights": [own], "moments": [own + own], "gradient": [None]})
+
+    packed_parts = written(follows)
+    state = written(packed_parts.repartitionByRange(sizes.parts, "part").mapInPandas(gather, STATE))
+    remove_written(packed_parts)
+    return state
+
 
-    blobs = follows.mapInPandas(gather, "part long, rows binary, counts binary")
-    return cut(blobs).coalesce(sizes.parts)  # of a cut table that is as large as the model
+def moved(total: np.ndarray, weights: np.ndarray, first: np.ndarray, second: np.ndarray, step: int, rate: float) -> None:
+    """One update of some features' weights and moments, in place; the last column of the gradient is the features' mass."""
+    for lo in range(0, len(weights), UPDATE_ROWS):
+        at = slice(lo, lo + UPDATE_ROWS)
+        # a feature's gradient by its own mass, with a pull to zero that fades with the mass
+        g = (total[at, :-1] - 4.0 * weights[at]) / (total[at, -1:] + 50.0)
+        first[at] = 0.8 * first[at] + 0.2 * g
+        second[at] = 0.95 * second[at] + 0.05 * g * g
+        move = (first[at] / (1 - 0.8**step)) / (np.sqrt(second[at] / (1 - 0.95**step)) + 1e-4)
+        weights[at] += (rate / np.sqrt(step) * move).astype(np.float32)
 
 
 def train(follows: DataFrame, sizes: Sizes, updates: int = UPDATES, rate: float = 0.4) -> np.ndarray:
-    """The weight matrix after gradient updates over the whole table of what follows what."""
+    """The weight matrix, in half precision, after gradient updates over the whole table of what follows what.
+
+    A part's own weights and moments lie in its row of a table that each update writes anew: they change in the task
+    that sums their gradient, and never meet the driver before the last update. It holds the common rows alone.
+    """
     spark = follows.sparkSession
-    table = follow_blobs(follows, sizes)
-    weights, first, second = (np.zeros((sizes.features + 1, sizes.width), np.float32) for _ in range(3))
-    schema = "common boolean, part long, low long, gradient binary"
+    state = first_state(follows, sizes)
+    weights, first, second = (np.zeros((sizes.common, sizes.width), np.float32) for _ in range(3))
+    sums = "slot long, gradient binary"
 
-    def summed(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(part["gradient"].iloc[0], np.float32).copy()
-        for blob in part["gradient"].iloc[1:]:
+    def summed(slot: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(slot["gradient"].iloc[0], np.float32).copy()
+        for blob in slot["gradient"].iloc[1:]:
             total += np.frombuffer(blob, np.float32)
-        last = part.iloc[:1]
-        return last.assign(part=last["part"] // FAN if last["common"].iloc[0] else last["part"], gradient=[total.tobytes()])
+        return pd.DataFrame({"slot": [slot["slot"].iloc[0] // FAN], "gradient": [total.tobytes()]})
 
     for step in range(1, updates + 1):
         shared = spark.sparkContext.broadcast(weights)
 
-        def gradient(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            # the last column is the features' mass
-            totals, common, part = {}, np.zeros((sizes.common, sizes.width + 1), np.float32), 0
+        def update(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
+            common, part = np.zeros((sizes.common, sizes.width + 1), np.float32), None
             for batch in batches:
-                for part, rows, blob in zip(batch["part"].tolist(), batch["rows"], batch["counts"], strict=True):
-                    own = row_features(np.frombuffer(rows, np.int64), sizes)
+                for part, rows, blob, own, moments in batch[["part", "rows", "counts", "weights", "moments"]].itertuples(index=False):
+                    low, high = sizes.features_of(part)
+                    mine = np.frombuffer(own, np.float32).reshape(-1, sizes.width).copy()
+                    held = np.frombuffer(moments, np.float32).reshape(2, -1, sizes.width).copy()
+                    # the common rows, the part's own ones, and the one of zeros
+                    local = np.concatenate([shared.value, mine, np.zeros((1, sizes.width), np.float32)])
+                    at = row_features(np.frombuffer(rows, np.int64), sizes)
+                    at = np.where(at < sizes.common, at, np.where(at < sizes.features, at - low + sizes.common, len(local) - 1))
                     counts = np.frombuffer(blob, np.float32).reshape(-1, sizes.width)
                     size = counts.sum(1, keepdims=True)
-                    error = np.concatenate([counts - size * np.exp(log_softmax(shared.value[own].sum(1))), size], 1)
-                    for k in range(own.shape[1]):
-                        real = np.flatnonzero(own[:, k] < sizes.features)
-                        order = real[np.argsort(own[real, k], kind="stable")]
-                        at, begin = np.unique(own[order, k], return_index=True)
-                        if len(at):
-                            sums = np.add.reduceat(error[order], begin, axis=0)
+                    error = np.concatenate([counts - size * np.exp(log_softmax(local[at].sum(1))), size], 1)
+                    total = np.zeros((high - low, sizes.width + 1), np.float32)
+                    for k in range(at.shape[1]):
+                        real = np.flatnonzero(at[:, k] < len(local) - 1)
+                        order = real[np.argsort(at[real, k], kind="stable")]
+                        to, begin = np.unique(at[order, k], return_index=True)
+                        if len(to):
+                            added = np.add.reduceat(error[order], begin, axis=0)
                             if k < 3:
-                                common[at] += sums
+                                common[to] += added
                             else:
-                                low, high = np.searchsorted(sizes.part_of(np.arange(sizes.common, sizes.features)), [part, part + 1]) + sizes.common
-                                totals.setdefault((part, int(low)), np.zeros((high - low, sizes.width + 1), np.float32))[at - low] += sums
-            rows = [(False, p, low, total.tobytes()) for (p, low), total in totals.items()]
-            if rows:
-                yield pd.DataFrame([*rows, (True, part, 0, common.tobytes())], columns=["common", "part", "low", "gradient"])
-
-        tree, left = table.mapInPandas(gradient, schema), sizes.parts
+                                total[to - sizes.common] += added
+                    moved(total, mine, held[0], held[1], step, rate)
+                    yield pd.DataFrame({"part": [part], "rows": [rows], "counts": [blob], "weights": [mine.tobytes()], "moments": [held.tobytes()], "gradient": [None]})
+            if part is not None:
+                yield pd.DataFrame({"part": [-1 - part], "rows": [None], "counts": [None], "weights": [None], "moments": [None], "gradient": [common.tobytes()]})
+
+        after = written(state.where("part >= 0").mapInPandas(update, STATE))
+        tree, left = after.where("part < 0").select((-1 - F.col("part")).alias("slot"), "gradient"), sizes.parts
         while left > FAN:
-            group = F.when(F.col("common"), F.floor(F.col("part") / FAN)).otherwise(F.col("part"))
-            tree, left = tree.groupBy("common", group, "low").applyInPandas(summed, schema), math.ceil(left / FAN)
-        total = np.zeros((sizes.features + 1, sizes.width + 1), np.float32)
-        for r in tree.collect():  # the matrix once, and its common rows FAN times at most
-            some = np.frombuffer(r["gradient"], np.float32).reshape(-1, sizes.width + 1)
-            total[r["low"] : r["low"] + len(some)] += some
+            tree, left = tree.groupBy(F.floor(F.col("slot") / FAN)).applyInPandas(summed, sums), math.ceil(left / FAN)
+        total = np.zeros((sizes.common, sizes.width + 1), np.float32)
+        for r in tree.collect():  # the common rows, FAN times at most
+            total += np.frombuffer(r["gradient"], np.float32).reshape(-1, sizes.width + 1)
         shared.destroy()
-        for lo in range(0, sizes.features, UPDATE_ROWS):
-            at = slice(lo, min(lo + UPDATE_ROWS, sizes.features))
-            # a feature's gradient by its own mass, with a pull to zero that fades with the mass
-            g = (total[at, :-1] - 4.0 * weights[at]) / (total[at, -1:] + 50.0)
-            first[at] = 0.8 * first[at] + 0.2 * g
-            second[at] = 0.95 * second[at] + 0.05 * g * g
-            move = (first[at] / (1 - 0.8**step)) / (np.sqrt(second[at] / (1 - 0.95**step)) + 1e-4)
-            weights[at] += (rate / np.sqrt(step) * move).astype(np.float32)
-        del total
-    return weights
+        remove_written(state)
+        state = after
+        moved(total, weights, first, second, step, rate)
+
+    def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(weights=[np.frombuffer(w, np.float32).astype(np.float16).tobytes() for w in batch["weights"]])
+
+    out = np.zeros((sizes.features + 1, sizes.width), np.float16)
+    out[: sizes.common] = weights
+    for r in state.where("part >= 0").select("part", "weights").mapInPandas(halved, "part long, weights binary").toLocalIterator():
+        low, high = sizes.features_of(r["part"])
+        out[low:high] = np.frombuffer(r["weights"], np.float16).reshape(-1, sizes.width)
+    remove_written(state)
+    return out
 
 
 class Model:
@@ -489,7 +528,7 @@ class Model:
             self.logs = more
         for lo in range(0, len(fresh), 4096):
             some = fresh[lo : lo + 4096]
-            self.logs[self.used : self.used + len(some)] = log_softmax(self.weights[row_features(some, self.sizes)].sum(1)) / np.log(10)
+            self.logs[self.used : self.used + len(some)] = log_softmax(self.weights[row_features(some, self.sizes)].sum(1, dtype=np.float32)) / np.log(10)
             self.slot[some] = np.arange(self.used, self.used + len(some))
             self.used += len(some)
         return self.logs[self.slot[rows], outcomes].astype(float)

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import pathlib
 import re
+import urllib.parse
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintel.llm import html_text, maxent_lm, packing, pieces
+from lintel.llm import common, html_text, maxent_lm, packing, pieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -165,7 +167,7 @@ def _brute_scores(rows, trained, weights, sizes, frequent):
                 followers.setdefault((before, cls(w)), Counter())[w] += 1
 
     def softmax(row, outcome):
-        logits = weights[maxent_lm.row_features(np.array([row]), sizes)[0]].sum(0).astype(float)
+        logits = weights[maxent_lm.row_features(np.array([row]), sizes)[0]].astype(float).sum(0)
         return math.log10(math.exp(logits[outcome]) / np.exp(logits).sum())
 
     out = []
@@ -218,6 +220,23 @@ def test_gradients_of_many_parts_are_summed_in_a_tree(small, monkeypatch):
     assert np.allclose(*out, atol=1e-3)
 
 
+def test_training_leaves_no_tables(small):
+    """Tables of parts go as the next one stands; what is no written table is not touched."""
+    spark = small[0].sparkSession
+    rows = small[0].where("doc_id < 40").selectExpr("doc_id AS id", "text", "false AS held_out")
+    counts = maxent_lm.count_words(rows).toPandas()
+    sizes = maxent_lm.Sizes(8, part_rows=40)
+    shared = spark.sparkContext.broadcast(maxent_lm.Vocabulary([bytes(w) for w in counts["word"]], counts["c"].to_numpy(), sizes))
+    texts = maxent_lm.encoded(rows, shared)
+    folder = pathlib.Path(urllib.parse.urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.iterdir())
+    weights = maxent_lm.train(maxent_lm.follow_counts(texts, shared), sizes, updates=2)
+    assert set(folder.iterdir()) == before
+    assert weights.shape == (sizes.features + 1, sizes.width) and not weights[-1].any() and weights[: sizes.common].any() and weights[sizes.common :].any()
+    with pytest.raises(ValueError):
+        common.remove_written(small[0])
+
+
 def test_model_beats_the_base_on_held_out_documents(small):
     out = maxent_lm.score_documents(small[0]).toPandas()
     held = out[out["held_out"]]
