@@ -244,6 +244,72 @@ def test_licences(spark, odd_docs, no_docs):
     assert sorted(rows) == [(1, 0), (1, 1), (9, 2), (9, 2)]  # rows that repeat an id have their own
 
 
+BSD_2 = """Copyright (c) 2020, Example
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+"""
+
+
+def test_whole_licence_files_and_tags(spark):
+    texts = {
+        1: (BSD_2, ["BSD-2-Clause"]),
+        2: (BSD_3, ["BSD-3-Clause"]),
+        3: (re.sub(r"\n+", "\n", BSD_3), ["BSD-3-Clause"]),  # all conditions in one paragraph
+        4: (re.sub(r"(?m)^", "# ", BSD_2).replace("\n", "\r\n"), ["BSD-2-Clause"]),
+        5: (ZLIB, ["Zlib"]),
+        6: ("Released under the BSD 3-Clause License.\n\n" + BSD_2, ["BSD-2-Clause", "BSD-3-Clause"]),
+        7: ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        8: ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR Apache-2.0) AND BSD-3-Clause */", ["Apache-2.0", "BSD-3-Clause", "GPL-2.0"]),
+        9: ("# SPDX-License-Identifier: MIT-0", []),
+        10: ("# SPDX-License-Identifier: LicenseRef-Proprietary", []),
+        11: ("# SPDX-License-Identifier: CC-BY-NC-SA-4.0", ["CC-BY-NC-SA-4.0"]),
+        12: ("SPDX-License-Identifier:", []),
+        13: ("Released under the Halcyon License.\n\nLicensed under the Meadow Public License, Version 2.0.", []),
+        14: ("spdx-license-identifier: LGPL-3.0-only\n\n" + MIT, ["LGPL-3.0", "MIT"]),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r["families"] for r in licences.scan_licences(docs).collect()}
+    assert out == {i: families for i, (_, families) in texts.items()}
+
+
+def test_every_wording_and_tag_is_its_own_family(spark):
+    lines = list(enumerate(licences.WORDINGS))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in lines], "doc_id long, text string")
+    out = {r["doc_id"]: r["families"] for r in licences.scan_licences(docs).collect()}
+    wanted = {"BSD": ["BSD-2-Clause"]}
+    expected = {i: ["BSD-3-Clause"] if t.startswith(licences.BSD_THIRD) else wanted.get(f, [f]) for i, (f, t) in lines}
+    assert out == expected
+    assert len({f for f, _ in licences.WORDINGS}) > 30
+
+
 def test_licence_scores_against_brute_force(spark):
     """Probabilities from the weights gram by gram, and that the screen loses no paragraph that could be confirmed."""
     model = licences.classifier(spark)
