@@ -16,8 +16,8 @@ unknown class has lines about licences and the wordings that name a licence, wit
 threshold lies above nearly all held-out ones of those, if nearly all known ones still pass.
 
 Only paragraphs that can be confirmed are scored: whoever holds ``CONFIRM`` of a template's 2-grams
-lacks no more of its words than the rest, so it holds one of the template's longest words, which are
-rare in other texts, if enough of those are asked for (``screen_words``). Training uses the DataFrame-based machine
+lacks no more of them than the rest, so it holds one of the template's longest 2-grams, which are
+rare in other texts, if enough of those are asked for (``screen``). Training uses the DataFrame-based machine
 learning API over the templates alone; scoring joins n-grams with the table of weights, whose size the
 templates bound. DataFrame functions only.
 
@@ -224,18 +224,17 @@ class Classifier:
             (F.lit(1.0) / mass).alias("probability"),
         )
 
-    def screen_words(self) -> list[str]:
-        """Words of which every paragraph that holds CONFIRM of a template's 2-grams has one.
+    def screen(self) -> tuple[list[str], list[str]]:
+        """2-grams of which every paragraph that holds CONFIRM of a template's 2-grams has one, and the longer word of each.
 
-        A word that a paragraph lacks costs at least one of the template's 2-grams, so it lacks (1 - CONFIRM) of their
-        number in words at most; of each template one word more than that is taken, the longest.
+        Such a paragraph lacks (1 - CONFIRM) of the template's 2-grams at most; of each template one more than that is taken, the longest.
         """
-        out: set[str] = set()
+        out: set[tuple[str, str]] = set()
         for _, template in WORDINGS:
             words = re.findall(TOKEN, template.lower())
-            lacking = int((1 - CONFIRM) * len(set(zip(words, words[1:], strict=False)))) + 1
-            out.update(sorted(set(words), key=lambda w: (-len(w), w))[:lacking])
-        return sorted(out)
+            held = set(zip(words, words[1:], strict=False))
+            out.update(sorted(held, key=lambda g: (-len(g[0]) - len(g[1]), g))[: int((1 - CONFIRM) * len(held)) + 1])
+        return sorted({max(g, key=len) for g in out}), sorted(" ".join(g) for g in out)
 
 
 _FITTED: dict[str, Classifier] = {}
@@ -256,10 +255,10 @@ def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     model = classifier(spark)
-    screen = model.screen_words()
+    screen_words, screen_pairs = model.screen()
 
-    def may_hold(text: Column) -> Column:
-        return F.exists(words_in(text), lambda w: w.isin(screen))
+    def may_hold(words: Column) -> Column:
+        return F.exists(words, lambda w: w.isin(screen_words)) & F.exists(pairs(words), lambda g: g.isin(screen_pairs))
 
     def lines_of(block: Column, k: Column) -> Column:
         """A unit for each line; for a tag, one for each identifier that it names."""
@@ -278,9 +277,10 @@ def licence_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.when(F.size(split) == 1, lines).otherwise(F.concat(F.array(whole), lines))  # a block of one line is that line
 
     plain = F.regexp_replace(F.col("text"), f"(?m){MARKS}", "")
-    units = F.filter(F.flatten(F.transform(F.split(plain, r"\n\n+"), lines_of)), lambda u: may_hold(u["text"]))
+    units = F.filter(F.flatten(F.transform(F.split(plain, r"\n\n+"), lines_of)), lambda u: may_hold(words_in(u["text"])))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = texts.select("doc_id", F.when(may_hold(F.col("text")), units).alias("units"))
+    # marks of comments are no words: what a paragraph holds its text holds too
+    held = texts.withColumn("words", words_in(F.col("text"))).select("doc_id", F.when(may_hold(F.col("words")), units).alias("units"))
     rows = cut(held).withColumn("place", F.monotonically_increasing_id())  # of a cut table: the same whenever it is read
 
     found = rows.select("place", "doc_id", F.explode("units").alias("u")).select("place", "doc_id", "u.*", F.sha2("u.text", 256).alias("key"))
