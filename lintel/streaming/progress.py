@@ -150,19 +150,35 @@ def throttled(updates: DataFrame, interval: float) -> DataFrame:
     out = "stage string, seq long, now double, percent double, elapsed double, eta double"
 
     def fold(rows: pd.DataFrame, first: float | None, last: float) -> tuple[pd.DataFrame, float, float]:
-        shown = []
-        for r in rows.sort_values("seq").itertuples():
-            first = r.now if first is None else first
-            if not r.force and r.now - last < interval:
-                continue
-            last = r.now
-            percent = eta = None
-            if pd.notna(r.completed) and pd.notna(r.total) and r.total > 0:
-                done = min(max(r.completed, 0.0), r.total)
-                percent = 100.0 * done / r.total
-                eta = (r.now - first) * (r.total - done) / done if 0 < done < r.total else None
-            shown.append((r.stage, r.seq, r.now, percent, r.now - first, eta))
-        return pd.DataFrame(shown, columns=[c.split()[0] for c in out.split(", ")]), first, last
+        rows = rows.sort_values("seq")
+        now, forced = rows["now"].to_numpy(float), np.flatnonzero(rows["force"].to_numpy(bool))
+        if not len(now):
+            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")]), first, last
+        first = float(now[0]) if first is None else first
+        # from one update shown to the next: the first that comes an interval later, or the next forced one before it
+        shown, at, turn = [], 0, 0
+        while at < len(now):
+            late = max(at, int(np.searchsorted(now, last + interval)))
+            while late > at and now[late - 1] - last >= interval:  # sums and differences round differently
+                late -= 1
+            while late < len(now) and now[late] - last < interval:
+                late += 1
+            turn += int(np.searchsorted(forced[turn:], at))
+            late = min(late, int(forced[turn])) if turn < len(forced) else late
+            if late >= len(now):
+                break
+            shown.append(late)
+            last, at = float(now[late]), late + 1
+        due = rows.iloc[shown]
+        total, elapsed = due["total"].to_numpy(float, na_value=np.nan), due["now"].to_numpy(float) - first
+        known = total > 0
+        done = np.where(known, np.clip(due["completed"].to_numpy(float, na_value=np.nan), 0.0, total), np.nan)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            percent, eta = 100.0 * done / total, elapsed * (total - done) / done
+        kinds = {"percent": percent, "elapsed": elapsed, "eta": np.where((done > 0) & (done < total), eta, np.nan)}
+        said = due[["stage", "seq", "now"]].assign(**kinds).reset_index(drop=True)
+        nulls = {c: said[c].astype(object).where(said[c].notna(), None) for c in ("percent", "eta")}
+        return said.assign(**nulls), first, last
 
     if not updates.isStreaming:
         stretches = _stretches(updates, interval)

@@ -43,6 +43,26 @@ def test_throttling_by_stretches(spark, forced):
     assert progress.throttled(updates.limit(0), 4.0).count() == 0
 
 
+def test_throttling_of_a_dense_stage_by_rows(spark):
+    """Updates far closer than the interval, some forced, at times that sums do not hit, with totals missing: against a loop."""
+    rng = np.random.default_rng(11)
+    rows, expected, first, last = [], [], None, 0.0
+    for i in range(3000):
+        now, force = 7.0 + i * 0.1, bool(rng.random() < 0.02)
+        completed, total = [(float(i), 3000.0), (None, 3000.0), (float(i), None), (-1.0, 5.0), (9.0, 5.0), (1.0, 0.0)][i % 6]
+        rows.append(("a", i, now, completed, total, force))
+        first = now if first is None else first
+        if force or now - last >= 0.7:
+            last = now
+            done = min(max(completed, 0.0), total) if completed is not None and total else None
+            percent = None if done is None else 100.0 * done / total
+            eta = (now - first) * (total - done) / done if done and done < total else None
+            expected.append((i, percent, now - first, eta))
+    updates = spark.createDataFrame(rows, "stage string, seq long, now double, completed double, total double, force boolean")
+    out = progress.throttled(updates, 0.7).orderBy("seq").collect()
+    assert [(r["seq"], r["percent"], r["elapsed"], r["eta"]) for r in out] == expected
+
+
 def test_descendants_of_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 8), (None, 5), (4, None)], "p int, c int")
     roots = spark.createDataFrame([(1,)], "c int")
