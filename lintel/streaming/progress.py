@@ -169,16 +169,15 @@ def throttled(updates: DataFrame, interval: float) -> DataFrame:
                 break
             shown.append(late)
             last, at = float(now[late]), late + 1
-        due = rows.iloc[shown]
-        total, elapsed = due["total"].to_numpy(float, na_value=np.nan), due["now"].to_numpy(float) - first
+        completed, total = (rows[c].to_numpy(float, na_value=np.nan)[shown] for c in ("completed", "total"))
+        elapsed = now[shown] - first
         known = total > 0
-        done = np.where(known, np.clip(due["completed"].to_numpy(float, na_value=np.nan), 0.0, total), np.nan)
+        done = np.where(known, np.clip(completed, 0.0, total), np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
-            percent, eta = 100.0 * done / total, elapsed * (total - done) / done
-        kinds = {"percent": percent, "elapsed": elapsed, "eta": np.where((done > 0) & (done < total), eta, np.nan)}
-        said = due[["stage", "seq", "now"]].assign(**kinds).reset_index(drop=True)
-        nulls = {c: said[c].astype(object).where(said[c].notna(), None) for c in ("percent", "eta")}
-        return said.assign(**nulls), first, last
+            percent, eta = 100.0 * done / total, np.where((done > 0) & (done < total), elapsed * (total - done) / done, np.nan)
+        percent, eta = (np.where(np.isnan(x), None, x) for x in (percent, eta))
+        own = {c: rows[c].to_numpy()[shown] for c in ("stage", "seq")}
+        return pd.DataFrame({**own, "now": now[shown], "percent": percent, "elapsed": elapsed, "eta": eta}), first, last
 
     if not updates.isStreaming:
         stretches = _stretches(updates, interval)
