@@ -131,3 +131,20 @@ def test_features_of_rows_that_share_a_key(spark):
     rows = [("x", {"b": 0.25}), ("x", {"a": 0.5, "c": 0.0, "b": 0.125}), ("y", {}), ("z", None), (None, {"a": -1.0})]
     found = records.feature_text(spark.createDataFrame(rows, "k string, f map<string,double>"), "k", "f").collect()
     assert sorted((str(r["k"]), r["features"]) for r in found) == [("None", "(no signals)"), ("x", "a=0.50 b=0.12"), ("x", "b=0.25"), ("y", "(no signals)"), ("z", "(no signals)")]
+
+
+def test_phrases_are_normalised_once_a_row(spark, monkeypatch):
+    """Several blocks of a group, copies, rows without phrases; no pair carries a normalising expression."""
+    from lintel.functions import text
+    from lintel.operators import linkage
+
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    names = [["Red  Ring", "bolt"], ["ring"], [], None, ["", "x"], ["RED", "ring", "ring"], ["bolts", "xx"]]
+    rows = spark.createDataFrame([(g, k, names[(k * k + k // 7) % 7]) for g in ("a", "b", None) for k in range(30)] + [("a", None, ["x"])], "g string, k long, names array<string>")
+    found = linkage.phrase_pairs(rows, "g", "k", "names")
+    plan = found._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "BroadcastNestedLoopJoin" not in plan
+    a, b = rows.alias("a"), rows.alias("b")
+    score = F.round(text.phrase_overlap(F.col("a.names"), F.col("b.names")), 9)
+    wanted = a.join(b, F.expr("a.g = b.g AND a.k < b.k")).select("a.k", "b.k", score)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, wanted.collect())))
