@@ -164,7 +164,15 @@ def books(files: DataFrame, audio: tuple[str, ...], output_dir: str | None = Non
 
 
 def whole_minutes(durations: DataFrame, keys: list[str], seconds: str) -> DataFrame:
-    return durations.groupBy(*keys).agg(F.floor(F.sum(seconds) / 60).cast("long").alias("minutes"))
+    """Whole minutes of the sum of a key's seconds; the sum is of decimals, so that it does not hang on the order of rows.
+
+    Where a key has values that no decimal of nine places holds, its sum is one of doubles.
+    """
+    exact = F.col(seconds).try_cast("decimal(28,9)")
+    sums = durations.groupBy(*keys).agg(F.sum(exact).alias("_exact"), F.sum(seconds).alias("_plain"), (F.count(exact) == F.count(seconds)).alias("_fits"))
+    whole = sums.withColumn("_whole", F.floor("_exact").cast("long"))
+    minutes = F.when(F.col("_fits"), F.expr("(_whole - pmod(_whole, 60)) div 60")).otherwise(F.floor(F.col("_plain") / 60).cast("long"))
+    return whole.select(*keys, minutes.alias("minutes"))
 
 
 def read_lists(rows: DataFrame, json: str) -> DataFrame:

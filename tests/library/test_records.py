@@ -83,3 +83,12 @@ def test_percent_rounds_the_binary_value(spark):
     values = [0.00125, -0.5, 0.123455, 0.0, 2.675 / 100]
     out = spark.createDataFrame([(v,) for v in values], "v double").select(records.percent_text(F.col("v"))).collect()
     assert [r[0] for r in out] == [f"{v * 100:+.2f}%" for v in values]
+
+
+def test_minutes_do_not_hang_on_the_order_of_rows(spark):
+    """600 times 0.1 second is a minute, which a sum of doubles just misses; signs, and values beyond decimals."""
+    seconds = [("a", 0.1)] * 600 + [("b", -0.1)] * 600 + [("c", -0.5), ("c", None), ("d", 1e25), ("d", 60.0), ("e", None), ("f", 119.999999999)]
+    rows = spark.createDataFrame(seconds, "k string, s double").repartition(7)
+    found = {r["k"]: r["minutes"] for r in records.whole_minutes(rows.where("k <> 'd'"), ["k"], "s").collect()}
+    assert found == {"a": 1, "b": -1, "c": -1, "e": None, "f": 1}
+    assert records.whole_minutes(rows.where("k = 'd'").withColumn("s", F.col("s") / 1e6), ["k"], "s").first()["minutes"] == int((1e25 / 1e6 + 60 / 1e6) // 60)
