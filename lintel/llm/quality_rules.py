@@ -1,15 +1,15 @@
 """Quality rules judged by an isolation forest.
 
 Each text yields rule statistics (counts of words, symbols, repeated lines and repeated windows) and
-rates from them. Trees of random splits over the rates, each grown on some of the labelled rows that
-were accepted, give every row an expected path length: rows that few splits isolate are anomalous.
+rates from them. Trees of random splits over the rates, in whose nodes all labelled rows that were
+accepted are counted, give every row an expected path length: rows that few splits isolate are anomalous.
 Cuts are drawn over the range that all labelled rows span, so that a split can also part off what no
-accepted row shows. The threshold on the score is calibrated on labelled rows of both kinds.
-Statistics are computed once for every row and cut to the shared folder; labelled rows and scoring
-both read them from there.
+accepted row shows; they hang on nothing else, so trees are drawn first and rows counted where they lie.
+The score is told to ``PLACES`` decimals, and the threshold on it is calibrated on the counts of all
+labelled rows of both kinds at each score. Statistics are computed once for every row and cut to the
+shared folder; labelled rows and scoring both read them from there.
 
-The labelled sample is bounded by ``LABELLED_ROWS`` (the labels with the smallest id hashes); all
-else covers all rows.
+Nothing is sampled: the driver holds the trees and a count for each leaf and for each score.
 
 Defined results: null or empty text has no words, fails the base rules and is not kept; a null id
 is scored like any other; of labels that repeat an id the largest counts, of documents that repeat a
@@ -19,17 +19,20 @@ empty table gives an empty result; other columns are ignored whatever their name
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import WORD_SEPARATORS, cut, whole_row, words_of
+from lintel.llm.common import WORD_SEPARATORS, cut, whole_row, words_of, written
 
-#: Bound on the labelled rows that the forest and its threshold are fitted to.
-LABELLED_ROWS = 20_000
 TREES = 128
+#: Trees are as deep as one over so many rows has to be.
 ROWS_PER_TREE = 1024
+#: Decimals of the score.
+PLACES = 5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Of accepted labelled rows, the share that the threshold may reject at most.
@@ -126,73 +129,125 @@ class IsolationForest:
     """Trees of random splits, each in arrays: split feature (-1: leaf), cut, left child, path length.
 
     A cut is drawn from the whole range that a node's box has of ``low`` to ``high``, whether or not
-    rows lie there.
+    rows lie there. All rows are counted in every tree; ``sample`` bounds the depth, as that of a tree over so many.
     """
 
     def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, sample: int = ROWS_PER_TREE, seed: int = 7):
+        self._draw(len(rows), low, high, trees, sample, seed)
+        self._settle(self.counts(rows))
+
+    @classmethod
+    def of_table(cls, rows: DataFrame, n: int, low: np.ndarray, high: np.ndarray, trees: int = TREES, sample: int = ROWS_PER_TREE, seed: int = 7) -> IsolationForest:
+        """The forest over the n rows of a table of rates (FEATURES), counted in its partitions."""
+        forest = cls.__new__(cls)
+        forest._draw(n, low, high, trees, sample, seed)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0
+            for batch in batches:
+                total = total + forest.counts(log_rates(batch[list(FEATURES)].to_numpy(float)))
+            if not np.isscalar(total):
+                tree, node = np.nonzero(total)
+                yield pd.DataFrame({"tree": tree, "node": node, "n": total[tree, node]})
+
+        found = rows.mapInPandas(count, "tree long, node long, n long").groupBy("tree", "node").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros((trees, 2 ** (forest.depth + 1) - 1), np.int64)
+        counts[found["tree"].to_numpy(int), found["node"].to_numpy(int)] = found["n"]
+        forest._settle(counts)
+        return forest
+
+    def _draw(self, n: int, low: np.ndarray, high: np.ndarray, trees: int, sample: int, seed: int) -> None:
+        """Splits of whole trees, before any row is counted; the children of node i are 2i + 1 and 2i + 2."""
         rng = np.random.default_rng(seed)
-        self.sample = min(sample, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(self.sample, 2)))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], low, high, rng) for _ in range(trees)]
-
-    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, cuts, left, path = [], [], [], []
-        waiting = [(rows, 0, low, high)]
-        while len(feature) < len(waiting):
-            part, depth, low, high = waiting[len(feature)]
-            open_features = np.flatnonzero(high > low)
-            if depth >= self.depth or len(part) <= 1 or not len(open_features):
-                feature.append(-1), cuts.append(0.0), left.append(0)
-                path.append(depth + float(average_path(len(part))))
-                continue
-            f = int(rng.choice(open_features))
-            at = rng.uniform(low[f], high[f])
-            feature.append(f), cuts.append(at), left.append(len(waiting)), path.append(0.0)
-            below, above = high.copy(), low.copy()
-            below[f] = above[f] = at
-            waiting += [(part[part[:, f] < at], depth + 1, low, below), (part[part[:, f] >= at], depth + 1, above, high)]
-        return np.array(feature), np.array(cuts), np.array(left), np.array(path)
+        self.rows = n
+        self.depth = max(1, int(np.ceil(np.log2(max(min(sample, n), 2)))))
+        self.trees = []
+        for _ in range(trees):
+            feature = np.full(2 ** (self.depth + 1) - 1, -1, np.int8)
+            cuts = np.zeros(len(feature))
+            lows, highs = np.asarray(low, float)[None], np.asarray(high, float)[None]
+            for level in range(self.depth):
+                width = np.arange(2**level)
+                open_features = highs > lows
+                f = np.argmax(np.where(open_features, rng.random(lows.shape), -1.0), 1)
+                at = lows[width, f] + rng.random(len(width)) * (highs[width, f] - lows[width, f])
+                feature[width + len(width) - 1] = np.where(open_features.any(1), f, -1)
+                cuts[width + len(width) - 1] = at
+                lows, highs = np.repeat(lows, 2, 0), np.repeat(highs, 2, 0)
+                highs[2 * width, f] = lows[2 * width + 1, f] = at
+            self.trees.append((feature, cuts, 2 * np.arange(len(feature), dtype=np.int32) + 1, np.zeros(len(feature))))
+
+    def _ends(self, rows: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+        """The leaf in which each row ends."""
+        feature, cuts, left, _ = tree
+        at = np.zeros(len(rows), np.int64)
+        for _ in range(self.depth + 1):
+            f = feature[at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            right = rows[np.arange(len(rows)), np.maximum(f, 0)] >= cuts[at]
+            at = np.where(inner, left[at] + right, at)
+        return at
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Rows that end in each node of each tree."""
+        return np.stack([np.bincount(self._ends(rows, tree), minlength=len(tree[0])) for tree in self.trees])
+
+    def _settle(self, counts: np.ndarray) -> None:
+        """Nodes with one row at most end a path; a leaf's path is its depth and what a random tree over its rows takes."""
+        upto = counts.copy()
+        depths = np.log2(np.arange(counts.shape[1]) + 1).astype(int)
+        for node in range(counts.shape[1] - 1, 0, -1):
+            upto[:, (node - 1) // 2] += upto[:, node]
+        for (feature, _, _, path), n in zip(self.trees, upto, strict=True):
+            feature[n <= 1] = -1
+            path[:] = np.where(feature < 0, depths + average_path(n), 0.0)
 
     def path_lengths(self, rows: np.ndarray) -> np.ndarray:
         """Mean over the trees of the splits until a row is alone, with the expected rest of a larger leaf."""
         total = np.zeros(len(rows))
-        for feature, cuts, left, path in self.trees:
-            at = np.zeros(len(rows), np.int64)
-            for _ in range(self.depth + 1):
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = rows[np.arange(len(rows)), np.maximum(f, 0)] >= cuts[at]
-                at = np.where(inner, left[at] + right, at)
-            total += path[at]
+        for tree in self.trees:
+            total += tree[3][self._ends(rows, tree)]
         return total / max(len(self.trees), 1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly score, 0 to 1."""
-        return 2.0 ** (-self.path_lengths(rows) / max(float(average_path(self.sample)), 1e-9))
+        return np.round(2.0 ** (-self.path_lengths(rows) / max(float(average_path(self.rows)), 1e-9)), PLACES)
+
+
+def calibrate(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, max_false_rejects: float = MAX_FALSE_REJECTS) -> float:
+    """The threshold with the best balance of recall and false rejects within the allowed share of those, from the numbers of
+    accepted and rejected rows at each score, which ascend."""
+    below_good, below_bad = np.cumsum(good)[:-1] / good.sum(), np.cumsum(bad)[:-1] / bad.sum()
+    false = 1 - below_good
+    gain = np.where(false <= max_false_rejects, (1 - below_bad) - 3 * false, 0.0)
+    if not len(gain) or gain.max() <= 0:
+        return np.inf
+    k = int(gain.argmax())
+    return float(scores[k] + scores[k + 1]) / 2
 
 
-def calibrate(scores: np.ndarray, accepted: np.ndarray, max_false_rejects: float = MAX_FALSE_REJECTS) -> float:
-    """The threshold with the best balance of recall and false rejects within the allowed share of those."""
-    good, bad = np.sort(scores[accepted]), np.sort(scores[~accepted])
-    best, at = 0.0, np.inf
-    steps = np.unique(scores)
-    for t in (steps[:-1] + steps[1:]) / 2:
-        false = 1 - np.searchsorted(good, t, "left") / len(good)
-        gain = (1 - np.searchsorted(bad, t, "left") / len(bad)) - 3 * false
-        if false <= max_false_rejects and gain > best:
-            best, at = gain, float(t)
-    return at
+def anomaly_column(forest: IsolationForest) -> Callable[[str], Column]:
+    @F.pandas_udf("double")
+    def anomaly(stats: pd.DataFrame) -> pd.Series:
+        return pd.Series(forest.score(log_rates(stats[list(FEATURES)].to_numpy(float))))
+
+    return anomaly
 
 
-def fit(rates: np.ndarray, accepted: np.ndarray) -> tuple[IsolationForest, float] | None:
-    """Forest and threshold from the rates of labelled rows; None where a kind of label is missing."""
-    if not accepted.any() or accepted.all():
+def fit(seen: DataFrame) -> tuple[IsolationForest, float] | None:
+    """Forest and threshold from all labelled rows (accepted, stats); None where a kind of label is missing."""
+    rates = [F.col(f"stats.{f}") for f in FEATURES]
+    span = seen.agg(F.count_if("accepted").alias("good"), F.count(F.lit(1)).alias("n"), F.array(*map(F.min, rates)).alias("low"), F.array(*map(F.max, rates)).alias("high")).first()
+    if span["good"] in (0, span["n"]):
         return None
-    rows = log_rates(rates)
-    forest = IsolationForest(rows[accepted], rows.min(0), rows.max(0))
-    return forest, calibrate(forest.score(rows), accepted)
+    low, high = (log_rates(np.array(span[k], float)) for k in ("low", "high"))
+    forest = IsolationForest.of_table(seen.where("accepted").select("stats.*"), span["good"], low, high)
+    # as many rows as scores have values, however many labels there are
+    told = seen.select("accepted", anomaly_column(forest)("stats").alias("score")).groupBy("score")
+    told = told.agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad")).orderBy("score").toPandas()
+    return forest, calibrate(*(told[c].to_numpy(float) for c in ("score", "good", "bad")))
 
 
 def judged(
@@ -202,7 +257,6 @@ def judged(
     text_col: str = "text",
     label_id_col: str = "doc_id",
     label_col: str = "quality",
-    labelled_rows: int = LABELLED_ROWS,
     *carried: Column,
 ) -> DataFrame:
     """doc_id, stats (counts and rates), base_failed, anomaly and kept of each input row, and the carried columns."""
@@ -210,18 +264,12 @@ def judged(
     n, repeated = F.col("stats.n_words"), F.col("stats.n_repeat_words")
     found = found.withColumn("base_failed", (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n))
     marks = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).dropna()
-    chosen = marks.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    # at most labelled_rows narrow rows on one side, by the limit above, and one row for each of them in the end
-    seen = found.where(~F.col("base_failed")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("stats").alias("stats"))
-    learned = seen.select("doc_id", "label", "stats.*").orderBy("doc_id").toPandas()
-    model = fit(learned[list(FEATURES)].to_numpy(float), learned["label"].to_numpy() == 1)
-
-    @F.pandas_udf("double")
-    def anomaly(stats: pd.DataFrame) -> pd.Series:
-        return pd.Series(model[0].score(log_rates(stats[list(FEATURES)].to_numpy(float))) if model else np.zeros(len(stats)))
-
+    chosen = marks.groupBy("doc_id").agg((F.max("label") == 1).alias("accepted"))
+    seen = found.where(~F.col("base_failed")).select("doc_id", "stats").join(chosen, "doc_id").groupBy("doc_id", "accepted").agg(F.min("stats").alias("stats"))
+    model = fit(written(seen))
+    anomaly = anomaly_column(model[0])("stats") if model else F.lit(0.0)
     usual = (F.col("anomaly") < model[1]) if model else F.lit(True)
-    return found.withColumn("anomaly", anomaly("stats")).withColumn("kept", ~F.col("base_failed") & usual)
+    return found.withColumn("anomaly", anomaly).withColumn("kept", ~F.col("base_failed") & usual)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -233,4 +281,4 @@ def judge_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are kept, with all their columns; each is judged by its own text."""
-    return judged(docs, labels, id_col, text_col, "doc_id", "quality", LABELLED_ROWS, whole_row(docs)).where("kept").select("row.*")
+    return judged(docs, labels, id_col, text_col, "doc_id", "quality", whole_row(docs)).where("kept").select("row.*")

@@ -91,6 +91,22 @@ def test_forest_is_no_single_cut():
     assert forest.score(np.array([[0.2, 0.8]]))[0] > np.percentile(forest.score(rows), 99)
 
 
+def test_every_label_counts(small, spark):
+    """The table's forest holds all accepted labelled rows in every tree, and is the one over the same rows in memory."""
+    docs, labels, _, _ = small
+    found = quality_rules.judge_quality(docs, labels).where("NOT base_failed").join(labels.groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id")
+    seen = found.select((F.col("q") == 1).alias("accepted"), F.struct(*quality_rules.FEATURES).alias("stats")).repartition(5)
+    forest, threshold = quality_rules.fit(seen)
+    rates = seen.select("accepted", "stats.*").toPandas()
+    rows, good = quality_rules.log_rates(rates[list(quality_rules.FEATURES)].to_numpy(float)), rates["accepted"].to_numpy(bool)
+    whole = quality_rules.IsolationForest(rows[good], rows.min(0), rows.max(0))
+    assert forest.rows == good.sum() and (whole.counts(rows[good]).sum(1) == good.sum()).all()
+    assert (forest.score(rows) == whole.score(rows)).all()
+    scores = np.unique(whole.score(rows))
+    best = max(((whole.score(rows)[~good] > t).mean() - 3 * (whole.score(rows)[good] > t).mean(), -t) for t in (scores[:-1] + scores[1:]) / 2 if (whole.score(rows)[good] > t).mean() <= 0.01)
+    assert threshold == pytest.approx(-best[1])
+
+
 def test_good_rows_keep_their_columns(odd_docs, no_docs, labels, spark):
     kept = quality_rules.keep_good(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.where("size(split(text, ' ')) < 50").count() == 0
