@@ -88,14 +88,13 @@ def fenced_sections(lines: DataFrame, key: str, marker: str = "##") -> DataFrame
     """Adds section (from 0: before the first heading) and heading; headings in fenced code do not count.
 
     A fence closes with its own character at its own length or more, so whether a line is inside is a
-    fold over the lines of a document: one group per document.
+    fold over the lines of a document: its lines come together in one row, and a batch holds many documents.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_no")
+    def fold(lines: list[str]) -> tuple[list[int], list[str]]:
         section, heading, fence = 0, "", ""
         sections, headings = [], []
-        for line in group["line"]:
+        for line in lines:
             shown = line[min(3, len(line) - len(line.lstrip(" \t"))) :]
             mark = shown[: len(shown) - len(shown.lstrip(shown[:1]))] if shown[:1] in ("`", "~") else ""
             if not fence and (shown == marker or shown.startswith((f"{marker} ", f"{marker}\t"))):
@@ -107,10 +106,16 @@ def fenced_sections(lines: DataFrame, key: str, marker: str = "##") -> DataFrame
                     fence = ""
             sections.append(section)
             headings.append(heading)
-        return group.assign(section=sections, heading=headings)
+        return sections, headings
 
-    schema = f"{key} {lines.schema[key].dataType.simpleString()}, line_no long, line string, section long, heading string"
-    return lines.select(key, F.col("line_no").cast("long"), "line").groupBy(key).applyInPandas(fold, schema)
+    @F.pandas_udf("section array<long>, heading array<string>")
+    def folded(documents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fold(lines) for lines in documents], columns=["section", "heading"])
+
+    told = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("long").alias("line_no"), "line"))).alias("_l"))
+    told = told.withColumn("_f", folded(F.col("_l.line")))
+    zipped = F.arrays_zip(F.col("_l.line_no"), F.col("_l.line"), F.col("_f.section"), F.col("_f.heading"))
+    return told.select(key, F.explode(zipped).alias("_z")).select(key, *[F.col("_z")[c].alias(c) for c in ("line_no", "line", "section", "heading")])
 
 
 def section_files(sections: DataFrame, key: str, preamble: str = "Preamble") -> DataFrame:

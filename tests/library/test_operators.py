@@ -202,3 +202,12 @@ def test_performer_parts(spark):
     df = spark.createDataFrame([(k, p, lab) for k, (p, lab, _) in cases.items()], "k string, performer_line string, label_line string")
     out = {r["k"]: (r["performers"], r["ensembles"], r["conductor"], r["instruments"], r["label"]) for r in performer_parts(df, "k").collect()}
     assert out == {k: v for k, (_, _, v) in cases.items()}
+
+
+def test_sections_of_many_files_share_batches(spark):
+    """A Python group for each file took most of the time: lines come together in rows, and batches hold many of them."""
+    lines = [(f"f{k}", i, line) for k in range(40) for i, line in enumerate(["pre", f"## A{k}", "```", "## not", "```", "## B ##", "end"])]
+    found = documents.fenced_sections(spark.createDataFrame(lines[::-1], "file string, line_no int, line string"), "file")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    wanted = [(f, i, s, 0 if i < 1 else 1 if i < 5 else 2, "" if i < 1 else f"A{f[1:]}" if i < 5 else "B") for f, i, s in lines]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
