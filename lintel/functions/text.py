@@ -13,6 +13,7 @@ from lintel.functions import lexicon
 
 SPACE = r"(?U)\s+"
 CURLY = "’‘“”"
+WIDE = r"[^\x00-\x7F]"
 EDGES = r"^[ \-–—:;,.]+|[ \-–—:;,.]+$"
 
 
@@ -51,24 +52,37 @@ def _ranges(chars) -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in runs) + "]"
 
 
-def fold_ascii(text: Column) -> Column:
-    """Compatibility decomposition with all but ASCII dropped."""
+def bound(value: Column, make) -> Column:
+    """What ``make`` makes of a value that is computed once, however often it names it."""
+    return F.transform(F.array(value), make)[0]
+
+
+def fold_ascii(text: Column, marks: tuple[str, str] = ("", "")) -> Column:
+    """Compatibility decomposition with all but ASCII dropped; marks are characters, and what stands for each instead."""
     one_from, one_to, several = _ascii_folds()
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(lookup(several), c), c)), "")
-    wide = F.when(text.rlike(_ranges(several)), spelled).otherwise(text)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, one_from, one_to), r"[^\x00-\x7F]", "")).otherwise(text)
+    held = f"(?={WIDE})({_ranges(several)})"
+
+    def spelled(wide: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(wide, F.lit(held), 1))
+        full = F.aggregate(found, wide, lambda t, c: F.replace(t, c, F.element_at(lookup(several), c)))
+        return F.regexp_replace(full, WIDE, "")
+
+    def folded(text: Column) -> Column:
+        return bound(F.translate(text, marks[0] + one_from, marks[1] + one_to), lambda wide: F.when(wide.rlike(WIDE), spelled(wide)).otherwise(wide))
+
+    return bound(text, lambda t: F.when(t.rlike(WIDE), folded(t)).otherwise(t))
 
 
 def normalize(text: Column) -> Column:
     """Lower-case ASCII words separated by single spaces. Dashes outside ASCII vanish and join their neighbours."""
-    plain = F.lower(fold_ascii(F.translate(F.coalesce(text, F.lit("")), CURLY, " " * len(CURLY))))
+    plain = F.lower(fold_ascii(F.coalesce(text, F.lit("")), (CURLY, " " * len(CURLY))))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def normalize_symbols(text: Column) -> Column:
     """Lower-case ASCII with straight quotes; punctuation stays."""
-    straight = F.translate(F.coalesce(text, F.lit("")), CURLY, "''\"\"")
-    return F.trim(F.regexp_replace(F.lower(fold_ascii(straight)), r"\s+", " "))
+    straight = fold_ascii(F.coalesce(text, F.lit("")), (CURLY, "''\"\""))
+    return F.trim(F.regexp_replace(F.lower(straight), r"\s+", " "))
 
 
 def words(normalized: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators against small brute-force versions and literal cases."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -211,3 +212,16 @@ def test_sections_of_many_files_share_batches(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     wanted = [(f, i, s, 0 if i < 1 else 1 if i < 5 else 2, "" if i < 1 else f"A{f[1:]}" if i < 5 else "B") for f, i, s in lines]
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_folding_computes_a_text_once(spark):
+    """The text to fold stood in the expression many times over; what each character becomes is as before."""
+    rows = spark.createDataFrame([(f"Ab {chr(c)}x ’{chr(c)}½",) for c in range(0x20, 0x2FFF, 7)] + [("ﬁ…é “Ω”",), ("",), (None,)], "t string")
+    once = rows.select("t", text.normalize(F.concat("t", F.lit("!"))).alias("n"))
+    assert once._jdf.queryExecution().analyzed().toString().count("concat(") == 1
+    for r in once.collect():
+        plain = r["t"] or ""
+        for mark in "’‘“”":
+            plain = plain.replace(mark, " ")
+        plain = unicodedata.normalize("NFKD", plain).encode("ascii", "ignore").decode().lower()
+        assert r["n"] == " ".join(re.findall("[a-z0-9]+", plain))
