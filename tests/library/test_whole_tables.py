@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lintel.operators import runs
+from lintel.operators import linkage, runs
 from lintel.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -20,6 +20,19 @@ def test_title_ngrams_of_every_part(spark):
     assert {(r[0], r[1]) for r in found.where("template = 'title'").select("album_id", "query").collect()} == titles
 
 
+def test_title_ngrams_are_told_apart_in_their_row(spark):
+    plan = registry.queries()["title_ngrams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan  # no task holds the queries of many albums
+
+
+def test_queries_of_an_album_that_several_rows_name(spark):
+    rows = [("a", "Blue Sea"), ("a", "blue sea"), ("b", "Red Sky"), (None, "X1 Y1"), (None, "x1 y1")]
+    albums = spark.createDataFrame([(i, t, [], [], [], [], None, [], None, None) for i, t in rows], linkage.ALBUM)
+    found = sorted((r["album_id"] or "", r["query"].lower()) for r in linkage.query_candidates(albums).collect())
+    both = lambda i, a, b: [(i, f"{a} {b}"), (i, f"{b} {a}")]
+    assert found == sorted(both("a", "blue", "sea") + both("b", "red", "sky") + both("", "x1", "y1"))
+
+
 def test_phrase_overlap_of_every_pair(spark):
     found = {(r[0], r[1]): r[2] for r in registry.queries()["phrase_overlap"](spark, SF).collect()}
     rows = sorted(_table(spark, "part", "p_partkey", "p_brand", "p_name"))
