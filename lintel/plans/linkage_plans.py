@@ -192,7 +192,7 @@ def auto_gate(spark, sf_dir):
 
 
 def query_selection(spark, sf_dir):
-    return linkage.select_queries(linkage.query_candidates(_albums(spark, sf_dir)), 12)
+    return linkage.select_album_queries(linkage.album_queries(_albums(spark, sf_dir)), 12)
 
 
 def _set(x: str, least: int = 3) -> str:

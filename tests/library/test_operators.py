@@ -225,3 +225,12 @@ def test_folding_computes_a_text_once(spark):
             plain = plain.replace(mark, " ")
         plain = unicodedata.normalize("NFKD", plain).encode("ascii", "ignore").decode().lower()
         assert r["n"] == " ".join(re.findall("[a-z0-9]+", plain))
+
+
+def test_queries_are_selected_in_their_rows(spark):
+    albums = fixture(spark, linkage.ALBUM, linkage_plans.ALBUMS)
+    by_row = linkage.select_album_queries(linkage.album_queries(albums), 12)
+    plan = by_row._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan  # no task holds the queries of many albums
+    by_queries = linkage.select_queries(linkage.query_candidates(albums), 12)
+    assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, by_queries.collect()))
