@@ -9,7 +9,7 @@ from lintel.functions import lexicon, text
 from lintel.operators import evaluate, linkage, selection
 from lintel.operators.runs import first_of_each, top_of_each, upsert
 from lintel.operators.shared import written
-from lintel.plans.tables import distinct, fixture, forms, forms_sql, listed, literal, norm, table, values_sql, words
+from lintel.plans.tables import distinct, fixture, forms, forms_sql, literal, norm, table, values_sql, words
 
 STOP = lexicon.STOPWORDS
 PER_QUERY = 5
@@ -178,7 +178,7 @@ def _albums(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Each document as one of the albums, with all hits."""
-    return _albums(spark, sf_dir).withColumn("_h", F.explode(listed(linkage.HIT, HITS))).select("*", "_h.*").drop("_h")
+    return linkage.album_features(_albums(spark, sf_dir)).crossJoin(F.broadcast(linkage.hit_features(fixture(spark, linkage.HIT, HITS))))
 
 
 def score_penalized(spark, sf_dir):

@@ -234,3 +234,11 @@ def test_queries_are_selected_in_their_rows(spark):
     assert "Sort" not in plan and "Window" not in plan  # no task holds the queries of many albums
     by_queries = linkage.select_queries(linkage.query_candidates(albums), 12)
     assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, by_queries.collect()))
+
+
+def test_sides_of_pairs_are_prepared_before_they_meet(spark):
+    albums, hits = fixture(spark, linkage.ALBUM, linkage_plans.ALBUMS), fixture(spark, linkage.HIT, linkage_plans.HITS)
+    apart = linkage.features(linkage.album_features(albums).crossJoin(linkage.hit_features(hits)))
+    together = linkage.features(albums.crossJoin(hits))
+    scored = lambda df: sorted(map(tuple, linkage.scores(df).select("album_id", "id", *[f"{f}_score" for f in linkage.FEATURES], "score").collect()))
+    assert scored(apart) == scored(together)
