@@ -9,6 +9,7 @@ from lintel.functions import lexicon, text
 from lintel.operators import documents
 from lintel.operators.people import performer_parts
 from lintel.operators.runs import first_of_each
+from lintel.operators.shared import written
 from lintel.sources.mail import mail_html
 
 CANDIDATE = (
@@ -43,7 +44,7 @@ def plain_candidates(lines: DataFrame, key: str = "file") -> DataFrame:
     told = shown.withColumns({"ahead": ahead, "title": title}).where(bold & (F.length("title") >= 5) & ~F.col("title").rlike(r"^\d{4}$"))
     beside = F.exists(F.slice("ahead", 1, 3), lambda a: (a["line"] != "") & a["line"].rlike(HELD))
     told = told.where(F.col("underlined") | (~F.col("line").rlike(HELD) & ~beside))
-    told = told.withColumn("ahead", F.when(F.col("underlined"), F.slice("ahead", 2, AHEAD)).otherwise(F.slice("ahead", 1, AHEAD)))
+    told = written(told.withColumn("ahead", F.when(F.col("underlined"), F.slice("ahead", 2, AHEAD)).otherwise(F.slice("ahead", 1, AHEAD))))  # read twice
 
     rows = told.select(key, "line_no", F.posexplode_outer("ahead").alias("at", "a")).select(key, "line_no", "at", F.col("a.line").alias("next"), F.col("a.underlined").alias("heads")).where("next <> ''")
     stop = F.startswith("next", F.lit("---")) | F.startswith("next", F.lit("**20")) | F.col("heads")
@@ -92,7 +93,7 @@ def markdown_candidates(blocks: DataFrame, lines: DataFrame, key: str = "file")
     label_line = F.when(F.col("label") != "", F.concat(F.lit("("), "label", F.lit(")"))).otherwise("")
     rest = {"label_line": label_line, "raw_text": F.substring("title", 1, 200), "subsection": F.col("title"), "line_no": F.col("line_no").cast("int")}
     columns = [key, *[c.split()[0] for c in CANDIDATE.split(", ")[1:]]]
-    own = blocks.withColumns({**hints, **rest}).select(*columns)
+    own = written(blocks.withColumns({**hints, **rest}).select(*columns))  # the files without blocks ask for it again
     others = plain_candidates(lines.join(own.select(key).distinct(), key, "left_anti"), key)
     return own.unionByName(others.select(*columns))
 

@@ -92,3 +92,8 @@ def test_minutes_do_not_hang_on_the_order_of_rows(spark):
     found = {r["k"]: r["minutes"] for r in records.whole_minutes(rows.where("k <> 'd'"), ["k"], "s").collect()}
     assert found == {"a": 1, "b": -1, "c": -1, "e": None, "f": 1}
     assert records.whole_minutes(rows.where("k = 'd'").withColumn("s", F.col("s") / 1e6), ["k"], "s").first()["minutes"] == int((1e25 / 1e6 + 60 / 1e6) // 60)
+
+
+def test_blocks_of_files_are_found_once(spark):
+    plan = registry.queries()["file_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Related (Reviews|News)" not in plan  # blocks are written, not found again for the files that have none
