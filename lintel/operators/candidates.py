@@ -190,6 +190,7 @@ def album_entries(candidates: DataFrame, key: str = "candidate") -> DataFrame:
         F.coalesce(F.nullif("label_line", F.lit("")), held_label).alias("_label"),
         of("subsection", "raw_text", "title_hint").alias("_said"),
     )
+    rows = written(rows)  # their performers are told apart and join them again
     parts = performer_parts(rows.select(key, F.col("_performer").alias("performer_line"), F.col("_label").alias("label_line")), key)
     both = rows.join(parts.withColumnsRenamed({c: f"_{c}" for c in ("performers", "ensembles", "conductor", "instruments", "label")}).withColumnRenamed("_label", "_own_label"), key)
     nobody = (F.size("_performers") == 0) & (F.size("_ensembles") == 0) & (F.col("_conductor") == "")

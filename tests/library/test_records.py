@@ -97,3 +97,8 @@ def test_minutes_do_not_hang_on_the_order_of_rows(spark):
 def test_blocks_of_files_are_found_once(spark):
     plan = registry.queries()["file_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Related (Reviews|News)" not in plan  # blocks are written, not found again for the files that have none
+
+
+def test_candidates_of_entries_are_found_once(spark):
+    plan = registry.queries()["album_entries"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert candidates.UNDERLINE not in plan
