@@ -242,3 +242,11 @@ def test_sides_of_pairs_are_prepared_before_they_meet(spark):
     together = linkage.features(albums.crossJoin(hits))
     scored = lambda df: sorted(map(tuple, linkage.scores(df).select("album_id", "id", *[f"{f}_score" for f in linkage.FEATURES], "score").collect()))
     assert scored(apart) == scored(together)
+
+
+def test_grams_are_looked_up_without_frames(spark):
+    docs = spark.createDataFrame([(k, ["a", "b", "c", "d", str(k)] if k % 3 else None) for k in range(700)], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([("a b c d",), ("b c d 7",)], "query string")
+    found = linkage.held_grams(docs, asked)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # no frame of a whole batch's words
+    assert sorted(map(tuple, found.collect())) == sorted([(k, "a b c d") for k in range(700) if k % 3] + [(7, "b c d 7")])
