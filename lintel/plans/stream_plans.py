@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintel.operators.shared import stored
 from lintel.plans.tables import table
 from lintel.streaming import progress, stateful
 
@@ -18,11 +19,16 @@ def _at(turn: Column) -> Column:
     return F.timestamp_seconds(FIRST + F.col("conv_id") * RUN_SECONDS + turn * TURN_SECONDS)
 
 
-def _sources(rows: DataFrame, ends: DataFrame, speaks: Column) -> DataFrame:
+def _streamed(spark, rows: DataFrame) -> DataFrame:
+    """Rows made ready once, as a stream of their files. What a stream itself joins is shuffled anew in every micro-batch, between all
+    of its state's partitions."""
+    return stateful.streamed_table(spark, stored(rows))
+
+
+def _source(rows: DataFrame, role: str) -> DataFrame:
     """One source's turns as chunks; every third one ends its line, after a carriage return every sixth."""
-    known = rows.where(speaks).join(ends, ["conv_id", "role", "turn"], "left")
     mark = F.when(F.col("turn") % 6 == 0, "\r\n").when(F.col("turn") % 3 == 0, "\n").otherwise("")
-    return known.select(
+    return rows.where(F.col("role") == role).select(
         F.col("conv_id").alias("run"), F.col("nth").alias("seq"), _at(F.col("turn")).alias("at"), F.concat("text", mark).cast("binary").alias("chunk"), F.col("ended").alias("ended")
     )
 
@@ -31,11 +37,10 @@ def merged_line_streams(spark, sf_dir):
     """What users say and what assistants answer as two streams of chunks, merged into lines; a side that says nothing is cut."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    turns = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
     of_role = Window.partitionBy("conv_id", "role").orderBy("turn")
-    ends = turns.withColumns({"nth": F.row_number().over(of_role) - 1, "ended": F.lead("turn").over(of_role).isNull()})
-    stream = stateful.streamed_table(spark, f"{sf_dir}/conversations.parquet")
-    lines = stateful.merged_lines(_sources(stream, ends, F.col("role") == "user"), _sources(stream, ends, F.col("role") == "assistant"), DRAIN_SECONDS)
+    stream = _streamed(spark, turns.withColumns({"nth": F.row_number().over(of_role) - 1, "ended": F.lead("turn").over(of_role).isNull()}))
+    lines = stateful.merged_lines(_source(stream, "user"), _source(stream, "assistant"), DRAIN_SECONDS)
     return stateful.drained(lines).select("run", "kind", "source", "line_no", F.unix_seconds("at").alias("at"), "line")
 
 
@@ -55,8 +60,7 @@ def report_lifecycle(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     counts = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     begun = counts.where("conv_id % 5 = 0").select(F.col("conv_id").alias("stage"), (_at(F.lit(0)) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1))).alias("start"))
-    stream = stateful.streamed_table(spark, f"{sf_dir}/conversations.parquet")
-    shown = stateful.reports(_updates(stream, counts), REPORT_SECONDS, begun, ticking=True)
+    shown = stateful.reports(_streamed(spark, _updates(turns, counts)), REPORT_SECONDS, begun, ticking=True)
     return stateful.drained(shown).select("stage", "kind", F.unix_seconds("at").alias("at"), F.round("percent", 9).alias("percent"), "elapsed", F.round("eta", 9).alias("eta"))
 
 

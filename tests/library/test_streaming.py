@@ -5,6 +5,7 @@ import uuid
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lintel.plans import registry
@@ -106,6 +107,71 @@ def test_chunks_that_come_ahead_of_their_turn_wait(spark, tmp_path):
     assert sorted(told, key=str) == sorted([("line", 0, "ab"), ("line", 1, "cd"), ("line", 2, "e"), ("end", None, None)], key=str)
 
 
+class _Counted:
+    """States of one key that count what they are asked and told."""
+
+    def __init__(self):
+        self.calls, self.values = [], {}
+
+    def getValueState(self, name, schema):
+        known = self
+
+        class Value:
+            def exists(self):
+                known.calls.append("exists")
+                return name in known.values
+
+            def get(self):
+                known.calls.append("get")
+                return known.values.get(name)
+
+            def update(self, value):
+                known.calls.append("update")
+                known.values[name] = value
+
+        return Value()
+
+    def getMapState(self, name, *schemas):
+        known = self
+
+        class Map:
+            def __getattr__(self, called):
+                return lambda *_: known.calls.append(called)
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+
+def test_a_key_asks_for_its_state_once(spark):
+    """A key's state is read once and written once, however many chunks come; keys take rows and make no frame each."""
+    chunk = Row("run", "source", "seq", "at", "us", "chunk", "ended")
+    rows = [chunk(7, source, k, None, (10 + k) * 1_000_000, b"a\n", k == 3) for k in range(4) for source in ("out", "err")]
+    merger, states = stateful.LineMerger(("err", "out"), 10), _Counted()
+    merger.init(states)
+    first = list(merger.handleInputRows((7,), iter(rows[:4]), None))
+    assert states.calls == ["get", "update"] and len(first) == 4
+    rest = list(merger.handleInputRows((7,), iter(rows[4:]), None))
+    assert states.calls == ["get", "update"] * 2
+    assert [r["kind"] for r in rest] == ["line"] * 4 + ["end"] and [r["line_no"] for r in rest if r["source"] == "out"] == [2, 3]
+    assert list(merger.handleInputRows((7,), iter(rows), None)) == [] and states.calls == ["get", "update"] * 2 + ["get"]
+
+    update = Row("stage", "seq", "at", "us", "kind", "completed", "total", "force")
+    life, states = stateful.ReportLife(15, False), _Counted()
+    life.init(states)
+    shown = list(life.handleInputRows((1,), iter([update(1, k, None, k * 20_000_000, "update", float(k), 4.0, False) for k in (1, 2)]), None))
+    assert [r["percent"] for r in shown] == [25.0, 50.0] and states.calls == ["get", "update"]
+
+
+def test_rows_without_a_time_or_a_number_are_taken_last(spark):
+    chunk = Row("run", "source", "seq", "at", "us", "chunk", "ended")
+    merger = stateful.LineMerger(("err", "out"), 10)
+    merger.init(_Counted())
+    rows = [chunk(1, "out", None, None, None, b"c\n", None), chunk(1, None, 0, None, 5, b"x\n", True), chunk(1, "out", 0, None, 5, None, False)]
+    assert [r["line"] for r in merger.handleInputRows((1,), iter(rows), None)] == ["c"]
+
+
 UPDATES = "stage long, seq long, at timestamp, kind string, completed double, total double, force boolean"
 
 
@@ -229,3 +295,18 @@ def test_running_sums_hand_on_over_partitions(spark):
     assert {r["o"]: r["before"] for r in found.collect()} == expected
     assert found.columns == ["a", "b", "o", "v", "before"]
     assert running_before(spark.createDataFrame(rows, "a int, b string, o int, v long").where(F.lit(False)), ["a"], "o", "v", "s").count() == 0
+
+
+def test_a_micro_batch_shuffles_by_its_key_alone(spark, monkeypatch):
+    """What chunks and updates need of other rows is joined before the stream: every micro-batch would join it again."""
+    plans = []
+
+    def kept(stream, folder=None):
+        plans.append(stream._jdf.queryExecution().analyzed().toString())
+        return spark.createDataFrame([], stream.schema)
+
+    monkeypatch.setattr(stateful, "drained", kept)
+    for name in ("merged_line_streams", "report_lifecycle"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Join" in plan or "Window" in plan for plan in plans)
+    assert "Union" in plans[0]
