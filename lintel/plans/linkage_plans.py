@@ -18,7 +18,7 @@ QUERIES_PER_ITEM = 12
 
 def _tokens(docs):
     """Documents as words, written once: their n-grams and their word sets read them again."""
-    return written(docs.select("doc_id", text.words(text.normalize(F.col("text"))).alias("tokens")))
+    return written(docs.select("doc_id", text.words(text.normalize_long(F.col("text"))).alias("tokens")))
 
 
 def _item_queries(items):
@@ -26,16 +26,17 @@ def _item_queries(items):
     return items.select("item_id", F.posexplode(F.slice(F.array_distinct(grams), 1, QUERIES_PER_ITEM)).alias("qpos", "query"))
 
 
-def _links(spark, sf_dir, docs=None, keep=False):
-    """Ranked documents of every benchmark item that one of its queries finds. docs: words of all documents, if known."""
+def _links(spark, sf_dir, docs=None, held=None, keep=False):
+    """Ranked documents of every benchmark item that one of its queries finds. docs: words of all documents, held: 4-grams that they hold, if known."""
     items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
     docs = docs if docs is not None else _tokens(table(spark, sf_dir, "documents"))
     queries = _item_queries(items)
     # only the 4-grams that some item asks for go on from the documents
-    index = linkage.held_grams(docs, queries)
+    index = linkage.held_grams(docs, queries) if held is None else held.join(queries.select("query").distinct(), "query", "left_semi")
     hits = queries.join(top_of_each(index, ["query"], PER_QUERY, "doc_id"), "query")
-    found = hits.groupBy("item_id", "doc_id").agg(F.count_distinct("query").alias("n_queries"), F.min("qpos").alias("first_seen"))
-    joined = found.join(items.select("item_id", F.array_distinct("tokens").alias("want")), "item_id").join(docs.select("doc_id", F.array_distinct("tokens").alias("have")), "doc_id")
+    # written: the planner knows that few documents are found, and shuffles not all of them to meet those
+    found = written(hits.groupBy("item_id", "doc_id").agg(F.count_distinct("query").alias("n_queries"), F.min("qpos").alias("first_seen")))
+    joined = docs.select("doc_id", F.col("tokens").alias("have")).join(found, "doc_id").join(items.select("item_id", F.array_distinct("tokens").alias("want")), "item_id")
     scored = joined.select("item_id", "doc_id", "n_queries", "first_seen", F.round(text.overlap(F.col("want"), F.col("have")), 9).alias("score"))
     order = [F.col("score").desc(), F.col("n_queries").desc(), "first_seen", "doc_id"]
     scored = written(scored) if keep else scored
@@ -65,27 +66,27 @@ def candidate_search(spark, sf_dir):
 STARTS_AT_ONCE = 500
 
 
-def _truths(items, docs, tokens):
+def _truths(items, docs, tokens, more=None):
     """item_id and doc_id of every document that contains an item's start, whatever the search proposes.
 
     A document that contains the start holds its words but the first and the last, which may be parts of
     longer ones: those that hold the rarest run of up to four of them are compared. Runs of a length that
-    no item asks for are not formed. ``tokens`` holds the documents' words.
+    no item asks for are not formed. ``tokens`` holds the documents' words. Also gives what they hold: of those runs, and of
+    ``more`` 4-grams (query), which are looked up with them.
     """
     words = items.select("item_id", "start", text.words(text.normalize(F.col("start"))).alias("words"))
     inner = written(words.select("item_id", "start", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))).alias("inner")))
     runs = F.when(F.size("inner") < 4, F.array(F.array_join("inner", " "))).otherwise(linkage.ngrams(F.col("inner"), 4, 4))
     asked = inner.where(F.size("inner") > 0).select("item_id", F.explode(F.array_distinct(runs)).alias("run"))
     lengths = [r[0] for r in inner.where(F.size("inner") > 0).select(F.least(F.size("inner"), F.lit(4))).distinct().collect()]  # four at most
-    sized = [linkage.held_grams(tokens, asked.where(F.size(F.split("run", " ")) == n).select(F.col("run").alias("query")), n) for n in sorted(lengths)]
-    held = tokens.limit(0).select("doc_id", F.lit("").alias("query"))
-    for some in sized:
-        held = held.unionAll(some)
-    held = written(held.withColumnRenamed("query", "run"))
+    queries = asked.select(F.col("run").alias("query"))
+    grams, sizes = (queries, lengths) if more is None else (queries.unionAll(more.select("query")), [*lengths, 4])
+    every = written(linkage.held_grams(tokens, grams, sizes or [4]))
+    held = every.withColumnRenamed("query", "run")
     counted = asked.join(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run", "left").fillna(0, ["n"])
     rarest = first_of_each(counted, ["item_id"], "n", "run").select("item_id", "run")
-    met = rarest.join(held, "run").select("item_id", "doc_id").distinct()
-    found = met.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("start"))).select("item_id", "doc_id")
+    met = written(rarest.join(held, "run").select("item_id", "doc_id").distinct())  # known to be few: the texts stay where they are
+    found = docs.join(met, "doc_id").join(items, "item_id").where(F.contains("text", F.col("start"))).select("item_id", "doc_id")
     # a start of two words at most has no whole word inside: it is looked for everywhere, so many starts at a time
     short = inner.where("start <> '' AND size(inner) = 0").select("item_id", "start")
     n = short.count()
@@ -93,23 +94,27 @@ def _truths(items, docs, tokens):
     for k in range(-(-n // STARTS_AT_ONCE)):
         some = F.broadcast(numbered.where(F.floor((F.col("_nth") - 1) / STARTS_AT_ONCE) == k))
         found = found.unionAll(docs.join(some, F.contains("text", F.col("start"))).select("item_id", "doc_id"))
-    return found
+    return found, every
 
 
 def _searched(spark, sf_dir, ends=False):
-    """The links that the search finds, and all pairs of an item and a document that contains its start (or, with ends, its end)."""
+    """The links that the search finds, all pairs of an item and a document that contains its start (or, with ends, its end), all 4-grams
+    of items, and those (with ends; else those of queries) that documents hold. Documents are looked through once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = _tokens(docs)
     items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 2).alias("item_id"), F.substring("text", 1, 60).alias("start"), F.substring("text", -60, 60).alias("end"))
     pieces = items.select("item_id", "start")
     if ends:
         pieces = pieces.unionAll(items.select(F.col("item_id") + 1, "end"))
-    pairs = _truths(pieces, docs, tokens).select(F.floor(F.col("item_id") / 2).alias("item_id"), "doc_id").distinct()
-    return _links(spark, sf_dir, tokens, keep=True), written(pairs), tokens
+    known = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
+    grams = known.select("item_id", F.posexplode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("qpos", "query"))
+    found, held = _truths(pieces, docs, tokens, grams if ends else grams.where(F.col("qpos") < QUERIES_PER_ITEM))
+    pairs = found.select(F.floor(F.col("item_id") / 2).alias("item_id"), "doc_id").distinct()
+    return _links(spark, sf_dir, tokens, held, keep=True), written(pairs), grams, held
 
 
 def _benchmark_results(spark, sf_dir):
-    links, pairs, _ = _searched(spark, sf_dir)
+    links, pairs, _, _ = _searched(spark, sf_dir)
     links = links.select(F.col("item_id").alias("album_id"), F.col("doc_id").alias("id"), "rank", "score")
     truth = pairs.groupBy(F.col("item_id").alias("album_id")).agg(F.min("doc_id").alias("truth_id"))
     auto = links.where("rank = 1 AND score >= 0.85").select("album_id", "id")
@@ -119,10 +124,7 @@ def _benchmark_results(spark, sf_dir):
 def eval_recall(spark, sf_dir):
     """What the search proposes of all pairs of an item and a document that contains its start or its end: with the search's limits,
     without that on the documents of a query, and without that on queries."""
-    links, pairs, tokens = _searched(spark, sf_dir, ends=True)
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.words(text.normalize(F.col("text"))).alias("tokens"))
-    every = items.select("item_id", F.posexplode(F.array_distinct(linkage.ngrams(F.col("tokens"), 4, 4))).alias("qpos", "query"))
-    held = linkage.held_grams(tokens.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), every)
+    links, pairs, every, held = _searched(spark, sf_dir, ends=True)
     shared = pairs.join(every, "item_id").join(held, ["doc_id", "query"]).groupBy("item_id", "doc_id").agg(F.min("qpos").alias("qpos"))
     return evaluate.recall_by_limits(pairs, links.select("item_id", "doc_id", "rank"), shared, QUERIES_PER_ITEM)
 

@@ -1,7 +1,10 @@
 """Mails, kept searches and training on a table, against plain loops."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from lintel.functions import lexicon
 from lintel.operators import candidates, documents, linkage
 from lintel.plans import file_plans
@@ -103,3 +106,43 @@ def test_asked_grams_by_look_up_and_by_join(spark):
     for most in (100, 3):
         assert sorted(tuple(r) for r in linkage.held_grams(docs, asked, 3, most).collect()) == expected
     assert linkage.held_grams(docs, asked.limit(0), 3).count() == 0
+
+
+def test_asked_grams_of_several_sizes_in_one_pass(spark):
+    """Grams of one to four words at once, against a plain loop; words that no gram has, slices, and grams whose size is not asked for."""
+    rng = random.Random(3)
+    docs = [(k, None if k % 19 == 5 else [rng.choice("abcdexyz") for _ in range(rng.randint(0, 30))]) for k in range(300)]
+    grams = {" ".join(rng.choice("abcde") for _ in range(n)) for n in (1, 2, 3, 4, 5) for _ in range(40)}
+    asked = spark.createDataFrame([(g,) for g in sorted(grams)], "query string")
+    frame = spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3)
+    for sizes in ((1, 2, 4), (3,)):
+        expected = sorted({(k, g) for k, words in docs for n in sizes for j in range(len(words or []) - n + 1) if (g := " ".join(words[j : j + n])) in grams})
+        for most in (1000, 10):
+            assert sorted(tuple(r) for r in linkage.held_grams(frame, asked, sizes, most).collect()) == expected
+
+
+def test_long_texts_are_normalised_as_others_are(spark):
+    from lintel.functions import text
+
+    odd = ["", None, "  ", "Ünïcode—Straße ﬁne №5 ½ x²", "a’b ‘c’ “D” ÆØ", "x\u0000y\x7fz\t\n_", "𝐀𝐛 Ⅷ ㎏ ｆｕｌｌ", "é ẛ̣", "日本 ǅ ŉ …", "\U000e0001 ﷺ tail", "Ā" * 50 + "9"]
+    every = [chr(c) + "q" for c in range(0x20, 0x3400) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xF900, 0x10000)] + [chr(c) for c in range(0x1D400, 0x1D800)] + [chr(c) for c in range(0x1F100, 0x1F200)]
+    rows = spark.createDataFrame([(v,) for v in [*odd, " ".join(every), "|".join(every)]], "v string")
+    told = rows.select("v", text.normalize(F.col("v")).alias("a"), text.normalize_long(F.col("v")).alias("b")).collect()
+    assert [r["b"] for r in told] == [r["a"] for r in told]
+
+
+def test_documents_are_looked_through_once(spark, monkeypatch):
+    """Queries, starts, ends and all 4-grams of the benchmark are looked up in one pass over the documents."""
+    from lintel.plans import linkage_plans
+
+    passes, look_up = [], linkage.held_grams
+
+    def counted(docs, *rest):
+        passes.append(rest)
+        return look_up(docs, *rest)
+
+    monkeypatch.setattr(linkage, "held_grams", counted)
+    for name in ("eval_recall", "eval_metrics"):
+        passes.clear()
+        assert linkage_plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
+        assert len(passes) == 1
