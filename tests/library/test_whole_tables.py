@@ -161,3 +161,19 @@ def test_phrases_are_normalised_once_a_row(spark, monkeypatch):
     score = F.round(text.phrase_overlap(F.col("a.names"), F.col("b.names")), 9)
     wanted = a.join(b, F.expr("a.g = b.g AND a.k < b.k")).select("a.k", "b.k", score)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, wanted.collect())))
+
+
+def test_pairs_of_copies_do_not_pass_python_one_by_one(spark):
+    """Copies of few names: a row of Python stands for many pairs, and one that gives pairs stays bounded."""
+    from lintel.functions import text
+    from lintel.operators import linkage
+
+    rows = spark.range(1_000).selectExpr("'g' AS g", "id * 3 AS k", "IF(id < 900, array('red', 'ring'), IF(id % 3 = 0, NULL, array(concat('r', id % 2), 'rings'))) AS names")
+    blocks = linkage.phrase_blocks(rows, "g", "k", "names").cache()
+    pairs = blocks.selectExpr("count(*)", "max(size(lefts))", "sum(size(lefts) * size(rights))").first()
+    assert pairs[0] * 100 < 1_000 * 999 / 2 <= pairs[2] and pairs[1] == linkage.SPAN
+    found = linkage.phrase_pairs(rows, "g", "k", "names")
+    a, b = rows.alias("a"), rows.alias("b")
+    score = F.round(text.phrase_overlap(F.col("a.names"), F.col("b.names")), 9).alias("score")
+    wanted = a.join(b, F.expr("a.g = b.g AND a.k < b.k")).select(F.col("a.k").alias("left_key"), F.col("b.k").alias("right_key"), score)
+    assert found.count() == 1_000 * 999 / 2 and found.exceptAll(wanted).isEmpty()
