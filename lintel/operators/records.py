@@ -169,8 +169,8 @@ def whole_minutes(durations: DataFrame, keys: list[str], seconds: str) -> DataFr
     Where a key has values that no decimal of nine places holds, its sum is one of doubles.
     """
     exact = F.col(seconds).try_cast("decimal(28,9)")
-    sums = durations.groupBy(*keys).agg(F.sum(exact).alias("_exact"), F.sum(seconds).alias("_plain"), (F.count(exact) == F.count(seconds)).alias("_fits"))
-    whole = sums.withColumn("_whole", F.floor("_exact").cast("long"))
+    sums = durations.groupBy(*keys).agg(F.sum(exact).alias("_exact"), F.sum(seconds).alias("_plain"), (F.count_if(exact == F.col(seconds)) == F.count(seconds)).alias("_fits"))
+    whole = sums.withColumn("_whole", F.floor("_exact"))
     minutes = F.when(F.col("_fits"), F.expr("(_whole - pmod(_whole, 60)) div 60")).otherwise(F.floor(F.col("_plain") / 60).cast("long"))
     return whole.select(*keys, minutes.alias("minutes"))
 

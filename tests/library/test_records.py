@@ -102,3 +102,10 @@ def test_blocks_of_files_are_found_once(spark):
 def test_candidates_of_entries_are_found_once(spark):
     plan = registry.queries()["album_entries"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert candidates.UNDERLINE not in plan
+
+
+def test_minutes_of_values_that_nine_places_do_not_hold(spark):
+    """Values just below a minute, or below zero, are not rounded to it; sums beyond a long are no error."""
+    seconds = [("a", 59.9999999996), ("b", -1e-11), ("c", -0.0), ("d", 1e20)] + [("e", 1e18)] * 10
+    found = {r["k"]: r["minutes"] for r in records.whole_minutes(spark.createDataFrame(seconds, "k string, s double"), ["k"], "s").collect()}
+    assert found == {"a": 0, "b": -1, "c": 0, "d": int(1e20 / 60), "e": 10**19 // 60}
